@@ -6,19 +6,59 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contamination, contamination_summary
 from .jaccard_join import jaccard_components
+from .token_counts import length_histogram
+from .token_store import encoded_lengths, ids_digest, read_tokens, write_tokens
+from ._util import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination_summary(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "tokens").path("files")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file())
+    return ids_digest(read_tokens(spark.read.parquet(path)))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_histogram(encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_file()))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_token_output": op6_token_output,
+    "op10_token_counts": op10_token_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": r"""
+        with d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents),
+        b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where text is not null and item_id is not null),
+        wins as (select distinct item_id, len(g) n, array_to_string(g, ' ') g from (select item_id, w[i : i + 12] g from (select item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) i from b where len(w) > 0))),
+        lens as (select distinct n from wins),
+        grams as (select doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') g from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) i from d, lens where len(w) >= n)),
+        found as (select doc_id, i, wins.n, item_id from grams join wins on grams.n = wins.n and grams.g = wins.g),
+        hit as (select doc_id, count(distinct p) n_hit from (select doc_id, unnest(range(i, i + n)) p from found) group by 1),
+        its as (select doc_id, count(*) n_items, string_agg(s, ',' order by s) s from (select distinct doc_id, cast(item_id as varchar) s from found) group by 1)
+        select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items, sha256(coalesce(s, '')) items_sha256,
+               coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+        from d left join hit using (doc_id) left join its using (doc_id)""",
+}
