@@ -3,8 +3,9 @@
 Documents become sets of word shingles. Similar documents are put into groups (by the most popular of a
 few min-hashes), every group has the union of its tokens, and a document is compared with the members of a
 group only if its overlap with that union reaches what a member would need. Which groups a document is
-held against at all comes from the matrix of necessary prefix tokens and groups. The join is exact: a group is
-only a way of packing, and a pair at or above the threshold always shares a prefix token.
+held against at all comes from the matrix of necessary prefix tokens and groups, and from the sizes of sets. The join is
+exact: a group is only a way of packing, and a pair at or above the threshold always shares 1 + MORE tokens of
+prefixes that are longer by MORE.
 
 Scale. The texts are read three times (counts, postings, sets of candidate groups); nothing but fixed-size
 count sketches is broadcast. Copies collapse into one class by the digest of their sets, copies and near
@@ -28,6 +29,8 @@ from ._util import ASCII_LOWER, Forest, Scratch, WordHashes, components, mixed,
 SKETCH_BITS = 20
 #: Documents that a group holds, about.
 GROUP_ROWS = 256
+#: Prefix tokens beyond the first that two similar documents must share; prefixes are longer by as many.
+MORE = 5
 #: Min-hashes from which a document's group is chosen.
 MIN_HASHES = 4
 _MULTIPLIERS = (np.arange(1, MIN_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -134,7 +137,9 @@ def _grouped(batches: Iterator[pa.RecordBatch], sketches: Callable[[], np.ndarra
                 continue
             seen.add(digest)
             rank = np.minimum(by_token[(tokens >> _TOP).astype(np.int64)].astype(np.uint64), _MOST) << _TOP | (tokens & _LOW)
-            prefix = tokens[np.argsort(rank, kind="stable")[: n - needed(n, percent) + 1]]
+            prefix = tokens[np.argsort(rank, kind="stable")[: n - needed(n, percent) + 1 + MORE]]
+            if n <= 2 * (MORE + 1):  # it may share fewer: each token counts in full, against sets as small
+                prefix = np.concatenate([prefix, *(mixed(prefix + np.uint64(i)) for i in range(1, MORE + 1))])
             postings.append(prefix)
             groups.extend([grp] * len(prefix))
         doc, n, s1, s2, grp = zip(*rows, strict=True) if rows else [()] * 5
@@ -164,7 +169,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
     ends = np.r_[starts[1:], len(token)]
     wide = ends - starts > 1
-    held, size = [], 0
+    held, size = [], 0  # pairs with a count each, and how many pairs
     for a, b in zip(starts[wide].tolist(), ends[wide].tolist(), strict=True):
         for i in range(a, b - 1):  # a row at a time: one token's pairs need not fit in memory
             held.append((np.full(b - i - 1, grp[i]), grp[i + 1 : b]))
@@ -177,8 +182,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    pairs = distinct_pairs(*(np.concatenate(x) for x in zip(*held, strict=True)))
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["g", "h"])
+    g, h = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((h, g))
+    g, h = g[order], h[order]
+    starts = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])])
+    return pa.RecordBatch.from_arrays([pa.array(g[starts]), pa.array(h[starts]), pa.array(np.diff(np.r_[starts, len(g)]))], ["g", "h", "shared"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -268,9 +276,14 @@ def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80
     both = scratch.put(documents.select("doc_id", "text").mapInArrow(lambda b: _grouped(b, lambda: sent.value, size, percent), _GROUPED), "grouped")
     sent.destroy()
     rows = both.where("token is null").drop("token")
-    candidates = scratch.put(both.where("token is not null").select("grp", "token").repartition(tasks, "token").mapInArrow(_shared, "g long, h long").distinct(), "candidates")
-
     classes = scratch.put(rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("grp").alias("grp"), F.max("n").alias("n")), "classes")
+    shared = both.where("token is not null").select("grp", "token").repartition(tasks, "token").mapInArrow(_shared, "g long, h long, shared long")
+    shared = shared.groupBy("g", "h").agg(F.sum("shared").alias("shared")).where(F.col("shared") > MORE).select("g", "h")
+    spans = classes.groupBy("grp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    for side in ("g", "h"):
+        shared = shared.join(spans.select(F.col("grp").alias(side), F.col("least").alias(f"least_{side}"), F.col("most").alias(f"most_{side}")), side)
+    fits = f"100 * most_g >= {percent} * least_h and 100 * most_h >= {percent} * least_g"
+    candidates = scratch.put(shared.where(fits).select("g", "h"), "candidates")
     hub = candidates.groupBy(F.col("h").alias("x")).agg(F.min("g").alias("g"))
     within = classes.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("g"), F.col("grp").alias("h"))
     open_groups = candidates.select(F.col("g").alias("grp")).union(candidates.select("h")).union(within.select("g")).distinct()
