@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontaminate import contamination, contamination_summary
 from .jaccard_join import jaccard_components
+from .quality import fit_on, held_out, scored, training_sample
 from .token_counts import length_histogram
 from .token_store import encoded_lengths, ids_digest, read_tokens, write_tokens
 from ._util import Scratch
@@ -37,6 +39,13 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_digest(read_tokens(spark.read.parquet(path)))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = fit_on(training_sample(documents, table(spark, sf_dir, "labels"), "quality"))
+    out = scored(documents.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_file()))
 
@@ -45,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_token_output": op6_token_output,
+    "op8_quality": op8_quality,
     "op10_token_counts": op10_token_counts,
 }
 
