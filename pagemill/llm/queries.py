@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import contamination, contamination_summary
+from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_components
+from .mixing import mixture
 from .quality import fit_on, held_out, scored, training_sample
 from .token_counts import length_histogram
 from .token_store import encoded_lengths, ids_digest, read_tokens, write_tokens
@@ -29,6 +31,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_summary(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    # 2.9 nats: near the 3.0 of twenty equal sources
+    return mixture(documents, target_entropy=2.9, max_repeats=4.0).select("doc_id", "source", "n_tokens", "block", "copies")
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -39,6 +47,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids_digest(read_tokens(spark.read.parquet(path)))
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = fit_on(training_sample(documents, table(spark, sf_dir, "labels"), "quality"))
@@ -52,13 +64,40 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_mixing": op3_mixing,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_token_output": op6_token_output,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_quality": op8_quality,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_mixing": r"""
+        with recursive d as materialized (
+            select doc_id, source, md5('0|' || coalesce(cast(doc_id as varchar), '')) place,
+                   cast(len(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) as bigint) n_tokens
+            from documents),
+        t as materialized (select source, cast(sum(n_tokens) as bigint) n from d group by 1),
+        p as materialized (select source, n, n / (select sum(n) from t) p from t where n > 0),
+        b(i, low, high) as (
+            select 0, cast(0 as double), cast(1 as double)
+            union all
+            select i + 1, case when h <= 2.9 then low else (low + high) / 2 end, case when h <= 2.9 then (low + high) / 2 else high end
+            from (select i, low, high, (select -sum(w * ln(w)) from (select pow(p, (low + high) / 2) / (select sum(pow(p, (low + high) / 2)) from p) w from p)) h from b where i < 60)),
+        e as (select case when (select -sum(w * ln(w)) from (select 1 / (select count(*) from p) w from p)) <= 2.9 then 0 else max_by(high, i) end a from b),
+        w as (select source, n, pow(p, a) / (select sum(pow(p, a)) from p, e) w from p, e),
+        s as (select t.source, cast(coalesce(round_even(w * (select sum(n) from t), 0), 0) as bigint) own, t.n, greatest(1, cast(ceil(t.n / 65536) as bigint)) blocks from t left join w on t.source is not distinct from w.source),
+        g as (select source, case when n > 0 then own // n else 0 end passes, case when n > 0 then own % n else 0 end rest, blocks from s),
+        k as materialized (select d.*, g.passes, g.rest, cast(('0x' || substr(place, 1, 8)) as bigint) % g.blocks as block,
+                     md5('0|' || coalesce(d.source, '') || '|' || cast(cast(('0x' || substr(place, 1, 8)) as bigint) % g.blocks as varchar)) turn
+              from d join g on d.source is not distinct from g.source),
+        o as (select *, sum(n) over (partition by source order by turn, block rows unbounded preceding) upto from (select source, rest, block, turn, sum(n_tokens) n from k group by all)),
+        f as (select source, min(struct_pack(upto := upto, turn := turn, block := block, n := n, rest := rest)) e from o where upto > rest group by 1),
+        j as (select k.*, e.turn end_turn, e.block end_block, e.rest - e.upto + e.n room from k left join f on k.source is not distinct from f.source),
+        l as (select source, max(place) last_place from (select source, place, room, sum(n) over (partition by source order by place rows unbounded preceding) upto from (select source, place, room, sum(n_tokens) n from j where block = end_block group by all)) where upto <= room group by 1)
+        select doc_id, j.source, n_tokens, block, cast(passes + case when rest > 0 and (end_turn is null or turn < end_turn or block = end_block and place <= coalesce(last_place, '')) then 1 else 0 end as bigint) copies
+        from j left join l on j.source is not distinct from l.source""",
     "op1_decontamination": r"""
         with d as (select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents),
         b as (select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where text is not null and item_id is not null),

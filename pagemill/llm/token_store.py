@@ -11,6 +11,10 @@ Scale: one range shuffle of texts, then encoding within sorted partitions. Start
 
 from __future__ import annotations
 
+import codecs
+import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,10 +26,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words whose ids a worker remembers; beyond it the memory starts afresh, results stay the same.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 #: Bytes of text that are encoded together; bounds what a worker holds.
 BLOCK_BYTES = 8 << 20
 _SPACE = bytes.maketrans(b"\t\n\r", b"   ")
+_LOWER = bytes.maketrans(b"\t\n\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"   abcdefghijklmnopqrstuvwxyz")
+#: A word's end that is a piece of its own if a letter or digit stands before it.
+_TAIL = re.compile(rb"[!#$%&()*+,./:;?@\\^_`{|}~-]+$")
+
+#: Runs that are one piece: letters of Latin-1 (without the three that are not letters of an alphabet), or ASCII punctuation but "'".
+_PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+|[!\"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~-]+")
+#: Byte-level BPE writes bytes as letters: printable ones of Latin-1 as themselves, the others as U+0100 and on, in order.
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_MOVED = {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)} | {0x20: " "}
+_LETTERS = "".join(_MOVED.get(b, chr(b)) for b in range(256))
 
 
 class Encoder:
@@ -37,33 +51,76 @@ class Encoder:
     """
 
     def __init__(self, path: str) -> None:
-        import json
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.by_word = splits_at_space(json.load(f))
+            spec = json.load(f)
+        self.by_word = splits_at_space(spec)
         self.memo: dict[bytes, bytes] = {}
+        if self.by_word:
+            # The file's BPE model alone, for words that its other steps leave in one piece; many words go as one text.
+            self.model = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+            self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(spec["model"]["end_of_word_suffix"])]] = True
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def plain_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of words that match _PLAIN: lower-cased, their bytes as the model's letters, cut where a word's last id stands."""
+        if not words:
+            return []
+        text = codecs.charmap_decode(" ".join(words).lower().encode(), "strict", _LETTERS)[0]
+        ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        cuts = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
+        if len(cuts) != len(words) + 1:  # a model whose words do not end as described
+            return self.ids(words)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text."""
         if not self.by_word:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        words = [t.translate(_SPACE).split(b" ") for t in texts]
+            return self.ids([t.decode("utf-8", "replace") for t in texts])
+        words = [t.translate(_LOWER if lowers_alike(t) else _SPACE).split(b" ") for t in texts]
         memo = self.memo
         if len(memo) > MEMO_WORDS:
             memo.clear()
-            memo[b""] = b""
         memo[b""] = b""
-        new = list({w for ws in words for w in ws if w not in memo})
-        if new:
-            for word, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-                memo[word] = np.array(e.ids, "<u4").tobytes()
-        get = memo.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        new = {w for ws in words for w in ws if w not in memo}
+        parts = {w: pieces(w) for w in new}
+        asked = {x: x.decode("utf-8", "replace") for xs in parts.values() for x in xs if x not in memo}
+        plain = {x: t for x, t in asked.items() if _PLAIN.fullmatch(t)}
+        memo.update(zip(plain, self.plain_ids(list(plain.values())), strict=True))
+        other = {x: t for x, t in asked.items() if x not in plain}
+        memo.update(zip(other, self.ids(list(other.values())), strict=True))
+        memo.update({w: b"".join(map(memo.__getitem__, xs)) for w, xs in parts.items()})
+        return [b"".join(map(memo.__getitem__, ws)) for ws in words]
+
+
+def lowers_alike(text: bytes) -> bool:
+    """Whether lower-casing A-Z first changes nothing: no added token can arise, and no combining mark (U+0300-036F) follows a letter."""
+    return b"<|" not in text and (text.isascii() or (b"\xcc" not in text and b"\xcd" not in text))
+
+
+def pieces(word: bytes) -> list[bytes]:
+    """A word without its punctuation at the end, and that; they are split there anyway."""
+    if word[-1] < 0x80 and (tail := _TAIL.search(word)) and tail.start() and b"<|" not in word and word[: tail.start()].decode("utf-8", "replace")[-1].lower()[-1].isalnum():
+        return [word[: tail.start()], tail[0]]
+    return [word]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, which outlasts its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 def splits_at_space(spec: dict) -> bool:
@@ -77,7 +134,8 @@ def splits_at_space(spec: dict) -> bool:
     no_space = split["type"] == "Split" and split["behavior"] == "Removed" and split["invert"] and split["pattern"].get("Regex", "") == "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
     plain = all(s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in rest)
     added = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not any(c.isspace() for c in t["content"]) for t in spec["added_tokens"])
-    return normal and no_space and plain and added and spec["post_processor"] is None and spec["truncation"] is None and spec["padding"] is None
+    ends = spec["model"].get("type", "BPE") == "BPE" and bool(spec["model"].get("end_of_word_suffix")) and not spec["model"].get("dropout")
+    return normal and no_space and plain and added and ends and spec["post_processor"] is None and spec["truncation"] is None and spec["padding"] is None
 
 
 def _blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[bytes]]]:
@@ -98,7 +156,7 @@ def encoded_lengths(documents: DataFrame, tokenizer: str, *, end_id: bool = True
     """doc_id and n_tokens (with an end id, unless told otherwise) of each row; null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for batch in batches:
             for first, texts in _blocks(batch, "text"):
                 n = [len(x) // 4 + end_id for x in encoder.encode(texts)]
@@ -116,7 +174,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, *, end_id: int
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         file_no, at = TaskContext.get().partitionId(), 0
         for batch in batches:
