@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from .decontaminate import contamination, contamination_summary
 from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_components
+from .licence_texts import LICENCES
+from .licenses import COPYRIGHT_LINE, EQUIVALENT, PUNCTUATION, known_licences, license_scan
+from .lm_score import cross_entropy_difference
 from .mixing import mixture
 from .quality import fit_on, held_out, scored, training_sample
 from .token_counts import length_histogram
 from .token_store import encoded_lengths, ids_digest, read_tokens, write_tokens
+from .warc import merged_index, read_warc, write_warc
 from ._util import Scratch
 
 
@@ -31,12 +35,26 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_summary(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    path = scratch.path("archives")
+    write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
+    index = merged_index(scratch.put(read_warc(spark, path), "runs"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     # 2.9 nats: near the 3.0 of twenty equal sources
     return mixture(documents, target_entropy=2.9, max_repeats=4.0).select("doc_id", "source", "n_tokens", "block", "copies")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    return cross_entropy_difference(documents, documents.join(good, "doc_id", "left_semi"), documents)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), size=4, percent=85)
 
@@ -58,21 +76,53 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"), known_licences(spark))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
+    "op4_lm_score": op4_lm_score,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_token_output": op6_token_output,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_quality": op8_quality,
+    "op9_license_scan": op9_license_scan,
     "op10_token_counts": op10_token_counts,
 }
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    for one, other in EQUIVALENT:
+        out = f"replace({out}, {_quoted(one)}, {_quoted(other)})"
+    return f"trim(regexp_replace(regexp_replace({out}, {_quoted(COPYRIGHT_LINE)}, chr(10), 'g'), {_quoted(PUNCTUATION)}, ' ', 'g'))"
+
+
+_LICENSE_SQL = f"""
+    with known as (select k, min(id) id from (select id, {_canonical_sql("t")} k from (values {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in LICENCES)}) v(id, t)) where k <> '' group by 1),
+    lines as (select doc_id, string_agg(id, ',' order by id) ids from (select distinct doc_id, id from (select doc_id, {_canonical_sql("line")} k from (select doc_id, unnest(string_split(text, chr(10))) line from documents)) join known using (k)) group by 1),
+    whole as (select doc_id, {_canonical_sql("text")} k from documents)
+    select doc_id, case when k <> '' then sha256(k) end canonical_sha256, id license_id, coalesce(ids, '') line_licenses
+    from whole left join known using (k) left join lines using (doc_id)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": """
+        with p as (select page_id, octet_length(encode(coalesce(html, ''))) n, sha256(coalesce(html, '')) d from pages),
+        f as (select d, min(page_id) first_id from p where n >= 100 group by 1)
+        select page_id, cast(n as bigint) payload_bytes, d payload_digest, case when first_id is not null and page_id <> first_id then 'revisit' else 'response' end record_type,
+               case when page_id <> first_id then first_id end refers_to
+        from p left join f using (d)""",
+    "op9_license_scan": _LICENSE_SQL,
     "op3_mixing": r"""
         with recursive d as materialized (
             select doc_id, source, md5('0|' || coalesce(cast(doc_id as varchar), '')) place,
