@@ -13,9 +13,10 @@ Scoring is one narrow pass over the whole texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -193,22 +194,21 @@ def fit_on(sample: DataFrame) -> bytes:
     return bytes(sample.coalesce(1).mapInArrow(run, "model binary").first()[0])
 
 
-def scored(documents: DataFrame, model: bytes, column: str = "score") -> DataFrame:
-    """The rows with a double `column`, from their text alone; a null, empty or blank text gets the score of no features.
-
-    A column that has that name already is replaced.
-    """
-    spark: SparkSession = documents.sparkSession
+def score_of(spark: SparkSession, model: bytes) -> Callable[[Column], Column]:
+    """A function of a text column: its score, from the text alone. A null, empty or blank text gets the score of no features."""
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(column_of_texts):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    def score(column_of_texts: pd.Series) -> pd.Series:
         own = _loaded(sent.value)
         return pd.Series([own.score(t.encode("utf-8", "surrogatepass") if t else None) for t in column_of_texts], dtype="float64")
 
-    return documents.withColumn(column, score("text"))
+    return score
+
+
+def scored(documents: DataFrame, model: bytes, column: str = "score") -> DataFrame:
+    """The rows with a double `column`, from their text; a column that has that name already is replaced."""
+    return documents.withColumn(column, score_of(documents.sparkSession, model)("text"))
 
 
 _LOADED: dict[int, Model] = {}
