@@ -36,6 +36,15 @@ def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> list[int]:
+    """Where values are that stand in a sorted array."""
+    if not len(known):
+        return []
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return np.flatnonzero(known[at] == values).tolist()
+
+
 class Windows:
     """The windows of a block of items, found by one shingle each."""
 
@@ -87,10 +96,10 @@ class Windows:
         """Which words of a document are hit, and by which items."""
         hit = np.zeros(len(ids) + 1, np.int64)
         items: set[int] = set()
+        if not ids.any():
+            return hit[:-1] > 0, items
         keys = self.keys(ids)
-        places = [(p, int(keys[p])) for p in np.flatnonzero(np.isin(keys, self.long)).tolist()] if len(self.long) else []
-        if len(self.short):
-            places += [(p, -1 - int(ids[p])) for p in np.flatnonzero(np.isin(ids, self.short)).tolist()]
+        places = [(p, int(keys[p])) for p in _among(keys, self.long)] + [(p, -1 - int(ids[p])) for p in _among(ids, self.short)]
         for p, key in places:
             for k, offset in self.prefix[key]:
                 words = self.words[k]
