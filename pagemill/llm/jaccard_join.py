@@ -15,6 +15,7 @@ Sets of candidate groups are the only ones that move. Links are a spanning fores
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -203,17 +204,45 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(doc, pa.int64()), pa.array(tokens, pa.binary())], ["grp", "doc_id", "tokens"])
 
 
+_MATRIX = "grp long, docs array<long>, sizes array<int>, union binary, places binary"
+
+
+def _matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a group: its members, the union of their tokens, and each member's tokens as places in the union (steps, packed)."""
+    for rows in runs(batches, ["grp"]):
+        docs = rows.column("doc_id").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
+        order = np.lexsort(([len(x) for x in sets], docs)).tolist()
+        sets = [sets[i] for i in order]
+        union, places = np.unique(np.concatenate(sets), return_inverse=True)
+        sizes = np.array([len(x) for x in sets], np.int32)
+        steps = np.diff(places, prepend=0).astype(np.int32)
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        steps[starts] = places[starts]
+        packed = zlib.compress(steps.tobytes(), 1)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([rows.column("grp")[0].as_py()], pa.int64()), pa.array([docs[order]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([union.tobytes()], pa.binary()), pa.array([packed], pa.binary())],
+            [x.split()[0] for x in _MATRIX.split(", ")],
+        )
+
+
 class TokenGroup:
     """One group's column of the matrix: the union of its tokens, and behind it which members have them."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sizes = np.array([len(s) for s in sets], np.int64)
-        flat = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
-        order = np.argsort(flat, kind="stable")
-        flat, self.owner = flat[order], owner[order]
-        self.union, first = np.unique(flat, return_index=True)
-        self.first = np.r_[first, len(flat)]
+    def __init__(self, docs: list[int], sizes: list[int], union: bytes, places: bytes) -> None:
+        self.docs = np.array(docs, np.int64)
+        self.sizes = np.array(sizes, np.int64)
+        self.union = np.frombuffer(union, np.uint64)
+        steps = np.frombuffer(zlib.decompress(places), np.int32).astype(np.int64)
+        self.cuts = np.r_[0, np.cumsum(self.sizes)]
+        sums = np.cumsum(steps)
+        self.places = sums - np.repeat(np.r_[0, sums[self.cuts[1:-1] - 1]], self.sizes)
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.owner = owner[np.argsort(self.places, kind="stable")]
+        self.first = np.r_[0, np.cumsum(np.bincount(self.places, minlength=len(self.union)))]
+
+    def member(self, i: int) -> np.ndarray:
+        return self.union[self.places[self.cuts[i] : self.cuts[i + 1]]]
 
     def open(self, query: np.ndarray, least: int, percent: int) -> np.ndarray:
         """The members that a query links with; none without a look at them if the union holds too few of its tokens."""
@@ -229,33 +258,28 @@ class TokenGroup:
 
 
 def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the links between (and, for a pair's own sake, within) the groups of each pair."""
+    """A spanning forest of the links between the two groups of each pair, or within the one of a pair (g, g)."""
     for rows in runs(batches, ["g", "h"]):
-        docs = rows.column("doc_id").to_numpy()
-        side = rows.column("side").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
-        order = np.lexsort((docs, side))
-        docs, side, sets = docs[order], side[order], [sets[i] for i in order.tolist()]
-        forest, found = Forest(len(docs)), []
-        cut = int((side == 0).sum())
-        blocks = [(0, 0, cut)] if cut == len(docs) else [(0, cut, len(docs))]
-        for base, a, b in blocks:
-            group = TokenGroup(sets[base:cut])
-            for q in range(a, b):
-                if forest.sets == 1:
-                    break
-                for member in group.open(sets[q], needed(len(sets[q]), percent), percent).tolist():
-                    if forest.join(q, base + member):
-                        found.append((docs[q], docs[base + member]))
+        groups = [TokenGroup(r["docs"], r["sizes"], r["union"], r["places"]) for r in sorted(rows.to_pylist(), key=lambda r: r["side"])]
+        group, queries = groups[0], groups[-1]
+        base = 0 if len(groups) == 1 else len(group.docs)
+        forest, found = Forest(base + len(queries.docs)), []
+        for q in range(len(queries.docs)):
+            if forest.sets == 1:
+                break
+            tokens = queries.member(q)
+            for member in group.open(tokens, needed(len(tokens), percent), percent).tolist():
+                if forest.join(base + q, member):
+                    found.append((queries.docs[q], group.docs[member]))
         if found:
             x, y = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """The links of pairs (g, h) of groups; g = h: within the group."""
+def _verified(pairs: DataFrame, matrix: DataFrame, percent: int, tasks: int) -> DataFrame:
+    """The links of pairs (g, h) of groups; g = h: within the group. A pair is two rows of the matrix."""
     sides = pairs.select("g", "h", F.col("g").alias("grp"), F.lit(0).alias("side")).unionByName(pairs.where("g <> h").select("g", "h", F.col("h").alias("grp"), F.lit(1).alias("side")))
-    return sides.join(sets, "grp").repartition(tasks, "g", "h").sortWithinPartitions("g", "h").select("g", "h", "side", "doc_id", "tokens").mapInArrow(lambda b: _links(b, percent), "a long, b long")
+    return sides.join(matrix, "grp").repartition(tasks, "g", "h").sortWithinPartitions("g", "h").drop("grp").mapInArrow(lambda b: _links(b, percent), "a long, b long")
 
 
 def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
@@ -289,11 +313,12 @@ def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80
     open_groups = candidates.select(F.col("g").alias("grp")).union(candidates.select("h")).union(within.select("g")).distinct()
     wanted = classes.join(open_groups, "grp", "left_semi").select(F.col("rep").alias("doc_id"), "grp").distinct()
     read = documents.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id").select("grp", "doc_id", "text")
-    sets = scratch.put(read.mapInArrow(lambda b: _sets(b, size), "grp long, doc_id long, tokens binary"), "sets")
+    sets = read.mapInArrow(lambda b: _sets(b, size), "grp long, doc_id long, tokens binary")
+    matrix = scratch.put(sets.repartition(tasks, "grp").sortWithinPartitions("grp").mapInArrow(_matrix, _MATRIX), "matrix")
 
     # First each group by itself and with one neighbour: that joins the parts of a large group of near copies.
     first = within.unionByName(hub.select("g", F.col("x").alias("h")))
-    near = scratch.put(_verified(first, sets, percent, tasks), "near")
+    near = scratch.put(_verified(first, matrix, percent, tasks), "near")
     known = scratch.put(components(scratch, near, "near-parts"), "known") if near.take(1) else near.selectExpr("a as node", "b as component")
     # Then all other pairs but those whose documents are known to be of one component.
     inside = classes.join(known, classes["rep"] == known["node"], "left").groupBy("grp").agg(F.min(F.coalesce("component", "rep")).alias("low"), F.max(F.coalesce("component", "rep")).alias("high"))
@@ -301,9 +326,9 @@ def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80
     for side in ("g", "h"):
         rest = rest.join(inside.select(F.col("grp").alias(side), F.col("low").alias(f"low_{side}"), F.col("high").alias(f"high_{side}")), side)
     rest = rest.where("not (low_g = high_g and low_h = high_h and low_g = low_h)").select("g", "h")
-    far = _verified(rest, sets, percent, tasks)
+    far = _verified(rest, matrix, percent, tasks)
     links = scratch.put(near.unionByName(far), "links")
-    scratch.drop("sets", "candidates", "near")
+    scratch.drop("matrix", "candidates", "near")
     parts = scratch.put(components(scratch, links), "parts")
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = rows.where("n > 0 and doc_id is not null").join(named, ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
