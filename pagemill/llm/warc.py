@@ -1,7 +1,7 @@
 """WARC archives: writing and reading them, and the merged index of their captures.
 
 Pages are written as WARC/1.1 records by Spark's own text writer: a record's end is the line separator, so
-archives go to any file system Spark writes to and partial files of lost executors never appear. Each archive is sorted
+archives go to any file system Spark writes to, compressed as a whole, and partial files of lost executors never appear. Each archive is sorted
 by URL key and time: it is one run of captures. The index reads the runs back and merges them, k at a time, with a loser
 tree, into capture histories that are ordered over all partitions.
 
@@ -13,6 +13,7 @@ records, as they are read whole.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -72,7 +73,7 @@ def write_warc(pages: DataFrame, path: str, *, epoch: str = "2024-01-01 00:00:00
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     )
     run = rows.withColumn("key", url_key(F.col("url"))).sortWithinPartitions("key", "captured", "page_id")
-    run.select(F.concat(head, F.lit("\r\n\r\n"), block).alias("value")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", records).text(path)
+    run.select(F.concat(head, F.lit("\r\n\r\n"), block).alias("value")).write.options(lineSep=END.decode(), maxRecordsPerFile=records, compression="gzip").text(path)
 
 
 def records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -101,6 +102,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
             rows = []
+            raw = gzip.decompress(raw) if raw.startswith(b"\x1f\x8b") else raw
             for at, h, block in records(raw):
                 head, _, payload = block.partition(END)
                 digest = h["warc-payload-digest"].removeprefix("sha256:")
@@ -117,7 +119,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_warc(spark, path: str) -> DataFrame:  # noqa: ANN001
-    """A row for each record of the archives under a path: run (its archive), at (byte), url_key, captured, page_id, url, record_type, payload_bytes, payload_digest, refers_to.
+    """A row for each record of the archives under a path: run (its archive), at (byte of the archive as it is before compression), url_key, captured, page_id, url, record_type, payload_bytes, payload_digest, refers_to.
 
     Payloads of responses are hashed again and held against their header.
     """
