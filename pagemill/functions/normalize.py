@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import collapse, or_null
+from .text import collapse, let, or_null
 from .urls import join_url
 
 #: Number, currency, e-mail and boolean spellings, and longest plausible values by type.
@@ -33,8 +33,7 @@ def integer(text: Column) -> Column:
 
 def currency(text: Column) -> Column:
     """The number with its symbol, or else the whole text."""
-    clean = collapse(text)
-    return F.coalesce(or_null(F.trim(F.regexp_extract(clean, CURRENCY, 0))), or_null(clean))
+    return let(collapse(text), lambda clean: F.coalesce(or_null(F.trim(F.regexp_extract(clean, CURRENCY, 0))), or_null(clean)))
 
 
 def email(text: Column) -> Column:
@@ -42,13 +41,11 @@ def email(text: Column) -> Column:
 
 
 def phone(text: Column) -> Column:
-    digits = F.regexp_replace(text, r"\D", "")
-    return F.when(F.length(digits).between(7, 15), digits)
+    return let(F.regexp_replace(text, r"\D", ""), lambda digits: F.when(F.length(digits).between(7, 15), digits))
 
 
 def boolean(text: Column) -> Column:
-    low = F.lower(collapse(text))
-    return F.when(low.isin(TRUE), True).when(low.isin(FALSE), False)
+    return let(F.lower(collapse(text)), lambda low: F.when(low.isin(TRUE), True).when(low.isin(FALSE), False))
 
 
 def list_string(text: Column) -> Column:
@@ -56,8 +53,7 @@ def list_string(text: Column) -> Column:
 
 
 def url(text: Column, base: Column) -> Column:
-    out = join_url(base, collapse(text))
-    return F.when(out.rlike("^(?i)https?:"), out)
+    return let(join_url(base, collapse(text)), lambda out: F.when(out.rlike("^(?i)https?:"), out))
 
 
 def _iso(year: Column, month: Column, day: Column) -> Column:
@@ -66,7 +62,10 @@ def _iso(year: Column, month: Column, day: Column) -> Column:
 
 def common_date(text: Column) -> Column:
     """An ISO date of the customary ways to write one in full; null for all others."""
-    clean = collapse(text)
+    return let(collapse(text), _common_date)
+
+
+def _common_date(clean: Column) -> Column:
     names = F.create_map(*(x for name, i in MONTHS.items() for x in (F.lit(name), F.lit(str(i)))))
     month = lambda pattern, g: F.element_at(names, F.lower(F.substring(F.regexp_extract(clean, pattern, g), 1, 3)))
     one = lambda pattern, g: or_null(F.regexp_extract(clean, pattern, g))
@@ -103,7 +102,12 @@ def date(text: Column) -> Column:
 
 def normalize(text: Column, kind: str, base: Column | None = None, *, fuzzy_dates: bool = False) -> Column:
     """A value as a string, normalised by its type; null if it is none. Lists are joined with "; "."""
-    clean = collapse(text)
+    if kind == "date" and fuzzy_dates:  # a UDF has no place in a lambda
+        return date(text)
+    return let(collapse(text), lambda clean: or_null(_by_type(clean, kind, base)))
+
+
+def _by_type(clean: Column, kind: str, base: Column | None) -> Column:
     by_type: dict[str, Callable[[], Column]] = {
         "string": lambda: clean,
         "number": lambda: number(clean).cast("string"),
@@ -112,11 +116,11 @@ def normalize(text: Column, kind: str, base: Column | None = None, *, fuzzy_date
         "url": lambda: url(clean, F.lit("") if base is None else base),
         "email": lambda: email(clean),
         "phone": lambda: phone(clean),
-        "date": lambda: date(clean) if fuzzy_dates else common_date(clean),
+        "date": lambda: common_date(clean),
         "boolean": lambda: boolean(clean).cast("string"),
         "list_string": lambda: F.array_join(list_string(clean), "; "),
     }
-    return or_null(by_type[kind]())
+    return by_type[kind]()
 
 
 def present(value: Column) -> Column:

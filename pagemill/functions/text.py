@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +15,13 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, not wherever body or a lambda within it names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def or_null(text: Column) -> Column:
-    return F.when(text != "", text)
+    return let(text, lambda t: F.when(t != "", t))
 
 
 def field_term(name: str) -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 #: Query parameters that only track.
 TRACKING = ["utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "gclid", "fbclid", "yclid", "mc_cid", "mc_eid", "ref", "ref_src", "_hsenc", "_hsmi"]
 #: Suffixes of two labels under which names are registered. A fuller list can be given.
@@ -75,7 +77,10 @@ def _without_dots(path: Column) -> Column:
 
 def join_url(base: Column, href: Column) -> Column:
     """href resolved against an absolute base."""
-    ref = F.trim(href)
+    return let(F.trim(href), lambda ref: let(base, lambda b: _joined(b, ref)))
+
+
+def _joined(base: Column, ref: Column) -> Column:
     root = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([^:/?#]+):", 1)
     path = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)

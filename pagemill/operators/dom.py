@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.functions.text import collapse
+from pagemill.functions.text import collapse, let
 
 #: Fixed values of HTML: elements without content, and which open elements a start tag ends.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -158,8 +158,8 @@ def inside(n: Column, outer: Column) -> Column:
 
 def text_of(nodes: Column, n: Column, separator: str = "") -> Column:
     """The visible text of a node, white space collapsed. The text nodes are joined by the separator."""
-    own = F.filter(nodes, lambda m: (m["tag"] == "#text") & (m["nid"] >= n["nid"]) & (m["nid"] <= n["last"]))
-    return collapse(F.array_join(F.transform(own, lambda m: m["text"]), separator))
+    own = lambda v: F.filter(nodes, lambda m: (m["tag"] == "#text") & (m["nid"] >= v["nid"]) & (m["nid"] <= v["last"]))
+    return let(n, lambda v: collapse(F.array_join(F.transform(own(v), lambda m: m["text"]), separator)))
 
 
 def attribute(n: Column, name: str) -> Column:

@@ -57,8 +57,7 @@ def _hrefs(nodes: Column) -> Column:
 
 def links(nodes: Column, base: Column) -> Column:
     """Links of the content, not of navigation; at most 20."""
-    navs = dom.with_tag(nodes, *NAV)
-    content = F.filter(_hrefs(nodes), lambda n: ~F.exists(navs, lambda a: dom.inside(n, a)))
+    content = dom.let(dom.with_tag(nodes, *NAV), lambda navs: F.filter(_hrefs(nodes), lambda n: ~F.exists(navs, lambda a: dom.inside(n, a))))
     return F.transform(F.slice(content, 1, 20), lambda n: F.struct(_cut(dom.text_of(nodes, n), 120).alias("text"), join_url(base, dom.attribute(n, "href")).alias("href")))
 
 
@@ -86,8 +85,8 @@ def list_pairs(nodes: Column) -> Column:
 
     def of(dl: Column) -> Column:
         own = F.filter(nodes, lambda n: dom.inside(n, dl))
-        dt, dd = dom.with_tag(own, "dt"), dom.with_tag(own, "dd")
-        return F.transform(F.slice(dt, F.lit(1), F.least(F.size(dt), F.size(dd))), lambda n, i: _pair(text(n, 120), text(F.get(dd, i), 300)))
+        dt = dom.with_tag(own, "dt")
+        return dom.let(dom.with_tag(own, "dd"), lambda dd: F.transform(F.slice(dt, F.lit(1), F.least(F.size(dt), F.size(dd))), lambda n, i: _pair(text(n, 120), text(F.get(dd, i), 300))))
 
     return _full(F.flatten(F.transform(dom.with_tag(nodes, "dl"), of)))
 
@@ -113,8 +112,7 @@ def label_pairs(nodes: Column) -> Column:
 
 def key_values(nodes: Column) -> Column:
     """Pairs of lists, then of rows, then (where those are under 30) of labels; the first of each label; at most 40."""
-    plain = F.concat(list_pairs(nodes), row_pairs(nodes))
-    every = F.when(F.size(plain) < 30, F.concat(plain, label_pairs(nodes))).otherwise(plain)
+    every = dom.let(F.concat(list_pairs(nodes), row_pairs(nodes)), lambda plain: F.when(F.size(plain) < 30, F.concat(plain, label_pairs(nodes))).otherwise(plain))
     return F.slice(_distinct_by(every, lambda p: F.lower(p["label"])), 1, 40)
 
 
@@ -124,9 +122,8 @@ def text_blocks(nodes: Column) -> Column:
 
 
 def visible_text(nodes: Column) -> Column:
-    body = dom.first(dom.with_tag(nodes, "body"))
     whole = F.array_join(F.transform(F.filter(nodes, lambda n: n["tag"] == "#text"), lambda n: n["text"]), "")
-    return F.when(body.isNotNull(), dom.text_of(nodes, body)).otherwise(collapse(whole))
+    return dom.let(dom.first(dom.with_tag(nodes, "body")), lambda body: F.when(body.isNotNull(), dom.text_of(nodes, body)).otherwise(collapse(whole)))
 
 
 def tables(nodes: Column) -> Column:
@@ -189,7 +186,10 @@ def analyze(pages: DataFrame) -> DataFrame:
 
 def facts(nodes: Column, base: Column, embedded: Column) -> Column:
     """The facts bundle of a page: what it says, without its markup."""
-    every = anchors(nodes, base)
+    return dom.let(anchors(nodes, base), lambda every: _bundle(nodes, base, embedded, every))
+
+
+def _bundle(nodes: Column, base: Column, embedded: Column, every: Column) -> Column:
     return F.struct(
         base.alias("url"), title(nodes).alias("title"), meta_description(nodes).alias("meta_description"), _cut(F.to_json(embedded), 6000).alias("structured_data_compact"),
         every.alias("anchors"), key_values(nodes).alias("key_value_pairs"), text_blocks(nodes).alias("text_blocks"), distinct_headings(nodes).alias("headings"), calendar_urls(every).alias("calendar_urls"),

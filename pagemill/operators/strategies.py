@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from pagemill.functions.embedded import items_of
 from pagemill.functions.normalize import normalize
-from pagemill.functions.text import field_term, key_variants, or_null
+from pagemill.functions.text import field_term, key_variants, let, or_null
 from pagemill.functions.urls import join_url
 from pagemill.plans.model import MOST_PATTERNS, MOST_RECORDS, FieldSelector, Intent, Plan
 
@@ -57,14 +57,18 @@ def _field(nodes: Column, s: FieldSelector | None, kind: str, base: Column) -> C
 
 
 def _rows(rows: DataFrame, values: dict[str, Column], most: int) -> DataFrame:
-    """Records of rows (page_id, row_idx) from the columns of their fields; row_idx counts what is left."""
-    names = list(values)
-    held = rows.select("page_id", "row_idx", F.struct(*(c.cast("string").alias(n) for n, c in values.items())).alias("v"))
-    pairs = F.array(*(F.struct(F.lit(n).alias("key"), F.col(f"v.{n}").alias("value")) for n in names))
-    there = F.filter(pairs, lambda p: F.coalesce(p["value"], F.lit("")) != "")
-    gone = F.filter(pairs, lambda p: F.coalesce(p["value"], F.lit("")) == "")
-    out = held.select("page_id", "row_idx", F.map_from_entries(there).alias("record"), F.transform(there, lambda p: p["key"]).alias("hits"), F.transform(gone, lambda p: p["key"]).alias("misses"))
-    return out.where((F.size("record") > 0) & (F.col("row_idx") < most))
+    """Records of rows (page_id, row_idx) from the columns of their fields. Those without a value go where they are made: a filter behind would have all of it worked out twice."""
+    pairs = F.array(*(F.struct(F.lit(n).alias("key"), c.cast("string").alias("value")) for n, c in values.items()))
+    there = lambda p: F.coalesce(p["value"], F.lit("")) != ""
+
+    def record(ps: Column) -> Column:
+        own = F.filter(ps, there)
+        gone = F.filter(ps, lambda p: ~there(p))
+        return F.struct(F.map_from_entries(own).alias("record"), F.transform(own, lambda p: p["key"]).alias("hits"), F.transform(gone, lambda p: p["key"]).alias("misses"))
+
+    full = F.filter(F.array(let(pairs, record)), lambda r: F.size(r["record"]) > 0)
+    out = rows.select("page_id", "row_idx", F.explode(full).alias("r"))
+    return out.select("page_id", "row_idx", "r.record", "r.hits", "r.misses").where(F.col("row_idx") < most)
 
 
 @strategy("single_dom_selector")
@@ -96,10 +100,9 @@ def repeated(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataFra
 def table(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataFrame:
     """Rows of the first table that the selector yields. A header is a field's by its name, else if either holds the other; empty headers are no one's."""
     nodes = F.col("nodes")
-    rows = pages.select("page_id", "url", "nodes", css.select_first(nodes, plan.table or plan.container or "table").alias("t")).where("t is not null")
-    trs = F.filter(nodes, lambda n: (n["tag"] == "tr") & dom.inside(n, F.col("t")))
-    cells = F.transform(trs, lambda tr: F.transform(F.filter(nodes, lambda n: n["tag"].isin("td", "th") & dom.inside(n, tr)), lambda c: F.struct(c["tag"].alias("tag"), dom.text_of(nodes, c).alias("text"))))
-    rows = rows.select("page_id", "url", F.filter(cells, lambda r: F.size(r) > 0).alias("cells")).where("size(cells) > 0")
+    row = lambda tr: F.transform(F.filter(nodes, lambda n: n["tag"].isin("td", "th") & dom.inside(n, tr)), lambda c: F.struct(c["tag"].alias("tag"), dom.text_of(nodes, c).alias("text")))
+    cells = dom.let(css.select_first(nodes, plan.table or plan.container or "table"), lambda t: F.transform(F.filter(nodes, lambda n: (n["tag"] == "tr") & dom.inside(n, t)), row))
+    rows = pages.select("page_id", "url", F.filter(cells, lambda r: F.size(r) > 0).alias("cells")).where("size(cells) > 0")
     head = F.transform(F.get("cells", F.lit(0)), lambda c: F.lower(c["text"]))
     has_th = F.exists(F.get("cells", F.lit(0)), lambda c: c["tag"] == "th")
     body = F.when(has_th, F.slice("cells", F.lit(2), F.size("cells"))).otherwise(F.col("cells"))
@@ -118,9 +121,10 @@ def table(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataFrame:
 def article(nodes: Column) -> dict[str, Column]:
     """title, author, date, description and text of an article: its heading, its metadata, and the paragraphs of <article> (else <main>, <body>) outside navigation and ads."""
     name = lambda *keys: dom.attribute(dom.first(F.filter(nodes, lambda n: (n["tag"] == "meta") & F.coalesce(F.element_at(n["attrs"], F.lit("name")), F.element_at(n["attrs"], F.lit("property")), F.lit("")).isin(*keys))), "content")
-    root = F.coalesce(*(dom.first(dom.with_tag(nodes, t)) for t in ("article", "main", "body")))
     out = F.filter(nodes, lambda n: n["tag"].isin(*NAV) | F.array_contains(F.split(F.coalesce(F.element_at(n["attrs"], F.lit("class")), F.lit("")), r"\s+"), "ad"))
-    kept = F.filter(nodes, lambda n: (n["tag"] == "p") & dom.inside(n, root) & ~F.exists(out, lambda o: dom.inside(n, o)))
+    within = lambda around, root: F.filter(nodes, lambda n: (n["tag"] == "p") & dom.inside(n, root) & ~F.exists(around, lambda o: dom.inside(n, o)))
+    root = F.coalesce(*(dom.first(dom.with_tag(nodes, t)) for t in ("article", "main", "body")))
+    kept = dom.let(root, lambda r: dom.let(out, lambda around: within(around, r)))
     text = F.array_join(F.filter(F.transform(kept, lambda n: dom.text_of(nodes, n)), lambda t: t != ""), "\n")
     when = F.coalesce(name("article:published_time", "date"), dom.attribute(dom.first(dom.with_tag(nodes, "time")), "datetime"))
     return {

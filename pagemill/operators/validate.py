@@ -24,7 +24,7 @@ def count_score(n: Column, containers: Column, expected: str) -> Column:
     return F.when(ratio <= 1, ratio).otherwise(F.greatest(F.lit(0.5), 1 - 0.5 * (ratio - 1)))
 
 
-def validate(jobs: DataFrame, records: DataFrame, intent: Intent) -> DataFrame:
+def validate(jobs: DataFrame, records: DataFrame, intent: Intent, digits: int = 4) -> DataFrame:
     """A report for each row of `jobs` (job_id, containers: how many records the page seems to hold, or null) from `records` (job_id, record).
 
     Columns: n_records, record_count_score, field_coverage_score, type_validity_score, duplication_score, overall_score,
@@ -68,8 +68,8 @@ def validate(jobs: DataFrame, records: DataFrame, intent: Intent) -> DataFrame:
     hint = hint.when(F.col("dup_s") < 0.7, "many records are duplicates").when(F.col("type_s") < 0.6, F.concat(F.lit("values of field "), worst, F.lit(" are not of its type")))
     pairs = lambda own, count, least: F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(f.name).alias("k"), count(f).alias("v")) for f in own)), lambda e: e["v"] >= least))
     return rows.select(
-        "job_id", n.alias("n_records"), F.bround("count_s", 4).alias("record_count_score"), F.bround("cover_s", 4).alias("field_coverage_score"), F.bround("type_s", 4).alias("type_validity_score"),
-        F.bround("dup_s", 4).alias("duplication_score"), F.bround("score", 4).alias("overall_score"), (n - F.col("keys")).alias("duplicate_count"),
+        "job_id", n.alias("n_records"), F.bround("count_s", digits).alias("record_count_score"), F.bround("cover_s", digits).alias("field_coverage_score"), F.bround("type_s", digits).alias("type_validity_score"),
+        F.bround("dup_s", digits).alias("duplication_score"), F.bround("score", digits).alias("overall_score"), (n - F.col("keys")).alias("duplicate_count"),
         pairs(fields, lambda f: F.when(some, n - p(f)).otherwise(F.lit(0).cast("long")), 1).alias("missing"), pairs(fields, lambda f: p(f) - o(f), 1).alias("invalid"),
         good.alias("is_good_enough"), repair.alias("needs_repair"), hint.alias("repair_hint"),
     )
