@@ -29,7 +29,7 @@ from ._util import ASCII_LOWER, Forest, Scratch, WordHashes, components, mixed,
 #: Buckets of the two count sketches (tokens, min-hashes); 4 bytes each, whatever the input.
 SKETCH_BITS = 20
 #: Documents that a group holds, about.
-GROUP_ROWS = 256
+GROUP_ROWS = 2_048
 #: Prefix tokens beyond the first that two similar documents must share; prefixes are longer by as many.
 MORE = 5
 #: Min-hashes from which a document's group is chosen.
@@ -194,21 +194,24 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
     words, seen = WordHashes(), set()
     for batch in batches:
         rows = []
-        for grp, doc, text in zip(batch.column("grp").to_pylist(), batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True):
+        for grp, crossed, doc, text in zip(*(batch.column(c).to_pylist() for c in ("grp", "crossed", "doc_id")), texts(batch.column("text")), strict=True):
             tokens = shingles(text, size, words).tobytes()
             if tokens and (key := (grp, doc, xxhash.xxh3_64_intdigest(tokens))) not in seen:  # repeated rows come to one task, by doc_id
                 seen.add(key)
-                rows.append((grp, doc, tokens))
+                rows.append((grp, crossed, doc, tokens))
         if rows:
-            grp, doc, tokens = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(doc, pa.int64()), pa.array(tokens, pa.binary())], ["grp", "doc_id", "tokens"])
+            grp, crossed, doc, tokens = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int64()), pa.array(crossed, pa.bool_()), pa.array(doc, pa.int64()), pa.array(tokens, pa.binary())], ["grp", "crossed", "doc_id", "tokens"])
 
 
-_MATRIX = "grp long, docs array<long>, sizes array<int>, union binary, places binary"
+_MATRIX = "grp long, docs array<long>, sizes array<int>, union binary, places binary, a array<long>, b array<long>"
 
 
-def _matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a group: its members, the union of their tokens, and each member's tokens as places in the union (steps, packed)."""
+def _matrix(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """One row a group: its members, the union of their tokens, each member's tokens as places in the union (steps, packed), and the links within.
+
+    Groups that are held against no other one leave out all but the links.
+    """
     for rows in runs(batches, ["grp"]):
         docs = rows.column("doc_id").to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in rows.column("tokens").to_pylist()]
@@ -219,21 +222,22 @@ def _matrix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         steps = np.diff(places, prepend=0).astype(np.int32)
         starts = np.r_[0, np.cumsum(sizes)[:-1]]
         steps[starts] = places[starts]
-        packed = zlib.compress(steps.tobytes(), 1)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([rows.column("grp")[0].as_py()], pa.int64()), pa.array([docs[order]], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([union.tobytes()], pa.binary()), pa.array([packed], pa.binary())],
-            [x.split()[0] for x in _MATRIX.split(", ")],
-        )
+        group = TokenGroup(docs[order], sizes, union.tobytes(), steps.tobytes())
+        links = _between(group, group, percent)
+        kept = [docs[order], sizes, union.tobytes(), zlib.compress(steps.tobytes(), 1)] if rows.column("crossed")[0].as_py() else [None] * 4
+        values = [rows.column("grp")[0].as_py(), *kept, [x for x, _ in links], [y for _, y in links]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [x.split()[0] for x in _MATRIX.split(", ")])
 
 
 class TokenGroup:
     """One group's column of the matrix: the union of its tokens, and behind it which members have them."""
 
-    def __init__(self, docs: list[int], sizes: list[int], union: bytes, places: bytes) -> None:
+    def __init__(self, docs: list[int], sizes: list[int], union: bytes, steps: bytes) -> None:
         self.docs = np.array(docs, np.int64)
         self.sizes = np.array(sizes, np.int64)
         self.union = np.frombuffer(union, np.uint64)
-        steps = np.frombuffer(zlib.decompress(places), np.int32).astype(np.int64)
+        steps = np.frombuffer(steps, np.int32).astype(np.int64)
         self.cuts = np.r_[0, np.cumsum(self.sizes)]
         sums = np.cumsum(steps)
         self.places = sums - np.repeat(np.r_[0, sums[self.cuts[1:-1] - 1]], self.sizes)
@@ -257,29 +261,33 @@ class TokenGroup:
         return np.flatnonzero(100 * both >= percent * (len(query) + self.sizes - both))
 
 
+def _between(group: TokenGroup, queries: TokenGroup, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between a group and the members of another, or of itself."""
+    base = 0 if queries is group else len(group.docs)
+    forest, found = Forest(base + len(queries.docs)), []
+    for q in range(len(queries.docs)):
+        if forest.sets == 1:
+            break
+        tokens = queries.member(q)
+        for member in group.open(tokens, needed(len(tokens), percent), percent).tolist():
+            if forest.join(base + q, member):
+                found.append((int(queries.docs[q]), int(group.docs[member])))
+    return found
+
+
 def _links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the links between the two groups of each pair, or within the one of a pair (g, g)."""
     for rows in runs(batches, ["g", "h"]):
-        groups = [TokenGroup(r["docs"], r["sizes"], r["union"], r["places"]) for r in sorted(rows.to_pylist(), key=lambda r: r["side"])]
-        group, queries = groups[0], groups[-1]
-        base = 0 if len(groups) == 1 else len(group.docs)
-        forest, found = Forest(base + len(queries.docs)), []
-        for q in range(len(queries.docs)):
-            if forest.sets == 1:
-                break
-            tokens = queries.member(q)
-            for member in group.open(tokens, needed(len(tokens), percent), percent).tolist():
-                if forest.join(base + q, member):
-                    found.append((queries.docs[q], group.docs[member]))
-        if found:
+        group, queries = (TokenGroup(r["docs"], r["sizes"], r["union"], zlib.decompress(r["places"])) for r in sorted(rows.to_pylist(), key=lambda r: r["side"]))
+        if found := _between(group, queries, percent):
             x, y = zip(*found, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
 
 def _verified(pairs: DataFrame, matrix: DataFrame, percent: int, tasks: int) -> DataFrame:
-    """The links of pairs (g, h) of groups; g = h: within the group. A pair is two rows of the matrix."""
-    sides = pairs.select("g", "h", F.col("g").alias("grp"), F.lit(0).alias("side")).unionByName(pairs.where("g <> h").select("g", "h", F.col("h").alias("grp"), F.lit(1).alias("side")))
-    return sides.join(matrix, "grp").repartition(tasks, "g", "h").sortWithinPartitions("g", "h").drop("grp").mapInArrow(lambda b: _links(b, percent), "a long, b long")
+    """The links of pairs (g, h) of different groups. A pair is two rows of the matrix."""
+    sides = pairs.select("g", "h", F.col("g").alias("grp"), F.lit(0).alias("side")).unionByName(pairs.select("g", "h", F.col("h").alias("grp"), F.lit(1).alias("side")))
+    rows = sides.join(matrix.select("grp", "docs", "sizes", "union", "places"), "grp")
+    return rows.repartition(tasks, "g", "h").sortWithinPartitions("g", "h").drop("grp").mapInArrow(lambda b: _links(b, percent), "a long, b long")
 
 
 def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
@@ -309,16 +317,18 @@ def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80
     fits = f"100 * most_g >= {percent} * least_h and 100 * most_h >= {percent} * least_g"
     candidates = scratch.put(shared.where(fits).select("g", "h"), "candidates")
     hub = candidates.groupBy(F.col("h").alias("x")).agg(F.min("g").alias("g"))
-    within = classes.groupBy("grp").count().where("count > 1").select(F.col("grp").alias("g"), F.col("grp").alias("h"))
-    open_groups = candidates.select(F.col("g").alias("grp")).union(candidates.select("h")).union(within.select("g")).distinct()
-    wanted = classes.join(open_groups, "grp", "left_semi").select(F.col("rep").alias("doc_id"), "grp").distinct()
-    read = documents.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id").select("grp", "doc_id", "text")
-    sets = read.mapInArrow(lambda b: _sets(b, size), "grp long, doc_id long, tokens binary")
-    matrix = scratch.put(sets.repartition(tasks, "grp").sortWithinPartitions("grp").mapInArrow(_matrix, _MATRIX), "matrix")
-
-    # First each group by itself and with one neighbour: that joins the parts of a large group of near copies.
-    first = within.unionByName(hub.select("g", F.col("x").alias("h")))
-    near = scratch.put(_verified(first, matrix, percent, tasks), "near")
+    crossed = candidates.select(F.col("g").alias("grp")).union(candidates.select("h")).distinct().withColumn("crossed", F.lit(True))
+    within = classes.groupBy("grp").count().where("count > 1").select("grp")
+    open_groups = crossed.join(within, "grp", "full_outer").select("grp", F.coalesce("crossed", F.lit(False)).alias("crossed"))
+    wanted = classes.join(open_groups, "grp").select(F.col("rep").alias("doc_id"), "grp", "crossed").distinct()
+    read = documents.where("doc_id is not null").select("doc_id", "text").join(wanted, "doc_id").select("grp", "crossed", "doc_id", "text")
+    sets = read.mapInArrow(lambda b: _sets(b, size), "grp long, crossed boolean, doc_id long, tokens binary")
+    matrix = scratch.put(sets.repartition(tasks, "grp").sortWithinPartitions("grp").mapInArrow(lambda b: _matrix(b, percent), _MATRIX), "matrix")
+
+    # The links within groups are there; each group with one neighbour joins the parts of a large group of near copies.
+    first = hub.select("g", F.col("x").alias("h"))
+    inner = matrix.select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b")
+    near = scratch.put(inner.unionByName(_verified(first, matrix, percent, tasks)), "near")
     known = scratch.put(components(scratch, near, "near-parts"), "known") if near.take(1) else near.selectExpr("a as node", "b as component")
     # Then all other pairs but those whose documents are known to be of one component.
     inside = classes.join(known, classes["rep"] == known["node"], "left").groupBy("grp").agg(F.min(F.coalesce("component", "rep")).alias("low"), F.max(F.coalesce("component", "rep")).alias("high"))
