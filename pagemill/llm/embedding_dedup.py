@@ -128,10 +128,10 @@ def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
             counts[a : a + TILE] = near @ copies[other]
             for i in np.flatnonzero(near.any(axis=1)).tolist():
                 me, linked = mine[a + i], theirs[near[i]]
-                for root in np.unique(label[linked]).tolist():
-                    if root != label[me]:
-                        edges.append((ids[me], ids[linked[label[linked] == root][0]]))
-                        low, high = sorted((root, label[me]))
+                for other_one in linked[np.unique(label[linked], return_index=True)[1]].tolist():
+                    if label[other_one] != label[me]:
+                        edges.append((ids[me], ids[other_one]))
+                        low, high = sorted((label[other_one], label[me]))
                         label[label == high] = low
         keep = np.flatnonzero(counts)
         a = np.r_[rep[own][keep], np.array([e[0] for e in edges], np.int64)]
