@@ -1,6 +1,6 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Documents become sets of word shingles. Similar documents are put into groups (by the most popular of a
+Documents become sets of word shingles. Similar documents are put into groups (by a popular one of a
 few min-hashes), every group has the union of its tokens, and a document is compared with the members of a
 group only if its overlap with that union reaches what a member would need. Which groups a document is
 held against at all comes from the matrix of necessary prefix tokens and groups, and from the sizes of sets. The join is
@@ -29,11 +29,12 @@ from ._util import ASCII_LOWER, Forest, Scratch, WordHashes, components, mixed,
 #: Buckets of the two count sketches (tokens, min-hashes); 4 bytes each, whatever the input.
 SKETCH_BITS = 20
 #: Documents that a group holds, about.
-GROUP_ROWS = 2_048
+GROUP_ROWS = 1_024
 #: Prefix tokens beyond the first that two similar documents must share; prefixes are longer by as many.
 MORE = 5
-#: Min-hashes from which a document's group is chosen.
-MIN_HASHES = 4
+#: Min-hashes from which a document's group is chosen: by the one that is third in popularity, which unrelated
+#: documents with a passage in common seldom share, and members of a large group of near copies nearly always do.
+MIN_HASHES, CHOSEN = 8, 3
 _MULTIPLIERS = (np.arange(1, MIN_HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _TOP = np.uint64(64 - SKETCH_BITS)
 _LOW = (np.uint64(1) << _TOP) - np.uint64(1)
@@ -130,7 +131,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], sketches: Callable[[], np.ndarra
             s1, s2 = (x - (1 << 63) for x in (digest >> 64, digest & (1 << 64) - 1))
             keys = min_hashes(tokens)
             popular = by_key[(keys >> _TOP).astype(np.int64)]
-            best = int(popular.argmax())
+            best = int(np.argsort(popular, kind="stable")[-CHOSEN])
             grp = int(mixed(keys[best : best + 1] + np.uint64(digest % (int(popular[best]) // GROUP_ROWS + 1)))[0]) - (1 << 63)
             rows.append((doc, n, s1, s2, grp))
             # A set so small that every other set falls below the threshold has copies only.

@@ -52,7 +52,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    return cross_entropy_difference(documents, documents.join(good, "doc_id", "left_semi"), documents)
+    target = Scratch(spark, "lm-target").put(documents.join(good, "doc_id", "left_semi"), "documents", compression="zstd")  # read twice
+    return cross_entropy_difference(documents, target, documents)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
