@@ -110,7 +110,8 @@ def glob_regex(pattern: Column) -> Column:
     """A glob (*, ?, [...]) as a regular expression for a whole string; * crosses slashes."""
     out = F.regexp_replace(pattern, r"([.+^${}()|\\])", r"\\$1")
     out = F.regexp_replace(F.regexp_replace(out, r"\[!", "[^"), r"\*", ".*")
-    return F.concat(F.lit("(?s)^"), F.regexp_replace(out, r"\?", "."), F.lit("$"))
+    out = F.regexp_replace(out, r"\?(?![^\[]*\])", ".")  # within brackets it is itself
+    return F.concat(F.lit("(?s)^"), out, F.lit("$"))
 
 
 def path_of(url: Column) -> Column:

@@ -39,23 +39,24 @@ def validate(jobs: DataFrame, records: DataFrame, intent: Intent, digits: int =
     )
     rows = jobs.join(sums, "job_id", "left").fillna(0, ["n", "keys", *(f"{a}_{f.name}" for a in "po" for f in fields)])
     n, some = F.col("n"), F.col("n") > 0
+    least = F.greatest(n, F.lit(1))  # what is divided by: an engine may work out branches that it does not take
     p, o = (lambda f, a=a: F.col(f"{a}_{f.name}") for a in "po")
     required, optional = [f for f in fields if f.required], [f for f in fields if not f.required]
 
     def coverage(own: list) -> Column:  # noqa: ANN001
-        return sum((p(f) / n for f in own), F.lit(0.0)) / len(own) if own else F.lit(1.0)
+        return sum((p(f) / least for f in own), F.lit(0.0)) / len(own) if own else F.lit(1.0)
 
     shown, right = sum((p(f) for f in fields), F.lit(0)), sum((o(f) for f in fields), F.lit(0))
     rows = rows.withColumns(
         {
             "count_s": F.when(some, count_score(n, F.coalesce("containers", F.greatest(n, F.lit(1))), intent.expected)).otherwise(0.0),
             "cover_s": F.when(some, 0.7 * coverage(required) + 0.3 * coverage(optional)).otherwise(F.lit(0.0 if required else 1.0)),
-            "type_s": F.when(some & (shown > 0), right / shown).otherwise(1.0),
-            "dup_s": F.when(some, 1 - (n - F.col("keys")) / n).otherwise(1.0),
+            "type_s": F.when(some & (shown > 0), right / F.greatest(shown, F.lit(1))).otherwise(1.0),
+            "dup_s": F.when(some, 1 - (n - F.col("keys")) / least).otherwise(1.0),
         }
     )
     rows = rows.withColumn("score", 0.20 * F.col("count_s") + 0.45 * F.col("cover_s") + 0.25 * F.col("type_s") + 0.10 * F.col("dup_s"))
-    lacks = lambda f, share: some & ((n - p(f)) / n > share)
+    lacks = lambda f, share: some & ((n - p(f)) / least > share)
     half = _any(lacks(f, 0.5) for f in required)
     third = _any(lacks(f, 0.3) for f in required)
     none = F.lit(intent.expected == "array") & ~some
