@@ -1,11 +1,11 @@
 """License scans by canonical digest lookup, in DataFrame functions alone.
 
-A text is put in a canonical form (ASCII case, copyright lines, equivalent spellings, punctuation and white space made
+A text is put in a canonical form (case, copyright lines, equivalent spellings, punctuation and white space made
 alike) and its SHA-256 is hash-joined to the digests of known licences: entire texts match entire texts. The
 same lookup is made for each entire line of a text, for notices within documents.
 
-Scale: the whole-text lookup is narrow. Lines are exploded, and only those that match survive the join, before anything is
-grouped. The known table is joined without a hint: Spark broadcasts it if its size is below its threshold.
+Scale: texts are read and put in form once, and only digests are staged. Lines are exploded, and only those that match
+survive the join, before anything is grouped. The known table is joined without a hint: Spark broadcasts it if its size is below its threshold.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._util import Scratch
 from .licence_texts import LICENCES
 
 #: Spellings that count as equal, applied in this order to lower-cased text.
@@ -30,22 +31,22 @@ EQUIVALENT = [
 ]
 #: Lines that only say whose copyright it is.
 COPYRIGHT_LINE = "(^|\\n)[ \\t]*(copyright|\\(c\\)|all rights reserved)[^\\n]*"
-#: Everything that counts as a space: ASCII but letters and digits, and customary quotation marks, dashes, bullets and the no-break space.
-PUNCTUATION = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F\u00a0\u2013\u2014\u2018\u2019\u201c\u201d\u2022\u2026]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Everything that counts as a space, but for line ends: ASCII but letters and digits, and customary quotation marks, dashes, bullets and the no-break space.
+PUNCTUATION = "[\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F\u00a0\u2013\u2014\u2018\u2019\u201c\u201d\u2022\u2026]+"
 
 
-def canonical(text: Column) -> Column:
-    out = F.translate(text, _UPPER, _LOWER)
+def canonical_lines(text: Column) -> Column:
+    """The lines of a text's canonical form, without those that are empty in it; none for null. The form of the whole is these lines with a space between."""
+    out = F.lower(text)
     for one, other in EQUIVALENT:
         out = F.replace(out, F.lit(one), F.lit(other))
-    return F.trim(F.regexp_replace(F.regexp_replace(out, COPYRIGHT_LINE, "\n"), PUNCTUATION, " "))
+    out = F.regexp_replace(F.regexp_replace(out, COPYRIGHT_LINE, "\n"), PUNCTUATION, " ")
+    return F.filter(F.transform(F.split(out, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def digest(text: Column) -> Column:
-    """The digest of a text's canonical form; null if that is empty."""
-    form = canonical(text)
-    return F.when(form != "", F.sha2(form, 256))
+def digest(lines: Column) -> Column:
+    """The digest of a whole text, of its lines; null if there are none."""
+    return F.when(F.size(lines) > 0, F.sha2(F.array_join(lines, " "), 256))
 
 
 def known_licences(spark: SparkSession, licences: list[tuple[str, str]] = LICENCES) -> DataFrame:
@@ -56,7 +57,7 @@ def known_licences(spark: SparkSession, licences: list[tuple[str, str]] = LICENC
 
 def digests_of(licences: DataFrame) -> DataFrame:
     """The same of a table (license_id, text); entries whose canonical form is empty match nothing."""
-    rows = licences.select("license_id", digest(F.col("text")).alias("known_digest")).where("known_digest is not null and license_id is not null")
+    rows = licences.select("license_id", digest(canonical_lines(F.col("text"))).alias("known_digest")).where("known_digest is not null and license_id is not null")
     return rows.groupBy("known_digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -67,10 +68,12 @@ def license_scan(documents: DataFrame, known: DataFrame) -> DataFrame:
     comma-joined, empty if none. Null and empty texts, and those of copyright lines alone, have a null digest and no
     licence. Rows of equal doc_id share line_licenses; rows with a null doc_id have none. Other columns are not read.
     """
-    rows = documents.select("doc_id", "text")
-    lines = rows.where("doc_id is not null").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where("trim(line) <> ''")
-    lines = lines.select("doc_id", digest(F.col("line")).alias("known_digest")).join(known, "known_digest")
+    forms = documents.select("doc_id", canonical_lines(F.col("text")).alias("lines"))
+    # Texts are put in form once: their digests are staged, and both lookups read them.
+    own = forms.select("doc_id", digest(F.col("lines")).alias("canonical_sha256"), F.array_distinct(F.transform("lines", lambda x: F.sha2(x, 256))).alias("line_digests"))
+    own = Scratch(documents.sparkSession, "licences").put(own, "digests")
+    lines = own.where("doc_id is not null").select("doc_id", F.explode("line_digests").alias("known_digest")).join(known, "known_digest")
     lines = lines.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("line_licenses"))
-    whole = rows.select("doc_id", digest(F.col("text")).alias("canonical_sha256"))
+    whole = own.select("doc_id", "canonical_sha256")
     whole = whole.join(known, whole["canonical_sha256"] == known["known_digest"], "left").drop("known_digest")
     return whole.join(lines, "doc_id", "left").withColumn("line_licenses", F.coalesce("line_licenses", F.lit("")))

@@ -102,17 +102,19 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _canonical_sql(text: str) -> str:
-    out = f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+def _lines_sql(text: str) -> str:
+    out = f"lower({text})"
     for one, other in EQUIVALENT:
         out = f"replace({out}, {_quoted(one)}, {_quoted(other)})"
-    return f"trim(regexp_replace(regexp_replace({out}, {_quoted(COPYRIGHT_LINE)}, chr(10), 'g'), {_quoted(PUNCTUATION)}, ' ', 'g'))"
+    out = f"regexp_replace(regexp_replace({out}, {_quoted(COPYRIGHT_LINE)}, chr(10), 'g'), {_quoted(PUNCTUATION)}, ' ', 'g')"
+    return f"list_filter(list_transform(string_split({out}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
 
 
 _LICENSE_SQL = f"""
-    with known as (select k, min(id) id from (select id, {_canonical_sql("t")} k from (values {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in LICENCES)}) v(id, t)) where k <> '' group by 1),
-    lines as (select doc_id, string_agg(id, ',' order by id) ids from (select distinct doc_id, id from (select doc_id, {_canonical_sql("line")} k from (select doc_id, unnest(string_split(text, chr(10))) line from documents)) join known using (k)) group by 1),
-    whole as (select doc_id, {_canonical_sql("text")} k from documents)
+    with known as (select k, min(id) id from (select id, array_to_string({_lines_sql("t")}, ' ') k from (values {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in LICENCES)}) v(id, t)) where k <> '' group by 1),
+    forms as materialized (select doc_id, {_lines_sql("text")} ls from documents),
+    lines as (select doc_id, string_agg(id, ',' order by id) ids from (select distinct doc_id, id from (select doc_id, unnest(ls) k from forms) join known using (k)) group by 1),
+    whole as (select doc_id, coalesce(array_to_string(ls, ' '), '') k from forms)
     select doc_id, case when k <> '' then sha256(k) end canonical_sha256, id license_id, coalesce(ids, '') line_licenses
     from whole left join known using (k) left join lines using (doc_id)"""
 
