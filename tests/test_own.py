@@ -240,3 +240,28 @@ def test_intents_and_options():
         Options(max_records=0)
     with pytest.raises(ValueError):
         FieldSpec("Bad Name")
+
+
+def test_sql_table_functions(spark):
+    from pagemill import sql
+
+    sql.register(spark)
+    pages_of(spark, "<table><tr><th>a<th>b<tr><td>1<td>2</table><a href='../x'>go</a>").createOrReplaceTempView("p")
+    assert [tuple(r) for r in spark.sql("select l.* from p, lateral html_links(html, url) l").collect()] == [("go", "https://x.example.com/x")]
+    assert sorted(r.cells for r in spark.sql("select t.* from p, lateral html_tables(html) t").collect()) == [["1", "2"], ["a", "b"]]
+    assert spark.sql("select count(*) n from p, lateral html_nodes(html) n").first().n == 8
+
+
+def test_data_source_reads_nothing_from_nothing(spark):
+    webpage.register(spark)
+    assert spark.read.format("webpage").load().count() == 0
+
+
+def test_page_facts(spark):
+    html = "<title>T</title><dl><dt>A<dd>1<dt>B<dd>2</dl><table><tr><td>a<td>9</table><b class=label>C</b><i>3</i><p>some longer text here</p><a href='/e.ics'>cal</a>"
+    df = parsed(spark, html).withColumn("facts", page.facts(F.col("nodes"), F.col("url"), F.col("embedded")))
+    f = df.select("facts", page.facts_text(F.col("facts")).alias("t")).first()
+    assert [(p.label, p.value) for p in f.facts.key_value_pairs] == [("A", "1"), ("B", "2"), ("C", "3")]
+    assert f.facts.calendar_urls == ["https://x.example.com/e.ics"] and "## Pairs\n- A: 1" in f.t
+    compact = page.analyze(parsed(spark, CARDS)).select("compact", page.compact_text(F.col("compact")).alias("j"), page.static_is_enough(F.col("compact"), F.col("embedded"), "array", ["title"]).alias("s")).first()
+    assert compact.compact.page_type_hint == "search_results" and compact.j.startswith("{") and compact.s is False
