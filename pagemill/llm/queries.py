@@ -12,7 +12,7 @@ from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_components
 from .licence_texts import LICENCES
 from .licenses import COPYRIGHT_LINE, EQUIVALENT, PUNCTUATION, known_licences, license_scan
-from .lm_score import cross_entropy_difference
+from .lm_score import BACKGROUND, SCORED, TARGET, difference_by_role
 from .mixing import mixture
 from .quality import fit_on, held_out, scored, training_sample
 from .token_counts import length_histogram
@@ -51,9 +51,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
-    target = Scratch(spark, "lm-target").put(documents.join(good, "doc_id", "left_semi"), "documents", compression="zstd")  # read twice
-    return cross_entropy_difference(documents, target, documents)
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("role", F.lit(TARGET))
+    # the labels grow with the corpus: merged, never broadcast
+    marked = documents.join(good.hint("merge"), "doc_id", "left")
+    return difference_by_role(marked.withColumn("role", F.lit(SCORED + BACKGROUND) + F.coalesce("role", F.lit(0))))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

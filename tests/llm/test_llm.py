@@ -214,6 +214,54 @@ def test_cross_entropy_difference_is_that_of_its_models(spark):
     assert got[0].difference < got[1].difference
 
 
+def test_cross_entropy_difference_keeps_all_bigrams(spark, monkeypatch):
+    import pagemill.llm.lm_score as lm
+
+    rng = random.Random(4)
+    rare = [f"w{i} x{i}" for i in range(2000)]
+    texts = [" ".join(rng.choice([*rare, "the"]) if rng.random() < 0.6 else "the" for _ in range(200)) for _ in range(60)] + [None, "", "unheard of"]
+    near, back, everything = texts[:20], texts[:60], [t or "" for t in texts]
+
+    def model(own, both):
+        flat = [t.split() for t in own]
+        one, two, first = {}, {}, {}
+        for words_ in flat:
+            for w in words_:
+                one[w] = one.get(w, 0) + 1
+            for h, w in zip(words_, words_[1:], strict=False):
+                two[h, w] = two.get((h, w), 0) + 1
+                first[h] = first.get(h, 0) + 1
+        size = len({w for t in both for w in t.split()}) + 1
+        total = sum(one.values())
+
+        def loss(words_):
+            out, last = [], None
+            for w in words_:
+                p = (one.get(w, 0) + 1) / (total + size)
+                if last in first:
+                    p = 0.7 * two.get((last, w), 0) / first[last] + 0.3 * p
+                out.append(-np.log(p))
+                last = w
+            return float(np.mean(out))
+
+        return loss
+
+    assert len({w for t in back for w in t.split()}) > 2048  # more than the core words of old
+    monkeypatch.setattr(lm, "CHUNK_WORDS", 1000, raising=False)
+    docs = docs_of(spark, texts)
+    for background, own in ((docs_of(spark, back), back), (docs, everything)):
+        target_loss, background_loss = model(near, own), model(own, own)
+        got = {r.doc_id: r for r in cross_entropy_difference(docs, docs_of(spark, near), background).collect()}
+        assert len(got) == len(texts)
+        for i, text in enumerate(texts):
+            if not text:
+                assert got[i].n_tokens == 0 and got[i].difference is None
+                continue
+            assert got[i].n_tokens == len(text.split())
+            assert got[i].target_loss == pytest.approx(target_loss(text.split()), rel=1e-9)
+            assert got[i].background_loss == pytest.approx(background_loss(text.split()), rel=1e-9)
+
+
 def test_tokens_round_trip(spark, tmp_path, corpus):
     from tokenizers import Tokenizer
 
