@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._util import Scratch
-from .licence_texts import LICENCES
+from .licence_texts import ENTIRE, LICENCES
 
 #: Spellings that count as equal, applied in this order to lower-cased text.
 EQUIVALENT = [
@@ -49,10 +49,17 @@ def digest(lines: Column) -> Column:
     return F.when(F.size(lines) > 0, F.sha2(F.array_join(lines, " "), 256))
 
 
-def known_licences(spark: SparkSession, licences: list[tuple[str, str]] = LICENCES) -> DataFrame:
-    """(license_id, known_digest) of (id, text) pairs; of several ids of one digest the first in order of id."""
-    rows = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in licences))
-    return digests_of(spark.range(1).select(F.inline(rows)))
+def known_licences(spark: SparkSession, licences: list[tuple[str, str]] | None = None) -> DataFrame:
+    """(license_id, known_digest) of (id, text) pairs; of several ids of one digest the first in order of id. By default those of `licence_texts`.
+
+    The digests are made at once, so that plans hold them and not the texts.
+    """
+    rows = F.array(*(F.struct(F.lit(k).alias("license_id"), F.lit(t).alias("text")) for k, t in (LICENCES + ENTIRE if licences is None else licences)))
+    known = digests_of(spark.range(1).select(F.inline(rows))).collect()
+    if not known:
+        return spark.createDataFrame([], "license_id string, known_digest string")
+    out = F.array(*(F.struct(F.lit(r.license_id).alias("license_id"), F.lit(r.known_digest).alias("known_digest")) for r in known))
+    return spark.range(1).select(F.inline(out))
 
 
 def digests_of(licences: DataFrame) -> DataFrame:

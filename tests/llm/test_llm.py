@@ -376,3 +376,13 @@ def test_licences_match_whole_texts(spark):
     assert got[5] == got[6] == got[7] == (None, "")
     rows = {r.doc_id: r.canonical_sha256 for r in license_scan(docs_of(spark, texts), known_licences(spark)).collect()}
     assert rows[5] is None and rows[7] is None and rows[0] == rows[1]
+
+
+def test_licences_match_entire_long_texts(spark):
+    from pagemill.llm.licence_texts import ENTIRE
+
+    wanted = {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0"}
+    assert {k for k, _ in ENTIRE} == wanted
+    texts = [t for _, t in ENTIRE] + [t.upper().replace("\n", " \r\n") for _, t in ENTIRE] + [t + "\nand more" for _, t in ENTIRE]
+    got = {r.doc_id: r.license_id for r in license_scan(docs_of(spark, texts), known_licences(spark)).collect()}
+    assert [got[i] for i in range(len(texts))] == [k for k, _ in ENTIRE] * 2 + [None] * len(ENTIRE)
