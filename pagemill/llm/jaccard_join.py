@@ -348,8 +348,25 @@ def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80
 
 
 def one_per_component(documents: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose doc_id is their component's; of rows with equal doc_id one stays. Rows without a doc_id stay."""
-    kept = jaccard_components(documents, size=size, percent=percent).where("doc_id = component_id").select("doc_id").distinct()
+    """The documents whose doc_id is the smallest of their component. Rows without a doc_id stay.
+
+    Of rows with equal doc_id and equal text one stays, the first in order of its other columns. Where texts differ
+    under one doc_id, each is a document of its own: those that are near copies of nothing stay, all of them.
+    """
     columns = documents.columns
-    named = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(columns).unionByName(documents.where("doc_id is null").select(columns))
+    named = documents.where("doc_id is not null").withColumn("_key", F.col("doc_id"))
+    texts_of = named.select("doc_id", F.sha2(F.col("text"), 256).alias("digest")).distinct().groupBy("doc_id").count()
+    several = texts_of.where("count > 1").select("doc_id")
+    if several.take(1):
+        # a negative hash of doc_id and text stands for the doc_id
+        own = F.xxhash64("doc_id", F.coalesce(F.sha2(F.col("text"), 256), F.lit(""))).bitwiseOR(F.lit(-(2**63)))
+        named = named.join(several.withColumn("_several", F.lit(True)), "doc_id", "left").withColumn("_key", F.when(F.col("_several"), own).otherwise(F.col("_key")))
+        parts = jaccard_components(named.select(F.col("_key").alias("doc_id"), "text"), size=size, percent=percent).select(F.col("doc_id").alias("_key"), "component_id")
+        first = parts.join(named.select("_key", "doc_id").distinct(), "_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_key")).alias("first"))
+        kept = first.select("first._key")
+    else:
+        kept = jaccard_components(documents, size=size, percent=percent).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    ordered = [c for c in columns if not any(x in documents.schema[c].dataType.simpleString() for x in ("map<", "variant"))]
+    row = F.min(F.struct(*columns)) if ordered == columns else F.min_by(F.struct(*columns), F.struct(*ordered))
+    named = named.join(kept, "_key", "left_semi").groupBy("_key").agg(row.alias("row")).select("row.*")
+    return named.unionByName(documents.where("doc_id is null").select(columns))

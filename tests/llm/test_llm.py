@@ -90,6 +90,13 @@ def test_jaccard_odd_rows(spark):
     assert jaccard_components(df.limit(0)).count() == 0
 
 
+def test_one_per_component_keeps_other_texts_of_a_doc_id(spark):
+    rows = [(1, "a b c d e f", "z"), (1, "a b c d e f", "y"), (1, "q r s t u v w", "x"), (1, None, "n"), (2, "A B c d e f", "x"), (3, "m n o p", "x"), (4, "q R s t u v w", "x"), (None, "m n o p", "x")]
+    want = [(1, "a b c d e f", "y"), (1, "q r s t u v w", "x"), (1, None, "n"), (3, "m n o p", "x"), (None, "m n o p", "x")]
+    got = one_per_component(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
 def brute_contamination(text, items):
     w = words_of((text or "").encode())
     hit, found = set(), set()
