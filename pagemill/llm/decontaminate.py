@@ -4,10 +4,10 @@ Each benchmark item becomes windows of consecutive words, each window the set of
 holds a window only if it holds all its shingles, so one shingle is a sufficient prefix: the one that is rarest over all
 documents. Documents are joined on these prefix shingles alone; a hit fixes where the window would lie, the
 length bound drops it if it would reach over either end of the document, the positional bound ties the shingle to
-its offset in the window, and what is left is compared word by word over the whole window.
+its offset in the window, and what is left is looked up whole, by all its words, among the windows.
 
 Scale: documents are streamed, never shuffled. The window index is broadcast in blocks of items whose
-size is checked (`block_words`); a benchmark of many blocks takes a pass over the documents for each block, and
+size is checked (`block_words`; longer items are split); a benchmark of many blocks takes a pass over the documents for each block, and
 their hits are then merged by document. Rarity counts are kept for shingles of the benchmark alone.
 """
 
@@ -28,7 +28,7 @@ from ._util import texts
 WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 #: Words of a shingle.
 SHINGLE = 3
-#: Benchmark words of a broadcast block: some 100 bytes each in a worker.
+#: Benchmark words of a broadcast block: some 300 bytes each in a worker.
 BLOCK_WORDS = 500_000
 
 
@@ -46,31 +46,26 @@ def _among(values: np.ndarray, known: np.ndarray) -> list[int]:
 
 
 class Windows:
-    """The windows of a block of items, found by one shingle each."""
+    """The windows of a block of items, found by one shingle each. Equal windows are one, whichever items have them."""
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
-        self.items = [name for name, _ in items]
+        self.items, self.window = [name for name, _ in items], window
         self.ids: dict[bytes, int] = {}
-        self.owner, self.words = [], []
-        for k, (_, words) in enumerate(items):
-            ids = np.array([self.ids.setdefault(w, len(self.ids)) for w in words], np.int64)
-            for i in range(max(1, len(ids) - window + 1) if len(ids) else 0):
-                self.owner.append(k)
-                self.words.append(ids[i : i + window])
-        self.base = len(self.ids) + 2  # 0: a word of no item
-        self.shingles = np.unique(np.concatenate([self.keys(w + 1) for w in self.words])) if self.words else np.empty(0, np.int64)
+        self.words = [np.array([self.ids.setdefault(w, len(self.ids) + 1) for w in words], np.int32) for _, words in items]
+        self.base = len(self.ids) + 1  # 0: a word of no item
+        self.shingles = np.unique(np.concatenate([self.keys(w) for w in self.words])) if self.words else np.empty(0, np.int64)
 
     def keys(self, ids: np.ndarray) -> np.ndarray:
         """The shingle that starts at each word; past the end of a window or a document there are words 0."""
-        padded = np.r_[ids, np.zeros(SHINGLE - 1, np.int64)]
+        padded = np.r_[ids, np.zeros(SHINGLE - 1, ids.dtype)]
         out = np.zeros(len(ids), np.int64)
         for i in range(SHINGLE):
             out = out * self.base + padded[i : i + len(ids)]
         return out
 
     def known(self, words: list[bytes]) -> np.ndarray:
-        """1 + the number of each word, or 0."""
-        return np.fromiter(map(self.ids.get, words, repeat(-1)), np.int64, len(words)) + 1
+        """The number of each word, or 0."""
+        return np.fromiter(map(self.ids.get, words, repeat(0)), np.int32, len(words))
 
     def count(self, ids: np.ndarray) -> np.ndarray:
         """The places in `shingles` of a document's distinct shingles."""
@@ -80,17 +75,36 @@ class Windows:
         return at[self.shingles[at] == keys] if len(self.shingles) else at[:0]
 
     def choose(self, documents_with: np.ndarray) -> None:
-        """Takes each window's rarest shingle that lies whole within it (of equals the first) as its prefix."""
-        chosen: dict[int, list[tuple[int, int]]] = {}
+        """Takes each window's rarest shingle that lies whole within it (of equals the first) as its prefix.
+
+        Of the windows with one prefix only the (offset, length) are kept: fewer than a hundred, however many windows there are.
+        """
+        chosen: dict[int, set[tuple[int, int]]] = {}
+        #: A window's words as bytes -> the item that has it, or a list of them.
+        self.owners: dict[bytes, int | list[int]] = {}
         for k, ids in enumerate(self.words):
-            keys = self.keys(ids + 1)[: max(1, len(ids) - SHINGLE + 1)]
-            offset = int(np.argmin(documents_with[np.searchsorted(self.shingles, keys)]))
-            # A window shorter than a shingle has no whole one: its first word stands for it.
-            key = int(keys[offset]) if len(ids) >= SHINGLE else -1 - int(ids[0] + 1)
-            chosen.setdefault(key, []).append((k, offset))
-        self.prefix = chosen
+            if not len(ids):
+                continue
+            n, raw, keys = min(self.window, len(ids)), ids.tobytes(), self.keys(ids)
+            if n < SHINGLE:  # a window without a whole shingle: its first word stands for it
+                places, keys = [0], -ids[:1].astype(np.int64)
+            else:
+                seen = documents_with[np.searchsorted(self.shingles, keys[: len(ids) - SHINGLE + 1])]
+                places = np.lib.stride_tricks.sliding_window_view(seen, n - SHINGLE + 1).argmin(axis=1).tolist()
+            keys = keys.tolist()
+            for i, offset in enumerate(places):
+                window = raw[4 * i : 4 * (i + n)]
+                own = self.owners.setdefault(window, k)
+                if own == k:
+                    chosen.setdefault(keys[i + offset], set()).add((offset, n))
+                elif not isinstance(own, list):
+                    self.owners[window] = [own, k]
+                elif own[-1] != k:
+                    own.append(k)
+        del self.words
+        self.prefix = {key: sorted(places) for key, places in chosen.items()}
         self.long = np.array(sorted(k for k in chosen if k >= 0), np.int64)
-        self.short = np.array(sorted(-1 - k for k in chosen if k < 0), np.int64)
+        self.short = np.array(sorted(-k for k in chosen if k < 0), np.int32)
 
     def find(self, ids: np.ndarray) -> tuple[np.ndarray, set[int]]:
         """Which words of a document are hit, and by which items."""
@@ -99,23 +113,35 @@ class Windows:
         if not ids.any():
             return hit[:-1] > 0, items
         keys = self.keys(ids)
-        places = [(p, int(keys[p])) for p in _among(keys, self.long)] + [(p, -1 - int(ids[p])) for p in _among(ids, self.short)]
+        places = [(p, int(keys[p])) for p in _among(keys, self.long)] + [(p, -int(ids[p])) for p in _among(ids, self.short)]
+        raw, seen = ids.tobytes(), set()
         for p, key in places:
-            for k, offset in self.prefix[key]:
-                words = self.words[k]
-                a, b = p - offset, p - offset + len(words)
-                if a < 0 or b > len(ids) or not np.array_equal(ids[a:b], words + 1):
+            for offset, length in self.prefix[key]:
+                a, b = p - offset, p - offset + length
+                if a < 0 or b > len(ids) or (owners := self.owners.get(raw[4 * a : 4 * b])) is None:
                     continue
                 hit[a] += 1
                 hit[b] -= 1
-                items.add(self.owner[k])
+                if not isinstance(owners, list):
+                    items.add(owners)
+                elif id(owners) not in seen:
+                    seen.add(id(owners))
+                    items.update(owners)
         return np.cumsum(hit[:-1]) > 0, items
 
 
-def _item_blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def _item_blocks(benchmark: DataFrame, most: int, window: int) -> Iterator[list[tuple[str, list[bytes]]]]:
     """The items in order of their id as strings, a block in the driver at a time; items without an id or words have no windows."""
     rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    yield from _blocks_of(((r.item_id, words_of(r.text.encode("utf-8", "surrogatepass"))) for r in rows.toLocalIterator()), most)
+    parts = (part for r in rows.toLocalIterator() for part in _parts_of(r.item_id, words_of(r.text.encode("utf-8", "surrogatepass")), most, window))
+    yield from _blocks_of(parts, most)
+
+
+def _parts_of(name: str, words: list[bytes], most: int, window: int) -> Iterator[tuple[str, list[bytes]]]:
+    """An item in parts of at most `most` words (or a window) that have all its windows between them."""
+    most = max(most, window)
+    for a in range(0, max(1, len(words) - window + 1), most - window + 1):
+        yield name, words[a : a + most]
 
 
 def _blocks_of(items: Iterator[tuple[str, list[bytes]]], most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
@@ -153,7 +179,7 @@ _MARKS = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hi
 
 def _marked(documents: DataFrame, benchmark: DataFrame, window: int, block_words: int, keep: list[str]) -> DataFrame:
     """A struct `row` with the columns to keep, and a struct `marks` (n_words, hits, items): a narrow pass for each block of items."""
-    blocks = _item_blocks(benchmark, block_words)
+    blocks = _item_blocks(benchmark, block_words, window)
     out = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
     last = T.StructType([T.StructField("row", T.StructType([documents.schema[c] for c in keep])), T.StructField("marks", _MARKS)])
     more = T.StructType([out.schema["row"], T.StructField("marks", _MARKS)])

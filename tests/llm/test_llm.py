@@ -129,6 +129,33 @@ def test_contamination_matches_brute_force(spark, block):
     assert contamination(docs.limit(0), benchmark).count() == 0
 
 
+def test_contamination_of_repetitive_and_long_items(spark):
+    from pagemill.llm.decontaminate import Windows, _parts_of
+
+    rng = random.Random(6)
+    items = [(0, "ash " * 400), (1, "ash birch " * 150), (2, words(rng, 300)), (3, "ash " * 30)] + [(k, f"the same question as ever {'of all ' * 4}{words(rng, 3)}") for k in range(4, 40)]
+    texts = ["ash " * 900, "birch ash " * 90, " ".join(items[2][1].split()[90:140]), items[20][1], "the same question as ever of all of all of all of all"]
+    for block in (500_000, 50):
+        got = {r[0]: tuple(r)[1:] for r in contamination_summary(contamination(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string"), block_words=block)).collect()}
+        assert got == {i: brute_contamination(t, items) for i, t in enumerate(texts)}
+    long = words_of(words(rng, 500).encode())
+    parts = [part for _, part in _parts_of("x", long, 40, 13)]
+    assert max(map(len, parts)) <= 40 and {tuple(p[i : i + 13]) for p in parts for i in range(len(p) - 12)} == {tuple(long[i : i + 13]) for i in range(488)}
+    # windows that share a prefix are one lookup for each (offset, length)
+    windows = Windows([(str(k), words_of(t.encode())) for k, t in items], 13)
+    windows.choose(np.ones(len(windows.shingles), np.int64))
+    assert max(map(len, windows.prefix.values())) <= 11
+
+
+def test_contamination_odd_rows(spark):
+    rows = [(None, "a b c", "h"), (None, None, "h"), (5, "a b c", "h"), (5, "a b c", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hits string").withColumn("marks", F.lit(1)).withColumn("row", F.lit("r"))
+    benchmark = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (2, None)], "item_id long, text string").withColumn("doc_id", F.lit(9))
+    got = sorted((r.doc_id or 0, r.n_words, r.hits, r["items"]) for r in contamination(docs, benchmark).collect())
+    assert got == [(0, 0, [], []), (0, 3, [0, 1], ["1"]), (5, 3, [0, 1], ["1"]), (5, 3, [0, 1], ["1"])]
+    assert [r.text for r in decontaminated(docs, benchmark).collect()] == [None] and decontaminated(docs, benchmark).columns == docs.columns
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>" + "é" * 100
     rows = [(5, "http://b.example/x", big), (3, "http://A.example/x#f", big), (9, "http://a.example/x", big), (1, "u\r\nv", "small"), (2, None, "small"), (4, "http://a.example/y", None), (6, "http://a.example/y", "WARC/1.1\r\n\r\n" * 30), (7, "http://a.example/y", "WARC/1.1\r\n\r\n" * 30)]
