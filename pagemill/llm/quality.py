@@ -175,14 +175,21 @@ def training_sample(documents: DataFrame, labels: DataFrame, column: str, *, sam
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(column).cast("int").alias("label"))
     known = known.withColumn("h", F.xxhash64(F.col("doc_id").cast("string")))
-    ids = [known.where(F.col("label") == k).orderBy("h", "doc_id").limit(sample_rows) for k in (0, 1)]
+    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}  # two rows at most
+
+    def least(label: int) -> DataFrame:
+        # Hashes are even: below this bound lie some 2 x sample_rows of them, so that no task sorts the labels of all tasks.
+        bound = min(2**63 - 1, -(2**63) + 2**64 * (2 * sample_rows + 1_000) // max(1, sizes.get(label, 0)))
+        return known.where((F.col("label") == label) & (F.col("h") <= bound)).orderBy("h", "doc_id").limit(sample_rows)
+
+    ids = [least(k) for k in (0, 1)]
     rows = documents.where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_TEXT_BYTES).select("doc_id", "text")
     rows = rows.join(F.broadcast(ids[0].unionByName(ids[1])), "doc_id").select("h", "label", "text")
     return rows.orderBy("h", "text").limit(2 * sample_rows)  # rows may repeat a doc_id
 
 
 def fit_on(sample: DataFrame) -> bytes:
-    """Fits on a bounded sample (h, label, text), in one task. Returns the model; it has a fixed size."""
+    """Fits on a bounded sample (h, label, text), in one task. Returns the model; it has a fixed size. Without rows every score is 0.5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
@@ -191,7 +198,13 @@ def fit_on(sample: DataFrame) -> bytes:
         rows.sort(key=lambda r: (r[0], r[1], r[2] or b""))
         yield pa.RecordBatch.from_arrays([pa.array([fit([(t, k) for _, k, t in rows])], pa.binary())], ["model"])
 
-    return bytes(sample.coalesce(1).mapInArrow(run, "model binary").first()[0])
+    rows = sample.coalesce(1).mapInArrow(run, "model binary").take(1)
+    return bytes(rows[0][0]) if rows else fit([])  # a sample without partitions runs nothing
+
+
+def judges(model: bytes) -> bool:
+    """Whether a model tells texts apart; one of a single class, or of no rows, gives all texts the same score."""
+    return bool(np.frombuffer(model, np.float32)[: 1 << FEATURE_BITS].any())
 
 
 def score_of(spark: SparkSession, model: bytes) -> Callable[[Column], Column]:
