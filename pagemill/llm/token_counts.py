@@ -3,8 +3,8 @@
 Documents are aggregated by encoded length; suffix sums over the histogram then give, for every limit that
 is some document's length, what any limit needs: totals, rank quantiles and totals after truncation.
 
-Scale: the only shuffle is of (length, count), pre-aggregated; the histogram has a row for each distinct length. The
-sums run over blocks of lengths, so no task holds the whole histogram.
+Scale: the only shuffle is of (length, count), pre-aggregated; the histogram has a row for each distinct length, and is
+staged, so that texts are encoded once. The sums run over blocks of lengths, so no task holds the whole histogram.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._util import Scratch
+
 #: Lengths that one block of the sums spans.
 BLOCK = 1024
 
@@ -24,6 +26,7 @@ def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
     all, the quantile that L is. Rows with a null length are left out; an empty table gives no rows.
     """
     counts = lengths.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("long").alias("n_tokens")).agg(F.count("*").alias("n_docs"))
+    counts = Scratch(lengths.sparkSession, "lengths").put(counts, "counts")
     counts = counts.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     every = Window.orderBy("block")
