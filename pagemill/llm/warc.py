@@ -6,16 +6,17 @@ by URL key and time: it is one run of captures. The index reads the runs back an
 tree, into capture histories that are ordered over all partitions.
 
 Scale: (digest, page_id) is pre-aggregated to find the first record of equal payloads; rows then move once, to their digest.
-The merge is range-partitioned by URL key, time and page, so that the captures of one hot URL
-are many partitions; a task holds its own slice of the index, never payloads. Archives have a bounded number of
-records, as they are read whole.
+Archives are read as streams, so a reader holds a record and not a file, however large that is.
+The merge is range-partitioned by URL key, time and page into ranges of about RANGE_ROWS captures, so that those of one hot URL
+are many partitions; a task holds its own slice of the index, never payloads.
 """
 
 from __future__ import annotations
 
-import gzip
 import hashlib
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 REVISIT_BYTES = 100
 #: Records of one archive at most.
 RECORDS = 1_000
+#: Captures that a task merges, about.
+RANGE_ROWS = 100_000
+#: Without a time of its own a capture has one within so many seconds (a century) of the epoch: a year of four digits.
+SPAN = 36_525 * 86_400
 END = b"\r\n\r\n"
 _INDEX = "run string, at long, url_key string, captured string, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long"
 
@@ -40,19 +45,32 @@ def _one_line(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), "\r", "%0D"), "\n", "%0A")
 
 
+def _seconds(moment: str) -> int:
+    """Seconds of a moment in UTC since 1970."""
+    return int(datetime.fromisoformat(moment).replace(tzinfo=timezone.utc).timestamp())
+
+
+def _utc(seconds: Column) -> Column:
+    """A second as text in UTC, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(seconds), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 def write_warc(pages: DataFrame, path: str, *, epoch: str = "2024-01-01 00:00:00", records: int = RECORDS) -> None:
     """Writes a record for each row of `pages` (page_id, url, html; optionally captured_at, a timestamp).
 
     Payload: html in UTF-8, a null as an empty one. Of records with equal payloads of at least REVISIT_BYTES bytes that
     with the smallest page_id is a response and the others are revisits without a payload; smaller ones are
     all responses. Rows that repeat that smallest page_id are responses as well, and so is a null page_id without
-    an equal payload elsewhere. Without captured_at a capture's time is page_id seconds after `epoch`. Other
+    an equal payload elsewhere. Without captured_at a capture's time is page_id seconds after `epoch` (UTC), modulo SPAN, so that
+    any long gives a year of four digits and times sort as text; a captured_at after 9999 counts as its end, a null one as the epoch. Other
     columns are left out.
     """
-    ids = F.col("page_id").cast("long")
-    when = F.col("captured_at") if "captured_at" in pages.columns else F.timestamp_seconds(F.unix_timestamp(F.lit(epoch).cast("timestamp")) + F.coalesce(F.col("page_id").cast("long"), F.lit(0)))
+    ids, start = F.col("page_id").cast("long"), F.lit(_seconds(epoch))
+    when = start + F.pmod(F.coalesce(ids, F.lit(0)), F.lit(SPAN))
+    if "captured_at" in pages.columns:
+        when = F.least(F.greatest(F.coalesce(F.unix_timestamp("captured_at"), start), F.lit(_seconds("0001-01-01 00:00:00"))), F.lit(_seconds("9999-12-31 23:59:59")))
     body = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(ids.alias("page_id"), _one_line(F.col("url")).alias("url"), body.alias("body"), F.octet_length(body).cast("long").alias("n"), F.sha2(body.cast("binary"), 256).alias("digest"), F.date_format(when, "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("captured"))
+    rows = pages.select(ids.alias("page_id"), _one_line(F.col("url")).alias("url"), body.alias("body"), F.octet_length(body).cast("long").alias("n"), F.sha2(body.cast("binary"), 256).alias("digest"), _utc(when).alias("captured"))
     firsts = rows.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 and first_id is not null")
     # Only digests that repeat are joined; the hot ones are split by Spark's skew join.
     rows = rows.join(firsts.select("digest", "first_id"), "digest", "left")
@@ -76,54 +94,78 @@ def write_warc(pages: DataFrame, path: str, *, epoch: str = "2024-01-01 00:00:00
     run.select(F.concat(head, F.lit("\r\n\r\n"), block).alias("value")).write.options(lineSep=END.decode(), maxRecordsPerFile=records, compression="gzip").text(path)
 
 
-def records(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(place, headers in lower case, block) of each record of an archive; a torn one is an error."""
-    at = 0
-    while at < len(raw):
-        cut = raw.find(END, at)
-        if cut < 0 or not raw.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = raw[at:cut].decode("utf-8", "replace").split("\r\n")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-        end = cut + 4 + int(headers["content-length"])
-        if raw[end : end + 4] != END:
-            raise ValueError(f"the record at byte {at} is torn")
-        yield at, headers, raw[cut + 4 : end]
-        at = end + 4
+def records(parts: Iterable[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]]:
+    """(place, headers in lower case, block) of each record of an archive that comes in parts of any size; a torn one is an error."""
+    held, base = bytearray(), 0  # bytes not yet given out, and the place of the first of them
+    wanted, block, headers = 0, 0, {}
+    for part in itertools.chain(parts, (None,)):
+        if part is not None:
+            held += part
+            if len(held) < wanted:
+                continue
+        at = 0
+        while at < len(held):
+            if not wanted:
+                cut = held.find(END, at)
+                if cut < 0:
+                    break
+                if not held.startswith(b"WARC/", at):
+                    raise ValueError(f"no WARC record at byte {base + at}")
+                lines = held[at:cut].decode("utf-8", "replace").split("\r\n")
+                headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+                block = cut + 4 - at
+                wanted = block + int(headers["content-length"]) + 4
+            if len(held) - at < wanted:
+                break
+            end = at + wanted - 4
+            if held[end : end + 4] != END:
+                raise ValueError(f"the record at byte {base + at} is torn")
+            yield base + at, headers, bytes(held[at + block : end])
+            at, wanted = end + 4, 0
+        del held[:at]
+        base += at
+    if held:
+        raise ValueError(f"the record at byte {base} is torn")
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (path, piece): the pieces between ENDs of one archive after another, in order."""
     names = [c.split()[0] for c in _INDEX.split(", ")]
 
     def page(name: str | None) -> int | None:
         digits = name[len("<urn:x-page:") : -1] if name else ""
         return int(digits) if digits else None
 
-    for batch in batches:
-        for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-            rows = []
-            raw = gzip.decompress(raw) if raw.startswith(b"\x1f\x8b") else raw
-            for at, h, block in records(raw):
-                head, _, payload = block.partition(END)
-                digest = h["warc-payload-digest"].removeprefix("sha256:")
-                if h["warc-type"] == "response":
-                    size, own = len(payload), hashlib.sha256(payload).hexdigest()
-                    if own != digest:
-                        raise ValueError(f"{path}: the payload at byte {at} is not the one that was written")
-                else:
-                    size = next(int(line.partition(b":")[2]) for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:"))
-                rows.append((path, at, None, h["warc-date"], page(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], size, digest, page(h.get("warc-refers-to"))))
-            if rows:
-                kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    def pieces() -> Iterator[tuple[str, bytes]]:
+        for batch in batches:
+            kind = pa.large_binary() if pa.types.is_large_string(batch.column("value").type) else pa.binary()
+            for path, piece in zip(batch.column("path"), batch.column("value").cast(kind), strict=True):
+                yield path.as_py(), piece.as_py() + END
+
+    for path, own in itertools.groupby(pieces(), key=lambda x: x[0]):
+        rows = []
+        for at, h, block in records(piece for _, piece in own):
+            head, _, payload = block.partition(END)
+            digest = h["warc-payload-digest"].removeprefix("sha256:")
+            if h["warc-type"] == "response":
+                size, hashed = len(payload), hashlib.sha256(payload).hexdigest()
+                if hashed != digest:
+                    raise ValueError(f"{path}: the payload at byte {at} is not the one that was written")
+            else:
+                size = next(int(line.partition(b":")[2]) for line in head.split(b"\r\n") if line.lower().startswith(b"content-length:"))
+            rows.append((path, at, None, h["warc-date"], page(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], size, digest, page(h.get("warc-refers-to"))))
+        if rows:
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
 def read_warc(spark, path: str) -> DataFrame:  # noqa: ANN001
     """A row for each record of the archives under a path: run (its archive), at (byte of the archive as it is before compression), url_key, captured, page_id, url, record_type, payload_bytes, payload_digest, refers_to.
 
-    Payloads of responses are hashed again and held against their header.
+    Archives are gzipped (whole, or a member for each record), so a file is one task's, which reads it as a stream. Payloads of
+    responses are hashed again and held against their header.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.option("lineSep", END.decode()).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
     return files.mapInArrow(_parsed, _INDEX).withColumn("url_key", url_key(F.col("url")))
 
 
@@ -177,6 +219,6 @@ def merged_index(records_of_runs: DataFrame, *, partitions: int | None = None) -
 
     Ranges hold whole captures of each run's slice in the run's order; those slices are merged by a loser tree.
     """
-    n = partitions or int(records_of_runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or max(int(records_of_runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-records_of_runs.count() // RANGE_ROWS))
     ranges = records_of_runs.repartitionByRange(n, "url_key", "captured", "page_id").sortWithinPartitions("run", "at")
     return ranges.mapInArrow(_merged, records_of_runs.schema)

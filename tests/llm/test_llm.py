@@ -177,6 +177,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert read_warc(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_odd_rows(spark, tmp_path):
+    big = 2**63 - 1
+    texts = ["x\r\n", "\r\n\r\n" * 40 + "\r", "\r\r\n\r\n\n" * 30, "é" * 3_000_000, "y" * 200]
+    rows = [(10**12, "http://a.example/", texts[0]), (10**13, "http://a.example/", texts[1]), (big, "http://a.example/", texts[2]), (-(2**63), "http://a.example/", texts[3]), (None, "http://n.example/", texts[4]), (7, "http://a.example/", texts[4]), (7, "http://a.example/", texts[4]), (8, None, texts[4]), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("own")).withColumn("body", F.lit(1))
+    write_warc(pages.coalesce(1), str(tmp_path / "w"))
+    index = merged_index(read_warc(spark, str(tmp_path / "w"))).collect()
+    assert all(len(r.captured) == 20 for r in index)
+    assert [(r.url_key, r.captured) for r in index] == sorted((r.url_key, r.captured) for r in index)
+    want = [(i, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest(), "revisit" if h == texts[4] and i != 7 else "response", 7 if h == texts[4] and i != 7 else None) for i, _, h in rows]
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in index), key=str) == sorted(want, key=str)
+    late = spark.createDataFrame([(1, "u", "h", "+12024-01-01 00:00:00"), (2, "u", "h", None)], "page_id long, url string, html string, t string").select("page_id", "url", "html", F.col("t").cast("timestamp").alias("captured_at"))
+    write_warc(late, str(tmp_path / "late"))
+    assert sorted(r.captured for r in read_warc(spark, str(tmp_path / "late")).collect()) == ["2024-01-01T00:00:00Z", "9999-12-31T23:59:59Z"]
+
+
+def test_warc_records_come_in_parts_of_any_size():
+    from pagemill.llm.warc import records
+
+    rng = random.Random(2)
+    blocks = [bytes(rng.choice(b"\r\n\rab") for _ in range(rng.randint(0, 30))) for _ in range(50)]
+    raw = b"".join(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in blocks)
+    for size in (1, 3, 7, 100, len(raw)):
+        assert [b for _, _, b in records(raw[i : i + size] for i in range(0, len(raw), size))] == blocks
+    places = [at for at, _, _ in records([raw])]
+    assert all(raw[at : at + 5] == b"WARC/" for at in places)
+    for torn in (raw[:-5], raw[5:], raw[:-4] + b"xxxx"):
+        with pytest.raises(ValueError, match="byte"):
+            list(records([torn]))
+
+
 def test_loser_tree_merges():
     rng = random.Random(1)
     for k in (0, 1, 2, 3, 7, 8):
