@@ -139,7 +139,15 @@ ORACLE_SQL: dict[str, str] = {
             union all
             select i + 1, case when h <= 2.9 then low else (low + high) / 2 end, case when h <= 2.9 then (low + high) / 2 else high end
             from (select i, low, high, (select -sum(w * ln(w)) from (select pow(p, (low + high) / 2) / (select sum(pow(p, (low + high) / 2)) from p) w from p)) h from b where i < 60)),
-        e as (select case when (select -sum(w * ln(w)) from (select 1 / (select count(*) from p) w from p)) <= 2.9 then 0 else max_by(high, i) end a from b),
+        e1 as (select case when (select -sum(w * ln(w)) from (select 1 / (select count(*) from p) w from p)) <= 2.9 then 0 else max_by(high, i) end a from b),
+        -- the least exponent at which no source is gone through more than four times; 1 if none is
+        r(i, low, high) as (
+            select 0, cast(0 as double), cast(1 as double)
+            union all
+            select i + 1, case when most <= 4.0 then low else (low + high) / 2 end, case when most <= 4.0 then (low + high) / 2 else high end
+            from (select i, low, high, (select max(pow(p, (low + high) / 2 - 1)) / (select sum(pow(p, (low + high) / 2)) from p) from p) most from r where i < 60)),
+        e2 as (select case when (select max(1 / p) / count(*) from p) <= 4.0 then 0 else max_by(high, i) end a from r),
+        e as (select greatest(e1.a, e2.a) a from e1, e2),
         w as (select source, n, pow(p, a) / (select sum(pow(p, a)) from p, e) w from p, e),
         s as (select t.source, cast(coalesce(round_even(w * (select sum(n) from t), 0), 0) as bigint) own, t.n, greatest(1, cast(ceil(t.n / 65536) as bigint)) blocks from t left join w on t.source is not distinct from w.source),
         g as (select source, case when n > 0 then own // n else 0 end passes, case when n > 0 then own % n else 0 end rest, blocks from s),

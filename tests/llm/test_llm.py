@@ -250,6 +250,36 @@ def test_mixture_keeps_its_budget(spark):
     assert mixture(docs.drop("copies").limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", [10_000, 2])
+def test_mixture_on_two_levels_and_by_either_join(spark, monkeypatch, broadcast):
+    import test_pipeline
+
+    from pagemill.llm import mixing
+
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", broadcast)
+    monkeypatch.setattr(mixing, "BLOCK_TOKENS", 40)  # thousands of blocks, many in a group
+    monkeypatch.setattr(test_pipeline, "BLOCK_TOKENS", 40)
+    monkeypatch.setattr(test_pipeline.corpus_pipeline, "TARGET_ENTROPY", 1.3)
+    monkeypatch.setattr(test_pipeline.corpus_pipeline, "MAX_REPEATS", 1.5)  # binds
+    rng = random.Random(9)
+    sources = ["hot"] * 900 + ["a"] * 60 + ["b"] * 60 + ["c"] * 5
+    texts = [words(rng, rng.randint(1, 60)) for _ in sources[:-1]] + [None]
+    texts[960:1020] = texts[900:960]  # two sources of one total
+    docs = docs_of(spark, texts, sources)
+    assert temperature([900, 60, 60, 5], 1025, max_repeats=1.5) > temperature([900, 60, 60, 5], 1025, target_entropy=1.3)
+    got = {r.doc_id: r.copies for r in mixture(docs, target_entropy=1.3, max_repeats=1.5).collect()}
+    want = test_pipeline.copies_of([(i, s, len((t or "").split())) for i, (t, s) in enumerate(zip(texts, sources, strict=True))])
+    assert got == {i: want.get(i, 0) for i in range(len(texts))}
+
+
+def test_mixture_odd_rows(spark):
+    rows = [(None, "a b", "s"), (1, "a b", "s"), (1, "a b", "s"), (2, "a b c", None), (3, None, None), (4, "", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n", F.lit("x")).withColumn("rest", F.lit("x")).withColumn("row", F.lit("x"))
+    assert mixture(docs).columns == [*docs.columns, "n_tokens", "block", "copies"]
+    rows = mixed_rows(docs, max_repeats=4.0)
+    assert rows.columns == docs.columns and rows.count() == 4  # those without tokens get no copies of their own
+
+
 def test_cross_entropy_difference_is_that_of_its_models(spark):
     target = docs_of(spark, ["a b a b c", "b a"])
     back = docs_of(spark, ["a b c d e", "e d c b a", None, "rare"])
