@@ -6,7 +6,10 @@ like the target.
 
 The models. The vocabulary is every word of either table; words of neither are one unknown word. Bigrams are
 counted exactly, all of them, and interpolate with the unigrams: P(w | h) = L c(h, w) / c(h) + (1 - L) P(w), or P(w) where
-h has no successor. So both are distributions over the same vocabulary, and they grow with the corpus.
+h has no successor. So both are distributions over the same vocabulary, and they grow with the corpus. They are matched: P(w) is
+smoothed in proportion to a model's words (one count a word for the smaller model), so that unseen words
+have the same share in both, however much longer the background is. A row that is counted as well as scored is scored
+without its own counts.
 
 Scale: texts are cut into chunks of tasks, each staged once as word numbers. A chunk sends each of its distinct words and
 bigrams once, with its counts in target and background side by side, as packed rows for ranges of their hashes; so a hot
@@ -83,7 +86,7 @@ def _unpacked(raw: bytes, kind: type = np.uint64) -> np.ndarray:
     return out
 
 
-def _staged(batches: Iterator[pa.RecordBatch], capped: tuple[set[bytes], set[bytes]] | None, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _staged(batches: Iterator[pa.RecordBatch], capped: tuple[set[bytes], set[bytes]] | None, kind: pa.DataType, chunk_words: int) -> Iterator[pa.RecordBatch]:
     """A row a chunk: its documents, the hashes of its distinct words, and its texts as numbers of these words.
 
     capped: the vocabulary and those of its words between which bigrams count; words outside are the empty word.
@@ -123,7 +126,7 @@ def _staged(batches: Iterator[pa.RecordBatch], capped: tuple[set[bytes], set[byt
             held.append(np.fromiter(map(ids.__getitem__, own), np.int32, len(own)))
             roles.append(roles_in[k])
             words += len(own)
-            if words >= CHUNK_WORDS:
+            if words >= chunk_words:
                 docs.append(names[start : k + 1])
                 yield row()
                 start, words, seen = k + 1, 0, seen + 1
@@ -217,23 +220,47 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = 0
 
 
-def _losses(chunk: Chunk, words: np.ndarray, pairs: np.ndarray, totals: tuple[int, int], vocabulary: int) -> Iterator[np.ndarray]:
-    """The loss in nats of each word of a chunk, by the target model and by the background's."""
-    alone = ~chunk.starts
-    alone[chunk.second] = False
-    alone = np.flatnonzero(alone)  # where a bigram ends that doesn't count
-    for k, total in enumerate(totals):
-        p, after = (words[2 * k] + 1.0) / (total + vocabulary + 1), words[2 * k + 1]
-        out = -np.log(p)[chunk.flat]
-        out[alone] -= np.where(after > 0, np.log(1 - BIGRAM_WEIGHT), 0.0)[chunk.flat[alone - 1]]
-        own = np.where(after > 0, BIGRAM_WEIGHT, 0.0)
-        loss = (own / np.maximum(after, 1))[chunk.head] * pairs[k]
-        loss += (1 - own)[chunk.head] * p[chunk.tail]
-        out[chunk.second] = -np.log(loss)[chunk.pair]
-        yield out
+def _often(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each key among the distinct ones, and how often it occurs."""
+    place = np.unique(keys, return_inverse=True)[1]
+    return place, np.bincount(place)[place]
+
+
+def _means(chunk: Chunk, words: np.ndarray, pairs: np.ndarray, totals: tuple[int, int], vocabulary: int, together: int) -> np.ndarray:
+    """The mean loss in nats of each document's words, by the target model and by the background's; 0 without words. About `together` words at a time."""
+    lengths = chunk.lengths
+    ends = np.cumsum(lengths)
+    out = np.zeros((2, len(lengths)))
+    smooth = [t / min(totals) if min(totals) else 1.0 for t in totals]
+    a = 0
+    while a < len(lengths):
+        begin = int(ends[a] - lengths[a])
+        b = max(a + 1, int(np.searchsorted(ends, begin + together, side="right")))
+        end, n = int(ends[b - 1]), lengths[a:b]
+        flat, doc = chunk.flat[begin:end], np.repeat(np.arange(b - a), n)
+        bounds = np.searchsorted(chunk.second, [begin, end])
+        second, pair = chunk.second[slice(*bounds)] - begin, chunk.pair[slice(*bounds)]
+        alone = ~chunk.starts[begin:end]
+        alone[second] = False
+        alone = np.flatnonzero(alone)  # where a bigram ends that doesn't count
+        place, own_word = _often(doc << 32 | flat)
+        own_after = np.bincount(place[second - 1], minlength=len(flat))[place]
+        own_pair = _often(doc[second] << 32 | pair)[1]
+        for k, role in enumerate((TARGET, BACKGROUND)):
+            counted = chunk.roles[a:b] & np.uint8(role) > 0
+            own = counted[doc]
+            p = (words[2 * k][flat] - own * own_word + smooth[k]) / (totals[k] - (counted * n)[doc] + smooth[k] * (vocabulary + 1.0))
+            after = words[2 * k + 1][flat] - own * own_after  # of each word as a bigram's first
+            loss = -np.log(p)
+            loss[alone] -= np.where(after[alone - 1] > 0, np.log(1 - BIGRAM_WEIGHT), 0.0)
+            weight = np.where(after[second - 1] > 0, BIGRAM_WEIGHT, 0.0)
+            loss[second] = -np.log(weight / np.maximum(after[second - 1], 1) * (pairs[k][pair] - own[second] * own_pair) + (1 - weight) * p[second])
+            out[k, a:b] = np.bincount(doc, loss, minlength=b - a) / np.maximum(n, 1)
+        a = b
+    return out
 
 
-def _scores(batches: Iterator[pa.RecordBatch], totals: tuple[int, int], vocabulary: int, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], totals: tuple[int, int], vocabulary: int, kind: pa.DataType, together: int) -> Iterator[pa.RecordBatch]:
     """Chunks and the answers to them, sorted by chunk and part; a chunk itself has part -1."""
     for table in runs(batches, ["chunk"]):
         row = table.slice(0, 1).to_pylist()[0]
@@ -244,27 +271,25 @@ def _scores(batches: Iterator[pa.RecordBatch], totals: tuple[int, int], vocabula
         words, pairs = (np.concatenate(x, axis=1) if x else np.zeros((w, 0)) for x, w in zip(answers, (4, 2), strict=True))
         n = chunk.lengths
         full = n > 0
-        means = []
-        for loss in _losses(chunk, words, pairs, totals, vocabulary):
-            mean = np.zeros(len(n))
-            if full.any():
-                mean[full] = np.add.reduceat(loss, np.flatnonzero(chunk.starts)) / n[full]
-            means.append(mean)
+        means = _means(chunk, words.astype(np.float64), pairs.astype(np.float64), totals, vocabulary, together)
         doc_ids = table.column("doc_ids").slice(0, 1).combine_chunks().flatten().cast(kind)
         out = [doc_ids, pa.array(n), *(pa.array(x, mask=~full) for x in (*means, means[0] - means[1]))]
         asked = pa.array(chunk.roles & np.uint8(SCORED) > 0)
         yield pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"]).filter(asked)
 
 
-def difference_by_role(rows: DataFrame, *, capped: tuple[set[bytes], set[bytes]] | None = None) -> DataFrame:
-    """`cross_entropy_difference` of rows (doc_id, text, role): a row's role is the sum of SCORED, TARGET and BACKGROUND as they hold for it."""
+def difference_by_role(rows: DataFrame, *, capped: tuple[set[bytes], set[bytes]] | None = None, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """`cross_entropy_difference` of rows (doc_id, text, role): a row's role is the sum of SCORED, TARGET and BACKGROUND as they hold for it.
+
+    A row that is TARGET or BACKGROUND as well as SCORED is scored by models that have not counted it.
+    """
     spark: SparkSession = rows.sparkSession
     scratch = Scratch(spark, "lm-score")
     kind = rows.schema["doc_id"].dataType.simpleString()
     arrow = spark.createDataFrame([], rows.select("doc_id").schema).toArrow().schema.field("doc_id").type
     sent = spark.sparkContext.broadcast(capped)
     schema = f"chunk long, doc_ids array<{kind}>, asks boolean, n_target long, n_background long, known binary, core binary, flat binary, lengths binary, roles binary"
-    chunks = scratch.put(rows.select("doc_id", "text", "role").mapInArrow(lambda b: _staged(b, sent.value, arrow), schema), "chunks")
+    chunks = scratch.put(rows.select("doc_id", "text", "role").mapInArrow(lambda b: _staged(b, sent.value, arrow, chunk_words), schema), "chunks")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = chunks.mapInArrow(lambda b: _sent(b, 2 * tasks), _KEYS).repartition(tasks, "part").sortWithinPartitions("part")
     sums = scratch.put(keys.mapInArrow(_summed, _SUMS), "sums")
@@ -274,14 +299,15 @@ def difference_by_role(rows: DataFrame, *, capped: tuple[set[bytes], set[bytes]]
     asking = chunks.where("asks").drop("asks", "n_target", "n_background").withColumn("part", F.lit(-1))
     both = asking.unionByName(sums.where("sums is not null").drop("words"), allowMissingColumns=True)
     both = both.repartition(tasks, "chunk").sortWithinPartitions("chunk", "part")
-    return both.mapInArrow(lambda b: _scores(b, totals, vocabulary, arrow), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
+    return both.mapInArrow(lambda b: _scores(b, totals, vocabulary, arrow, max(1, chunk_words // 10)), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
 
 
-def cross_entropy_difference(documents: DataFrame, target: DataFrame, background: DataFrame, *, vocabulary_size: int | None = None, core: int | None = None) -> DataFrame:
+def cross_entropy_difference(documents: DataFrame, target: DataFrame, background: DataFrame, *, vocabulary_size: int | None = None, core: int | None = None, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, difference (nats a word) of `documents` (doc_id, text).
 
     `target` and `background` have a text column and are counted whole: all words, all bigrams. Words are runs of
-    0-9, a-z and characters beyond ASCII after lower-casing A-Z. A null, empty or wordless text has no tokens
+    0-9, a-z and characters beyond ASCII after lower-casing A-Z. If `background` is `documents` itself, each row is
+    left out of the background that scores it. A null, empty or wordless text has no tokens
     and null losses. Empty target or background tables give uniform models. Other columns are not read.
 
     Only where a caller asks for smaller models: `vocabulary_size` keeps that many words of the background, by count and
@@ -297,4 +323,4 @@ def cross_entropy_difference(documents: DataFrame, target: DataFrame, background
     rows = documents.select("doc_id", "text", F.lit(SCORED + BACKGROUND * same).alias("role"))
     for table, role in ((target, TARGET),) if same else ((target, TARGET), (background, BACKGROUND)):
         rows = rows.unionByName(table.select(F.lit(None).cast(kind).alias("doc_id"), "text", F.lit(role).alias("role")))
-    return difference_by_role(rows, capped=capped)
+    return difference_by_role(rows, capped=capped, chunk_words=chunk_words)

@@ -280,81 +280,110 @@ def test_mixture_odd_rows(spark):
     assert rows.columns == docs.columns and rows.count() == 4  # those without tokens get no copies of their own
 
 
-def test_cross_entropy_difference_is_that_of_its_models(spark):
-    target = docs_of(spark, ["a b a b c", "b a"])
-    back = docs_of(spark, ["a b c d e", "e d c b a", None, "rare"])
-    got = {r.doc_id: r for r in cross_entropy_difference(docs_of(spark, ["a b", "d e", None, "", "zzz"]), target, back, vocabulary_size=5, core=2).collect()}
-    vocabulary, core = ["a", "b", "c", "d", "e"], ["a", "b"]
-
-    def loss(texts, words_):
-        flat = [w for t in texts for w in t.split()]
-        uni = {w: (flat.count(w) + 1) / (len(flat) + 6) for w in vocabulary}
-        unk = (sum(w not in vocabulary for w in flat) + 1) / (len(flat) + 6)
-        pairs = [p for t in texts for p in zip(t.split(), t.split()[1:], strict=False) if p[0] in core and p[1] in core]
+class PlainModel:
+    """A bigram model over plain counts, of (texts, left out or not)."""
+
+    def __init__(self, texts, smaller, size, core=None):
+        self.flat = [t.split() for t in texts]
+        self.one, self.two, self.first = {}, {}, {}
+        self.core, self.size = core, size
+        for words_ in self.flat:
+            self.add(words_, 1)
+        self.smooth = self.total / smaller if smaller else 1.0
+
+    total = 0
+
+    def add(self, words_, sign):
+        self.total += sign * len(words_)
+        for w in words_:
+            self.one[w] = self.one.get(w, 0) + sign
+        for h, w in zip(words_, words_[1:], strict=False):
+            if self.core is None or (h in self.core and w in self.core):
+                self.two[h, w] = self.two.get((h, w), 0) + sign
+                self.first[h] = self.first.get(h, 0) + sign
+
+    def loss(self, text, own=False):
+        words_ = text.split()
+        if own:
+            self.add(words_, -1)
         out, last = [], None
         for w in words_:
-            p = uni.get(w, unk)
-            after = [x for x in pairs if x[0] == last]
-            if after:
-                p = 0.7 * after.count((last, w)) / len(after) + 0.3 * p
+            p = (self.one.get(w, 0) + self.smooth) / (self.total + self.smooth * self.size)
+            if self.first.get(last, 0) > 0:
+                p = 0.7 * self.two.get((last, w), 0) / self.first[last] + 0.3 * p
             out.append(-np.log(p))
             last = w
+        if own:
+            self.add(words_, 1)
         return float(np.mean(out))
 
-    for i, text in ((0, "a b"), (1, "d e"), (4, "zzz")):
-        a, b = loss(["a b a b c", "b a"], text.split()), loss(["a b c d e", "e d c b a", "rare"], text.split())
-        assert got[i].target_loss == pytest.approx(a, rel=1e-5)
-        assert got[i].difference == pytest.approx(a - b, rel=1e-4, abs=1e-6)
+
+def test_cross_entropy_difference_is_that_of_its_models(spark):
+    near, back = ["a b a b c", "b a"], ["a b c d e", "e d c b a", None, "rare"]
+    asked = ["a b", "d e", None, "", "zzz"]
+    got = {r.doc_id: r for r in cross_entropy_difference(docs_of(spark, asked), docs_of(spark, near), docs_of(spark, back), vocabulary_size=5, core=2).collect()}
+    capped = lambda t: " ".join(w if w in "abcde" else "?" for w in (t or "").split())
+    target, background = (PlainModel([capped(t) for t in texts], 7, 6, core="ab") for texts in (near, back))
+    for i in (0, 1, 4):
+        x, y = target.loss(capped(asked[i])), background.loss(capped(asked[i]))
+        assert got[i].target_loss == pytest.approx(x, rel=1e-9)
+        assert got[i].difference == pytest.approx(x - y, rel=1e-9, abs=1e-9)
     assert got[2].n_tokens == 0 and got[2].difference is None and got[3].difference is None
     assert got[0].difference < got[1].difference
 
 
-def test_cross_entropy_difference_keeps_all_bigrams(spark, monkeypatch):
-    import pagemill.llm.lm_score as lm
-
+def test_cross_entropy_difference_keeps_all_bigrams_and_leaves_rows_out(spark):
     rng = random.Random(4)
     rare = [f"w{i} x{i}" for i in range(2000)]
     texts = [" ".join(rng.choice([*rare, "the"]) if rng.random() < 0.6 else "the" for _ in range(200)) for _ in range(60)] + [None, "", "unheard of"]
+    texts += texts[:3]
     near, back, everything = texts[:20], texts[:60], [t or "" for t in texts]
-
-    def model(own, both):
-        flat = [t.split() for t in own]
-        one, two, first = {}, {}, {}
-        for words_ in flat:
-            for w in words_:
-                one[w] = one.get(w, 0) + 1
-            for h, w in zip(words_, words_[1:], strict=False):
-                two[h, w] = two.get((h, w), 0) + 1
-                first[h] = first.get(h, 0) + 1
-        size = len({w for t in both for w in t.split()}) + 1
-        total = sum(one.values())
-
-        def loss(words_):
-            out, last = [], None
-            for w in words_:
-                p = (one.get(w, 0) + 1) / (total + size)
-                if last in first:
-                    p = 0.7 * two.get((last, w), 0) / first[last] + 0.3 * p
-                out.append(-np.log(p))
-                last = w
-            return float(np.mean(out))
-
-        return loss
-
     assert len({w for t in back for w in t.split()}) > 2048  # more than the core words of old
-    monkeypatch.setattr(lm, "CHUNK_WORDS", 1000, raising=False)
     docs = docs_of(spark, texts)
     for background, own in ((docs_of(spark, back), back), (docs, everything)):
-        target_loss, background_loss = model(near, own), model(own, own)
-        got = {r.doc_id: r for r in cross_entropy_difference(docs, docs_of(spark, near), background).collect()}
+        size = len({w for t in (*near, *own) for w in t.split()}) + 1
+        smaller = min(sum(len(t.split()) for t in x) for x in (near, own))
+        target_model, background_model = PlainModel(near, smaller, size), PlainModel(own, smaller, size)
+        got = {r.doc_id: r for r in cross_entropy_difference(docs, docs_of(spark, near), background, chunk_words=3000).collect()}
         assert len(got) == len(texts)
         for i, text in enumerate(texts):
             if not text:
                 assert got[i].n_tokens == 0 and got[i].difference is None
                 continue
             assert got[i].n_tokens == len(text.split())
-            assert got[i].target_loss == pytest.approx(target_loss(text.split()), rel=1e-9)
-            assert got[i].background_loss == pytest.approx(background_loss(text.split()), rel=1e-9)
+            assert got[i].target_loss == pytest.approx(target_model.loss(text), rel=1e-9)
+            assert got[i].background_loss == pytest.approx(background_model.loss(text, own=own is everything), rel=1e-9)
+
+
+def test_lm_query_against_plain_models(spark, tmp_path):
+    from pagemill.llm.queries import op4_lm_score
+
+    rng = random.Random(12)
+    texts = [words(rng, rng.randint(1, 40)) for _ in range(40)] + [None, "", "...", words(rng, 20_000)]
+    texts += texts[:2]
+    docs_of(spark, texts).withColumn("role", F.lit("own")).withColumn("chunk", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 2), 0) for i in range(30)] + [(None, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    good = {i for i in range(30) if i % 2}
+    size = len({w for t in texts for w in (t or "").strip(".").split()}) + 1
+    near = [texts[i] for i in sorted(good)]
+    smaller = sum(len(t.split()) for t in near)
+    target, background = PlainModel(near, smaller, size), PlainModel([(t or "").strip(".") for t in texts], smaller, size)
+    for r in op4_lm_score(spark, str(tmp_path)).collect():
+        text = (texts[r.doc_id] or "").strip(".")
+        if not text:
+            assert r.n_tokens == 0 and r.difference is None
+            continue
+        assert r.target_loss == pytest.approx(target.loss(text, own=r.doc_id in good), rel=1e-9)
+        assert r.background_loss == pytest.approx(background.loss(text, own=True), rel=1e-9)
+
+
+def test_cross_entropy_difference_of_empty_tables(spark):
+    docs, none = docs_of(spark, ["a b", None]), docs_of(spark, [])
+    for target, background in ((none, docs_of(spark, ["a b c"])), (docs_of(spark, ["a b c"]), none), (none, none)):
+        got = {r.doc_id: r for r in cross_entropy_difference(docs, target, background).collect()}
+        assert got[1].difference is None and np.isfinite(got[0].difference)
+    assert got[0].difference == 0
+    assert cross_entropy_difference(none, docs, docs).count() == 0
 
 
 def test_tokens_round_trip(spark, tmp_path, corpus):
