@@ -1,12 +1,12 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products within cells, one kept per group.
 
-Each vector has a home cell (its nearest centre). Two vectors at or above the threshold lie within a known
-distance, so a vector is also shown to every cell whose boundary is at most that far: that makes
-the comparison within cells exact, whatever the centres are. A cell counts links of its home vectors only,
-so each link is counted once at either end.
+Each vector has a home cell (its nearest centre). The way between two linked vectors of different cells crosses the plane
+that parts these cells, so one of the two lies within half their distance of it. A vector is therefore shown to every
+cell whose plane is at most half the threshold's distance away; that makes the comparison within cells
+exact, whatever the centres are. A pair of which both see the other's cell counts in the cell of the smaller number.
 
-Scale: equal vectors collapse into a class with a count. The centres are fitted on a bounded sample (`SAMPLE_BYTES`)
-and are all that is broadcast; every vector is assigned. Cells are cut into blocks of BLOCK_ROWS, so a hot
+Scale: equal vectors collapse into a class with a count. The centres are fitted on a bounded sample (`SAMPLE_BYTES`), on two
+levels where there are many, and are all that is broadcast; every vector is assigned. Cells are cut into blocks of BLOCK_ROWS, so a hot
 cell becomes many tasks of bounded size. No pairs are emitted: a block gives a count per vector and the edges
 of a spanning forest.
 """
@@ -23,14 +23,18 @@ from pyspark.sql import functions as F
 
 from ._util import Scratch, components, runs
 
-#: Vectors of a cell, about; more cells than MOST_CELLS are not made.
+#: Vectors of a cell, about.
 CELL_ROWS = 2_000
-MOST_CELLS = 2_048
-#: Bytes of vectors, as doubles, that the centres are fitted on.
-SAMPLE_BYTES = 16 << 20
+#: Bytes of vectors, as doubles, that the centres are fitted on at most, and how many of these a centre has.
+SAMPLE_BYTES = 64 << 20
+SAMPLE_A_CELL = 16
+#: Similarities of vectors and centres that a worker holds at a time.
+_HELD = 1 << 22
 #: Vectors of a block; products are made in tiles of TILE rows.
 BLOCK_ROWS = 4_096
 TILE = 256
+#: Blocks of a task, about.
+BLOCKS_A_TASK = 4
 #: Cosines this near the threshold are worked out again, one by one.
 NEAR = 1e-9
 
@@ -76,56 +80,81 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return np.unique(c, axis=0)
 
 
+def fitted_centres(x: np.ndarray, k: int) -> np.ndarray:
+    """About k centres of unit rows; many of them by parts, one for each of about the root of k first centres."""
+    if k <= 256:
+        return spherical_kmeans(x, k)
+    first = spherical_kmeans(x, round(k**0.5))
+    home = (x @ first.T).argmax(axis=1)
+    parts = [x[home == j] for j in range(len(first)) if (home == j).any()]
+    return np.unique(np.concatenate([spherical_kmeans(p, max(1, round(k * len(p) / len(x)))) for p in parts]), axis=0)
+
+
 def _fit(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     raw = sorted(v for b in batches for v in b.column("vec").to_pylist())
     if raw:
-        yield pa.RecordBatch.from_arrays([pa.array([spherical_kmeans(unit(raw), k).tobytes()], pa.binary())], ["centres"])
+        yield pa.RecordBatch.from_arrays([pa.array([fitted_centres(unit(raw), k).tobytes()], pa.binary())], ["centres"])
+
+
+_CELLS = "dim int, cell int, home int, own int, shown array<int>, rep long, copies long, vec binary"
 
 
 def _assigned(batches: Iterator[pa.RecordBatch], centres: dict[int, np.ndarray], reach: float) -> Iterator[pa.RecordBatch]:
-    """A row of each class for its home cell (home = 1) and for each cell it must be shown to (home = 0)."""
-    apart = {d: np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)) for d, c in centres.items()}
+    """A row of each class for its home cell (home = 1), with all cells it is shown to, and for each of these (home = 0, own: its home cell)."""
+    names = [x.split()[0] for x in _CELLS.split(", ")]
     for batch in batches:
         raw = np.array(batch.column("vec").to_pylist(), object)
         dims = np.array([len(r) // 8 for r in raw.tolist()], np.int64)
         rep, copies = batch.column("rep").to_numpy(), batch.column("copies").to_numpy()
         for d in np.unique(dims).tolist():
-            at = np.flatnonzero(dims == d)
-            for a in range(0, len(at), 4096):
-                some = at[a : a + 4096]
-                s = unit(raw[some].tolist()) @ centres[d].T
+            at, c = np.flatnonzero(dims == d), centres[d]
+            step = max(1, _HELD // len(c))
+            for a in range(0, len(at), step):
+                some = at[a : a + step]
+                s = unit(raw[some].tolist()) @ c.T
                 home = s.argmax(axis=1)
-                gap = s.max(axis=1, keepdims=True) - s
-                shown = gap <= reach * apart[d][home] + 1e-9
-                shown[np.arange(len(some)), home] = True
-                i, c = np.nonzero(shown)
-                rows = some[i]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c * 65536 + d, pa.int64()), pa.array((home[i] == c).astype(np.int32)), pa.array(rep[rows]), pa.array(copies[rows]), pa.array(raw[rows].tolist(), pa.binary())],
-                    ["cell", "home", "rep", "copies", "vec"],
-                )
+                homes, of = np.unique(home, return_inverse=True)
+                apart = np.sqrt(np.maximum(2 - 2 * (c[homes] @ c.T), 0))
+                shown = s.max(axis=1, keepdims=True) - s <= reach / 2 * apart[of] + 1e-9
+                shown[np.arange(len(some)), home] = False
+                i, cell = np.nonzero(shown)
+                starts = np.r_[0, np.cumsum(np.bincount(i, minlength=len(some)))].astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(cell.astype(np.int32)))
+                for rows, cells, is_home, shown_to in ((some, home, 1, lists), (some[i], cell, 0, pa.nulls(len(i), pa.list_(pa.int32())))):
+                    own = home if is_home else home[i]
+                    values = [np.full(len(rows), d, np.int32), cells.astype(np.int32), np.full(len(rows), is_home, np.int32), own.astype(np.int32), shown_to, rep[rows], copies[rows]]
+                    yield pa.RecordBatch.from_arrays([*(v if isinstance(v, pa.Array) else pa.array(v) for v in values), pa.array(raw[rows].tolist(), pa.binary())], names)
 
 
 def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
-    """Of each block pair: (a, n): the vectors linked to home class a; (a, b): edges of a spanning forest."""
-    for rows in runs(batches, ["cell", "hb", "cb"]):
-        side, rep, copies = (rows.column(c).to_numpy() for c in ("home", "rep", "copies"))
-        raw = rows.column("vec").to_pylist()
+    """Of each block pair: (a, n): the vectors linked to class a; (a, b): edges of a spanning forest."""
+    for rows in runs(batches, ["dim", "cell", "hb", "cb"]):
+        side, own_cell, rep, copies = (rows.column(c).to_numpy() for c in ("home", "own", "rep", "copies"))
+        raw, cell = rows.column("vec").to_pylist(), rows.column("cell")[0].as_py()
         own, other = np.flatnonzero(side == 1), np.flatnonzero(side == 0)
         if not len(own) or not len(other):
             continue
+        # A guest that sees this cell counts here unless the host sees the guest's, which has the smaller number.
+        guests, guest = np.unique(own_cell[other], return_inverse=True)
+        lower = guests < cell
+        elsewhere = np.zeros((len(own), len(guests)), bool)
+        for i, shown in enumerate(rows.column("shown").take(pa.array(own)).to_pylist()):
+            elsewhere[i] = np.isin(guests, shown) & lower
+        is_guest = own_cell[other] != cell
         x, y = unit([raw[i] for i in own.tolist()]), unit([raw[i] for i in other.tolist()])
         ids, place = np.unique(np.r_[rep[own], rep[other]], return_inverse=True)
         label = np.arange(len(ids))
         mine, theirs = place[: len(own)], place[len(own) :]
-        counts, edges = np.zeros(len(own), np.int64), []
+        counts, edges = np.zeros(len(ids), np.int64), []
         for a in range(0, len(own), TILE):
             s = x[a : a + TILE] @ y.T
             near = s >= threshold
             for i, j in zip(*np.nonzero(np.abs(s - threshold) < NEAR), strict=True):
                 near[i, j] = cosine(raw[own[a + i]], raw[other[j]]) >= threshold
             near &= mine[a : a + TILE, None] != theirs[None, :]
-            counts[a : a + TILE] = near @ copies[other]
+            near &= ~elsewhere[a : a + TILE][:, guest]
+            counts[mine[a : a + TILE]] += near @ copies[other]
+            counts[theirs] += np.where(is_guest, copies[own[a : a + TILE]] @ near, 0)
             for i in np.flatnonzero(near.any(axis=1)).tolist():
                 me, linked = mine[a + i], theirs[near[i]]
                 for other_one in linked[np.unique(label[linked], return_index=True)[1]].tolist():
@@ -134,7 +163,7 @@ def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
                         low, high = sorted((label[other_one], label[me]))
                         label[label == high] = low
         keep = np.flatnonzero(counts)
-        a = np.r_[rep[own][keep], np.array([e[0] for e in edges], np.int64)]
+        a = np.r_[ids[keep], np.array([e[0] for e in edges], np.int64)]
         b = pa.array([None] * len(keep) + [int(e[1]) for e in edges], pa.int64())
         n = pa.array(counts[keep].tolist() + [None] * len(edges), pa.int64())
         if len(a):
@@ -142,7 +171,9 @@ def _linked(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.
 
 
 def cosine(a: bytes, b: bytes) -> float:
+    """Of the doubles in a and b, each first divided by its largest, so that no square overflows."""
     x, y = np.frombuffer(a, np.float64), np.frombuffer(b, np.float64)
+    x, y = x / np.abs(x).max(), y / np.abs(y).max()
     return float(x @ y / (np.sqrt(x @ x) * np.sqrt(y @ y)))
 
 
@@ -166,16 +197,22 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95) -> DataFrame
 
     centres: dict[int, np.ndarray] = {}
     for d, n in ((r[0] // 8, r[1]) for r in classes.groupBy(F.length("vec")).count().collect()):  # a row for each length of vector
-        sample = classes.where(F.length("vec") == 8 * d).orderBy(F.xxhash64("k1", "k2")).limit(max(1, SAMPLE_BYTES // (8 * d))).select("vec")
-        k = max(1, min(MOST_CELLS, n // CELL_ROWS))
+        k = max(1, min(n // CELL_ROWS, SAMPLE_BYTES // (8 * d * SAMPLE_A_CELL)))
+        # Hashes are even: those below this bound are about the sample, so that no task sorts all vectors.
+        most = max(SAMPLE_A_CELL * k, min(n, SAMPLE_BYTES // (64 * d)))
+        bound = min(2**63 - 1, -(2**63) + 2**64 * (2 * most + 1_000) // n)
+        sample = classes.where((F.length("vec") == 8 * d) & (F.xxhash64("k1", "k2") <= bound)).orderBy(F.xxhash64("k1", "k2")).limit(most).select("vec")
         centres[d] = np.frombuffer(sample.coalesce(1).mapInArrow(lambda b, k=k: _fit(b, k), "centres binary").first()[0], np.float64).reshape(-1, d)
     reach = float(np.sqrt(2 - 2 * threshold))
-    cells = scratch.put(classes.select("rep", "copies", "vec").mapInArrow(lambda b: _assigned(b, centres, reach), "cell long, home int, rep long, copies long, vec binary"), "cells")
-    sizes = cells.groupBy("cell").agg(F.ceil(F.sum("home") / BLOCK_ROWS).cast("int").alias("hbs"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("cbs"))
-    dealt = cells.join(F.broadcast(sizes.where("hbs > 0")), "cell").withColumn("h", F.xxhash64("rep"))  # at most MOST_CELLS rows for a length
-    home = dealt.where("home = 1").select("cell", F.expr("int(pmod(h, hbs))").alias("hb"), F.explode(F.sequence(F.lit(0), F.col("cbs") - 1)).alias("cb"), F.lit(1).alias("home"), "rep", "copies", "vec")
-    other = dealt.select("cell", F.explode(F.sequence(F.lit(0), F.col("hbs") - 1)).alias("hb"), F.expr("int(pmod(h, cbs))").alias("cb"), F.lit(0).alias("home"), "rep", "copies", "vec")
-    blocks = home.unionByName(other).repartition(tasks, "cell", "hb", "cb").sortWithinPartitions("cell", "hb", "cb")
+    cells = scratch.put(classes.select("rep", "copies", "vec").mapInArrow(lambda b: _assigned(b, centres, reach), _CELLS), "cells")
+    sizes = cells.groupBy("dim", "cell").agg(F.ceil(F.sum("home") / BLOCK_ROWS).cast("int").alias("hbs"), F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("cbs"))
+    sizes = scratch.put(sizes.where("hbs > 0"), "sizes")  # a row for each centre
+    tasks = max(tasks, (sizes.agg(F.sum(F.col("hbs") * F.col("cbs"))).first()[0] or 0) // BLOCKS_A_TASK)
+    dealt = cells.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("h", F.xxhash64("rep"))
+    both = ["own", "rep", "copies", "vec"]
+    home = dealt.where("home = 1").select("dim", "cell", F.expr("int(pmod(h, hbs))").alias("hb"), F.explode(F.sequence(F.lit(0), F.col("cbs") - 1)).alias("cb"), F.lit(1).alias("home"), "shown", *both)
+    other = dealt.select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("hbs") - 1)).alias("hb"), F.expr("int(pmod(h, cbs))").alias("cb"), F.lit(0).alias("home"), F.lit(None).cast("array<int>").alias("shown"), *both)
+    blocks = home.unionByName(other).repartition(tasks, "dim", "cell", "hb", "cb").sortWithinPartitions("dim", "cell", "hb", "cb")
     found = scratch.put(blocks.mapInArrow(lambda b: _linked(b, threshold), "a long, b long, n long"), "found")
     scratch.drop("cells")
 

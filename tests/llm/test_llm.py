@@ -472,6 +472,29 @@ def test_embedding_cells_lose_nothing(spark, monkeypatch):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_shows_half_the_reach(spark):
+    from pagemill.llm import embedding_dedup as e
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres, reach = e.spherical_kmeans(x, 30), float(np.sqrt(2 - 2 * 0.95))
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"vec": [v.tobytes() for v in x], "rep": list(range(3000)), "copies": [1] * 3000})
+    shown = sum(b.num_rows for b in e._assigned(iter([batch]), {16: centres}, reach)) - 3000
+    whole = sum(b.num_rows for b in e._assigned(iter([batch]), {16: centres}, 2 * reach)) - 3000
+    assert 0 < shown < 0.6 * whole
+    many = e.fitted_centres(x, 400)
+    assert 300 < len(many) <= 440 and np.allclose(np.linalg.norm(many, axis=1), 1)
+
+
+def test_embedding_odd_rows(spark):
+    big = [1e200, 1.0, -1e200]
+    rows = [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, big), (4, [v * 1e100 for v in big]), (5, [1.0] * 70_000), (6, [1.0] * 69_999 + [2.0]), (7, [0.0, -0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("cell", F.lit(1)).withColumn("home", F.lit("x")).withColumn("vec", F.lit(b"x"))
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in near_duplicates(df).collect())
+    assert got == [(0, 0, 0, False), (1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 3, True), (4, 1, 3, False), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True)]
+
+
 def test_quality_learns_and_holds_out(spark):
     rng = random.Random(4)
     texts = [words(rng, 40) if i % 3 else " ".join(f"{w}###" for w in words(rng, 40).split()) for i in range(300)] + [None, "", "   ", words(rng, 20_000)]
