@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: what looks like a price.
 PRICE = r"[$€£¥]\s?\d|\d+[.,]\d{2}"
 
 
@@ -61,15 +62,16 @@ def escape_class(name: Column) -> Column:
 
 
 def selector_of(tag: Column, classes: Column) -> Column:
-    """tag.class.class of at most three classes."""
-    return F.concat(tag, F.array_join(F.transform(F.slice(classes, 1, 3), lambda c: F.concat(F.lit("."), escape_class(c))), ""))
+    """tag.class.class of at most CLASSES_IN_SELECTOR classes."""
+    return F.concat(tag, F.array_join(F.transform(F.slice(classes, 1, CLASSES_IN_SELECTOR), lambda c: F.concat(F.lit("."), escape_class(c))), ""))
 
 
-#: Class names that a page's state or build puts there.
+#: How many classes a selector names, the longest class that it may name, and class names that a page's state or build puts there.
+CLASSES_IN_SELECTOR, LONGEST_CLASS = 3, 30
 UNSTABLE_CLASS = r"^(is-|has-|active|selected|hover|open|expanded|focused|css-[a-z0-9]+|sc-[a-z0-9]+|jsx-\d+|\d+)$"
 
 
 def stable_classes(class_attribute: Column) -> Column:
     """The lower-cased class names that are neither state, nor generated, nor over 30 characters; distinct and sorted."""
     names = F.split(F.lower(F.coalesce(class_attribute, F.lit(""))), r"\s+")
-    return F.array_sort(F.array_distinct(F.filter(names, lambda c: (c != "") & (F.length(c) <= 30) & ~c.rlike(UNSTABLE_CLASS))))
+    return F.array_sort(F.array_distinct(F.filter(names, lambda c: (c != "") & (F.length(c) <= LONGEST_CLASS) & ~c.rlike(UNSTABLE_CLASS))))

@@ -225,27 +225,35 @@ def matches(n: Column, c: Compound, nodes: Column) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
-def _holds(nodes: Column, n: Column, c: Clause) -> Column:
-    """Whether a node ends a clause: its own compound, and a node that ends what is left of it where the combinator says."""
-    combinator, last = c[-1]
-    own = matches(n, last, nodes)
-    if len(c) == 1:
-        return own
-    where = {
-        " ": lambda a: dom.inside(n, a),
-        ">": lambda a: a["nid"] == n["pid"],
-        "+": lambda a: (a["pid"] == n["pid"]) & (a["sib"] == n["sib"] - 1),
-        "~": lambda a: (a["pid"] == n["pid"]) & (a["sib"] < n["sib"]),
-    }[combinator]
-    return own & F.exists(nodes, lambda a: dom.is_element(a) & where(a) & _holds(nodes, a, c[:-1]))
+def _numbers(found: Column) -> Column:
+    return F.transform(found, lambda n: n["nid"])
 
 
-def _yields(nodes: Column, c: Clause, n: Column) -> Column:
-    return dom.is_element(n) & _holds(nodes, n, c)
+def _outermost(found: Column) -> Column:
+    """Of nodes in document order those that lie within no other of them, by number."""
+    step = lambda s, n: F.when(n["nid"] > s["last"], F.struct(n["last"].alias("last"), F.concat(s["ids"], F.array(n["nid"])).alias("ids"))).otherwise(s)
+    return F.aggregate(found, F.struct(F.lit(-1).alias("last"), F.array().cast("array<int>").alias("ids")), step, lambda s: s["ids"])
 
 
-def _unary(nodes: Column, c: Clause):  # noqa: ANN202
-    return lambda n: _yields(nodes, c, n)
+def _matched(nodes: Column, c: Clause) -> Column:
+    """The nodes that a clause yields, in document order: those of its first compound, then from step to step those that its combinators lead to.
+
+    A step costs the nodes below the outermost ones found so far, or a look-up of each node's parent or sibling.
+    """
+    found = F.filter(nodes, lambda n: dom.is_element(n) & matches(n, c[0][1], nodes))
+    for combinator, own in c[1:]:
+        found = _step(nodes, found, combinator, own)
+    return found
+
+
+def _step(nodes: Column, found: Column, combinator: str, own: Compound) -> Column:
+    if combinator == " ":
+        tops = F.transform(_outermost(found), lambda i: dom.node_at(nodes, i))
+        return F.flatten(F.transform(tops, lambda a: F.filter(dom.below(nodes, a), lambda n: dom.is_element(n) & matches(n, own, nodes))))
+    if combinator == "~":  # the first that was found among the children of a parent decides for all behind it
+        return dom.let(found, lambda before: F.filter(nodes, lambda n: dom.is_element(n) & matches(n, own, nodes) & F.exists(before, lambda a: (a["pid"] == n["pid"]) & (a["sib"] < n["sib"]))))
+    to = "pid" if combinator == ">" else "prev"
+    return dom.let(_numbers(found), lambda ids: F.filter(nodes, lambda n: dom.is_element(n) & matches(n, own, nodes) & F.array_contains(ids, n[to])))
 
 
 def select_all(nodes: Column, selector: str, most: int = MOST) -> Column:
@@ -253,7 +261,7 @@ def select_all(nodes: Column, selector: str, most: int = MOST) -> Column:
     length = lambda n: F.length(dom.text_of(nodes, n, " "))
     found = []
     for c in clauses(selector):
-        own = F.filter(nodes, _unary(nodes, c))
+        own = _matched(nodes, c)
         if any(x.contains for _, x in c):
             own = F.transform(F.array_sort(F.transform(own, lambda n: F.struct(length(n).alias("size"), n["nid"].alias("nid"), n.alias("node"))), lambda a, b: F.when(a["size"] != b["size"], a["size"] - b["size"]).otherwise(a["nid"] - b["nid"])), lambda x: x["node"])
         found.append(own)

@@ -1,13 +1,24 @@
 """HTML to nodes: the one place where a page is parsed, and Columns over its nodes.
 
-A page becomes an array of nodes in document order. `last` is the number of a node's last descendant, so a
-descendant test is an interval test, and a subtree is a slice. Text is a node of its own (tag '#text'); that of
+A page becomes an array of nodes in document order. A node's number is its place, and `last` is the number of its last
+descendant: a descendant test is an interval test, a subtree is a slice, and a parent or sibling is one look-up. So
+what is said of a page costs its nodes, not their square. Text is a node of its own (tag '#text'); that of
 scripts and styles has the tag '#raw' and is no visible text.
+
+Fields: nid, pid (parent), depth, last; sib and sibs (place among the parent's elements, and their number), kind and kinds (the same
+among those of its tag); prev and next (element siblings, or -1); kids (element children); nav (whether it lies within a page
+area that is no content); like, likes, like_next (place, number and next of the siblings of its tag and stable classes) and, of the
+first of at least LEAST_ALIKE such siblings, alike: how many elements of the page its selector matches.
+
+Functions take `nodes` as a page's array or as a slice of it.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -15,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagemill.functions.text import collapse, let
+from pagemill.functions.text import CLASSES_IN_SELECTOR, LONGEST_CLASS, UNSTABLE_CLASS, collapse, let
 
 #: Fixed values of HTML: elements without content, and which open elements a start tag ends.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -23,16 +34,25 @@ BLOCKS = {"address", "article", "aside", "blockquote", "details", "div", "dl", "
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "thead": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody", "tfoot"}, {"table"})}
 RAW = {"script", "style"}
 SCOPE = {"table", "td", "th", "caption", "button", "object", "html"}
-
+#: Page areas that are no content, and tags that are no records.
+NAV = ["nav", "footer", "aside", "header"]
+SKIP = ["script", "style", "noscript", "br", "hr", "meta", "link", "head"]
+#: Siblings that can be records of one kind.
+LEAST_ALIKE = 3
+
+#: Where a parsed node, as a list, holds each field.
+_NUMBERS = ["nid", "pid", "depth", "last", "sib", "sibs", "kind", "kinds", "prev", "next", "kids", "nav", "like", "likes", "like_next", "alike"]
+AT_TAG, AT_ATTRS, AT_TEXT = range(len(_NUMBERS), len(_NUMBERS) + 3)
+AT_NID, AT_PID, AT_DEPTH, AT_LAST, AT_SIB, AT_SIBS, AT_KIND, AT_KINDS, AT_PREV, AT_NEXT, AT_KIDS, AT_IN_NAV, AT_LIKE, AT_LIKES, AT_LIKE_NEXT, AT_ALIKE = range(len(_NUMBERS))
 NODE = T.StructType(
-    [T.StructField(n, T.IntegerType()) for n in ("nid", "pid", "depth", "last", "sib", "sibs", "kind", "kinds")]
+    [T.StructField(n, T.BooleanType() if n == "nav" else T.IntegerType()) for n in _NUMBERS]
     + [T.StructField("tag", T.StringType()), T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType())]
 )
 NODES = T.ArrayType(NODE)
 
 
 class _Builder(HTMLParser):
-    """Nodes as lists [nid, pid, depth, last, sib, sibs, kind, kinds, tag, attrs, text]."""
+    """Nodes as lists of the fields of NODE."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -40,19 +60,20 @@ class _Builder(HTMLParser):
         self.open: list[int] = []
 
     def add(self, tag: str, attrs: dict | None, text: str | None) -> int:
-        nid = len(self.nodes)
-        self.nodes.append([nid, self.open[-1] if self.open else -1, len(self.open), nid, 0, 0, 0, 0, tag, attrs, text])
+        nid, pid = len(self.nodes), self.open[-1] if self.open else -1
+        nav = pid >= 0 and (self.nodes[pid][AT_IN_NAV] or self.nodes[pid][AT_TAG] in NAV)
+        self.nodes.append([nid, pid, len(self.open), nid, 0, 0, 0, 0, -1, -1, 0, nav, 0, 0, -1, 0, tag, attrs, text])
         return nid
 
     def end_through(self, at: int) -> None:
         """Ends the open elements from the at-th on."""
         for nid in self.open[at:]:
-            self.nodes[nid][3] = len(self.nodes) - 1
+            self.nodes[nid][AT_LAST] = len(self.nodes) - 1
         del self.open[at:]
 
     def nearest(self, tags: set[str], stop: set[str]) -> int | None:
         for i in range(len(self.open) - 1, -1, -1):
-            tag = self.nodes[self.open[i]][8]
+            tag = self.nodes[self.open[i]][AT_TAG]
             if tag in tags:
                 return i
             if tag in stop:
@@ -78,16 +99,26 @@ class _Builder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
-            if self.nodes[self.open[i]][8] == tag:
+            if self.nodes[self.open[i]][AT_TAG] == tag:
                 self.end_through(i)
                 return
 
     def handle_data(self, data: str) -> None:
         if data:
-            raw = self.open and self.nodes[self.open[-1]][8] in RAW
+            raw = self.open and self.nodes[self.open[-1]][AT_TAG] in RAW
             self.add("#raw" if raw else "#text", None, data)
 
 
+_UNSTABLE = re.compile(UNSTABLE_CLASS)
+
+
+@lru_cache(maxsize=10_000)
+def _classes(names: str) -> tuple[frozenset[str], tuple[str, ...]]:
+    """All lower-cased class names of an attribute, and the stable ones in order (functions.text.stable_classes)."""
+    every = frozenset(names.lower().split())
+    return every, tuple(sorted(c for c in every if len(c) <= LONGEST_CLASS and not _UNSTABLE.match(c)))
+
+
 def parse(html: str | None) -> list[list]:
     """The nodes of a page; none for null and empty ones. Whatever the markup, nothing is raised."""
     builder = _Builder()
@@ -100,16 +131,41 @@ def parse(html: str | None) -> list[list]:
     nodes = builder.nodes
     children: dict[int, list[int]] = {}
     for n in nodes:
-        if n[9] is not None:
-            children.setdefault(n[1], []).append(n[0])
-    for own in children.values():
+        if n[AT_ATTRS] is not None:
+            children.setdefault(n[AT_PID], []).append(n[AT_NID])
+    firsts: list[tuple[list, tuple[str, ...]]] = []
+    for pid, own in children.items():
+        if pid >= 0:
+            nodes[pid][AT_KIDS] = len(own)
         kinds: dict[str, int] = {}
         for i, nid in enumerate(own):
-            tag = nodes[nid][8]
-            kinds[tag] = kinds.get(tag, 0) + 1
-            nodes[nid][4:7] = [i + 1, len(own), kinds[tag]]
+            n = nodes[nid]
+            kinds[n[AT_TAG]] = kinds.get(n[AT_TAG], 0) + 1
+            n[AT_SIB], n[AT_SIBS], n[AT_KIND] = i + 1, len(own), kinds[n[AT_TAG]]
+            n[AT_PREV], n[AT_NEXT] = own[i - 1] if i else -1, own[i + 1] if i + 1 < len(own) else -1
         for nid in own:
-            nodes[nid][7] = kinds[nodes[nid][8]]
+            nodes[nid][AT_KINDS] = kinds[nodes[nid][AT_TAG]]
+        if len(own) >= LEAST_ALIKE:
+            groups: dict[tuple, list[int]] = {}
+            for nid in own:
+                n = nodes[nid]
+                groups.setdefault((n[AT_TAG], _classes(n[AT_ATTRS].get("class", ""))[1]), []).append(nid)
+            for (_, stable), group in groups.items():
+                for i, nid in enumerate(group):
+                    nodes[nid][AT_LIKE], nodes[nid][AT_LIKES], nodes[nid][AT_LIKE_NEXT] = i + 1, len(group), group[i + 1] if i + 1 < len(group) else -1
+                if len(group) >= LEAST_ALIKE:
+                    firsts.append((nodes[group[0]], stable[:CLASSES_IN_SELECTOR]))
+    if firsts:
+        every: dict[str, Counter] = {}
+        for n in nodes:
+            if n[AT_ATTRS] is not None and n[AT_TAG] not in SKIP:
+                every.setdefault(n[AT_TAG], Counter())[_classes(n[AT_ATTRS].get("class", ""))[0]] += 1
+        matched: dict[tuple, int] = {}
+        for n, wanted in firsts:
+            key = n[AT_TAG], wanted
+            if key not in matched:
+                matched[key] = sum(k for names, k in every.get(n[AT_TAG], {}).items() if names.issuperset(wanted))
+            n[AT_ALIKE] = matched[key]
     return nodes
 
 
@@ -119,16 +175,16 @@ def _lists(pages: list[list[list]]) -> pa.Array:
     offsets = [0]
     for page in pages:
         offsets.append(offsets[-1] + len(page))
-    columns: list[pa.Array] = [pa.array([n[i] for n in flat], pa.int32()) for i in range(8)]
-    columns.append(pa.array([n[8] for n in flat], pa.string()))
+    columns: list[pa.Array] = [pa.array([n[i] for n in flat], pa.bool_() if i == AT_IN_NAV else pa.int32()) for i in range(len(_NUMBERS))]
+    columns.append(pa.array([n[AT_TAG] for n in flat], pa.string()))
     at, keys, values = [0], [], []
     for n in flat:
-        if n[9]:
-            keys.extend(n[9].keys())
-            values.extend(n[9].values())
+        if n[AT_ATTRS]:
+            keys.extend(n[AT_ATTRS].keys())
+            values.extend(n[AT_ATTRS].values())
         at.append(len(keys))
     columns.append(pa.MapArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string())))
-    columns.append(pa.array([n[10] for n in flat], pa.string()))
+    columns.append(pa.array([n[AT_TEXT] for n in flat], pa.string()))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, NODE.fieldNames()))
 
 
@@ -148,7 +204,7 @@ def parse_pages(pages: DataFrame, html: str = "html", column: str = "nodes") ->
 
 
 def is_element(n: Column) -> Column:
-    return n["attrs"].isNotNull()
+    return ~n["tag"].startswith("#")
 
 
 def inside(n: Column, outer: Column) -> Column:
@@ -156,10 +212,29 @@ def inside(n: Column, outer: Column) -> Column:
     return (n["nid"] > outer["nid"]) & (n["nid"] <= outer["last"])
 
 
+def first(array: Column) -> Column:
+    return F.get(array, F.lit(0))
+
+
+def node_at(nodes: Column, nid: Column) -> Column:
+    """The node of a number, or null."""
+    return F.get(nodes, nid - first(nodes)["nid"])
+
+
+def subtree(nodes: Column, n: Column) -> Column:
+    """A node and its descendants, as an array of their own."""
+    return F.slice(nodes, n["nid"] - first(nodes)["nid"] + 1, n["last"] - n["nid"] + 1)
+
+
+def below(nodes: Column, n: Column) -> Column:
+    """A node's descendants."""
+    return F.slice(nodes, n["nid"] - first(nodes)["nid"] + 2, n["last"] - n["nid"])
+
+
 def text_of(nodes: Column, n: Column, separator: str = "") -> Column:
-    """The visible text of a node, white space collapsed. The text nodes are joined by the separator."""
-    own = lambda v: F.filter(nodes, lambda m: (m["tag"] == "#text") & (m["nid"] >= v["nid"]) & (m["nid"] <= v["last"]))
-    return let(n, lambda v: collapse(F.array_join(F.transform(own(v), lambda m: m["text"]), separator)))
+    """The visible text of a node, white space collapsed; empty for a null node. The text nodes are joined by the separator."""
+    own = lambda v: F.transform(F.filter(subtree(nodes, v), lambda m: m["tag"] == "#text"), lambda m: m["text"])
+    return let(n, lambda v: F.coalesce(collapse(F.array_join(own(v), separator)), F.lit("")))
 
 
 def attribute(n: Column, name: str) -> Column:
@@ -168,12 +243,3 @@ def attribute(n: Column, name: str) -> Column:
 
 def with_tag(nodes: Column, *tags: str) -> Column:
     return F.filter(nodes, lambda n: n["tag"].isin(*tags))
-
-
-def first(array: Column) -> Column:
-    return F.get(array, F.lit(0))
-
-
-def subtree(nodes: Column, n: Column) -> Column:
-    """A node and its descendants, as an array of their own."""
-    return F.filter(nodes, lambda m: (m["nid"] >= n["nid"]) & (m["nid"] <= n["last"]))

@@ -9,10 +9,9 @@ from pagemill.functions.text import collapse, field_term
 from pagemill.functions.urls import join_url
 
 from . import dom
-from .sections import candidate_sections
+from .sections import NO_SECTIONS, sections_of
 
-#: What page areas are no content, and marks of calendar links.
-NAV = ["nav", "footer", "aside", "header"]
+#: Marks of calendar links, and the order in which blocks of text are taken.
 CALENDAR = r"(?i)\.ics|calendar|ical|icalendarfrom=|ical="
 BLOCK_TAGS = ["h1", "h2", "h3", "h4", "p", "li", "section", "article", "blockquote"]
 
@@ -21,9 +20,9 @@ def _cut(text: Column, most: int) -> Column:
     return F.substring(text, 1, most)
 
 
-def _distinct_by(array: Column, key) -> Column:  # noqa: ANN001
-    """The first element of each key, in order."""
-    step = lambda held, x: F.when(F.exists(held, lambda y: key(y) == key(x)), held).otherwise(F.concat(held, F.array(x)))
+def _distinct_by(array: Column, key, most: int) -> Column:  # noqa: ANN001
+    """The first element of each key, in order; at most so many."""
+    step = lambda held, x: F.when((F.size(held) >= most) | F.exists(held, lambda y: key(y) == key(x)), held).otherwise(F.concat(held, F.array(x)))
     return F.aggregate(array, F.filter(array, lambda x: F.lit(False)), step)
 
 
@@ -57,14 +56,14 @@ def _hrefs(nodes: Column) -> Column:
 
 def links(nodes: Column, base: Column) -> Column:
     """Links of the content, not of navigation; at most 20."""
-    content = dom.let(dom.with_tag(nodes, *NAV), lambda navs: F.filter(_hrefs(nodes), lambda n: ~F.exists(navs, lambda a: dom.inside(n, a))))
+    content = F.filter(_hrefs(nodes), lambda n: ~n["nav"])
     return F.transform(F.slice(content, 1, 20), lambda n: F.struct(_cut(dom.text_of(nodes, n), 120).alias("text"), join_url(base, dom.attribute(n, "href")).alias("href")))
 
 
 def anchors(nodes: Column, base: Column) -> Column:
     """All links, distinct in text and target; at most 80."""
-    found = F.transform(_hrefs(nodes), lambda n: F.struct(_cut(dom.text_of(nodes, n, " "), 140).alias("text"), join_url(base, dom.attribute(n, "href")).alias("href")))
-    return F.slice(F.array_distinct(found), 1, 80)
+    pair = F.transform(_hrefs(nodes), lambda n: F.concat(_cut(dom.text_of(nodes, n, " "), 140), F.lit("\0"), F.coalesce(join_url(base, dom.attribute(n, "href")), F.lit(""))))  # strings are told apart by their hash, structs one by one
+    return F.transform(F.slice(F.array_distinct(pair), 1, 80), lambda p: F.struct(F.substring_index(p, "\0", 1).alias("text"), F.substring_index(p, "\0", -1).alias("href")))
 
 
 def calendar_urls(anchor_list: Column) -> Column:
@@ -84,16 +83,16 @@ def list_pairs(nodes: Column) -> Column:
     text = lambda n, most: _cut(dom.text_of(nodes, n, " "), most)
 
     def of(dl: Column) -> Column:
-        own = F.filter(nodes, lambda n: dom.inside(n, dl))
-        dt = dom.with_tag(own, "dt")
-        return dom.let(dom.with_tag(own, "dd"), lambda dd: F.transform(F.slice(dt, F.lit(1), F.least(F.size(dt), F.size(dd))), lambda n, i: _pair(text(n, 120), text(F.get(dd, i), 300))))
+        own = dom.below(nodes, dl)
+        both = lambda dt, dd: F.transform(F.slice(dt, F.lit(1), F.least(F.size(dt), F.size(dd))), lambda n, i: _pair(text(n, 120), text(F.get(dd, i), 300)))
+        return dom.let(dom.with_tag(own, "dt"), lambda dt: dom.let(dom.with_tag(own, "dd"), lambda dd: both(dt, dd)))
 
     return _full(F.flatten(F.transform(dom.with_tag(nodes, "dl"), of)))
 
 
 def row_pairs(nodes: Column) -> Column:
     """Table rows of exactly two cells."""
-    cells = lambda tr: F.filter(nodes, lambda n: n["tag"].isin("td", "th") & dom.inside(n, tr))
+    cells = lambda tr: dom.with_tag(dom.below(nodes, tr), "td", "th")
     rows = F.filter(F.transform(dom.with_tag(nodes, "tr"), cells), lambda c: F.size(c) == 2)
     return _full(F.transform(rows, lambda c: _pair(_cut(dom.text_of(nodes, F.get(c, F.lit(0)), " "), 120), _cut(dom.text_of(nodes, F.get(c, F.lit(1)), " "), 300))))
 
@@ -103,8 +102,9 @@ def label_pairs(nodes: Column) -> Column:
     labels = F.filter(nodes, lambda n: dom.is_element(n) & F.coalesce(F.element_at(n["attrs"], F.lit("class")), F.lit("")).rlike("label|Label|key"))
 
     def of(n: Column) -> Column:
-        after = F.filter(nodes, lambda s: dom.is_element(s) & (s["pid"] == n["pid"]) & (s["sib"] > n["sib"]) & (s["sib"] <= n["sib"] + 5))
-        values = F.filter(F.transform(after, lambda s: _cut(dom.text_of(nodes, s, " "), 280)), lambda v: v != "")
+        nearer = lambda held: dom.let(dom.node_at(nodes, F.get(held, F.size(held) - 1)), lambda s: F.when(s["next"] < 0, held).otherwise(F.concat(held, F.array(s["next"]))))
+        after = F.slice(F.aggregate(F.sequence(F.lit(1), F.lit(5)), F.array(n["nid"]), lambda held, _: nearer(held)), 2, 5)
+        values = F.filter(F.transform(after, lambda s: _cut(dom.text_of(nodes, dom.node_at(nodes, s), " "), 280)), lambda v: v != "")
         return _pair(dom.text_of(nodes, n, " "), dom.first(values))
 
     return F.filter(_full(F.transform(labels, of)), lambda p: F.length(p["label"]) <= 80)
@@ -113,7 +113,7 @@ def label_pairs(nodes: Column) -> Column:
 def key_values(nodes: Column) -> Column:
     """Pairs of lists, then of rows, then (where those are under 30) of labels; the first of each label; at most 40."""
     every = dom.let(F.concat(list_pairs(nodes), row_pairs(nodes)), lambda plain: F.when(F.size(plain) < 30, F.concat(plain, label_pairs(nodes))).otherwise(plain))
-    return F.slice(_distinct_by(every, lambda p: F.lower(p["label"])), 1, 40)
+    return _distinct_by(every, lambda p: F.lower(p["label"]), 40)
 
 
 def text_blocks(nodes: Column) -> Column:
@@ -130,7 +130,7 @@ def tables(nodes: Column) -> Column:
     """The first five tables: a selector, rows, columns, headers, two sample rows. A table without th has its first row as headers and as data."""
 
     def of(t: Column, i: Column) -> Column:
-        rows = F.transform(F.filter(nodes, lambda n: (n["tag"] == "tr") & dom.inside(n, t)), lambda tr: F.filter(nodes, lambda n: n["tag"].isin("td", "th") & dom.inside(n, tr)))
+        rows = F.transform(dom.with_tag(dom.below(nodes, t), "tr"), lambda tr: dom.with_tag(dom.below(nodes, tr), "td", "th"))
         has_th = F.exists(F.coalesce(dom.first(rows), F.filter(nodes, lambda n: F.lit(False))), lambda c: c["tag"] == "th")
         cells = F.transform(rows, lambda r: F.transform(r, lambda c: _cut(dom.text_of(nodes, c), 100)))
         head = F.slice(F.coalesce(dom.first(cells), F.array().cast("array<string>")), 1, 30)
@@ -165,15 +165,9 @@ def classify(nodes: Column, embedded: Column, sections: Column, table_list: Colu
 
 
 def analyze(pages: DataFrame) -> DataFrame:
-    """`pages` (nodes, embedded, url, markup_length) with compact: what a planner is shown of a page.
-
-    Sections come from one grouped pass over exploded nodes; all else is within the row.
-    """
+    """`pages` (nodes, embedded, url, markup_length) with compact: what a planner is shown of a page. All is within the row; nothing is shuffled."""
     nodes, base = F.col("nodes"), F.col("url")
-    found = candidate_sections(pages)
-    out = pages.join(found, "page_id", "left")
-    sections = F.coalesce(F.col("sections"), F.array().cast(found.schema["sections"].dataType))
-    out = out.withColumns({"sections": sections, "page_tables": tables(nodes), "visible_length": F.length(visible_text(nodes))})
+    out = pages.withColumns({"sections": F.coalesce(sections_of(nodes), F.array().cast(NO_SECTIONS)), "page_tables": tables(nodes), "visible_length": F.length(visible_text(nodes))})
     kind = classify(nodes, F.col("embedded"), F.col("sections"), F.col("page_tables"), F.col("visible_length"))
     ratio = F.col("visible_length") / F.greatest(F.col("markup_length"), F.lit(1))
     compact = F.struct(

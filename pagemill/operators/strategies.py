@@ -21,7 +21,7 @@ from pagemill.functions.urls import join_url
 from pagemill.plans.model import MOST_PATTERNS, MOST_RECORDS, FieldSelector, Intent, Plan
 
 from . import css, dom
-from .page import NAV
+from .dom import NAV
 
 NO_RECORDS = "page_id long, row_idx int, record map<string,string>, hits array<string>, misses array<string>"
 Strategy = Callable[[DataFrame, Plan, Intent, int], DataFrame]
@@ -87,7 +87,7 @@ def repeated(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataFra
         return pages.sparkSession.createDataFrame([], NO_RECORDS)
     parts = F.transform(found, lambda n: dom.subtree(F.col("nodes"), n))
     rows = pages.select("page_id", "url", F.posexplode(parts).alias("row_idx", "nodes"))
-    inner = F.filter(F.col("nodes"), lambda n: n["nid"] > dom.first(F.col("nodes"))["nid"])
+    inner = F.slice(F.col("nodes"), F.lit(2), F.size("nodes"))
     rows = rows.withColumn("inner", inner)
     values = {}
     for f in intent.fields:
@@ -100,8 +100,8 @@ def repeated(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataFra
 def table(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataFrame:
     """Rows of the first table that the selector yields. A header is a field's by its name, else if either holds the other; empty headers are no one's."""
     nodes = F.col("nodes")
-    row = lambda tr: F.transform(F.filter(nodes, lambda n: n["tag"].isin("td", "th") & dom.inside(n, tr)), lambda c: F.struct(c["tag"].alias("tag"), dom.text_of(nodes, c).alias("text")))
-    cells = dom.let(css.select_first(nodes, plan.table or plan.container or "table"), lambda t: F.transform(F.filter(nodes, lambda n: (n["tag"] == "tr") & dom.inside(n, t)), row))
+    row = lambda tr: F.transform(dom.with_tag(dom.below(nodes, tr), "td", "th"), lambda c: F.struct(c["tag"].alias("tag"), dom.text_of(nodes, c).alias("text")))
+    cells = dom.let(css.select_first(nodes, plan.table or plan.container or "table"), lambda t: F.transform(dom.with_tag(dom.below(nodes, t), "tr"), row))
     rows = pages.select("page_id", "url", F.filter(cells, lambda r: F.size(r) > 0).alias("cells")).where("size(cells) > 0")
     head = F.transform(F.get("cells", F.lit(0)), lambda c: F.lower(c["text"]))
     has_th = F.exists(F.get("cells", F.lit(0)), lambda c: c["tag"] == "th")
@@ -122,7 +122,7 @@ def article(nodes: Column) -> dict[str, Column]:
     """title, author, date, description and text of an article: its heading, its metadata, and the paragraphs of <article> (else <main>, <body>) outside navigation and ads."""
     name = lambda *keys: dom.attribute(dom.first(F.filter(nodes, lambda n: (n["tag"] == "meta") & F.coalesce(F.element_at(n["attrs"], F.lit("name")), F.element_at(n["attrs"], F.lit("property")), F.lit("")).isin(*keys))), "content")
     out = F.filter(nodes, lambda n: n["tag"].isin(*NAV) | F.array_contains(F.split(F.coalesce(F.element_at(n["attrs"], F.lit("class")), F.lit("")), r"\s+"), "ad"))
-    within = lambda around, root: F.filter(nodes, lambda n: (n["tag"] == "p") & dom.inside(n, root) & ~F.exists(around, lambda o: dom.inside(n, o)))
+    within = lambda around, root: F.filter(dom.below(nodes, root), lambda n: (n["tag"] == "p") & ~F.exists(around, lambda o: dom.inside(n, o)))
     root = F.coalesce(*(dom.first(dom.with_tag(nodes, t)) for t in ("article", "main", "body")))
     kept = dom.let(root, lambda r: dom.let(out, lambda around: within(around, r)))
     text = F.array_join(F.filter(F.transform(kept, lambda n: dom.text_of(nodes, n)), lambda t: t != ""), "\n")

@@ -7,11 +7,11 @@ from collections.abc import Iterator
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from pagemill.operators.dom import parse
+from pagemill.operators.dom import AT_ATTRS, AT_DEPTH, AT_LAST, AT_NID, AT_PID, AT_TAG, AT_TEXT, parse
 
 
 def _text(nodes: list[list], nid: int) -> str:
-    return " ".join("".join(n[10] for n in nodes[nid : nodes[nid][3] + 1] if n[8] == "#text").split())
+    return " ".join("".join(n[AT_TEXT] for n in nodes[nid : nodes[nid][AT_LAST] + 1] if n[AT_TAG] == "#text").split())
 
 
 class HtmlNodes:
@@ -20,8 +20,8 @@ class HtmlNodes:
     def eval(self, html: str) -> Iterator[tuple]:
         nodes = parse(html)
         for n in nodes:
-            if n[9] is not None:
-                yield n[0], n[1], n[2], n[8], n[9], _text(nodes, n[0])
+            if n[AT_ATTRS] is not None:
+                yield n[AT_NID], n[AT_PID], n[AT_DEPTH], n[AT_TAG], n[AT_ATTRS], _text(nodes, n[AT_NID])
 
 
 class HtmlLinks:
@@ -32,8 +32,8 @@ class HtmlLinks:
 
         nodes = parse(html)
         for n in nodes:
-            href = ((n[9] or {}).get("href") or "").strip()
-            if n[8] == "a" and href and not href.startswith("#") and not href.lower().startswith("javascript:"):
+            href = ((n[AT_ATTRS] or {}).get("href") or "").strip()
+            if n[AT_TAG] == "a" and href and not href.startswith("#") and not href.lower().startswith("javascript:"):
                 yield _text(nodes, n[0]), urljoin(base or "", href)
 
 
@@ -42,9 +42,9 @@ class HtmlTables:
 
     def eval(self, html: str) -> Iterator[tuple]:
         nodes = parse(html)
-        for t, table in enumerate(n for n in nodes if n[8] == "table"):
-            for r, tr in enumerate(n for n in nodes[table[0] : table[3] + 1] if n[8] == "tr"):
-                yield t, r, [_text(nodes, c[0]) for c in nodes[tr[0] : tr[3] + 1] if c[8] in ("td", "th")]
+        for t, table in enumerate(n for n in nodes if n[AT_TAG] == "table"):
+            for r, tr in enumerate(n for n in nodes[table[AT_NID] : table[AT_LAST] + 1] if n[AT_TAG] == "tr"):
+                yield t, r, [_text(nodes, c[AT_NID]) for c in nodes[tr[AT_NID] : tr[AT_LAST] + 1] if c[AT_TAG] in ("td", "th")]
 
 
 def register(spark: SparkSession) -> None:
