@@ -59,6 +59,9 @@ class _Builder(HTMLParser):
         self.nodes: list[list] = []
         self.open: list[int] = []
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # nobody asks for line numbers
+
     def add(self, tag: str, attrs: dict | None, text: str | None) -> int:
         nid, pid = len(self.nodes), self.open[-1] if self.open else -1
         nav = pid >= 0 and (self.nodes[pid][AT_IN_NAV] or self.nodes[pid][AT_TAG] in NAV)
@@ -175,16 +178,17 @@ def _lists(pages: list[list[list]]) -> pa.Array:
     offsets = [0]
     for page in pages:
         offsets.append(offsets[-1] + len(page))
-    columns: list[pa.Array] = [pa.array([n[i] for n in flat], pa.bool_() if i == AT_IN_NAV else pa.int32()) for i in range(len(_NUMBERS))]
-    columns.append(pa.array([n[AT_TAG] for n in flat], pa.string()))
+    fields = list(zip(*flat, strict=True)) or [()] * len(NODE.fields)
+    columns: list[pa.Array] = [pa.array(fields[i], pa.bool_() if i == AT_IN_NAV else pa.int32()) for i in range(len(_NUMBERS))]
+    columns.append(pa.array(fields[AT_TAG], pa.string()))
     at, keys, values = [0], [], []
-    for n in flat:
-        if n[AT_ATTRS]:
-            keys.extend(n[AT_ATTRS].keys())
-            values.extend(n[AT_ATTRS].values())
+    for attrs in fields[AT_ATTRS]:
+        if attrs:
+            keys.extend(attrs.keys())
+            values.extend(attrs.values())
         at.append(len(keys))
     columns.append(pa.MapArray.from_arrays(pa.array(at, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string())))
-    columns.append(pa.array([n[AT_TEXT] for n in flat], pa.string()))
+    columns.append(pa.array(fields[AT_TEXT], pa.string()))
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, NODE.fieldNames()))
 
 
