@@ -28,8 +28,10 @@ from ._util import ASCII_LOWER, Forest, Scratch, WordHashes, components, mixed,
 
 #: Buckets of the two count sketches (tokens, min-hashes); 4 bytes each, whatever the input.
 SKETCH_BITS = 20
-#: Documents that a group holds, about.
-GROUP_ROWS = 1_024
+#: Documents that a group holds, and tokens of them, about: a group of long texts has fewer of them.
+GROUP_ROWS, GROUP_TOKENS = 1_024, 1 << 22
+#: Shingles of the corpus for each task that pairs groups; a seventh or so of them are prefix tokens.
+SHINGLES_A_TASK = 16_000_000
 #: Prefix tokens beyond the first that two similar documents must share; prefixes are longer by as many.
 MORE = 5
 #: Min-hashes from which a document's group is chosen: by the one that is third in popularity, which unrelated
@@ -112,7 +114,12 @@ def count_sketches(documents: DataFrame, size: int) -> np.ndarray:
     return out.reshape(2, -1)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], sketches: Callable[[], np.ndarray], size: int, percent: int) -> Iterator[pa.RecordBatch]:
+def group_parts(popular: int, n: int, group_rows: int) -> int:
+    """Into how many groups the documents of a min-hash are dealt, by how many there are and by their size (a power of two, so that near copies agree)."""
+    return popular // max(1, min(group_rows, GROUP_TOKENS >> (n - 1).bit_length())) + 1
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], sketches: Callable[[], np.ndarray], size: int, percent: int, group_rows: int) -> Iterator[pa.RecordBatch]:
     """For each document (doc_id, n, s1, s2, grp); for each of its prefix tokens and its group a posting (grp, token)."""
     words, seen = WordHashes(), set()
     by_token, by_key = sketches()
@@ -132,7 +139,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], sketches: Callable[[], np.ndarra
             keys = min_hashes(tokens)
             popular = by_key[(keys >> _TOP).astype(np.int64)]
             best = int(np.argsort(popular, kind="stable")[-CHOSEN])
-            grp = int(mixed(keys[best : best + 1] + np.uint64(digest % (int(popular[best]) // GROUP_ROWS + 1)))[0]) - (1 << 63)
+            grp = int(mixed(keys[best : best + 1] + np.uint64(digest % group_parts(int(popular[best]), n, group_rows)))[0]) - (1 << 63)
             rows.append((doc, n, s1, s2, grp))
             # A set so small that every other set falls below the threshold has copies only.
             if digest in seen or needed(n + 1, percent) > n and needed(n, percent) == n:
@@ -291,7 +298,7 @@ def _verified(pairs: DataFrame, matrix: DataFrame, percent: int, tasks: int) ->
     return rows.repartition(tasks, "g", "h").sortWithinPartitions("g", "h").drop("grp").mapInArrow(lambda b: _links(b, percent), "a long, b long")
 
 
-def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id of `documents` (doc_id, text), linked at Jaccard >= percent / 100.
 
     Words are runs of bytes other than ASCII white space after lower-casing A-Z; shingles are `size` words,
@@ -304,9 +311,10 @@ def jaccard_components(documents: DataFrame, *, size: int = 5, percent: int = 80
         raise ValueError("percent is over 50 and at most 100, size at least 1")
     spark: SparkSession = documents.sparkSession
     scratch = Scratch(spark, "jaccard")
-    sent = spark.sparkContext.broadcast(count_sketches(documents, size))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    both = scratch.put(documents.select("doc_id", "text").mapInArrow(lambda b: _grouped(b, lambda: sent.value, size, percent), _GROUPED), "grouped")
+    sketches = count_sketches(documents, size)
+    sent = spark.sparkContext.broadcast(sketches)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(sketches[0].sum(dtype=np.uint64)) // SHINGLES_A_TASK)
+    both = scratch.put(documents.select("doc_id", "text").mapInArrow(lambda b: _grouped(b, lambda: sent.value, size, percent, group_rows), _GROUPED), "grouped")
     sent.destroy()
     rows = both.where("token is null").drop("token")
     classes = scratch.put(rows.where("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("grp").alias("grp"), F.max("n").alias("n")), "classes")
