@@ -27,6 +27,8 @@ from pyspark.sql import types as T
 
 #: Words whose ids a worker remembers; beyond it the memory starts afresh, results stay the same.
 MEMO_WORDS = 300_000
+#: Rows of a file, about.
+FILE_ROWS = 100_000
 #: Bytes of text that are encoded together; bounds what a worker holds.
 BLOCK_BYTES = 8 << 20
 _SPACE = bytes.maketrans(b"\t\n\r", b"   ")
@@ -169,7 +171,8 @@ def encoded_lengths(documents: DataFrame, tokenizer: str, *, end_id: bool = True
 def write_tokens(documents: DataFrame, path: str, tokenizer: str, *, end_id: int = 2, files: int | None = None, row_group_bytes: int = 16 << 20, page_bytes: int = 64 << 10) -> None:
     """Encodes every row's text, appends end_id, and writes the token files.
 
-    Order: doc_id ascending (null first), rows of equal doc_id by a hash of their text. Null and empty texts
+    Order: doc_id ascending (null first), rows of equal doc_id by a hash of their text. Files are as many as Spark's shuffle
+    partitions, or more, so that one has about FILE_ROWS rows. Null and empty texts
     have the end id alone. Columns beside doc_id and text are left out.
     """
 
@@ -188,7 +191,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, *, end_id: int
 
     schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("file_no", T.IntegerType()), T.StructField("local_start", T.LongType())])
     names = schema.fieldNames()
-    files = files or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = files or max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-documents.count() // FILE_ROWS))
     ordered = documents.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h")
     options = {
         "compression": "zstd",
