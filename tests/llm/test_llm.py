@@ -80,6 +80,31 @@ def test_jaccard_components_match_brute_force(spark, corpus, size, percent):
     assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, components_of(sets, percent), strict=True))}
 
 
+@pytest.mark.parametrize("group_rows", [1, 3])
+def test_jaccard_groups_that_are_split(spark, corpus, group_rows):
+    sets = sets_of(corpus, 4)
+    got = {r.doc_id: r.component_id for r in jaccard_components(docs_of(spark, corpus), size=4, percent=85, group_rows=group_rows).collect()}
+    assert got == dict(enumerate(components_of(sets, 85)))
+
+
+def test_jaccard_groups_are_bounded_by_tokens():
+    from pagemill.llm.jaccard_join import GROUP_TOKENS, group_parts
+
+    assert group_parts(1_023, 100, 1_024) == 1 and group_parts(10_240, 100, 1_024) == 11
+    for n in (1, 5_000, 100_000, 10**7):
+        assert (10**6 // group_parts(10**6, n, 1_024) - 1) * n <= GROUP_TOKENS
+    assert group_parts(10**6, 90_000, 1_024) == group_parts(10**6, 100_000, 1_024)
+
+
+def test_jaccard_query_against_brute_force(spark, tmp_path, corpus):
+    from pagemill.llm.queries import op5_jaccard_join
+
+    docs_of(spark, corpus).withColumn("grp", F.lit("own")).withColumn("rep", F.lit(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    sets = sets_of(corpus, 4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in op5_jaccard_join(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, components_of(sets, 85), strict=True))}
+
+
 def test_jaccard_odd_rows(spark):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "A B c d e f")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("grp", F.lit(1)).withColumn("token", F.lit(2))
@@ -404,6 +429,68 @@ def test_tokens_round_trip(spark, tmp_path, corpus):
     assert ids_digest(read_tokens(spark.read.schema("doc_id long, ids array<int>, n_tokens long, file_no int, local_start long").parquet(str(tmp_path / "none")))).count() == 0
 
 
+def test_token_files_are_encoded_and_indexed(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(3)
+    docs = docs_of(spark, [words(rng, rng.randint(1, 400)) for _ in range(3000)])
+    path = tmp_path / "t"
+    write_tokens(docs, str(path), tokenizer_file(), files=2, row_group_bytes=200_000, page_bytes=8_192)
+    files = sorted(path.glob("*.parquet"))
+    assert len(files) == 2
+    ranges = []
+    for f in files:
+        meta = pq.read_metadata(f)
+        assert meta.num_row_groups > 1
+        for k in range(meta.num_row_groups):
+            group = {meta.row_group(k).column(i).path_in_schema: meta.row_group(k).column(i) for i in range(meta.num_columns)}
+            ids = next(c for name, c in group.items() if name.startswith("ids"))
+            assert any("DICTIONARY" in e for e in ids.encodings)  # few values repeat
+            assert any("DELTA" in e for e in group["doc_id"].encodings) and any("DELTA" in e for e in group["local_start"].encodings)
+            assert all(c.has_column_index and c.has_offset_index for c in group.values())
+            stats = group["doc_id"].statistics
+            ranges.append((stats.min, stats.max))
+    assert ranges == sorted(ranges) and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))  # row groups part the ids
+    # a narrow range of ids opens few row groups, and metadata are read without the ids
+    picked = pq.read_table(files[0], columns=["doc_id", "n_tokens"], filters=[("doc_id", "in", [3, 4])])
+    assert picked.column("doc_id").to_pylist() == [3, 4] and picked.column_names == ["doc_id", "n_tokens"]
+    plan = spark.read.parquet(str(path)).where("doc_id = 7").select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(doc_id,7)" in plan and "ids" not in plan.split("ReadSchema")[1]
+
+
+def test_token_query_against_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from pagemill.llm.queries import op6_token_output, op10_token_counts
+
+    rng = random.Random(14)
+    texts = [None, "", "I'd  don't.. Ⅷ é́", words(rng, 20_000), *(words(rng, rng.randint(1, 30)) for _ in range(50))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3_000_000_000_000, "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("own")).withColumn("ids", F.lit(1)).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    own, start, want, lengths = Tokenizer.from_file(tokenizer_file()), 0, [], []
+    for i, t in rows:
+        ids = [*own.encode(t or "", add_special_tokens=False).ids, 2]
+        want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+        lengths.append(len(ids))
+    assert sorted(tuple(r) for r in op6_token_output(spark, str(tmp_path)).collect()) == want
+    got = {r.n_tokens: r for r in op10_token_counts(spark, str(tmp_path)).collect()}
+    assert set(got) == set(lengths)
+    for n, r in got.items():
+        within = [x for x in lengths if x <= n]
+        assert (r.n_docs, r.docs_within, r.tokens_within) == (lengths.count(n), len(within), sum(within))
+        assert (r.docs_over, r.tokens_over) == (len(lengths) - len(within), sum(lengths) - sum(within))
+        assert r.truncated_tokens == sum(min(x, n) for x in lengths) and r.rank == pytest.approx(len(within) / len(lengths))
+
+
+def test_tokens_odd_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(None, "a"), (None, None), (1, "b"), (1, "b")], "doc_id long, text string").withColumn("file_no", F.lit("x"))
+    write_tokens(docs, str(tmp_path / "t"), tokenizer_file())
+    rows = read_tokens(spark.read.parquet(str(tmp_path / "t"))).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 1), (0, 2), (1, 2), (1, 2)]
+    assert sorted(r.start for r in rows if r.doc_id) == [3, 5]
+
+
 def test_length_histogram(spark):
     lengths = [1, 1, 5, 2000, 2000, 7, 1024, None]
     df = spark.createDataFrame([(x,) for x in lengths], "n_tokens long")
@@ -512,6 +599,74 @@ def test_quality_learns_and_holds_out(spark):
     assert scored(docs.limit(0), one).count() == 0
 
 
+def test_hinge_solver_against_a_plain_one():
+    """Dual coordinate descent against projected gradient steps on the same dual, and the ratios against their definition."""
+    from pagemill.llm import quality as q
+
+    rng = np.random.default_rng(5)
+    dims, n = 12, 40
+    rows = [np.sort(rng.choice(dims, rng.integers(1, 7), replace=False)) for _ in range(n)]
+    rows[1] = rows[0]  # repeated rows
+    values = [rng.normal(size=len(r)) for r in rows]
+    y = np.where(rng.random(n) < 0.5, 1.0, -1.0)
+    cost = np.where(y > 0, 0.7, 1.3)
+    w = q.fit_hinge(rows, values, y, dims, cost=cost, passes=3000, tolerance=1e-9)
+    x = np.zeros((n, dims + 1))
+    for i, (r, v) in enumerate(zip(rows, values, strict=True)):
+        x[i, r] = v
+        x[i, dims] = 1.0
+    gram = (x @ x.T) * np.outer(y, y)
+    alpha, step = np.zeros(n), 1 / np.linalg.norm(gram, 2)
+    for _ in range(200_000):
+        alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, cost)
+    assert w == pytest.approx(x.T @ (alpha * y), abs=1e-4)
+    texts = [(b"good plain words here", 1), (b"good words", 1), (b"BAD!! words", 0)]
+    memo = q._Words()
+    found = [q.features(t, memo) for t, _ in texts]
+    ratio = q._ratios(found, np.array([1.0, 1.0, -1.0]), 1.0)
+    counts = {k: np.bincount(np.concatenate([f for f, (_, own) in zip(found, texts, strict=True) if own == k]), minlength=1 << q.FEATURE_BITS) + 1.0 for k in (1, 0)}
+    assert ratio == pytest.approx(np.log(counts[1] / counts[1].sum() / (counts[0] / counts[0].sum())))
+
+
+def test_quality_of_empty_and_useless_tables(spark, tmp_path):
+    from pagemill.llm.quality import judges
+    from pagemill.llm.queries import op8_quality
+
+    schema = "doc_id long, quality int, toxic int"
+    docs = docs_of(spark, ["a b", None, "c", "c"])
+    tables = {"empty": [], "null": [(1, None, 0), (None, 1, 0)], "other": [(99, 1, 0), (98, 0, 0)], "repeated": [(i % 4, i % 2, 0) for i in range(40)]}
+    for name, rows in tables.items():
+        for kind, own in (("none", docs.limit(0)), ("some", docs)):
+            at = tmp_path / f"{name}-{kind}"
+            own.withColumn("score", F.lit("own")).withColumn("label", F.lit(1)).withColumn("h", F.lit(1)).write.parquet(str(at / "documents.parquet"))
+            spark.createDataFrame(rows, schema).withColumn("text", F.lit("own")).write.parquet(str(at / "labels.parquet"))
+            got = op8_quality(spark, str(at)).collect()
+            assert len(got) == own.count() and all(0 <= r.score <= 1 for r in got)
+            if name != "repeated":
+                assert all(r.score == 0.5 and r.predicted == 1 for r in got)
+    assert not judges(fit_on(training_sample(docs, spark.createDataFrame([], schema), "quality")))
+
+
+def test_all_queries_on_empty_tables(spark, tmp_path):
+    from pagemill.llm.queries import QUERIES
+
+    tables = {"documents": DOCS, "benchmark": "item_id long, text string", "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int"}
+    for name, schema in tables.items():
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, f in QUERIES.items():
+        assert f(spark, str(tmp_path)).collect() == [], name
+
+
+def test_licences_odd_rows(spark):
+    from pagemill.llm.licence_texts import LICENCES
+
+    mit = LICENCES[0][1]
+    docs = spark.createDataFrame([(None, mit), (1, mit), (1, mit), (2, None), (2, "SPDX-License-Identifier: ISC"), (3, "x " * 2_000_000 + "\nSPDX-License-Identifier: ISC")], "doc_id long, text string").withColumn("lines", F.lit("own")).withColumn("license_id", F.lit("own")).withColumn("known_digest", F.lit("own"))
+    got = sorted(((r.doc_id or 0, r.license_id or "", r.line_licenses) for r in license_scan(docs, known_licences(spark)).collect()))
+    assert got == [(0, "MIT", ""), (1, "MIT", ""), (1, "MIT", ""), (2, "", "ISC"), (2, "ISC", "ISC"), (3, "", "ISC")]
+    assert license_scan(docs.limit(0), known_licences(spark)).count() == 0
+
+
 def test_licences_match_whole_texts(spark):
     from pagemill.llm.licence_texts import LICENCES
 
