@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from pagemill.llm._util import Scratch
 from pagemill.llm.decontaminate import decontaminated
 from pagemill.llm.jaccard_join import one_per_component
 from pagemill.llm.mixing import mixed_rows
-from pagemill.llm.quality import fit_on, score_of, training_sample
+from pagemill.llm.quality import fit_on, judges, score_of, training_sample
 from pagemill.llm.queries import table, tokenizer_file
 from pagemill.llm.token_store import read_tokens, write_tokens
 
@@ -26,13 +27,14 @@ MAX_REPEATS, TARGET_ENTROPY = 4.0, 2.9
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the quality classifier rejects. It is fitted on labelled rows of `docs` that training may use.
 
-    Texts that are null or have no words get the score of no features. Without any labelled row of either class nothing is judged.
+    Texts that are null or have no words get the score of no features. Without labelled rows of both classes there is nothing
+    to judge by: a warning says so, and all rows are kept.
     """
-    labels = table(spark, sf_dir, "labels")
-    sample = training_sample(docs, labels, "quality")
-    if sample.select("label").distinct().count() < 2:
+    model = fit_on(training_sample(docs, table(spark, sf_dir, "labels"), "quality"))
+    if not judges(model):
+        warnings.warn("quality: no labelled documents of both classes; nothing is rejected", stacklevel=2)
         return docs
-    return docs.where(score_of(spark, fit_on(sample))(F.col("text")) >= LEAST_QUALITY)
+    return docs.where(score_of(spark, model)(F.col("text")) >= LEAST_QUALITY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,11 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, each written and read again."""
+    """All stages, one after another, each written and read again; the last is read from the files that it has written itself."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (name, stage) in enumerate(STAGES[:-1]):
         docs = scratch.put(stage(spark, docs, sf_dir), name)
         if k:
             scratch.drop(STAGES[k - 1][0])
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
