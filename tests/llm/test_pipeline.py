@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 from test_llm import brute_contamination, components_of, sets_of, words
 
 from pagemill.llm.mixing import BLOCK_TOKENS, temperature, weights_at
@@ -87,3 +88,24 @@ def test_stages_keep_the_columns(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, empty, str(tmp_path))
         assert out.columns == empty.columns and out.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, str(tmp_path)).collect() == []
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_on_null_and_repeated_ids(spark, tmp_path):
+    rng = random.Random(3)
+    texts = [words(rng, 30) for _ in range(6)]
+    rows = [(None, texts[0]), (None, None), (1, texts[1]), (1, texts[1]), (1, texts[2]), (2, texts[1]), (3, ""), (4, words(rng, 30_000)), (5, texts[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("grp", F.lit("x"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(1, 6)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, texts[3])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["quality"](spark, docs, str(tmp_path)).columns == docs.columns
+    kept = stages["near_duplicates"](spark, docs, str(tmp_path))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(None, texts[0]), (None, None), (1, texts[1]), (1, texts[2]), (3, ""), (4, rows[7][1]), (5, texts[3])], key=str)
+    clean = stages["decontamination"](spark, kept, str(tmp_path))
+    assert sorted(str(r.doc_id) for r in clean.collect()) == ["1", "1", "3", "4", "None", "None"]
+    mixed = stages["mixing"](spark, clean, str(tmp_path))
+    assert mixed.columns == docs.columns
+    assert stages["token_output"](spark, mixed, str(tmp_path)).count() == mixed.count()
