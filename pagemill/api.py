@@ -2,28 +2,47 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+import logging
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.embedded import embedded
-from pagemill.operators import merge, page, strategies, validate
-from pagemill.operators.dom import parse_pages
-from pagemill.plans.backend import Backend, RuleBackend, repaired
+from pagemill.functions.text import goal_signature, idempotency_key
+from pagemill.functions.urls import normalize_url, url_pattern
+from pagemill.operators import jobs, merge, page, strategies, templates, validate
+from pagemill.operators.dom import is_element, parse_pages
+from pagemill.operators.staging import staged
+from pagemill.plans.backend import Backend, RuleBackend, ran, repaired
 from pagemill.plans.model import Intent, Options, Plan, check_instruction
-from pagemill.sources.export import flattened
+from pagemill.settings import Settings
+from pagemill.sources import artifacts, render
+from pagemill.sources.export import flattened, response_json, write_csv, write_json
+from pagemill.sources.store import Store
+
+LOG = logging.getLogger("pagemill.engine")
+_RECORDS = "page_id long, row_idx int, record map<string,string>"
+_DONE = "struct<strategy_used:string,page_type:string,mode:string,records_found:bigint,quality_score:double,field_coverage:map<string,double>,missing_required:array<string>,repair_attempts:int,template_used:boolean,template_id:string,warnings:array<string>>"
 
 
 @dataclass
 class Result:
-    """Of one extraction: records (page_id, row_idx, record), a report for each page, and how they came about."""
+    """Of one extraction: records (page_id, row_idx, record), a report for each page, and how they came about.
+
+    jobs has a row for each page: its job, status, diagnostics and message; cached ones were answered before.
+    """
 
     records: DataFrame
     report: DataFrame
     intent: Intent
-    plan: Plan
+    plan: Plan | None
     repairs: int
+    jobs: DataFrame | None = None
+    plans: list[Plan] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
 
     def table(self) -> DataFrame:
         """The records with a column a field, in the types of the intent."""
@@ -38,51 +57,285 @@ class Result:
     def statuses(self) -> DataFrame:
         return self.report.select("job_id", validate.response_status(F.col("is_good_enough"), F.col("n_records"), F.col("overall_score")).alias("status"), "overall_score", "repair_hint")
 
+    def responses(self) -> DataFrame:
+        """The envelope of each page: job_id, url, instruction, status, message, diagnostics, and records as a list whatever the intent."""
+        own = self.records.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", F.to_json("record").alias("r")))), lambda x: x["r"]).alias("records"))
+        return self.jobs.join(own, "page_id", "left").withColumn("records", F.coalesce("records", F.array().cast("array<string>")))
+
+    def response_json(self) -> DataFrame:
+        return response_json(self.responses().withColumn("records", F.transform("records", lambda r: F.from_json(r, "map<string,string>"))))
+
+    def save_csv(self, path: str, mode: str = "overwrite") -> None:
+        write_csv(self.csv(), path, mode)
+
+    def save_json(self, path: str, mode: str = "overwrite") -> None:
+        write_json(self.table(), path, mode)
+
+    def show(self, n: int = 20) -> None:
+        self.table().show(n, truncate=False)
+
 
 class Engine:
-    """Plans once for pages of one layout and runs the plan over all of them."""
+    """Plans once for the pages of one layout (domain and URL pattern) and runs each plan over all pages that share it.
+
+    With a store, pages whose request was answered before are not worked on again, plans that worked are used again
+    without planning, and jobs, results and templates are kept. It is a context manager; closing it frees nothing of Spark's.
+    """
+
+    def __init__(self, spark: SparkSession, backend: Backend | None = None, *, store: Store | None = None, settings: Settings | None = None, opener: render.Opener | None = None, artifacts_path: str | None = None) -> None:
+        self.spark, self.backend, self.store = spark, backend or RuleBackend(), store
+        self.settings, self.opener, self.artifacts_path = settings or Settings.from_spark(spark), opener, artifacts_path
+        LOG.setLevel(self.settings.log_level)
 
-    def __init__(self, spark: SparkSession, backend: Backend | None = None) -> None:
-        self.spark, self.backend = spark, backend or RuleBackend()
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *exc: object) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Stops writing to the store; the session belongs to the caller."""
+        self.store = None
+
+    def templates(self, status: str | None = None) -> DataFrame:
+        return jobs.templates_by_use(self._store().table("templates"), status)
+
+    def metrics(self) -> tuple[DataFrame, DataFrame]:
+        """Counters (jobs by status) and histograms (quality by page type) of the store."""
+        own = self._store().table("jobs")
+        counters = own.groupBy(F.concat(F.lit("extraction_total{status="), F.col("status"), F.lit("}")).alias("key")).agg(F.count("*").cast("double").alias("total"))
+        from pagemill.operators.metrics import histograms
+
+        return counters, histograms(own.select("page_type", F.col("quality_score").alias("value")), ["page_type"])
+
+    def _store(self) -> Store:
+        if self.store is None:
+            raise ValueError("the engine has no store")
+        return self.store
 
     def prepared(self, pages: DataFrame) -> DataFrame:
-        """Pages (page_id, url, html) parsed once, with their embedded data and facts' inputs."""
-        return parse_pages(pages.withColumns({"markup_length": F.length("html"), "embedded": embedded(F.col("html"))}))
-
-    def sketch(self, pages: DataFrame) -> tuple[dict, list[str]]:
-        """What a backend is shown: the compact form of the first page and the classes in it."""
-        one = page.analyze(pages.orderBy("page_id").limit(1)).select("compact", "nodes", F.transform("embedded.payloads", lambda p: F.json_object_keys(p["json"])).alias("k")).first()
-        if one is None:
-            return {}, []
-        classes = dict.fromkeys(c for n in one.nodes for c in ((n.attrs or {}).get("class") or "").split())
-        return one.compact.asDict(recursive=True) | {"payload_keys": [k for keys in one.k for k in keys or []]}, list(classes)
-
-    def extract(self, pages: DataFrame, instruction: str | None = None, *, intent: Intent | None = None, plan: Plan | None = None, options: Options | None = None, semantic: bool = False) -> Result:
-        """Records of pages; `plan` (of a template) skips planning. With `semantic` the facts' records are merged in and the better result of each page is kept."""
+        """Pages (page_id, url, html) parsed and analysed once: their request, nodes, embedded data, compact form and what a report needs of it."""
+        html = F.substring("html", 1, self.settings.max_html_bytes)
+        rows = pages.withColumn("html", html).withColumns({"markup_length": F.length("html"), "embedded": embedded(F.col("html"))})
+        rows = page.analyze(parse_pages(rows))
+        return rows.withColumn("containers", page.dom.first(F.col("compact.candidate_sections"))["count"].cast("int"))
+
+    def requests(self, pages: DataFrame, instruction: str, intent: Intent) -> DataFrame:
+        """`pages` with canonical, domain, pattern, idempotency_key and goal_signature; no_url where the URL is none."""
+        url = F.col("_url")
+        rows = pages.withColumn("_url", normalize_url(F.col("url")))
+        rows = rows.withColumns({"canonical": F.coalesce(url["canonical"], F.col("url")), "domain": F.coalesce(url["domain"], F.lit("")), "invalid_url": url["error"].isNotNull()}).drop("_url")
+        signature = goal_signature(F.array(*(F.lit(f.name) for f in intent.fields)))
+        return rows.withColumns({"pattern": F.coalesce(url_pattern(F.col("canonical")), F.lit("/")), "idempotency_key": idempotency_key(F.col("url"), F.lit(instruction)), "goal_signature": signature})
+
+    def sketches(self, ready: DataFrame) -> list[tuple[str, str, dict, list[str]]]:
+        """(domain, pattern, what a backend is shown, the classes in it) of the first page of each layout; at most Settings.most_layouts of them."""
+        firsts = ready.groupBy("domain", "pattern").agg(F.min("page_id").alias("page_id")).limit(self.settings.most_layouts + 1)
+        firsts = firsts.select("page_id").collect()
+        if len(firsts) > self.settings.most_layouts:
+            raise ValueError(f"more than {self.settings.most_layouts} layouts: give a plan, or fewer pages at a time")
+        own = ready.where(F.col("page_id").isin([r.page_id for r in firsts])).dropDuplicates(["domain", "pattern"])
+        classes = F.flatten(F.transform(F.filter("nodes", is_element), lambda n: F.split(F.coalesce(F.element_at(n["attrs"], F.lit("class")), F.lit("")), r"\s+")))
+        keys = F.flatten(F.transform("embedded.payloads", lambda p: F.coalesce(F.json_object_keys(p["json"]), F.array().cast("array<string>"))))
+        rows = own.select("domain", "pattern", "compact", F.filter(F.array_distinct(classes), lambda c: c != "").alias("classes"), keys.alias("k")).collect()
+        return [(r.domain, r.pattern, r.compact.asDict(recursive=True) | {"payload_keys": r.k}, r.classes) for r in rows]
+
+    def extract(self, pages: DataFrame, instruction: str | None = None, *, intent: Intent | None = None, plan: Plan | None = None, options: Options | None = None, semantic: bool | None = None, extractor: Callable[[str, Intent, int], list[dict]] | None = None) -> Result:
+        """Records of pages (page_id, url, html).
+
+        `plan` skips planning. The facts' records are merged in, and the better result of each page is kept, for objects, for pages
+        that are not good enough or were repaired (`semantic` None), for all (True) or for none (False); `extractor` reads them
+        instead of the rules. With Options.use_browser "auto" pages whose static HTML is not enough are rendered, if the engine can.
+        """
         options = options or Options()
+        most = min(options.max_records, self.settings.max_records)
         if intent is None:
             check_instruction(instruction or "")
             intent = self.backend.intent(instruction)
-        ready = self.prepared(pages)
-        ready = ready.withColumn("facts", page.facts(F.col("nodes"), F.col("url"), F.col("embedded")))
-        compact, classes = self.sketch(ready)
-        plan = plan or self.backend.plan(intent, compact, classes)
-        records, report, plan, repairs = repaired(ready, plan, intent, self.backend, compact, classes, options.max_records)
-        if semantic:
-            facts = strategies.execute(ready, Plan("semantic_extraction"), intent, options.max_records)
-            merged = merge.merge_records(records, facts, intent, key="page_id")
-            jobs = ready.select(F.col("page_id").alias("job_id"), F.lit(None).cast("int").alias("containers"))
-            tables = {"standard": records.select("page_id", "row_idx", "record"), "semantic": facts.select("page_id", "row_idx", "record"), "merged": merged}
-            reports = None
-            for source, own in tables.items():
-                r = validate.validate(jobs, own.select(F.col("page_id").alias("job_id"), "record"), intent).withColumn("source", F.lit(source))
-                reports = r if reports is None else reports.unionByName(r)
-            report = merge.best_of(reports)
-            chosen = report.select(F.col("job_id").alias("page_id"), "source")
-            every = None
-            for source, own in tables.items():
-                own = own.withColumn("source", F.lit(source))
-                every = own if every is None else every.unionByName(own)
-            records = every.join(chosen, ["page_id", "source"]).drop("source")
-            report = report.drop("source")
-        return Result(records, report, intent, plan, repairs)
+        asked = self.requests(pages, instruction or intent.entity, intent)
+        asked = asked.withColumn("cached_job_id", F.lit(None).cast("string")) if self.store is None else jobs.finished(asked, self.store.table("jobs"))
+        asked = staged(asked)
+        todo = asked.where("cached_job_id is null")
+        ready = self._rendered(self.prepared(todo), todo, intent, options)
+        ready = staged(ready.withColumn("template_id", F.lit(None).cast("string")) if self.store is None or plan is not None else self._matched(ready))
+
+        none = self.spark.createDataFrame([], _RECORDS)
+        records, reports, plans, warnings, repairs = none, None, [], [], 0
+
+        def add(found: DataFrame, report: DataFrame) -> None:
+            nonlocal records, reports
+            records = records.unionByName(found.select("page_id", "row_idx", "record"))
+            reports = report if reports is None else reports.unionByName(report)
+
+        # The warm path: pages with a template. Those that it does not serve well are planned like the others.
+        cold = ready
+        known = ready.where("template_id is not null").select("template_id").distinct().limit(self.settings.most_layouts).collect() if self.store is not None and plan is None else []
+        if known:
+            own = {r.id: Plan.from_json(r.extraction_plan) for r in self.store.table("templates").where(F.col("id").isin([k.template_id for k in known])).select("id", "extraction_plan").collect()}
+            for template_id, used in sorted(own.items()):
+                found, report = ran(self._with_facts(ready.where(F.col("template_id") == template_id), used), used, intent, most)
+                report = staged(report.withColumns({"attempts": F.lit(0), "strategy": F.lit(used.strategy), "plan": F.lit(used.to_json()), "template_used": F.lit(True)}))
+                self._advance(template_id, report)
+                good = report.where("is_good_enough")
+                add(staged(found.join(good.select(F.col("job_id").alias("page_id")), "page_id", "left_semi")), good)
+                plans.append(used)
+            cold = staged(ready.join(reports.select(F.col("job_id").alias("page_id")), "page_id", "left_anti"))
+
+        by_plan: dict[str, list] = {}
+        for domain, pattern, compact, classes in self.sketches(cold):
+            chosen = plan or self.backend.plan(intent, compact, classes)
+            by_plan.setdefault(chosen.to_json(), [chosen, compact, classes, []])[3].append((domain, pattern))
+        for text, (chosen, compact, classes, layouts) in by_plan.items():
+            layout = self.spark.createDataFrame(layouts, "domain string, pattern string")  # at most most_layouts rows
+            own = self._with_facts(cold.join(F.broadcast(layout), ["domain", "pattern"]), chosen, always=True)
+            found, report, tried = repaired(own, chosen, intent, self.backend, compact, classes, most)
+            names = F.element_at(F.array(*(F.lit(p.strategy) for p in tried)), F.col("attempts") + 1)
+            texts = F.element_at(F.array(*(F.lit(p.to_json()) for p in tried)), F.col("attempts") + 1)
+            add(found, report.withColumns({"strategy": names, "plan": texts, "template_used": F.lit(False)}))
+            plans, repairs = plans + tried, max(repairs, len(tried) - 1)
+        if reports is None:
+            empty = self.spark.createDataFrame([], "job_id long, containers int")
+            reports = validate.validate(empty, none.select(F.col("page_id").alias("job_id"), "record"), intent).withColumns({"attempts": F.lit(0), "strategy": F.lit(""), "plan": F.lit(""), "template_used": F.lit(False)})
+        reports = staged(reports)
+        if semantic is not False:
+            gate = F.lit(True) if semantic else F.lit(intent.expected == "object") | ~F.col("is_good_enough") | (F.col("attempts") > 0)
+            records, reports = self._with_semantic(ready, records, reports, gate & ~F.col("template_used"), intent, most, extractor)
+        records, reports = staged(records), staged(reports)
+        out = self._kept(asked, ready, records, reports, instruction or intent.entity, intent, options, warnings)
+        LOG.info("extraction: %d plans, %d repairs", len(plans), repairs)
+        extra = ["attempts", "strategy", "plan", "template_used"]
+        return Result(out[0], reports.drop(*extra), intent, plans[-1] if plans else plan, repairs, out[1], plans, warnings)
+
+    # --- steps -----------------------------------------------------------------------------------------------------
+
+    @staticmethod
+    def _with_facts(pages: DataFrame, plan: Plan, *, always: bool = False) -> DataFrame:
+        """Pages with their facts where a plan (or its repair) may read them; the column costs nothing where nobody does."""
+        return pages.withColumn("facts", page.facts(F.col("nodes"), F.col("url"), F.col("embedded"))) if always or plan.strategy == "semantic_extraction" else pages
+
+    def _rendered(self, ready: DataFrame, todo: DataFrame, intent: Intent, options: Options) -> DataFrame:
+        ready = ready.withColumn("mode", F.lit("static"))
+        if self.opener is None or options.use_browser == "never":
+            return ready
+        ready = staged(ready)
+        enough = F.lit(False) if options.use_browser == "force" else page.static_is_enough(F.col("compact"), F.col("embedded"), intent.expected, intent.required)
+        poor = ready.where(~F.coalesce(enough, F.lit(False))).select("page_id")
+        wanted = todo.join(poor, "page_id", "left_semi")
+        found = staged(render.rendered(wanted, self.opener)).where("rendered_html is not null")
+        again = self.prepared(todo.join(found.select("page_id", "rendered_html"), "page_id").withColumn("html", F.col("rendered_html")).drop("rendered_html")).withColumn("mode", F.lit("browser"))
+        return ready.join(found.select("page_id"), "page_id", "left_anti").unionByName(again)
+
+    def _matched(self, ready: DataFrame) -> DataFrame:
+        found = templates.match_templates(ready.select(F.col("page_id").alias("job_id"), "domain", "goal_signature", "canonical"), self.store.table("templates"))
+        return ready.join(found.select(F.col("job_id").alias("page_id"), "template_id"), "page_id", "left")
+
+    def _advance(self, template_id: str, report: DataFrame) -> None:
+        """One more result of a template: of a run over many pages, whether most of them did well, with their mean score."""
+        r = report.agg(F.avg(F.col("is_good_enough").cast("double")).alias("share"), F.avg("overall_score").alias("score")).first()
+        if r.share is None:
+            return
+        rows = self.store.table("templates").where(F.col("id") == template_id)
+        state = F.struct("status", F.col("consecutive_successes").alias("successes"), F.col("consecutive_failures").alias("failures"), F.col("success_score").alias("score"), F.lit(0).alias("changes"))
+        new = templates.advance(state, F.lit(r.share >= 0.5), F.lit(float(r.score)))
+        now = F.current_timestamp().cast("timestamp_ntz")
+        rows = rows.withColumn("_s", new).withColumns({"status": F.col("_s.status"), "consecutive_successes": F.col("_s.successes"), "consecutive_failures": F.col("_s.failures"), "success_score": F.col("_s.score"), "updated_at": now, "last_used_at": now}).drop("_s")
+        self.store.append("templates", staged(rows))
+
+    def _with_semantic(self, ready: DataFrame, records: DataFrame, reports: DataFrame, gate: Column, intent: Intent, most: int, extractor: Callable | None) -> tuple[DataFrame, DataFrame]:
+        chosen = staged(reports.where(gate).select("job_id"))
+        own = ready.join(chosen.select(F.col("job_id").alias("page_id")), "page_id", "left_semi").withColumn("facts", page.facts(F.col("nodes"), F.col("url"), F.col("embedded")))
+        facts = strategies.execute(own, Plan("semantic_extraction"), intent, most) if extractor is None else strategies.semantic_by(own, intent, extractor, most)
+        facts = staged(facts.select("page_id", "row_idx", "record"))
+        standard = records.join(chosen.select(F.col("job_id").alias("page_id")), "page_id", "left_semi")
+        tables = {"standard": standard, "semantic": facts, "merged": staged(merge.merge_records(standard, facts, intent, key="page_id"))}
+        pages = own.select(F.col("page_id").alias("job_id"), "containers")
+        before = reports.join(chosen, "job_id", "left_semi")
+        extra = before.select("job_id", "attempts", "plan", "template_used", F.col("strategy").alias("standard_strategy"), F.col("overall_score").alias("standard_score"))
+        every, rows = None, None
+        for source, table in tables.items():
+            r = validate.validate(pages, table.select(F.col("page_id").alias("job_id"), "record"), intent).withColumn("source", F.lit(source))
+            every = r if every is None else every.unionByName(r)
+            table = table.withColumn("source", F.lit(source))
+            rows = table if rows is None else rows.unionByName(table)
+        every = staged(every)
+        semantic_score = every.where("source = 'semantic'").select("job_id", F.col("overall_score").alias("semantic_score"))
+        best = merge.best_of(every).join(extra, "job_id").join(semantic_score, "job_id")
+        label = F.when(F.col("source") == "semantic", "semantic_extraction").when(F.col("source") == "merged", merge.strategy_label(F.col("semantic_score"), F.col("standard_score"), F.col("standard_strategy"))).otherwise(F.col("standard_strategy"))
+        best = staged(best.withColumn("strategy", label))
+        picked = rows.join(best.select(F.col("job_id").alias("page_id"), "source"), ["page_id", "source"]).select("page_id", "row_idx", "record")
+        rest = records.join(chosen.select(F.col("job_id").alias("page_id")), "page_id", "left_anti")
+        return rest.unionByName(picked), reports.join(chosen, "job_id", "left_anti").unionByName(best.select(*reports.columns))
+
+    def _kept(self, asked: DataFrame, ready: DataFrame, records: DataFrame, reports: DataFrame, instruction: str, intent: Intent, options: Options, warnings: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Records with those of answered requests, and a job for each page; what is new goes to the store."""
+        counts = records.select("page_id", F.explode(F.map_keys("record")).alias("f")).groupBy("page_id", "f").count()
+        share = counts.join(reports.select(F.col("job_id").alias("page_id"), "n_records"), "page_id")
+        share = share.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("f", F.try_divide("count", "n_records"))))).alias("field_coverage"))
+        lacking = F.filter(F.map_keys("missing"), lambda f: f.isin(intent.required)) if intent.required else F.array().cast("array<string>")
+        note = F.when(~F.col("is_good_enough") & (F.col("n_records") == 0) & (F.col("overall_score") < 0.1), F.array(F.lit("no records were found; look at the page's compact form"))).otherwise(F.array().cast("array<string>"))
+        done = reports.join(ready.select(F.col("page_id").alias("job_id"), F.col("page_id"), F.col("compact.page_type_hint").alias("page_type"), "mode", "template_id"), "job_id").join(share, "page_id", "left")
+        diagnostics = F.struct(
+            F.col("strategy").alias("strategy_used"), "page_type", "mode", F.col("n_records").alias("records_found"), F.col("overall_score").alias("quality_score"), F.coalesce("field_coverage", F.create_map().cast("map<string,double>")).alias("field_coverage"),
+            lacking.alias("missing_required"), F.col("attempts").cast("int").alias("repair_attempts"), "template_used", F.when(F.col("template_used"), F.col("template_id")).alias("template_id"), note.alias("warnings"),
+        )
+        status = validate.response_status(F.col("is_good_enough"), F.col("n_records"), F.col("overall_score"))
+        done = done.select("page_id", status.alias("status"), diagnostics.alias("diagnostics"), F.when(~F.col("is_good_enough"), F.col("repair_hint")).alias("message"), "plan", "is_good_enough")
+        new = asked.where("cached_job_id is null").join(done, "page_id").withColumn("job_id", F.substring(F.sha2(F.concat_ws("|", "idempotency_key", F.col("page_id").cast("string"), F.date_format(F.current_timestamp(), "yyyyMMddHHmmssSSS")), 256), 1, 32))
+        new = staged(new.drop("html"))
+        if self.artifacts_path is not None:
+            tables = [artifacts.artifact(new, "plan", F.col("plan")), artifacts.artifact(new, "result", F.col("diagnostics")), artifacts.artifact(ready.withColumn("job_id", F.col("page_id")), "compact", F.col("compact"))]
+            if not artifacts.write_artifacts(self.artifacts_path, *tables):
+                warnings.append("artifacts_not_written")
+        shown = ["page_id", "job_id", "url", "instruction", "status", "message", "diagnostics"]
+        fresh = new.withColumn("instruction", F.lit(instruction)).select(*shown)
+        if self.store is None:
+            return records, fresh
+        now = F.current_timestamp().cast("timestamp_ntz")
+        d = F.col("diagnostics")
+        self.store.append("jobs", new.select(
+            F.col("job_id").alias("id"), "url", "domain", F.lit(instruction).alias("instruction"), "idempotency_key", "status", d["page_type"].alias("page_type"), d["strategy_used"].alias("strategy_used"), F.lit(options.output_format).alias("output_format"),
+            d["quality_score"].alias("quality_score"), F.lit(None).cast("string").alias("error_code"), F.lit(None).cast("string").alias("error_message"), F.lit(None).cast("int").alias("runtime_ms"), d["repair_attempts"].alias("repair_attempts"), d["template_id"].alias("template_id"), now.alias("created_at"), now.alias("updated_at"),
+        ))
+        listed = records.groupBy("page_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", F.to_json("record").alias("r")))), lambda x: x["r"])).alias("records"))
+        own = new.join(listed, "page_id", "left")
+        self.store.append("results", own.select(F.concat(F.lit("r-"), F.col("job_id")).alias("id"), "job_id", F.coalesce("records", F.lit("[]")).alias("records"), F.to_json("diagnostics").alias("diagnostics"), now.alias("created_at")))
+        if options.save_template:
+            self._save_templates(new, now)
+        old = asked.where("cached_job_id is not null").drop("html")
+        if not old.take(1):
+            return records, fresh
+        # Answered requests: what their latest result holds, without any work on the page.
+        before = jobs.with_results(self.store.table("jobs"), self.store.table("results")).select(F.col("id").alias("cached_job_id"), "status", "records", F.from_json("diagnostics", _DONE).alias("diagnostics"))
+        old = staged(old.join(before, "cached_job_id"))
+        again = old.select("page_id", F.posexplode(F.from_json("records", "array<string>")).alias("row_idx", "r")).select("page_id", "row_idx", F.from_json("r", "map<string,string>").alias("record"))
+        cached = old.select("page_id", F.col("cached_job_id").alias("job_id"), "url", F.lit(instruction).alias("instruction"), "status", F.lit("cached_idempotent_response").alias("message"), "diagnostics")
+        return records.unionByName(again), fresh.unionByName(cached)
+
+    def _save_templates(self, new: DataFrame, now: Column) -> None:
+        """A candidate for each layout that did well by a plan of its own and has no template yet."""
+        good = new.where(F.col("is_good_enough") & ~F.col("diagnostics.template_used") & ~F.col("invalid_url"))
+        best = good.groupBy("domain", "goal_signature", "pattern").agg(F.max_by(F.struct("plan", "diagnostics.strategy_used", "diagnostics.page_type", "diagnostics.quality_score"), F.struct("diagnostics.quality_score", -F.col("page_id"))).alias("x"))
+        rows = best.select(
+            F.substring(F.sha2(F.concat_ws("|", "domain", "goal_signature", "pattern"), 256), 1, 32).alias("id"), "domain", F.col("pattern").alias("url_pattern"), "goal_signature", F.col("x.page_type").alias("page_type"), F.col("x.strategy_used").alias("strategy"),
+            F.when(F.col("x.strategy_used") == "semantic_extraction", F.lit(Plan("semantic_extraction").to_json())).otherwise(F.col("x.plan")).alias("extraction_plan"), F.col("x.quality_score").alias("success_score"), F.lit("candidate").alias("status"),
+            F.lit(1).alias("consecutive_successes"), F.lit(0).alias("consecutive_failures"), now.alias("created_at"), now.alias("updated_at"), now.alias("last_used_at"),
+        )
+        known = self.store.table("templates").where("status <> 'deprecated'").select("domain", "goal_signature", "url_pattern")
+        self.store.append("templates", staged(rows.join(known, ["domain", "goal_signature", "url_pattern"], "left_anti")))
+
+    def follow(self, first: Result, link: str, fetch: Callable[[DataFrame], DataFrame], instruction: str | None = None, **options: object) -> Result:
+        """A second extraction over the pages that a field of a first one links to: `fetch` gives (page_id, url, html) of (page_id, url), an id for each distinct URL."""
+        urls = first.records.select(F.element_at("record", F.lit(link)).alias("url")).where(F.col("url").rlike("^(?i)https?://")).distinct()
+        return self.extract(fetch(urls.select(F.xxhash64("url").alias("page_id"), "url")), instruction, **options)
+
+
+def extract(spark: SparkSession, pages: DataFrame, instruction: str, **options: object) -> Result:
+    """One extraction with an engine of its own: engine settings and extract's options by name."""
+    own = {k: options.pop(k) for k in ("backend", "store", "settings", "opener", "artifacts_path") if k in options}
+    with Engine(spark, **own) as engine:
+        return engine.extract(pages, instruction, **options)
+
+
+def describe(plan: Plan) -> str:
+    """A plan as indented JSON."""
+    return json.dumps(asdict(replace(plan)), indent=2)

@@ -1,4 +1,4 @@
-"""python -m pagemill.cli extract PAGES INSTRUCTION [--out DIR] [--format json|csv] | version"""
+"""python -m pagemill.cli extract PAGES INSTRUCTION [--store DIR] [--out DIR] [--format table|json|csv] | templates STORE [--status S] | migrate STORE | version"""
 
 from __future__ import annotations
 
@@ -8,15 +8,21 @@ VERSION = "0.1.0"
 
 
 def main(argv: list[str] | None = None) -> int:
-    """Exit code 0 if some page succeeded."""
+    """Exit code 0 if some page succeeded (extract), or if the command did."""
     parser = argparse.ArgumentParser(prog="pagemill")
     sub = parser.add_subparsers(dest="command", required=True)
     extract = sub.add_parser("extract", help="records of a Parquet table of pages (page_id, url, html)")
     extract.add_argument("pages")
     extract.add_argument("instruction")
+    extract.add_argument("--store", help="folder of the job, result and template tables")
     extract.add_argument("--out")
-    extract.add_argument("--format", choices=["json", "csv"], default="json")
+    extract.add_argument("--format", choices=["table", "json", "csv"], default="table")
     extract.add_argument("--max-records", type=int, default=100)
+    listed = sub.add_parser("templates", help="the templates of a store, the last used first")
+    listed.add_argument("store")
+    listed.add_argument("--status")
+    migrate = sub.add_parser("migrate", help="makes the tables of a store")
+    migrate.add_argument("store")
     sub.add_parser("version")
     args = parser.parse_args(argv)
     if args.command == "version":
@@ -26,16 +32,32 @@ def main(argv: list[str] | None = None) -> int:
 
     from pagemill.api import Engine
     from pagemill.plans.model import Options
-    from pagemill.sources.export import write_csv, write_json
+    from pagemill.sources.store import Store
 
     spark = SparkSession.builder.appName("pagemill").getOrCreate()
-    result = Engine(spark).extract(spark.read.parquet(args.pages), args.instruction, options=Options(max_records=args.max_records))
-    rows = result.table()
+    if args.command == "migrate":
+        Store(spark, args.store).migrate()
+        return 0
+    if args.command == "templates":
+        Engine(spark, store=Store(spark, args.store)).templates(args.status).select("id", "domain", "url_pattern", "strategy", "status", "success_score", "last_used_at").show(truncate=False)
+        return 0
+    with Engine(spark, store=Store(spark, args.store) if args.store else None) as engine:
+        result = engine.extract(spark.read.parquet(args.pages), args.instruction, options=Options(max_records=args.max_records, output_format="csv" if args.format == "csv" else "json"))
     if args.out:
-        (write_csv if args.format == "csv" else write_json)(rows, args.out, "overwrite")
+        (result.save_csv if args.format == "csv" else result.save_json)(args.out)
+    elif args.format == "json":
+        for row in result.response_json().toLocalIterator():
+            print(row.json)
+    elif args.format == "csv":
+        from pagemill.sources.export import csv_text
+
+        rows = result.csv()
+        print(",".join(rows.columns))
+        for row in csv_text(rows).toLocalIterator():
+            print(row.value, end="")
     else:
-        rows.show(truncate=False)
-    return 0 if result.statuses().where("status = 'success'").take(1) else 1
+        result.show()
+    return 0 if result.jobs.where("status = 'success'").take(1) else 1
 
 
 if __name__ == "__main__":

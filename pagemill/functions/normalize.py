@@ -127,29 +127,38 @@ def present(value: Column) -> Column:
     return F.coalesce(F.trim(value) != "", F.lit(False))
 
 
-def parses_as(value: Column, kind: str) -> Column:
-    """Whether a present value is one of its type, length included; false for null."""
+#: Fixed value: how a decimal number may be written, once a comma counts as the point.
+DECIMAL = r"(?i)^[+-]?(\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(e[+-]?\d+)?$|^[+-]?(inf|infinity|s?nan\d*)$"
+
+
+def parses_as(value: Column, kind: str, *, fuzzy_dates: bool = False) -> Column:
+    """Whether a present value is one of its type, length included; false for null. fuzzy_dates: dates in any wording count, by a UDF, so not within a lambda."""
     text = F.trim(value)
-    low = F.lower(text)
     digits = F.length(F.regexp_replace(text, r"\D", ""))
     checks = {
-        "string": F.lit(True),
-        "list_string": F.lit(True),
-        "number": text.try_cast("double").isNotNull() & ~text.rlike("(?i)[a-df-z]"),
-        "integer": text.rlike(r"^-?\d+$"),
-        "currency": text.rlike(NUMBER),
-        "url": text.rlike("^(?i)https?://."),
-        "email": text.rlike(f"^{EMAIL}$"),
-        "phone": digits.between(7, 15),
-        "date": common_date(text).isNotNull(),
-        "boolean": low.isin(BOOLEAN),
+        "string": lambda: F.lit(True),
+        "list_string": lambda: F.lit(True),
+        "number": lambda: F.replace(text, F.lit(","), F.lit(".")).rlike(DECIMAL),
+        "integer": lambda: text.rlike(r"^-?\d+$"),
+        "currency": lambda: text.rlike(NUMBER),
+        "url": lambda: text.rlike("^(?i)https?:"),
+        "email": lambda: text.rlike(f"^{EMAIL}$"),
+        "phone": lambda: digits.between(7, 15),
+        "date": lambda: (date(text) if fuzzy_dates else common_date(text)).isNotNull(),
+        "boolean": lambda: F.lower(text).isin(BOOLEAN),
     }
-    return F.coalesce(checks[kind] & (F.length(value) <= LONGEST[kind]), F.lit(False))
+    return F.coalesce(checks[kind]() & (F.length(value) <= LONGEST[kind]), F.lit(False))
+
+
+def length_of(value: Column, kind: str) -> Column:
+    """The length that a merge compares: of a list (joined by "; ") that of its parts."""
+    return F.length(F.replace(value, F.lit("; "), F.lit(""))) if kind == "list_string" else F.length(value)
 
 
 def plausible(value: Column, kind: str) -> Column:
-    """Whether a merge may take a value."""
-    return present(value) & (F.length(value) <= LONGEST[kind]) & (parses_as(value, kind) if kind not in ("string", "list_string") else F.lit(True))
+    """Whether a merge may take a value: present, not too long, a URL with a host, a boolean one of its spellings."""
+    checks = {"url": lambda: value.rlike("^(?i)https?://[^/?#]"), "boolean": lambda: F.lower(value).isin(BOOLEAN)}
+    return present(value) & (length_of(value, kind) <= LONGEST[kind]) & checks.get(kind, lambda: F.lit(True))()
 
 
 #: Types of which the semantic pass is believed first.
@@ -159,6 +168,6 @@ SEMANTIC_FIRST = ["url", "integer", "number", "currency", "date", "email", "phon
 def pick_field(standard: Column, semantic: Column, kind: str) -> Column:
     """One of two values: the plausible semantic one for SEMANTIC_FIRST types, else the shortest plausible (ties: standard), else the first that is there."""
     s, m = F.when(plausible(standard, kind), standard), F.when(plausible(semantic, kind), semantic)
-    shortest = F.when(s.isNull(), m).when(m.isNull(), s).when(F.length(m) < F.length(s), m).otherwise(s)
+    shortest = F.when(s.isNull(), m).when(m.isNull(), s).when(length_of(m, kind) < length_of(s, kind), m).otherwise(s)
     best = F.coalesce(m, shortest) if kind in SEMANTIC_FIRST else shortest
     return F.coalesce(best, F.when(present(standard), standard), F.when(present(semantic), semantic))

@@ -71,6 +71,30 @@ def robots_verdict(pages: DataFrame, robots: DataFrame, agent: str) -> DataFrame
     return pages.join(robots.select("host", "rules"), "host", "left").withColumn("robots", verdict("rules", "canonical")).drop("rules")
 
 
+def robots_source(hosts: DataFrame, fetch: Callable[[str], str | None], *, now: Column, known: DataFrame | None = None, ttl: int = 3600, scheme: str = "https") -> DataFrame:
+    """(host, rules, fetched_at) of distinct hosts: those of `known` that are younger than ttl seconds, else fetched anew.
+
+    `fetch(url)` is injected: it gives the text of a host's robots.txt, or None where there is none; what it raises counts as
+    none, so that such hosts are open. A host is fetched once, by the task that owns it.
+    """
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            texts = []
+            for h in pdf["host"]:
+                try:
+                    texts.append(fetch(f"{scheme}://{h}/robots.txt"))
+                except Exception:  # noqa: BLE001
+                    texts.append(None)
+            yield pd.DataFrame({"host": pdf["host"], "rules": pd.Series(texts, dtype=object)})
+
+    asked = hosts.select("host").where("host is not null").distinct()
+    if known is None:
+        return asked.mapInPandas(run, "host string, rules string").withColumn("fetched_at", now)
+    fresh = known.where(F.col("fetched_at") > now - F.make_dt_interval(secs=F.lit(ttl))).groupBy("host").agg(F.max_by(F.struct("rules", "fetched_at"), "fetched_at").alias("x")).select("host", "x.rules", "x.fetched_at")
+    fresh = fresh.join(asked, "host", "left_semi")
+    return fresh.unionByName(asked.join(fresh, "host", "left_anti").mapInPandas(run, "host string, rules string").withColumn("fetched_at", now))
+
+
 def is_html(content_type: Column) -> Column:
     """Whether a page may be parsed by its content type; an unknown one may."""
     kind = F.lower(F.trim(F.coalesce(content_type, F.lit(""))))

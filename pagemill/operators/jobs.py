@@ -40,16 +40,25 @@ def templates_by_use(templates: DataFrame, status: str | None = None) -> DataFra
     return rows.orderBy(F.desc_nulls_last("last_used_at"), "id")
 
 
-def rate_schedule(arrivals: DataFrame, *, rate: float = 1.0, key: str = "domain") -> DataFrame:
-    """When each arrival (key, at: seconds, seq) may start, if a key starts `rate` a second at most: start = max(arrival, previous start + 1 / rate).
+def rate_schedule(arrivals: DataFrame, *, rate: float = 1.0, burst: int = 1, wait: float | None = None, key: str = "domain") -> DataFrame:
+    """When each arrival (key, at: seconds, seq) may start under a token bucket of a key: `rate` tokens a second, at most `burst` saved up.
 
-    In closed form: i / rate + the running maximum of (arrival - i / rate). A key's arrivals are one window, as their
+    In closed form: a bucket that owes i tokens by then frees at i / rate + the running maximum of (arrival - i / rate), less what a
+    burst may run ahead; with burst 1 that is max(arrival, previous start + 1 / rate). With `wait` given_up says that a
+    start would come later than that; the token of such an arrival still counts. A key's arrivals are one window, as their
     order is the point; a task holds one row at a time.
     """
     by = Window.partitionBy(key).orderBy("at", "seq")
     rows = arrivals.withColumn("i", F.row_number().over(by) - 1)
-    lead = F.max(F.col("at") - F.col("i") / rate).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("start", lead + F.col("i") / rate).drop("i")
+    before = F.max(F.col("at") - F.col("i") / rate).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("start", F.greatest(F.col("at"), F.coalesce(before + F.col("i") / rate - (burst - 1) / rate, F.col("at")))).drop("i")
+    return rows if wait is None else rows.withColumn("given_up", ~within_deadline(F.col("start"), F.col("at"), wait))
+
+
+def remaining(deadline: Column, now: Column, step: Column | float | None = None) -> Column:
+    """Seconds of a budget that are left, never below 0; no more than a step may take."""
+    left = F.greatest(deadline - now, F.lit(0.0))
+    return left if step is None else F.least(left, step if isinstance(step, Column) else F.lit(step))
 
 
 def within_deadline(start: Column, arrival: Column, seconds: float = 5.0) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagemill.functions.embedded import items_of
-from pagemill.functions.normalize import normalize
+from pagemill.functions import normalize as norm
 from pagemill.functions.text import field_term, key_variants, let, or_null
 from pagemill.functions.urls import join_url
 from pagemill.plans.model import MOST_PATTERNS, MOST_RECORDS, FieldSelector, Intent, Plan
@@ -46,18 +46,27 @@ def _read(nodes: Column, n: Column, attribute: str, base: Column) -> Column:
 
 
 def _field(nodes: Column, s: FieldSelector | None, kind: str, base: Column) -> Column:
-    """A field's normalised value within nodes: by its selector, else by its fallback; null is a miss."""
+    """A field's value within nodes: by its selector, else by its fallback; null is a miss."""
     if s is None:
         return F.lit(None).cast("string")
     read = lambda sel: _read(nodes, css.select_first(nodes, sel) if sel else dom.first(nodes), s.attribute, base)
     value = or_null(read(s.selector))
     if s.fallback:
         value = F.coalesce(value, or_null(read(s.fallback)))
-    return normalize(value, kind, base)
+    return _normal(value, kind, base)
 
 
-def _rows(rows: DataFrame, values: dict[str, Column], most: int) -> DataFrame:
+def _normal(value: Column, kind: str, base: Column) -> Column:
+    """A value normalised by its type, but for dates: those are left to `_rows`, where they are columns of their own."""
+    return value if kind == "date" else norm.normalize(value, kind, base)
+
+
+def _rows(rows: DataFrame, intent: Intent, values: dict[str, Column], most: int) -> DataFrame:
     """Records of rows (page_id, row_idx) from the columns of their fields. Those without a value go where they are made: a filter behind would have all of it worked out twice."""
+    dates = [f.name for f in intent.fields if f.type == "date"]
+    if dates:
+        rows = rows.withColumns({f"date of {n}": values[n] for n in dates})
+        values = values | {n: norm.date(F.col(f"date of {n}")) for n in dates}
     pairs = F.array(*(F.struct(F.lit(n).alias("key"), c.cast("string").alias("value")) for n, c in values.items()))
     there = lambda p: F.coalesce(p["value"], F.lit("")) != ""
 
@@ -75,7 +84,7 @@ def _rows(rows: DataFrame, values: dict[str, Column], most: int) -> DataFrame:
 def single(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataFrame:
     """One record of a page."""
     nodes, base = F.col("nodes"), F.col("url")
-    return _rows(pages.withColumn("row_idx", F.lit(0)), {f.name: _field(nodes, plan.selector_of(f.name), f.type, base) for f in intent.fields}, most)
+    return _rows(pages.withColumn("row_idx", F.lit(0)), intent, {f.name: _field(nodes, plan.selector_of(f.name), f.type, base) for f in intent.fields}, most)
 
 
 @strategy("repeated_dom_selector")
@@ -93,7 +102,7 @@ def repeated(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataFra
     for f in intent.fields:
         s = plan.selector_of(f.name)
         values[f.name] = _field(F.col("inner") if s and s.selector else F.col("nodes"), s, f.type, F.col("url"))
-    return _rows(rows, values, most)
+    return _rows(rows, intent, values, most)
 
 
 @strategy("table_extraction")
@@ -115,7 +124,7 @@ def table(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataFrame:
         at = F.when(exact > 0, exact).otherwise(near)
         return F.when(at > 0, F.get("row", (at - 1).cast("int"))["text"])
 
-    return _rows(rows, {f.name: normalize(cell(f.name), f.type, F.col("url")) for f in intent.fields}, most)
+    return _rows(rows, intent, {f.name: _normal(cell(f.name), f.type, F.col("url")) for f in intent.fields}, most)
 
 
 def article(nodes: Column) -> dict[str, Column]:
@@ -147,8 +156,8 @@ def articles(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataFra
     values = {}
     for f in intent.fields:
         source = ARTICLE_ALIAS.get(f.name)
-        values[f.name] = normalize(own[source], f.type, F.col("url")) if source and source != "text" else own["text"] if source else F.lit(None).cast("string")
-    return _rows(pages.withColumn("row_idx", F.lit(0)), values, most)
+        values[f.name] = _normal(own[source], f.type, F.col("url")) if source and source != "text" else own["text"] if source else F.lit(None).cast("string")
+    return _rows(pages.withColumn("row_idx", F.lit(0)), intent, values, most)
 
 
 #: Parts of patterns that the two regular expression languages read differently.
@@ -189,8 +198,8 @@ def text_patterns(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> Da
 
     rows = pages if "text" in pages.columns else pages.withColumn("text", visible_text(F.col("nodes")))
     patterns = dict(plan.patterns[:MOST_PATTERNS])
-    values = {f.name: normalize(first_match(F.col("text"), patterns[f.name]), f.type, F.col("url")) if f.name in patterns else F.lit(None).cast("string") for f in intent.fields}
-    return _rows(rows.withColumn("row_idx", F.lit(0)), values, most)
+    values = {f.name: _normal(first_match(F.col("text"), patterns[f.name]), f.type, F.col("url")) if f.name in patterns else F.lit(None).cast("string") for f in intent.fields}
+    return _rows(rows.withColumn("row_idx", F.lit(0)), intent, values, most)
 
 
 def json_field(item: Column, name: str) -> Column:
@@ -208,7 +217,7 @@ def structured(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataF
     """A record of each object in a page's payloads."""
     items = F.flatten(F.transform(F.col("embedded.payloads"), lambda p: items_of(p["json"])))
     rows = pages.select("page_id", "url", F.posexplode(F.slice(items, 1, most)).alias("row_idx", "item"))
-    return _rows(rows, {f.name: normalize(json_field(F.col("item"), f.name), f.type, F.col("url")) for f in intent.fields}, most)
+    return _rows(rows, intent, {f.name: _normal(json_field(F.col("item"), f.name), f.type, F.col("url")) for f in intent.fields}, most)
 
 
 @strategy("manual_fallback_failed")
@@ -232,7 +241,37 @@ def semantic(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataFra
         own = {"title": F.col("facts.title"), "name": F.col("facts.title"), "url": F.col("url"), "description": F.col("facts.meta_description")}.get(name, F.lit(None).cast("string"))
         return F.coalesce(F.when(best["s"] > 0, best["v"]), own)
 
-    return _rows(pages.withColumn("row_idx", F.lit(0)), {f.name: normalize(value(f.name), f.type, F.col("url")) for f in intent.fields}, most)
+    return _rows(pages.withColumn("row_idx", F.lit(0)), intent, {f.name: _normal(value(f.name), f.type, F.col("url")) for f in intent.fields}, most)
+
+
+def semantic_by(pages: DataFrame, intent: Intent, extract: Callable[[str, Intent, int], list[dict]], most: int = 100) -> DataFrame:
+    """Records that an injected extractor reads from a page's facts (pages need `facts`): extract(facts text, intent, most) -> a list of objects.
+
+    It runs in the tasks, once more where it raises; after that the page has no records. Fields are normalised by their
+    type, lists are joined, others are left out, and records without any value as well.
+    """
+    names = [f.name for f in intent.fields]
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for pdf in batches:
+            rows = []
+            for page_id, url, text in zip(pdf["page_id"], pdf["url"], pdf["text"], strict=True):
+                found: list[dict] = []
+                for _ in range(2):
+                    try:
+                        found = list(extract(text, intent, most))[:most]
+                        break
+                    except Exception:  # noqa: BLE001, S112
+                        continue
+                for i, record in enumerate(found):
+                    values = {n: "; ".join(map(str, v)) if isinstance(v, (list, tuple)) else str(v) for n in names if (v := record.get(n)) is not None}
+                    rows.append((page_id, url, i, values))
+            yield pd.DataFrame(rows, columns=["page_id", "url", "row_idx", "raw"])
+
+    from .page import facts_text
+
+    found = pages.select("page_id", "url", facts_text(F.col("facts")).alias("text")).mapInPandas(run, "page_id long, url string, row_idx int, raw map<string,string>")
+    return _rows(found, intent, {f.name: _normal(F.element_at("raw", F.lit(f.name)), f.type, F.col("url")) for f in intent.fields}, most)
 
 
 def execute(pages: DataFrame, plan: Plan, intent: Intent, max_records: int = MOST_RECORDS) -> DataFrame:
@@ -241,6 +280,6 @@ def execute(pages: DataFrame, plan: Plan, intent: Intent, max_records: int = MOS
 
 
 def field_stats(records: DataFrame) -> DataFrame:
-    """(page_id, field, hits, misses)."""
+    """(page_id, field, hits, misses, errors). Columns do not raise: what cannot be read is a miss, and errors are 0."""
     rows = records.select("page_id", F.explode(F.concat(F.transform("hits", lambda f: F.struct(f.alias("field"), F.lit(1).alias("hit"))), F.transform("misses", lambda f: F.struct(f.alias("field"), F.lit(0).alias("hit"))))).alias("x"))
-    return rows.groupBy("page_id", "x.field").agg(F.sum("x.hit").alias("hits"), F.sum(1 - F.col("x.hit")).alias("misses"))
+    return rows.groupBy("page_id", "x.field").agg(F.sum("x.hit").alias("hits"), F.sum(1 - F.col("x.hit")).alias("misses"), F.lit(0).cast("long").alias("errors"))

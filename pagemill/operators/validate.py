@@ -35,7 +35,7 @@ def validate(jobs: DataFrame, records: DataFrame, intent: Intent, digits: int =
     value = lambda f: F.element_at("record", F.lit(f.name))
     sums = records.groupBy("job_id").agg(
         F.count("*").alias("n"), F.count_distinct(record_key(F.col("record"))).alias("keys"),
-        *(F.count_if(present(value(f))).alias(f"p_{f.name}") for f in fields), *(F.count_if(present(value(f)) & parses_as(value(f), f.type)).alias(f"o_{f.name}") for f in fields),
+        *(F.count_if(present(value(f))).alias(f"p_{f.name}") for f in fields), *(F.count_if(present(value(f)) & parses_as(value(f), f.type, fuzzy_dates=True)).alias(f"o_{f.name}") for f in fields),
     )
     rows = jobs.join(sums, "job_id", "left").fillna(0, ["n", "keys", *(f"{a}_{f.name}" for a in "po" for f in fields)])
     n, some = F.col("n"), F.col("n") > 0

@@ -6,6 +6,7 @@ is made of (its compact form) and takes the first strategy that fits.
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import replace
 from typing import Any, Protocol
@@ -14,10 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import field_term
+from pagemill.operators.staging import staged
 from pagemill.operators.strategies import execute
 from pagemill.operators.validate import validate
 
-from .model import FieldSelector, FieldSpec, Intent, Plan
+from .model import STRATEGIES, FieldSelector, FieldSpec, Intent, Plan
 
 #: Repairs of a plan at most.
 MOST_REPAIRS = 2
@@ -40,6 +42,80 @@ def kind_of(name: str) -> str:
     return next((kind for pattern, kind in _KINDS if re.search(pattern, field_term(name))), "string")
 
 
+#: How names of models begin that take no temperature.
+REASONING_MODELS = ("gpt-5", "o1", "o3", "o4")
+
+#: What a language model is asked, a template a step; filled with str.format.
+PROMPTS = {
+    "intent": "Which fields does this request ask for? Answer as JSON with entity, expected (object or array) and fields (name, type, required).\nRequest: {instruction}",
+    "plan": "Choose how to extract these fields from the page described. Answer as JSON with strategy and what it needs.\nStrategies: {strategies}\nFields: {fields}\nPage: {compact}",
+    "repair": "This plan did badly. Answer with a better one in the same form.\nFields: {fields}\nPlan: {plan}\nReport: {report}\nPage: {compact}",
+    "semantic": "Answer with a JSON list of at most {most} records of these fields, from the facts alone; leave out what they do not say.\nFields: {fields}\nFacts:\n{facts}",
+}
+
+
+def is_reasoning_model(name: str) -> bool:
+    """Whether a model is one of those that take no temperature."""
+    return name.lower().startswith(REASONING_MODELS)
+
+
+class GatewayError(RuntimeError):
+    """A model that could not be reached, or whose answer was of no use twice."""
+
+
+class Gateway:
+    """Asks a model for JSON and checks the answer; a bad answer is asked for once more, at temperature 0, with what was wrong.
+
+    `call(prompt, model, **options)` is injected and returns (text, tokens in, tokens out). Every call is kept in `log` with its tokens and outcome.
+    """
+
+    def __init__(self, call, model: str, temperature: float = 0.2) -> None:  # noqa: ANN001
+        self.call, self.model, self.temperature = call, model, temperature
+        self.log: list[dict[str, Any]] = []
+
+    def ask(self, step: str, check, **values: Any) -> Any:  # noqa: ANN001
+        """The checked answer to PROMPTS[step]; `check` gives the result of parsed JSON or raises ValueError, KeyError or TypeError."""
+        prompt, wrong = PROMPTS[step].format(**values), ""
+        for attempt in range(2):
+            options = {} if is_reasoning_model(self.model) else {"temperature": 0.0 if attempt else self.temperature}
+            entry = {"step": step, "attempt": attempt, "model": self.model, "tokens_in": 0, "tokens_out": 0, "outcome": "error"}
+            self.log.append(entry)
+            try:
+                text, entry["tokens_in"], entry["tokens_out"] = self.call(prompt + wrong, self.model, **options)
+            except Exception as e:
+                raise GatewayError(f"{step}: {e}") from e
+            try:
+                out = check(json.loads(text))
+                entry["outcome"] = "ok"
+                return out
+            except (ValueError, KeyError, TypeError) as e:
+                entry["outcome"] = "invalid"
+                wrong = f"\nYour last answer was wrong: {e}"
+        raise GatewayError(f"{step}: no valid answer")
+
+
+class ModelBackend:
+    """Plans by a language model behind a gateway."""
+
+    def __init__(self, gateway: Gateway) -> None:
+        self.gateway = gateway
+
+    def intent(self, instruction: str) -> Intent:
+        def check(raw: dict) -> Intent:
+            return Intent(tuple(FieldSpec(f["name"], f.get("type", "string"), bool(f.get("required", False))) for f in raw["fields"]), raw.get("entity", "record"), raw.get("expected", "array"))
+
+        return self.gateway.ask("intent", check, instruction=instruction)
+
+    def plan(self, intent: Intent, compact: dict[str, Any], classes: list[str]) -> Plan:
+        return self.gateway.ask("plan", lambda raw: Plan.from_json(json.dumps(raw)), strategies=STRATEGIES, fields=intent.schema().simpleString(), compact=json.dumps(compact)[:8000])
+
+    def repair(self, intent: Intent, plan: Plan, report: dict[str, Any], compact: dict[str, Any], classes: list[str]) -> Plan | None:
+        try:
+            return self.gateway.ask("repair", lambda raw: Plan.from_json(json.dumps(raw)), fields=intent.schema().simpleString(), plan=plan.to_json(), report=json.dumps(report, default=str), compact=json.dumps(compact)[:8000])
+        except GatewayError:
+            return None
+
+
 class RuleBackend:
     """Plans by rules alone."""
 
@@ -118,25 +194,33 @@ class RuleBackend:
         return (f".{own}" if own else f"[class*='{words[0]}']", "text", None)
 
 
-def repaired(pages: DataFrame, plan: Plan, intent: Intent, backend: Backend, compact: dict[str, Any], classes: list[str], max_records: int = 100) -> tuple[DataFrame, DataFrame, Plan, int]:
-    """records, report, plan and repairs of pages of one layout. A repair takes the pages that need one and is kept where it scores higher."""
-    def run(own: DataFrame, p: Plan) -> tuple[DataFrame, DataFrame]:
-        found = execute(own, p, intent, max_records)
-        jobs = own.select(F.col("page_id").alias("job_id"), F.lit(None).cast("int").alias("containers"))
-        return found, validate(jobs, found.select(F.col("page_id").alias("job_id"), "record"), intent)
+def ran(pages: DataFrame, plan: Plan, intent: Intent, max_records: int) -> tuple[DataFrame, DataFrame]:
+    """The records and the report of one plan over pages that have `containers` (of the best section, or null)."""
+    found = execute(pages, plan, intent, max_records)
+    jobs = pages.select(F.col("page_id").alias("job_id"), "containers")
+    return found, validate(jobs, found.select(F.col("page_id").alias("job_id"), "record"), intent)
+
+
+def repaired(pages: DataFrame, plan: Plan, intent: Intent, backend: Backend, compact: dict[str, Any], classes: list[str], max_records: int = 100) -> tuple[DataFrame, DataFrame, list[Plan]]:
+    """records, report (with attempts: repairs that a page's result took) and all plans tried on pages of one layout.
 
-    records, report = run(pages, plan)
-    done = 0
-    for _ in range(MOST_REPAIRS):
-        weak = report.where("needs_repair").select("job_id", "overall_score")
-        worst = report.where("needs_repair").orderBy("overall_score").first()
-        nxt = backend.repair(intent, plan, worst.asDict(), compact, classes) if worst else None
+    A repair takes the pages that need one, and is kept where it scores higher. Reports are staged, as each step asks them twice.
+    """
+    if "containers" not in pages.columns:
+        pages = pages.withColumn("containers", F.lit(None).cast("int"))
+    records, report = ran(pages, plan, intent, max_records)
+    records, report = staged(records), staged(report.withColumn("attempts", F.lit(0)))
+    plans = [plan]
+    while len(plans) <= MOST_REPAIRS:
+        worst = report.where("needs_repair").orderBy("overall_score", "job_id").limit(1).collect()
+        nxt = backend.repair(intent, plans[-1], worst[0].asDict(recursive=True), compact, classes) if worst else None
         if nxt is None:
             break
-        again, scores = run(pages.join(weak.select(F.col("job_id").alias("page_id")), "page_id", "left_semi"), nxt)
-        better = scores.join(weak.withColumnRenamed("overall_score", "before"), "job_id").where("overall_score > before").drop("before")
+        weak = report.where("needs_repair").select("job_id", F.col("overall_score").alias("before"))
+        again, scores = ran(pages.join(weak.select(F.col("job_id").alias("page_id")), "page_id", "left_semi"), nxt, intent, max_records)
+        better = staged(scores.join(weak, "job_id").where("overall_score > before").drop("before").withColumn("attempts", F.lit(len(plans))))
         ids = better.select(F.col("job_id").alias("page_id"))
-        records = records.join(ids, "page_id", "left_anti").unionByName(again.join(ids, "page_id", "left_semi"))
-        report = report.join(better.select("job_id"), "job_id", "left_anti").unionByName(better)
-        plan, done = nxt, done + 1
-    return records, report, plan, done
+        records = staged(records.join(ids, "page_id", "left_anti").unionByName(again.join(ids, "page_id", "left_semi")))
+        report = staged(report.join(better.select("job_id"), "job_id", "left_anti").unionByName(better))
+        plans.append(nxt)
+    return records, report, plans

@@ -265,3 +265,190 @@ def test_page_facts(spark):
     assert f.facts.calendar_urls == ["https://x.example.com/e.ics"] and "## Pairs\n- A: 1" in f.t
     compact = page.analyze(parsed(spark, CARDS)).select("compact", page.compact_text(F.col("compact")).alias("j"), page.static_is_enough(F.col("compact"), F.col("embedded"), "array", ["title"]).alias("s")).first()
     assert compact.compact.page_type_hint == "search_results" and compact.j.startswith("{") and compact.s is False
+
+
+def test_engine_warm_path(spark, tmp_path):
+    own = store.Store(spark, str(tmp_path / "store"))
+    own.migrate()
+    ask = "Extract the title and price of all products"
+    pages = spark.createDataFrame([(i, f"https://x.example.com/list/{i}", CARDS) for i in range(2)] + [(2, "https://y.example.com/about", "<p>nothing here")], "page_id long, url string, html string")
+
+    class Counting(RuleBackend):
+        plans = 0
+
+        def plan(self, *a):
+            Counting.plans += 1
+            return super().plan(*a)
+
+    engine = api.Engine(spark, Counting(), store=own, artifacts_path=str(tmp_path / "artifacts"))
+    first = engine.extract(pages, ask)
+    assert Counting.plans == 2  # two layouts, not three pages
+    jobs_of = {r.page_id: r for r in first.jobs.collect()}
+    assert [jobs_of[i].status for i in range(3)] == ["success", "success", "partial_success"]  # no records score 0.35
+    assert jobs_of[0].diagnostics.strategy_used == "repeated_dom_selector" and jobs_of[0].diagnostics.field_coverage == {"title": 1.0, "price": 1.0}
+    assert jobs_of[2].diagnostics.records_found == 0 and jobs_of[2].message == "no records were found"
+    assert first.records.where("page_id < 2").count() == 8
+    assert [(t.domain, t.url_pattern, t.status, t.consecutive_successes) for t in engine.templates().collect()] == [("example.com", "/list/*", "candidate", 1)]
+    # the same requests again: answered from the store
+    again = engine.extract(pages, ask)
+    assert sorted((r.page_id, r.status, r.message) for r in again.jobs.collect()) == [(i, jobs_of[i].status, "cached_idempotent_response") for i in range(3)]
+    assert again.records.where("page_id < 2").count() == 8 and Counting.plans == 2
+    # another page of the layout: served by the template, without a plan
+    more = engine.extract(spark.createDataFrame([(7, "https://x.example.com/list/7", CARDS)], "page_id long, url string, html string"), ask)
+    assert Counting.plans == 2 and more.jobs.first().diagnostics.template_used and more.records.count() == 4
+    assert [(t.status, t.consecutive_successes) for t in engine.templates().collect()] == [("candidate", 2)]
+    # a page of the layout that the template does not serve is planned, and counts against it
+    other = engine.extract(spark.createDataFrame([(8, "https://x.example.com/list/8", "<p>x")], "page_id long, url string, html string"), ask)
+    assert Counting.plans == 3 and not other.jobs.first().diagnostics.template_used
+    assert [(t.consecutive_successes, t.consecutive_failures) for t in engine.templates().collect()] == [(0, 1)]
+    counters, quality = engine.metrics()
+    assert {r.key: r.total for r in counters.collect()}["extraction_total{status=success}"] == 3.0 and quality.count() >= 1
+    from pagemill.sources import artifacts
+
+    assert {r.kind for r in artifacts.read_artifacts(spark, str(tmp_path / "artifacts")).select("kind").distinct().collect()} == {"plan", "result", "compact"}
+    artifacts.dump_metrics(counters, quality, str(tmp_path / "metrics"))
+    assert spark.read.json(str(tmp_path / "metrics")).count() == counters.count() + quality.count()
+    first.save_json(str(tmp_path / "json"))
+    first.save_csv(str(tmp_path / "csv"))
+    assert spark.read.json(str(tmp_path / "json")).count() == first.records.count() == spark.read.option("header", True).csv(str(tmp_path / "csv")).count()
+    assert '"status" : "success"' in first.response_json().where("json like '%list/0%'").first().json
+    engine.close()
+    with pytest.raises(ValueError):
+        engine.templates()
+
+
+def test_analysis_parses_once(spark):
+    rows = page.analyze(parsed(spark, CARDS)).select("page_id", "compact")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+def test_large_pages_cost_their_nodes(spark):
+    import time
+
+    n = 3_200
+    rows = "<table>" + "".join(f"<tr><td>label {i}<td>value {i}" for i in range(n)) + "</table>" + "".join(f"<b class=label>l{i % 7}</b><i></i><i>v{i}</i>" for i in range(n))
+    cards = "".join(f"<article class=card><h2>T {i}</h2><a href=/{i}>x</a><ul><li><b>1</b><i>2</i></li><li><b>1</b><i>3</i></li><li><b>1</b><i>4</i></li></ul></article>" for i in range(n))
+    df = parsed(spark, rows, f"<div>{cards}</div>").cache()
+    assert df.count() == 2
+    began = time.perf_counter()
+    assert df.where("page_id = 0").select(F.size(page.key_values(F.col("nodes")))).first()[0] == 40
+    found = df.where("page_id = 1").select(sections.sections_of(F.col("nodes"))).first()[0]
+    assert found[0].selector == "article.card" and found[0]["count"] == n
+    assert time.perf_counter() - began < 30  # quadratic ones took minutes
+
+
+@pytest.mark.parametrize(("raw", "kind", "want"), [("1,5", "number", True), ("1.5e3", "number", True), ("1,234.5", "number", False), ("x", "number", False), ("3rd March 2021", "date", True), ("03/04/2024", "date", True), ("soon", "date", False), ("http:x", "url", True), ("ftp://x", "url", False), ("-12", "integer", True), ("1.0", "integer", False), ("no", "boolean", True), ("maybe", "boolean", False), ("a@b.co", "email", True), ("5 EUR", "currency", True), (None, "string", False)])
+def test_values_parse_as_their_types(spark, raw, kind, want):
+    assert spark.range(1).select(norm.parses_as(F.lit(raw).cast("string"), kind, fuzzy_dates=True)).first()[0] is want
+
+
+def test_strategies_read_dates_in_any_wording(spark):
+    html = "<div class=e><b class=t>A</b><i class=d>on the 3rd of March 2021</i></div><div class=e><b class=t>B</b><i class=d>2024-05-06</i></div><div class=e><b class=t>C</b><i class=d>soon</i></div>"
+    plan = Plan("repeated_dom_selector", container=".e", fields=(FieldSelector("title", ".t"), FieldSelector("day", ".d")))
+    got = {r.record["title"]: r.record.get("day") for r in strategies.execute(parsed(spark, html), plan, Intent((FieldSpec("title"), FieldSpec("day", "date")))).collect()}
+    assert got == {"A": "2021-03-03", "B": "2024-05-06", "C": None}
+
+
+def test_semantic_by_an_extractor(spark):
+    df = parsed(spark, "<title>T</title>", "<title>bad</title>").withColumn("facts", page.facts(F.col("nodes"), F.col("url"), F.col("embedded")))
+
+    def extract(text, intent, most):
+        if "bad" in text:
+            raise RuntimeError("no answer")
+        return [{"name": "a", "price": "$3", "tags": ["x", "y"], "other": 1}, {"name": None}, {"name": "b", "price": 4}]
+
+    intent = Intent((FieldSpec("name"), FieldSpec("price", "currency"), FieldSpec("tags", "list_string")))
+    got = sorted((r.page_id, r.row_idx, r.record) for r in strategies.semantic_by(df, intent, extract).collect())
+    assert got == [(0, 0, {"name": "a", "price": "$3", "tags": "x; y"}), (0, 2, {"name": "b", "price": "4"})]
+    result = api.Engine(spark).extract(pages_of(spark, "<title>T</title>"), intent=intent, extractor=extract)
+    assert result.records.count() == 2
+
+
+def test_gateway_asks_once_more():
+    from pagemill.plans.backend import Gateway, GatewayError, ModelBackend, is_reasoning_model
+
+    answers, seen = ["no json", '{"fields":[{"name":"title","required":true}],"expected":"object"}', "{}", "[]"], []
+
+    def call(prompt, model, **options):
+        seen.append((options, "wrong" in prompt))
+        return answers[len(seen) - 1], 5, 2
+
+    gateway = Gateway(call, "small")
+    intent = ModelBackend(gateway).intent("Give me the title")
+    assert intent == Intent((FieldSpec("title", "string", True),), expected="object")
+    assert seen == [({"temperature": 0.2}, False), ({"temperature": 0.0}, True)] and [e["outcome"] for e in gateway.log] == ["invalid", "ok"]
+    with pytest.raises(GatewayError):
+        ModelBackend(gateway).intent("Give me the title")
+    assert is_reasoning_model("O3-mini") and not is_reasoning_model("small")
+
+
+def test_rendering(spark):
+    from pagemill.sources import render
+
+    class Fake(render.Renderer):
+        def render(self, url):
+            if "bad" in url:
+                raise OSError("crash")
+            return CARDS
+
+    df = spark.createDataFrame([(0, "https://x.example.com/a/1", "<p>js"), (1, "https://x.example.com/bad", "<p>js")], "page_id long, url string, html string")
+    found = render.rendered(df, Fake, workers=2, recycle=1)
+    assert {r.page_id: (r.rendered_html is not None, r.render_error) for r in found.collect()} == {0: (True, None), 1: (False, "render_error: crash")}
+    before = render.pre_rendered(df, df.limit(1).select("url", F.lit("<b>").alias("html")))
+    out = {r.page_id: (r.html, r.mode) for r in render.with_rendered(df, before, F.lit(True)).collect()}
+    assert out == {0: ("<b>", "browser"), 1: ("<p>js", "static")}
+    result = api.Engine(spark, opener=Fake).extract(df, "Extract the title, price and url of all products")
+    assert {r.page_id: r.diagnostics["mode"] for r in result.jobs.collect()} == {0: "browser", 1: "static"} and result.records.where("page_id = 0").count() == 4
+
+
+def test_robots_source_keeps_what_is_fresh(spark):
+    hosts = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "host string")
+    known = spark.sql("select 'a' host, 'old' rules, timestamp'2024-01-01 00:00:00' fetched_at union all select 'b', 'fresh', timestamp'2024-01-01 01:30:00'")
+
+    def fetch(url):
+        if "//c/" in url:
+            raise OSError("down")
+        return f"rules of {url}"
+
+    got = {r.host: r.rules for r in compliance.robots_source(hosts, fetch, now=F.expr("timestamp'2024-01-01 02:00:00'"), known=known).collect()}
+    assert got == {"a": "rules of https://a/robots.txt", "b": "fresh", "c": None}
+
+
+def test_rate_bursts_and_waits(spark):
+    df = spark.createDataFrame([("d", t, i) for i, t in enumerate([0.0, 0.0, 0.0, 0.0, 9.0, 9.0])], "domain string, at double, seq int")
+    rows = jobs.rate_schedule(df, burst=2, wait=1.5).orderBy("seq").collect()
+    assert [r.start for r in rows] == [0.0, 0.0, 1.0, 2.0, 9.0, 9.0] and [r.given_up for r in rows] == [False, False, False, True, False, False]
+
+
+def test_settings(spark):
+    from pagemill.settings import Settings
+
+    spark.conf.set("spark.pagemill.max_records", "7")
+    try:
+        assert Settings.from_spark(spark, rate_burst=3) == Settings.of(max_records=7, rate_burst=3)
+    finally:
+        spark.conf.unset("spark.pagemill.max_records")
+    with pytest.raises(ValueError, match="colour"):
+        Settings.of(colour="red")
+
+
+def test_following_links(spark):
+    engine = api.Engine(spark)
+    first = engine.extract(pages_of(spark, CARDS), "Extract the title, price and url of all products")
+    fetch = lambda urls: urls.withColumn("html", F.concat(F.lit("<h1 class=title>"), F.substring_index("url", "/", -1), F.lit("</h1>")))
+    second = engine.follow(first, "url", fetch, "Get the title for this page")
+    assert sorted(r.title for r in second.table().collect()) == ["0", "1", "2", "3"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from pagemill.cli import main
+
+    pages_of(spark, CARDS).write.parquet(str(tmp_path / "pages"))
+    assert main(["migrate", str(tmp_path / "store")]) == 0
+    args = ["extract", str(tmp_path / "pages"), "Extract the title, price and url of all products", "--store", str(tmp_path / "store")]
+    assert main([*args, "--format", "csv"]) == 0
+    assert capsys.readouterr().out.splitlines()[:2] == ["title,price,url", "Thing 0,$09.50,https://x.example.com/p/0"]
+    assert main(["templates", str(tmp_path / "store")]) == 0
+    assert "candidate" in capsys.readouterr().out
+    assert main(["version"]) == 0
