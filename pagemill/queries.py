@@ -54,9 +54,9 @@ _DUCK_URL = r"""
     u as (select page_id, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) scheme, lower(regexp_replace(regexp_replace(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1), '^.*@', ''), ':\d*$', '')) host,
                  case when regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) = '' then '/' else regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) end path,
                  regexp_extract(url, '^[^?#]*\?([^#]*)', 1) query from pages),
-    q as (select page_id, string_agg(p, '&' order by p) query from (select page_id, unnest(string_split(query, '&')) p from u) where p <> '' and lower(split_part(p, '=', 1)) not in ('utm_source','utm_medium','utm_campaign','utm_term','utm_content','gclid','fbclid','yclid','mc_cid','mc_eid','ref','ref_src','_hsenc','_hsmi') group by 1),
+    q as (select page_id, string_agg(p, '&' order by p) query from (select page_id, unnest(string_split(query, '&')) p from u) where p <> '' and lower(split_part(p, '=', 1)) not in (_TRACKING) group by 1),
     c as (select u.page_id, url, scheme, host, path, scheme || '://' || host || path || coalesce('?' || q.query, '') canonical,
-                 array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') as domain from u left join q on u.page_id = q.page_id)"""
+                 array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') as domain from u left join q on u.page_id = q.page_id)""".replace("_TRACKING", ", ".join(f"'{name}'" for name in urls.TRACKING))
 
 
 @query(f"with {_DUCK_URL} select page_id, canonical, domain, host, scheme from c")
@@ -132,9 +132,9 @@ def page_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.analyze(dom.parse_pages(pages)).groupBy(F.col("compact.page_type_hint").alias("page_type")).agg(F.count("*").alias("n"))
 
 
-def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page for each brand and size, with a card for each part, in order of key; navigation before it."""
-    part = table(spark, sf_dir, "part")
+def part_pages(spark: SparkSession, sf_dir: str | DataFrame) -> DataFrame:
+    """A page for each brand and size of the parts (or of those given), with a card for each part, in order of key; navigation before it."""
+    part = table(spark, sf_dir, "part") if isinstance(sf_dir, str) else sf_dir
     card = said('<article class="product-card"><h2 class="title">', F.col("p_name"), '</h2><span class="price">$', F.col("p_retailprice").cast("decimal(12,2)"), '</span><a class="link" href="/part/', F.col("p_partkey"), '">more</a></article>')
     brand = F.regexp_extract("p_brand", r"(\d+)", 1).cast("long") * 100 + F.col("p_size")
     cards = part.groupBy(brand.alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", card.alias("html")))), lambda x: x["html"]), "").alias("body"))
@@ -177,8 +177,7 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def single_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = said('<head><meta name="description" content="', F.col("c_mktsegment"), '"></head><body><h1>', F.col("c_name"), '</h1><p>Balance <span class="balance">', F.col("c_acctbal"), "</span></p></body>")
     intent = Intent((FieldSpec("name"), FieldSpec("balance", "number"), FieldSpec("segment")), expected="object")
-    plan = Plan("single_dom_selector", fields=(FieldSelector("name", "h1"), FieldSelector("balance", "p > .balance"), FieldSelector("segment", ".none", "content", "meta[name='description']")))
-    plan = Plan("single_dom_selector", fields=(*plan.fields[:2], FieldSelector("segment", "meta.none", "content", "meta[name='description']")))
+    plan = Plan("single_dom_selector", fields=(FieldSelector("name", "h1"), FieldSelector("balance", "p > .balance"), FieldSelector("segment", "meta.none", "content", "meta[name='description']")))
     found = strategies.execute(dom.parse_pages(made(table(spark, sf_dir, "customer"), "c_custkey", html)), plan, intent)
     get = lambda k: F.element_at("record", F.lit(k))
     return found.select("page_id", get("name").alias("name"), get("balance").cast("double").alias("balance"), get("segment").alias("segment"))

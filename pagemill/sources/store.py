@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagemill.operators.jobs import ARTIFACTS, JOBS, RESULTS, TEMPLATES, latest
 
@@ -34,3 +35,13 @@ class Store:
         """The latest version of each row."""
         changed = "updated_at" if "updated_at" in TABLES[name] else "created_at"
         return latest(self.versions(name), ["id"], [changed])
+
+    def by_id(self, name: str, ids: DataFrame) -> DataFrame:
+        """The latest versions of the rows with these ids (a column id); only their versions are compared."""
+        changed = "updated_at" if "updated_at" in TABLES[name] else "created_at"
+        return latest(self.versions(name).join(ids.select("id").distinct(), "id", "left_semi"), ["id"], [changed])
+
+    def one(self, name: str, row_id: str) -> DataFrame:
+        """The latest version of one row; the filter is pushed down to the files."""
+        changed = "updated_at" if "updated_at" in TABLES[name] else "created_at"
+        return latest(self.versions(name).where(F.col("id") == row_id), ["id"], [changed])
