@@ -5,7 +5,7 @@ A text becomes indicators of n-grams: lower-cased words and pairs of words, and
 ratios of the two classes, and a linear hinge-loss model is fitted to them by dual coordinate descent. Margins
 become scores between 0 and 1 by a logistic curve, fitted on folds that the model did not see.
 
-Scale: the fit takes a sample of labelled rows with a fixed bound (`sample_rows`), in one task, so that a
+Scale: the fit takes a sample of labelled rows with a fixed bound (`sample_rows`, `SAMPLE_BYTES`), in one task, so that a
 lost executor costs a rerun of that task. What is broadcast is one float for each of 2^FEATURE_BITS features.
 Scoring is one narrow pass over the whole texts.
 """
@@ -13,7 +13,7 @@ Scoring is one narrow pass over the whole texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ FEATURE_BITS = 18
 SAMPLE_ROWS = 6_000
 #: Bytes of a sampled text at most in the sample's budget: longer ones are not sampled. Scores read whole texts.
 SAMPLE_TEXT_BYTES = 64 << 10
+#: Bytes of all sampled texts that the fit reads at most, in the order of their hash: some ten times as much memory.
+SAMPLE_BYTES = 48 << 20
 _SHAPE = re.compile(rb"^([^0-9A-Za-z\x80-\xff]*)(.*?)([^0-9A-Za-z\x80-\xff]*)$", re.S)
 _MEMO = 300_000
 
@@ -95,15 +97,26 @@ def fit_hinge(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, d
 
 
 def _ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float) -> np.ndarray:
-    p, q = (np.bincount(np.concatenate([r for r, t in zip(rows, y.tolist(), strict=True) if t == k] or [np.empty(0, np.int64)]), minlength=1 << FEATURE_BITS) + smooth for k in (1.0, -1.0))
+    """The log-count ratio of each feature between the two classes."""
+    counts = np.full((2, 1 << FEATURE_BITS), smooth)
+    for k, sign in enumerate((1.0, -1.0)):
+        own = [r for r, t in zip(rows, y.tolist(), strict=True) if t == sign]
+        for i in range(0, len(own), 1_000):
+            counts[k] += np.bincount(np.concatenate(own[i : i + 1_000]), minlength=1 << FEATURE_BITS)
+    p, q = counts
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def _train(rows: list[np.ndarray], y: np.ndarray, smooth: float, cost: float, blend: float) -> np.ndarray:
-    """One weight a feature, ratio included, and the bias last."""
+def _train(rows: list[np.ndarray], y: np.ndarray, smooth: float, cost: float, blend: float) -> tuple[np.ndarray, np.ndarray]:
+    """One weight a feature, ratio included, and the bias last; and the ratios."""
     dims = 1 << FEATURE_BITS
     ratio = _ratios(rows, y, smooth)
-    values = [ratio[r] / max(float(np.linalg.norm(ratio[r])), 1e-9) for r in rows]
+    ends = np.cumsum([len(r) for r in rows])
+    flat = np.empty(int(ends[-1]))  # one block, which goes back to the system as a whole
+    values = np.split(flat, ends[:-1])
+    for r, v in zip(rows, values, strict=True):
+        v[:] = ratio[r]
+        v /= max(float(np.linalg.norm(v)), 1e-9)
     share = (y > 0).mean()
     w = fit_hinge(rows, values, y, dims, cost=np.where(y > 0, cost * 0.5 / share, cost * 0.5 / (1 - share)))
     mean = np.abs(w[:-1]).mean()
@@ -131,11 +144,19 @@ def _logistic(margin: np.ndarray, good: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(sample: list[tuple[bytes | None, int]], *, smooth: float = 1.0, cost: float = 1.0, blend: float = 0.9, folds: int = 4) -> bytes:
-    """The model as bytes, from texts and labels 0 or 1: weights, ratios, a, b. Of one class alone: a constant score."""
-    memo = _Words()
-    rows = [features(t, memo) for t, _ in sample]
-    good = np.array([k == 1 for _, k in sample], bool)
+def fit(sample: Iterable[tuple[bytes | None, int]], *, smooth: float = 1.0, cost: float = 1.0, blend: float = 0.9, folds: int = 4, most_bytes: int = SAMPLE_BYTES) -> bytes:
+    """The model as bytes, from texts and labels 0 or 1: weights, ratios, a, b. Of one class alone: a constant score. It reads texts until they have `most_bytes`."""
+    memo, found, labels, used = _Words(), [], [], 0
+    for text, label in sample:
+        used += len(text or b"")
+        if used > most_bytes and found:
+            break
+        found.append(features(text, memo).astype(np.int32))
+        labels.append(label)
+    flat = np.concatenate([np.empty(0, np.int32), *found])
+    rows = np.split(flat, np.cumsum([len(f) for f in found])[:-1]) if found else []
+    del found, memo
+    good = np.array([k == 1 for k in labels], bool)
     dims = 1 << FEATURE_BITS
     if len(set(good.tolist())) < 2:
         share = (good.sum() + 1) / (len(good) + 2)
@@ -192,13 +213,10 @@ def fit_on(sample: DataFrame) -> bytes:
     """Fits on a bounded sample (h, label, text), in one task. Returns the model; it has a fixed size. Without rows every score is 0.5."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for batch in batches:
-            rows += zip(batch.column("h").to_pylist(), batch.column("label").to_pylist(), texts(batch.column("text")), strict=True)
-        rows.sort(key=lambda r: (r[0], r[1], r[2] or b""))
-        yield pa.RecordBatch.from_arrays([pa.array([fit([(t, k) for _, k, t in rows])], pa.binary())], ["model"])
+        rows = (row for batch in batches for row in zip(texts(batch.column("text")), batch.column("label").to_pylist(), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([fit(rows)], pa.binary())], ["model"])
 
-    rows = sample.coalesce(1).mapInArrow(run, "model binary").take(1)
+    rows = sample.coalesce(1).sortWithinPartitions("h", "label", "text").mapInArrow(run, "model binary").take(1)
     return bytes(rows[0][0]) if rows else fit([])  # a sample without partitions runs nothing
 
 
