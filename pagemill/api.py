@@ -235,7 +235,7 @@ class Engine:
         if r.share is None:
             return
         rows = self.store.table("templates").where(F.col("id") == template_id)
-        state = F.struct("status", F.col("consecutive_successes").alias("successes"), F.col("consecutive_failures").alias("failures"), F.col("success_score").alias("score"), F.lit(0).alias("changes"))
+        state = F.struct("status", F.col("consecutive_successes").alias("successes"), F.col("consecutive_failures").alias("failures"), F.col("success_score").alias("score"))
         new = templates.advance(state, F.lit(r.share >= 0.5), F.lit(float(r.score)))
         now = F.current_timestamp().cast("timestamp_ntz")
         rows = rows.withColumn("_s", new).withColumns({"status": F.col("_s.status"), "consecutive_successes": F.col("_s.successes"), "consecutive_failures": F.col("_s.failures"), "success_score": F.col("_s.score"), "updated_at": now, "last_used_at": now}).drop("_s")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import segments
+
 JOBS = "id string, url string, domain string, instruction string, idempotency_key string, status string, page_type string, strategy_used string, output_format string, quality_score double, error_code string, error_message string, runtime_ms int, repair_attempts int, template_id string, created_at timestamp_ntz, updated_at timestamp_ntz"
 RESULTS = "id string, job_id string, records string, diagnostics string, created_at timestamp_ntz"
 TEMPLATES = "id string, domain string, url_pattern string, goal_signature string, page_type string, strategy string, extraction_plan string, success_score double, status string, consecutive_successes int, consecutive_failures int, created_at timestamp_ntz, updated_at timestamp_ntz, last_used_at timestamp_ntz"
@@ -45,13 +47,25 @@ def rate_schedule(arrivals: DataFrame, *, rate: float = 1.0, burst: int = 1, wai
 
     In closed form: a bucket that owes i tokens by then frees at i / rate + the running maximum of (arrival - i / rate), less what a
     burst may run ahead; with burst 1 that is max(arrival, previous start + 1 / rate). With `wait` given_up says that a
-    start would come later than that; the token of such an arrival still counts. A key's arrivals are one window, as their
-    order is the point; a task holds one row at a time.
+    start would come later than that; the token of such an arrival still counts. A key's arrivals are a chain of
+    segments, so that one with very many is dealt over many tasks.
     """
-    by = Window.partitionBy(key).orderBy("at", "seq")
-    rows = arrivals.withColumn("i", F.row_number().over(by) - 1)
-    before = F.max(F.col("at") - F.col("i") / rate).over(by.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("start", F.greatest(F.col("at"), F.coalesce(before + F.col("i") / rate - (burst - 1) / rate, F.col("at")))).drop("i")
+    columns, order = arrivals.columns, ("at", "seq")
+    by = segments.within(key, order)
+    rows = segments.segmented(arrivals, key, order).withColumn("_i", F.row_number().over(by) - 1)
+    rows = rows.withColumn("_due", F.col("at") - F.col("_i") / rate)
+    rows = rows.withColumn("_before", F.max("_due").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    # What a segment hands on: how many arrivals it has, and its maximum.
+    along = segments.along(key).rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy(segments.SEGMENT, key).agg(F.count("*").alias("_n"), F.max("_due").alias("_most"))
+    ends = ends.withColumn("_offset", F.coalesce(F.sum("_n").over(along), F.lit(0)))
+    ends = ends.withColumn("_earlier", F.max(F.col("_most") - F.col("_offset") / rate).over(along))
+    carries = ends.where("_offset > 0").select(segments.SEGMENT, key, "_offset", "_earlier")
+    rows = segments.carried(rows, key, carries)
+    offset = F.coalesce("_offset", F.lit(0))
+    before = F.greatest(F.col("_before") - offset / rate, F.col("_earlier"))  # nulls do not count
+    start = F.greatest(F.col("at"), before + (F.col("_i") + offset) / rate - (burst - 1) / rate)
+    rows = rows.withColumn("start", start).select(*columns, "start")
     return rows if wait is None else rows.withColumn("given_up", ~within_deadline(F.col("start"), F.col("at"), wait))
 
 

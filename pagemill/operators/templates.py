@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.urls import glob_regex, path_of
 
+from . import segments
+
 #: How a template's state changes.
 ACTIVE_AFTER, BACK_AFTER, REVIEW_AFTER, DROP_AFTER, LEAST_SCORE = 3, 2, 2, 5, 0.80
-STATE = "status string, successes int, failures int, score double, changes int"
 
 
 def match_templates(requests: DataFrame, templates: DataFrame) -> DataFrame:
@@ -40,31 +41,50 @@ def advance(state: Column, success: Column, score: Column) -> Column:
         .when((state["status"] == "active") & (losses >= REVIEW_AFTER), "needs_review")
         .otherwise(state["status"])
     )
-    changes = state["changes"] + F.when(status != state["status"], 1).otherwise(0)
-    return F.struct(status.alias("status"), wins.cast("int").alias("successes"), losses.cast("int").alias("failures"), rate.cast("double").alias("score"), changes.cast("int").alias("changes"))
-
-
-def initial(score: float = 0.0) -> Column:
-    return F.struct(F.lit("candidate").alias("status"), F.lit(0).alias("successes"), F.lit(0).alias("failures"), F.lit(score).cast("double").alias("score"), F.lit(0).alias("changes"))
+    return F.struct(status.alias("status"), wins.cast("int").alias("successes"), losses.cast("int").alias("failures"), rate.cast("double").alias("score"))
 
 
 def lifecycle(results: DataFrame, *, key: str = "template_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """The state of each template after its results (key, success, score, order columns), folded in order in the JVM.
+    """The state (status, successes, failures, score) of each template after its results (key, success, score, order columns).
 
-    A template's results are gathered in one row. They are bounded by what a template can be used for; for streams of
-    any length see streaming.lifecycle, which holds one state per template.
+    The rules of `advance` in closed form over streaks, so that a template's history is aggregated in parts: deprecated once
+    failures come to DROP_AFTER; a candidate until successes come to ACTIVE_AFTER with a good score; from then on
+    needs_review or active by which came last, REVIEW_AFTER failures or BACK_AFTER successes. For streams see streaming.lifecycle.
     """
-    events = F.array_sort(F.collect_list(F.struct(*order, "success", "score")))
-    state = F.aggregate("events", initial(), lambda s, e: advance(s, e["success"], e["score"]))
-    return results.groupBy(key).agg(events.alias("events")).select(key, state.alias("s")).select(key, "s.*")
+    rows = streaks(results, key=key, order=order).withColumn("at", F.struct(*order))
+    won, lost = F.col("success"), ~F.col("success")
+    when = lambda test: F.when(test, F.col("at"))
+    found = rows.groupBy(key).agg(
+        F.bool_or(lost & (F.col("streak") >= DROP_AFTER)).alias("dropped"), F.min(when(won & (F.col("streak") >= ACTIVE_AFTER) & (F.col("score") >= LEAST_SCORE))).alias("active"),
+        F.max(when(lost & (F.col("streak") >= REVIEW_AFTER))).alias("weak"), F.max(when(won & (F.col("streak") >= BACK_AFTER))).alias("well"),
+        F.max_by(F.struct("success", "streak"), "at").alias("last"), F.max_by("score", when(won)).alias("score"),
+    )
+    later = (F.col("weak") > F.col("active")) & (F.col("well").isNull() | (F.col("weak") > F.col("well")))
+    status = F.when(F.col("dropped"), "deprecated").when(F.col("active").isNull(), "candidate").when(F.coalesce(later, F.lit(False)), "needs_review").otherwise("active")
+    length = F.col("last.streak").cast("int")
+    return found.select(key, status.alias("status"), F.when(F.col("last.success"), length).otherwise(0).alias("successes"), F.when(F.col("last.success"), 0).otherwise(length).alias("failures"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
 
 
 def streaks(results: DataFrame, *, key: str = "template_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Each result with the length of the run of equal results that it ends."""
-    by = Window.partitionBy(key).orderBy(*order)
-    rows = results.withColumn("change", F.coalesce((F.col("success") != F.lag("success").over(by)).cast("int"), F.lit(0)))
-    rows = rows.withColumn("island", F.sum("change").over(by.rowsBetween(Window.unboundedPreceding, 0))).drop("change")
-    return rows.withColumn("streak", F.row_number().over(Window.partitionBy(key, "island").orderBy(*order))).drop("island")
+    """Each result with the length of the run of equal results that it ends; a key with very many results is dealt over many tasks."""
+    columns = results.columns
+    by = segments.within(key, order)
+    rows = segments.segmented(results, key, order)
+    rows = rows.withColumn("_change", F.coalesce((F.col("success") != F.lag("success").over(by)).cast("int"), F.lit(0)))
+    rows = rows.withColumn("_run", F.sum("_change").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("streak", F.row_number().over(Window.partitionBy(segments.SEGMENT, key, "_run").orderBy(*order)))
+    # What a segment hands on: the run in which it ends, together with what it got itself if all of it is one run.
+    at = F.struct(*order)
+    ends = rows.groupBy(segments.SEGMENT, key).agg(F.min_by("success", at).alias("first"), F.max_by(F.struct("success", "streak"), at).alias("last"), (F.max("_run") == 0).alias("one"))
+    along = segments.along(key)
+    before = lambda c: F.lag(c).over(along)
+    joins = F.coalesce(before("last.success") == F.col("first"), F.lit(False))
+    ends = ends.withColumns({"_more": F.when(joins, before("last.streak")).otherwise(0), "_new": (~joins | ~F.coalesce(before("one"), F.lit(False))).cast("int")})
+    ends = ends.withColumn("_chain", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    chain = Window.partitionBy(key, "_chain").orderBy(segments.SEGMENT).rowsBetween(Window.unboundedPreceding, 0)
+    carries = ends.withColumn("_carry", F.sum("_more").over(chain)).where("_carry > 0").select(segments.SEGMENT, key, "_carry")
+    out = segments.carried(rows, key, carries)
+    return out.select(*columns, (F.col("streak") + F.when(F.col("_run") == 0, F.coalesce("_carry", F.lit(0))).otherwise(0)).cast("int").alias("streak"))
 
 
 def upsert_templates(templates: DataFrame, new: DataFrame) -> DataFrame:

@@ -162,6 +162,46 @@ def test_template_states(spark):
     assert seen[2] == "active" and seen[4] == "needs_review" and seen[6] == "active" and seen[11] == "deprecated"
 
 
+@pytest.fixture
+def many_segments(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_hot_templates_are_dealt_over_tasks(spark, many_segments):
+    """Streaks, states and starts of a key that reaches over several segments, against a plain fold."""
+    import random
+
+    from pagemill.operators import segments
+    from pagemill.streaming import step
+
+    rng = random.Random(1)
+    rows = [(k, i, i, rng.random() < p, round(rng.random() * 0.4 + 0.6, 3)) for k, n, p in ((1, 900, 0.9), (2, 30, 0.4), (3, 300, 0.995), (4, 40, 0.05), (5, 1, 1.0), (6, 120, 0.7)) for i in range(n)]
+    df = spark.createDataFrame(rows, "template_id long, ts long, event_id long, success boolean, score double").repartition(5)
+    assert segments.segmented(df, "template_id", ("ts", "event_id")).where("template_id = 1").select(segments.SEGMENT).distinct().count() > 1
+    run, streak, states = None, {}, {}
+    for k, i, _, ok, score in rows:
+        run = run + 1 if i and last == ok else 1  # noqa: F821
+        last = ok  # noqa: F841
+        streak[k, i] = run
+        states[k] = step(states.get(k, ("candidate", 0, 0, 0.0)), ok, score)
+    assert {(r.template_id, r.ts): r.streak for r in templates.streaks(df).collect()} == streak
+    assert {r.template_id: (r.status, r.successes, r.failures, r.score) for r in templates.lifecycle(df).collect()} == states
+    assert len({s[0] for s in states.values()}) >= 3
+    arrivals = df.select(F.col("template_id").alias("domain"), (F.col("ts") * 0.7).alias("at"), F.col("event_id").alias("seq"))
+    for burst in (1, 3):
+        got = {(r.domain, r.seq): r.start for r in jobs.rate_schedule(arrivals, burst=burst).collect()}
+        for k in (1, 3):
+            full = 0.0  # when the bucket would be full of debts
+            for i in range(900 if k == 1 else 300):
+                at = i * 0.7
+                assert got[k, i] == pytest.approx(max(at, full - (burst - 1)), abs=1e-6)
+                full = max(at, full) + 1.0
+
+
 def test_template_stream_matches_batch(spark, tmp_path):
     from pagemill import streaming
 
