@@ -30,7 +30,7 @@ MEMO_WORDS = 300_000
 #: Rows of a file, about.
 FILE_ROWS = 100_000
 #: Bytes of text that are encoded together; bounds what a worker holds.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 _SPACE = bytes.maketrans(b"\t\n\r", b"   ")
 _LOWER = bytes.maketrans(b"\t\n\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"   abcdefghijklmnopqrstuvwxyz")
 #: A word's end that is a piece of its own if a letter or digit stands before it.
@@ -141,15 +141,16 @@ def splits_at_space(spec: dict) -> bool:
 
 
 def _blocks(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) of parts of a batch of about BLOCK_BYTES; null: empty."""
+    """(first row, texts) of parts of a batch of about BLOCK_BYTES; null: empty. Only such a part is held as Python's texts."""
     kind = pa.large_binary() if pa.types.is_large_string(batch.column(column).type) else pa.binary()
     held, size, first = [], 0, 0
-    for i, text in enumerate(batch.column(column).cast(kind).to_pylist()):
-        held.append(text or b"")
-        size += len(text or b"")
-        if size >= BLOCK_BYTES:
-            yield first, held
-            held, size, first = [], 0, i + 1
+    for start in range(0, batch.num_rows, 64):
+        for i, text in enumerate(batch.column(column).slice(start, 64).cast(kind).to_pylist(), start):
+            held.append(text or b"")
+            size += len(text or b"")
+            if size >= BLOCK_BYTES:
+                yield first, held
+                held, size, first = [], 0, i + 1
     if held:
         yield first, held
 
