@@ -126,6 +126,20 @@ ORACLE_SQL: dict[str, str] = {
         select page_id, cast(n as bigint) payload_bytes, d payload_digest, case when first_id is not null and page_id <> first_id then 'revisit' else 'response' end record_type,
                case when page_id <> first_id then first_id end refers_to
         from p left join f using (d)""",
+    "op5_jaccard_join": r"""
+        with recursive w as materialized (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+        s as materialized (select distinct doc_id, g from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) end) g from w)),
+        n as materialized (select doc_id, count(*) n from s group by 1),
+        b as (select x.doc_id a, y.doc_id b, count(*) shared from s x join s y on x.g = y.g and x.doc_id <> y.doc_id group by 1, 2),
+        l as materialized (select a, b from b join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 85 * (x.n + y.n - shared)),
+        r as (select doc_id, doc_id c from n union select r.doc_id, l.b from r join l on r.c = l.a)
+        select w.doc_id, coalesce(any_value(n.n), 0) n_shingles, coalesce(min(c), w.doc_id) component_id from w left join n on n.doc_id = w.doc_id left join r on r.doc_id = w.doc_id group by w.doc_id""",
+    "op7_embedding_dedup": """
+        with recursive v as materialized (select vec_id, e, len(e) d from (select vec_id, cast(embedding as double[]) e from embeddings) where len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+        l as materialized (select x.vec_id a, y.vec_id b from v x join v y on x.d = y.d and x.vec_id <> y.vec_id where case when x.d = y.d then list_cosine_similarity(x.e, y.e) end >= 0.95),
+        r as (select vec_id, vec_id c from v union select r.vec_id, l.b from r join l on r.c = l.a),
+        m as (select vec_id, min(c) c from r group by 1), k as (select a, count(*) n from l group by 1)
+        select e.vec_id, coalesce(n, 0) n_links, coalesce(c, e.vec_id) component_id, e.vec_id = coalesce(c, e.vec_id) kept from embeddings e left join m on m.vec_id = e.vec_id left join k on k.a = e.vec_id""",
     "op9_license_scan": _LICENSE_SQL,
     "op3_mixing": r"""
         with recursive d as materialized (
