@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A-Z to a-z on UTF-8 bytes; other bytes stay.
 ASCII_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words a worker remembers the hash of; beyond it the memory starts afresh, results stay the same.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,10 +57,11 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def texts(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
-    """A string column as UTF-8 bytes."""
+def texts(column: pa.Array | pa.ChunkedArray, rows: int = 256) -> Iterator[bytes | None]:
+    """A string column as UTF-8 bytes, one after another; so many of them are held at a time."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
-    return column.cast(kind).to_pylist()
+    for start in range(0, len(column), rows):
+        yield from column.slice(start, rows).cast(kind).to_pylist()
 
 
 class WordHashes(dict):

@@ -32,7 +32,7 @@ SAMPLE_TEXT_BYTES = 64 << 10
 #: Bytes of all sampled texts that the fit reads at most, in the order of their hash: some ten times as much memory.
 SAMPLE_BYTES = 48 << 20
 _SHAPE = re.compile(rb"^([^0-9A-Za-z\x80-\xff]*)(.*?)([^0-9A-Za-z\x80-\xff]*)$", re.S)
-_MEMO = 300_000
+_MEMO = 200_000
 
 
 class _Words(dict):
