@@ -230,9 +230,10 @@ def score_of(spark: SparkSession, model: bytes) -> Callable[[Column], Column]:
     sent = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(column_of_texts: pd.Series) -> pd.Series:
-        own = _loaded(sent.value)
-        return pd.Series([own.score(t.encode("utf-8", "surrogatepass") if t else None) for t in column_of_texts], dtype="float64")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own = Model(sent.value)  # and its words go with the task
+        for texts_of in batches:
+            yield pd.Series([own.score(t.encode("utf-8", "surrogatepass") if t else None) for t in texts_of], dtype="float64")
 
     return score
 
@@ -242,18 +243,6 @@ def scored(documents: DataFrame, model: bytes, column: str = "score") -> DataFra
     return documents.withColumn(column, score_of(documents.sparkSession, model)("text"))
 
 
-_LOADED: dict[int, Model] = {}
-
-
-def _loaded(raw: bytes) -> Model:
-    """The model, made once in a worker."""
-    key = xxhash.xxh3_64_intdigest(raw)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = Model(raw)
-    return _LOADED[key]
-
-
 def held_out(column: str) -> Column:
     """Whether a row is kept from training."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
