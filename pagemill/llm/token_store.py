@@ -26,11 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words whose ids a worker remembers; beyond it the memory starts afresh, results stay the same.
-MEMO_WORDS = 300_000
+MEMO_WORDS = 150_000
+#: Words that the library encodes at a time; what it says of each is large.
+ASKED_WORDS = 4_096
 #: Rows of a file, about.
 FILE_ROWS = 100_000
 #: Bytes of text that are encoded together; bounds what a worker holds.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 _SPACE = bytes.maketrans(b"\t\n\r", b"   ")
 _LOWER = bytes.maketrans(b"\t\n\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"   abcdefghijklmnopqrstuvwxyz")
 #: A word's end that is a piece of its own if a letter or digit stands before it.
@@ -94,10 +96,12 @@ class Encoder:
         new = {w for ws in words for w in ws if w not in memo}
         parts = {w: pieces(w) for w in new}
         asked = {x: x.decode("utf-8", "replace") for xs in parts.values() for x in xs if x not in memo}
-        plain = {x: t for x, t in asked.items() if _PLAIN.fullmatch(t)}
-        memo.update(zip(plain, self.plain_ids(list(plain.values())), strict=True))
-        other = {x: t for x, t in asked.items() if x not in plain}
-        memo.update(zip(other, self.ids(list(other.values())), strict=True))
+        plain = [x for x, t in asked.items() if _PLAIN.fullmatch(t)]
+        other = list(asked.keys() - set(plain))
+        for own, encode in ((plain, self.plain_ids), (other, self.ids)):
+            for a in range(0, len(own), ASKED_WORDS):
+                part = own[a : a + ASKED_WORDS]
+                memo.update(zip(part, encode([asked[x] for x in part]), strict=True))
         memo.update({w: b"".join(map(memo.__getitem__, xs)) for w, xs in parts.items()})
         return [b"".join(map(memo.__getitem__, ws)) for ws in words]
 
