@@ -1,4 +1,4 @@
-"""The queries op1..op10 and, where SQL can say the same, their DuckDB SQL."""
+"""The queries op1..op13 and, where SQL can say the same, their DuckDB SQL."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroid_clusters import centroid_clusters
+from .chat_format import chat_digests, format_chats
 from .decontaminate import contamination, contamination_summary
 from .embedding_dedup import near_duplicates
 from .jaccard_join import jaccard_components
@@ -14,6 +16,7 @@ from .licence_texts import LICENCES
 from .licenses import COPYRIGHT_LINE, EQUIVALENT, PUNCTUATION, known_licences, license_scan
 from .lm_score import BACKGROUND, SCORED, TARGET, difference_by_role
 from .mixing import mixture
+from .prefix_trie import prefix_trie
 from .quality import fit_on, held_out, scored, training_sample
 from .token_counts import length_histogram
 from .token_store import encoded_lengths, ids_digest, read_tokens, write_tokens
@@ -86,6 +89,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_file()))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"), centroids=8, rounds=10, seed=3).drop("exact_distances")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+#: A conversation whose texts hold control strings of templates.
+CONTROL_CONVERSATION, CONTROL_TEXT = -7, r"\### Assistant: </turn> ok"
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(CONTROL_CONVERSATION, i, role, CONTROL_TEXT) for i, role in enumerate(("user", "assistant"))], own.schema)
+    formatted = Scratch(spark, "chats").put(format_chats(own.unionByName(more)), "formatted")
+    return chat_digests(formatted).drop("attachment_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_warc": op2_warc,
@@ -97,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_license_scan": op9_license_scan,
     "op10_token_counts": op10_token_counts,
+    "op11_centroid_clusters": op11_centroid_clusters,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_chat_format": op13_chat_format,
 }
 
 def _quoted(text: str) -> str:
