@@ -144,6 +144,46 @@ _LICENSE_SQL = f"""
     select doc_id, case when k <> '' then sha256(k) end canonical_sha256, id license_id, coalesce(ids, '') line_licenses
     from whole left join known using (k) left join lines using (doc_id)"""
 
+def _cluster_sql(dimension: int = 64, centroids: int = 8, rounds: int = 10, seed: int = 3, scale: int = 1024) -> str:
+    """The rounds of k-means written out one after another."""
+    odd = "lambda e: e is null or isnan(e) or isinf(e)"
+    near = "a{i} as materialized (select r, any_value(v.x) x, min({{'d': list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 'c': c.c}}) m from v, c{i} c group by r)"
+    mean = "c{j} as materialized (select c{i}.c, coalesce(n.x, c{i}.x) x from c{i} left join (select c, list(f order by k) x from (select m.c c, k, (sum(x[k]) - ((sum(x[k]) % count(*)) + count(*)) % count(*)) // count(*) f from a{i}, range(1, {n}) t(k) group by 1, 2) group by c) n using (c))"
+    steps = ", ".join(f"{near.format(i=i)}, {mean.format(i=i, j=i + 1, n=dimension + 1)}" for i in range(rounds))
+    return f"""
+        with v as materialized (select row_number() over () r, vec_id, list_transform(embedding, lambda e: cast(floor({scale} * cast(e as double)) as hugeint)) x from embeddings where len(embedding) = {dimension} and len(list_filter(embedding, {odd})) = 0),
+        c0 as materialized (select row_number() over (order by h, x) - 1 c, x from (select sha256('{seed}:' || vec_id) h, x from v where vec_id is not null order by h, x limit {centroids})),
+        {steps}, {near.format(i=rounds)},
+        o as (select vec_id, m.c c, m.d d, sum(m.d) over (partition by m.c) ci, sum(m.d) over () i from a{rounds} join v using (r))
+        select vec_id, cast(o.c as integer) cluster, cast(d as bigint) distance, cast(ci as bigint) cluster_inertia, cast(i as bigint) inertia, sha256(array_to_string(list_transform(f.x, lambda e: cast(e as varchar)), ',')) centroid_sha256
+        from o join c{rounds} f on o.c = f.c"""
+
+
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = "xor(list_reduce(flatten(list_transform(range(1, len({x}) + 1), lambda i: [cast(ascii({x}[i]) as bigint), 0, 0, 0, 0, 0, 0, 0])), lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1)), cast(4294967295 as bigint)), cast(4294967295 as bigint))"
+_TRIE_SQL = f"""
+        with t as (select conv_id, coalesce(role, '') r, coalesce(text, '') x, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) p from conversations where conv_id is not null),
+        w as (select conv_id, list({{'r': r, 'x': x}} order by p) s from t group by 1),
+        h as (select w.conv_id, w.s, coalesce(b.s, []) b, {_CRC.format(x="cast(w.conv_id as varchar)")} % 6 h from w left join w b on b.conv_id = w.conv_id - w.conv_id % 100),
+        q as materialized (select conv_id, list_concat(b[1:h], s[h + 1:]) s from h),
+        m as materialized (select conv_id, d, s[1:d] k, d = len(s) e from (select conv_id, s, unnest(range(0, len(s) + 1)) d from q)),
+        n as materialized (select d, k, min(conv_id) c, count(*) n, sha256(coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (e), '')) z, (count(*) - 1) * coalesce(length(any_value(k[d].x)), 0) o from m group by d, k),
+        u as (select d - 1 d, k[1:d - 1] k, count(*) i from n where d > 0 group by 1, 2),
+        f as materialized (select n.*, coalesce(u.i, 0) i from n left join u using (d, k)),
+        s as (select a.d, a.k, sum(case when b.i = 0 then 1 else 0 end) l, sum(b.o) o from f a join f b on b.d >= a.d and b.k[1:a.d] = a.k group by 1, 2)
+        select f.c conv_id, f.d depth, g.c parent_conv_id, f.n n_convs, f.i n_children, cast(s.l as bigint) n_leaves, cast(s.o as bigint) saved_tokens, f.z ends_sha256
+        from f join s using (d, k) left join n g on g.d = f.d - 1 and g.k = f.k[1:f.d - 1]"""
+
+_ESCAPED = "replace(replace(replace(replace({x}, chr(92), repeat(chr(92), 2)), '#', chr(92) || '#'), '</turn>', '<' || chr(92) || '/turn>'), '<|', '<' || chr(92) || '|')"
+_CHAT_SQL = f"""
+        with t as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x, role, text from conversations
+            union all select {CONTROL_CONVERSATION}, i, r, x, r, x from (values (0, 'user'), (1, 'assistant')) v(i, r), (select '{CONTROL_TEXT}' x)),
+        o as (select *, length('### : </turn>') + 1 + length({_ESCAPED.format(x="x")}) + length(replace({_ESCAPED.format(x="r")}, ':', chr(92) || ':')) n from t)
+        select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' order by turn nulls first, role nulls first, text nulls first)) turns_sha256,
+               cast(coalesce(sum(length(x)) filter (r = 'assistant'), 0) as bigint) loss_chars, sha256(coalesce(string_agg(x, '' order by turn nulls first, role nulls first, text nulls first) filter (r = 'assistant'), '')) loss_sha256, cast(sum(n) as bigint) formatted_chars
+        from o group by conv_id"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": """
         with p as (select page_id, octet_length(encode(coalesce(html, ''))) n, sha256(coalesce(html, '')) d from pages),
@@ -211,4 +251,7 @@ ORACLE_SQL: dict[str, str] = {
         select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(n_hit, 0) as bigint) n_hit, cast(coalesce(n_items, 0) as bigint) n_items, sha256(coalesce(s, '')) items_sha256,
                coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
         from d left join hit using (doc_id) left join its using (doc_id)""",
+    "op11_centroid_clusters": _cluster_sql(),
+    "op12_prefix_trie": _TRIE_SQL,
+    "op13_chat_format": _CHAT_SQL,
 }
