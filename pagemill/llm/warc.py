@@ -42,7 +42,8 @@ def url_key(url: Column) -> Column:
 
 
 def _one_line(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), "\r", "%0D"), "\n", "%0A")
+    """A header's value: without spaces and tabs at its ends, which readers take away, and with line ends escaped."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(value, F.lit("")), "\r", "%0D"), "\n", "%0A"), r"^[ \t]+|[ \t]+$", "")
 
 
 def _seconds(moment: str) -> int:
@@ -95,7 +96,10 @@ def write_warc(pages: DataFrame, path: str, *, epoch: str = "2024-01-01 00:00:00
 
 
 def records(parts: Iterable[bytes]) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(place, headers in lower case, block) of each record of an archive that comes in parts of any size; a torn one is an error."""
+    """(place, headers in lower case, block) of each record of an archive that comes in parts of any size; a torn one is an error.
+
+    A lone END after the last record is none: who cuts an archive at its ENDs can't tell whether the last piece had one of its own.
+    """
     held, base = bytearray(), 0  # bytes not yet given out, and the place of the first of them
     wanted, block, headers = 0, 0, {}
     for part in itertools.chain(parts, (None,)):
@@ -109,10 +113,12 @@ def records(parts: Iterable[bytes]) -> Iterator[tuple[int, dict[str, str], bytes
                 cut = held.find(END, at)
                 if cut < 0:
                     break
+                if cut == at and cut + 4 == len(held):
+                    break
                 if not held.startswith(b"WARC/", at):
                     raise ValueError(f"no WARC record at byte {base + at}")
                 lines = held[at:cut].decode("utf-8", "replace").split("\r\n")
-                headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
+                headers = {k.strip().lower(): v.strip(" \t") for k, _, v in (line.partition(":") for line in lines[1:])}
                 block = cut + 4 - at
                 wanted = block + int(headers["content-length"]) + 4
             if len(held) - at < wanted:
@@ -124,7 +130,7 @@ def records(parts: Iterable[bytes]) -> Iterator[tuple[int, dict[str, str], bytes
             at, wanted = end + 4, 0
         del held[:at]
         base += at
-    if held:
+    if held and held != END:
         raise ValueError(f"the record at byte {base} is torn")
 
 
@@ -209,7 +215,10 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(held)
     run, key, when, page = (table.column(c).to_pylist() for c in ("run", "url_key", "captured", "page_id"))
     starts = [i for i in range(len(run)) if not i or run[i] != run[i - 1]]
-    slices = [iter([(key[i], when[i], page[i] is not None, page[i] or 0, i) for i in range(a, b)]) for a, b in zip(starts, [*starts[1:], len(run)], strict=True)]
+    ranks = [(k, w, p is not None, p or 0) for k, w, p in zip(key, when, page, strict=True)]
+    if fall := next((i for i in range(1, len(run)) if run[i] == run[i - 1] and ranks[i] < ranks[i - 1]), None):
+        raise ValueError(f"{run[fall]} is no sorted run: {ranks[fall]} comes after {ranks[fall - 1]}")
+    slices = [iter([(*ranks[i], i) for i in range(a, b)]) for a, b in zip(starts, [*starts[1:], len(run)], strict=True)]
     order = [x[-1] for x in LoserTree(slices)]
     yield from table.take(pa.array(order)).combine_chunks().to_batches(max_chunksize=10_000)
 
