@@ -13,7 +13,7 @@ without its own counts.
 
 Scale: texts are cut into chunks of tasks, each staged once as word numbers. A chunk sends each of its distinct words and
 bigrams once, with its counts in target and background side by side, as packed rows for ranges of their hashes; so a hot
-word is one entry a chunk. A range adds up what all chunks sent and answers each chunk with the sums of what it
+word is one entry a chunk. Ranges are as many as the corpus has words for, so that one holds the same at every size. A range adds up what all chunks sent and answers each chunk with the sums of what it
 asked for, in its order. Nothing is broadcast or collected but totals. Words and bigrams are compared as 64-bit hashes.
 """
 
@@ -35,7 +35,9 @@ from .decontaminate import words_of
 #: Weight of the bigram where its first word has counts.
 BIGRAM_WEIGHT = 0.7
 #: Words after which a task begins a new chunk.
-CHUNK_WORDS = 3_000_000
+CHUNK_WORDS = 2_000_000
+#: Words of the corpus for each range of hashes, about; a range holds what all chunks send for it.
+RANGE_WORDS = 1_000_000
 #: Distinct words that a task adds up before it sends their counts.
 _HELD = 500_000
 #: What a row of `role` is for; roles add up.
@@ -112,6 +114,7 @@ def _staged(batches: Iterator[pa.RecordBatch], capped: tuple[set[bytes], set[byt
             "asks": pa.array([any(r & SCORED for r in roles)]),
             "n_target": pa.array([of[TARGET]], pa.int64()),
             "n_background": pa.array([of[BACKGROUND]], pa.int64()),
+            "n_words": pa.array([len(flat)], pa.int64()),
         } | {k: pa.array([_packed(v)], pa.binary()) for k, v in (("known", known), ("core", core), ("flat", flat), ("lengths", lengths), ("roles", np.array(roles, np.uint64)))}
         return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -288,17 +291,18 @@ def difference_by_role(rows: DataFrame, *, capped: tuple[set[bytes], set[bytes]]
     kind = rows.schema["doc_id"].dataType.simpleString()
     arrow = spark.createDataFrame([], rows.select("doc_id").schema).toArrow().schema.field("doc_id").type
     sent = spark.sparkContext.broadcast(capped)
-    schema = f"chunk long, doc_ids array<{kind}>, asks boolean, n_target long, n_background long, known binary, core binary, flat binary, lengths binary, roles binary"
+    schema = f"chunk long, doc_ids array<{kind}>, asks boolean, n_target long, n_background long, n_words long, known binary, core binary, flat binary, lengths binary, roles binary"
     chunks = scratch.put(rows.select("doc_id", "text", "role").mapInArrow(lambda b: _staged(b, sent.value, arrow, chunk_words), schema), "chunks")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = chunks.mapInArrow(lambda b: _sent(b, 2 * tasks), _KEYS).repartition(tasks, "part").sortWithinPartitions("part")
+    *totals, n_words, n_chunks = (n or 0 for n in chunks.agg(F.sum("n_target"), F.sum("n_background"), F.sum("n_words"), F.count("*")).first())
+    totals = (totals[0], totals[1])
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(2 * least, -(-n_words // RANGE_WORDS))
+    keys = chunks.mapInArrow(lambda b: _sent(b, parts), _KEYS).repartition(-(-parts // 2), "part").sortWithinPartitions("part")
     sums = scratch.put(keys.mapInArrow(_summed, _SUMS), "sums")
-    totals = chunks.agg(F.sum("n_target"), F.sum("n_background")).first()
-    totals = (totals[0] or 0, totals[1] or 0)
     vocabulary = len(capped[0]) if capped is not None else sums.agg(F.sum("words")).first()[0] or 0
-    asking = chunks.where("asks").drop("asks", "n_target", "n_background").withColumn("part", F.lit(-1))
+    asking = chunks.where("asks").drop("asks", "n_target", "n_background", "n_words").withColumn("part", F.lit(-1))
     both = asking.unionByName(sums.where("sums is not null").drop("words"), allowMissingColumns=True)
-    both = both.repartition(tasks, "chunk").sortWithinPartitions("chunk", "part")
+    both = both.repartition(max(least, n_chunks), "chunk").sortWithinPartitions("chunk", "part")
     return both.mapInArrow(lambda b: _scores(b, totals, vocabulary, arrow, max(1, chunk_words // 10)), f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, difference double")
 
 
