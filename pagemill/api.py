@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import logging
 from collections.abc import Callable
@@ -14,10 +15,11 @@ from pagemill.functions.embedded import embedded
 from pagemill.functions.text import goal_signature, idempotency_key
 from pagemill.functions.urls import normalize_url, url_pattern
 from pagemill.operators import jobs, merge, page, strategies, templates, validate
-from pagemill.operators.dom import is_element, parse_pages
+from pagemill.operators.dom import parse_pages
 from pagemill.operators.staging import staged
-from pagemill.plans.backend import Backend, RuleBackend, ran, repaired
+from pagemill.plans.backend import Backend, RuleBackend
 from pagemill.plans.model import Intent, Options, Plan, check_instruction
+from pagemill.plans.runner import LAYOUT, planned, present_in, ran_and_repaired, run_pass, sketches
 from pagemill.settings import Settings
 from pagemill.sources import artifacts, render
 from pagemill.sources.export import flattened, response_json, write_csv, write_json
@@ -32,7 +34,8 @@ _DONE = "struct<strategy_used:string,page_type:string,mode:string,records_found:
 class Result:
     """Of one extraction: records (page_id, row_idx, record), a report for each page, and how they came about.
 
-    jobs has a row for each page: its job, status, diagnostics and message; cached ones were answered before.
+    jobs has a row for each page: its job, status, diagnostics and message; cached ones were answered before. plan is the one that was given, or that
+    of the first page; plans has (page_id, plan) of the pages that were worked on, and notes what went wrong in them.
     """
 
     records: DataFrame
@@ -41,7 +44,8 @@ class Result:
     plan: Plan | None
     repairs: int
     jobs: DataFrame | None = None
-    plans: list[Plan] = field(default_factory=list)
+    plans: DataFrame | None = None
+    notes: DataFrame | None = None
     warnings: list[str] = field(default_factory=list)
 
     def table(self) -> DataFrame:
@@ -115,8 +119,10 @@ class Engine:
 
     def prepared(self, pages: DataFrame) -> DataFrame:
         """Pages (page_id, url, html) parsed and analysed once: their request, nodes, embedded data, compact form and what a report needs of it."""
-        html = F.substring("html", 1, self.settings.max_html_bytes)
-        rows = pages.withColumn("html", html).withColumns({"markup_length": F.length("html"), "embedded": embedded(F.col("html"))})
+        most = self.settings.max_html_bytes
+        long = F.octet_length("html") > most
+        html = F.when(long, F.make_valid_utf8(F.substring(F.col("html").cast("binary"), 1, most).cast("string"))).otherwise(F.col("html"))
+        rows = pages.withColumn("html_truncated", F.coalesce(long, F.lit(False))).withColumn("html", html).withColumns({"markup_length": F.length("html"), "embedded": embedded(F.col("html"))})
         rows = page.analyze(parse_pages(rows))
         return rows.withColumn("containers", page.dom.first(F.col("compact.candidate_sections"))["count"].cast("int"))
 
@@ -128,18 +134,6 @@ class Engine:
         signature = goal_signature(F.array(*(F.lit(f.name) for f in intent.fields)))
         return rows.withColumns({"pattern": F.coalesce(url_pattern(F.col("canonical")), F.lit("/")), "idempotency_key": idempotency_key(F.col("url"), F.lit(instruction)), "goal_signature": signature})
 
-    def sketches(self, ready: DataFrame) -> list[tuple[str, str, dict, list[str]]]:
-        """(domain, pattern, what a backend is shown, the classes in it) of the first page of each layout; at most Settings.most_layouts of them."""
-        firsts = ready.groupBy("domain", "pattern").agg(F.min("page_id").alias("page_id")).limit(self.settings.most_layouts + 1)
-        firsts = firsts.select("page_id").collect()
-        if len(firsts) > self.settings.most_layouts:
-            raise ValueError(f"more than {self.settings.most_layouts} layouts: give a plan, or fewer pages at a time")
-        own = ready.where(F.col("page_id").isin([r.page_id for r in firsts])).dropDuplicates(["domain", "pattern"])
-        classes = F.flatten(F.transform(F.filter("nodes", is_element), lambda n: F.split(F.coalesce(F.element_at(n["attrs"], F.lit("class")), F.lit("")), r"\s+")))
-        keys = F.flatten(F.transform("embedded.payloads", lambda p: F.coalesce(F.json_object_keys(p["json"]), F.array().cast("array<string>"))))
-        rows = own.select("domain", "pattern", "compact", F.filter(F.array_distinct(classes), lambda c: c != "").alias("classes"), keys.alias("k")).collect()
-        return [(r.domain, r.pattern, r.compact.asDict(recursive=True) | {"payload_keys": r.k}, r.classes) for r in rows]
-
     def extract(self, pages: DataFrame, instruction: str | None = None, *, intent: Intent | None = None, plan: Plan | None = None, options: Options | None = None, semantic: bool | None = None, extractor: Callable[[str, Intent, int], list[dict]] | None = None) -> Result:
         """Records of pages (page_id, url, html).
 
@@ -157,62 +151,41 @@ class Engine:
         asked = staged(asked)
         todo = asked.where("cached_job_id is null")
         ready = self._rendered(self.prepared(todo), todo, intent, options)
-        ready = staged(ready.withColumn("template_id", F.lit(None).cast("string")) if self.store is None or plan is not None else self._matched(ready))
-
-        none = self.spark.createDataFrame([], _RECORDS)
-        records, reports, plans, warnings, repairs = none, None, [], [], 0
-
-        def add(found: DataFrame, report: DataFrame) -> None:
-            nonlocal records, reports
-            records = records.unionByName(found.select("page_id", "row_idx", "record"))
-            reports = report if reports is None else reports.unionByName(report)
+        warm = self.store is not None and plan is None
+        none = F.lit(None).cast("string")
+        ready = staged(self._matched(ready) if warm else ready.withColumns({"template_id": none, "template_plan": none}))
+        how = {"attempts": F.lit(0), "template_used": F.lit(True)}
 
         # The warm path: pages with a template. Those that it does not serve well are planned like the others.
-        cold = ready
-        known = ready.where("template_id is not null").select("template_id").distinct().limit(self.settings.most_layouts).collect() if self.store is not None and plan is None else []
-        if known:
-            own = {r.id: Plan.from_json(r.extraction_plan) for r in self.store.table("templates").where(F.col("id").isin([k.template_id for k in known])).select("id", "extraction_plan").collect()}
-            for template_id, used in sorted(own.items()):
-                found, report = ran(self._with_facts(ready.where(F.col("template_id") == template_id), used), used, intent, most)
-                report = staged(report.withColumns({"attempts": F.lit(0), "strategy": F.lit(used.strategy), "plan": F.lit(used.to_json()), "template_used": F.lit(True)}))
-                self._advance(template_id, report)
-                good = report.where("is_good_enough")
-                add(staged(found.join(good.select(F.col("job_id").alias("page_id")), "page_id", "left_semi")), good)
-                plans.append(used)
-            cold = staged(ready.join(reports.select(F.col("job_id").alias("page_id")), "page_id", "left_anti"))
-
-        by_plan: dict[str, list] = {}
-        for domain, pattern, compact, classes in self.sketches(cold):
-            chosen = plan or self.backend.plan(intent, compact, classes)
-            by_plan.setdefault(chosen.to_json(), [chosen, compact, classes, []])[3].append((domain, pattern))
-        for text, (chosen, compact, classes, layouts) in by_plan.items():
-            layout = self.spark.createDataFrame(layouts, "domain string, pattern string")  # at most most_layouts rows
-            own = self._with_facts(cold.join(F.broadcast(layout), ["domain", "pattern"]), chosen, always=True)
-            found, report, tried = repaired(own, chosen, intent, self.backend, compact, classes, most)
-            names = F.element_at(F.array(*(F.lit(p.strategy) for p in tried)), F.col("attempts") + 1)
-            texts = F.element_at(F.array(*(F.lit(p.to_json()) for p in tried)), F.col("attempts") + 1)
-            add(found, report.withColumns({"strategy": names, "plan": texts, "template_used": F.lit(False)}))
-            plans, repairs = plans + tried, max(repairs, len(tried) - 1)
-        if reports is None:
-            empty = self.spark.createDataFrame([], "job_id long, containers int")
-            reports = validate.validate(empty, none.select(F.col("page_id").alias("job_id"), "record"), intent).withColumns({"attempts": F.lit(0), "strategy": F.lit(""), "plan": F.lit(""), "template_used": F.lit(False)})
-        reports = staged(reports)
+        cold, done = ready, []
+        known = ready.where("template_id is not null").withColumn("plan", F.col("template_plan"))
+        if warm and known.take(1):
+            found, report, notes = run_pass(known, intent, most, present_in(known))
+            report = staged(report.withColumns(how))
+            self._advance(known, report)
+            good = report.where("is_good_enough")
+            done.append((found.join(good.select(F.col("job_id").alias("page_id")), "page_id", "left_semi"), good, notes))
+            cold = staged(ready.join(good.select(F.col("job_id").alias("page_id")), "page_id", "left_anti"))
+        if not done or cold.take(1):
+            shown = staged(sketches(cold))
+            plans = shown.select(*LAYOUT, F.lit(plan.to_json()).alias("plan")) if plan is not None else planned(shown, self.backend, intent)
+            found, report, notes = ran_and_repaired(cold, plans, shown, intent, self.backend, most)
+            done.append((found, report.withColumn("template_used", F.lit(False)), notes))
+        records, reports, notes = (functools.reduce(DataFrame.unionByName, parts) for parts in zip(*done, strict=True))
+        reports = staged(reports) if len(done) > 1 else reports
         if semantic is not False:
             gate = F.lit(True) if semantic else F.lit(intent.expected == "object") | ~F.col("is_good_enough") | (F.col("attempts") > 0)
             records, reports = self._with_semantic(ready, records, reports, gate & ~F.col("template_used"), intent, most, extractor)
-        records, reports = staged(records), staged(reports)
-        out = self._kept(asked, ready, records, reports, instruction or intent.entity, intent, options, warnings)
-        LOG.info("extraction: %d plans, %d repairs", len(plans), repairs)
-        extra = ["attempts", "strategy", "plan", "template_used"]
-        return Result(out[0], reports.drop(*extra), intent, plans[-1] if plans else plan, repairs, out[1], plans, warnings)
+        warnings: list[str] = []
+        out = self._kept(asked, ready, records, reports, notes, instruction or intent.entity, intent, options, warnings)
+        first = reports.orderBy("job_id").select("plan").first() if plan is None else None
+        repairs = reports.agg(F.max("attempts")).first()[0] or 0
+        used = Plan.from_json(first.plan) if first else plan
+        LOG.info("extraction: at most %d repairs", repairs)
+        return Result(out[0], reports.drop("attempts", "strategy", "plan", "template_used"), intent, used, repairs, out[1], reports.select(F.col("job_id").alias("page_id"), "plan"), notes, warnings)
 
     # --- steps -----------------------------------------------------------------------------------------------------
 
-    @staticmethod
-    def _with_facts(pages: DataFrame, plan: Plan, *, always: bool = False) -> DataFrame:
-        """Pages with their facts where a plan (or its repair) may read them; the column costs nothing where nobody does."""
-        return pages.withColumn("facts", page.facts(F.col("nodes"), F.col("url"), F.col("embedded"))) if always or plan.strategy == "semantic_extraction" else pages
-
     def _rendered(self, ready: DataFrame, todo: DataFrame, intent: Intent, options: Options) -> DataFrame:
         ready = ready.withColumn("mode", F.lit("static"))
         if self.opener is None or options.use_browser == "never":
@@ -226,23 +199,25 @@ class Engine:
         return ready.join(found.select("page_id"), "page_id", "left_anti").unionByName(again)
 
     def _matched(self, ready: DataFrame) -> DataFrame:
-        found = templates.match_templates(ready.select(F.col("page_id").alias("job_id"), "domain", "goal_signature", "canonical"), self.store.table("templates"))
-        return ready.join(found.select(F.col("job_id").alias("page_id"), "template_id"), "page_id", "left")
-
-    def _advance(self, template_id: str, report: DataFrame) -> None:
-        """One more result of a template: of a run over many pages, whether most of them did well, with their mean score."""
-        r = report.agg(F.avg(F.col("is_good_enough").cast("double")).alias("share"), F.avg("overall_score").alias("score")).first()
-        if r.share is None:
-            return
-        rows = self.store.table("templates").where(F.col("id") == template_id)
-        state = F.struct("status", F.col("consecutive_successes").alias("successes"), F.col("consecutive_failures").alias("failures"), F.col("success_score").alias("score"))
-        new = templates.advance(state, F.lit(r.share >= 0.5), F.lit(float(r.score)))
+        known = self.store.table("templates")
+        found = templates.match_templates(ready.select(F.col("page_id").alias("job_id"), "domain", "goal_signature", "canonical"), known)
+        found = found.where("template_id is not null").join(known.select(F.col("id").alias("template_id"), F.col("extraction_plan").alias("template_plan")), "template_id")
+        return ready.join(found.select(F.col("job_id").alias("page_id"), "template_id", "template_plan"), "page_id", "left")
+
+    def _advance(self, known: DataFrame, report: DataFrame) -> None:
+        """Each page is one more result of its template, in order of page_id."""
+        results = known.select(F.col("page_id").alias("job_id"), "template_id").join(report, "job_id").select("template_id", F.col("job_id").alias("ts"), F.col("is_good_enough").alias("success"), F.col("overall_score").alias("score"))
+        rows = self.store.table("templates").join(results.select(F.col("template_id").alias("id")).distinct(), "id", "left_semi")
+        states = rows.select(F.col("id").alias("template_id"), "status", F.col("consecutive_successes").alias("successes"), F.col("consecutive_failures").alias("failures"), F.col("success_score").alias("score"))
+        new = templates.advanced(states, results, order=("ts",)).select(F.col("template_id").alias("id"), F.struct("status", "successes", "failures", "score").alias("_s"))
         now = F.current_timestamp().cast("timestamp_ntz")
-        rows = rows.withColumn("_s", new).withColumns({"status": F.col("_s.status"), "consecutive_successes": F.col("_s.successes"), "consecutive_failures": F.col("_s.failures"), "success_score": F.col("_s.score"), "updated_at": now, "last_used_at": now}).drop("_s")
+        rows = rows.join(new, "id").withColumns({"status": F.col("_s.status"), "consecutive_successes": F.col("_s.successes"), "consecutive_failures": F.col("_s.failures"), "success_score": F.col("_s.score"), "updated_at": now, "last_used_at": now}).drop("_s")
         self.store.append("templates", staged(rows))
 
     def _with_semantic(self, ready: DataFrame, records: DataFrame, reports: DataFrame, gate: Column, intent: Intent, most: int, extractor: Callable | None) -> tuple[DataFrame, DataFrame]:
         chosen = staged(reports.where(gate).select("job_id"))
+        if not chosen.take(1):
+            return records, reports
         own = ready.join(chosen.select(F.col("job_id").alias("page_id")), "page_id", "left_semi").withColumn("facts", page.facts(F.col("nodes"), F.col("url"), F.col("embedded")))
         facts = strategies.execute(own, Plan("semantic_extraction"), intent, most) if extractor is None else strategies.semantic_by(own, intent, extractor, most)
         facts = staged(facts.select("page_id", "row_idx", "record"))
@@ -264,16 +239,20 @@ class Engine:
         best = staged(best.withColumn("strategy", label))
         picked = rows.join(best.select(F.col("job_id").alias("page_id"), "source"), ["page_id", "source"]).select("page_id", "row_idx", "record")
         rest = records.join(chosen.select(F.col("job_id").alias("page_id")), "page_id", "left_anti")
-        return rest.unionByName(picked), reports.join(chosen, "job_id", "left_anti").unionByName(best.select(*reports.columns))
+        return staged(rest.unionByName(picked)), staged(reports.join(chosen, "job_id", "left_anti").unionByName(best.select(*reports.columns)))
 
-    def _kept(self, asked: DataFrame, ready: DataFrame, records: DataFrame, reports: DataFrame, instruction: str, intent: Intent, options: Options, warnings: list[str]) -> tuple[DataFrame, DataFrame]:
+    def _kept(self, asked: DataFrame, ready: DataFrame, records: DataFrame, reports: DataFrame, notes: DataFrame, instruction: str, intent: Intent, options: Options, warnings: list[str]) -> tuple[DataFrame, DataFrame]:
         """Records with those of answered requests, and a job for each page; what is new goes to the store."""
         counts = records.select("page_id", F.explode(F.map_keys("record")).alias("f")).groupBy("page_id", "f").count()
         share = counts.join(reports.select(F.col("job_id").alias("page_id"), "n_records"), "page_id")
         share = share.groupBy("page_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("f", F.try_divide("count", "n_records"))))).alias("field_coverage"))
         lacking = F.filter(F.map_keys("missing"), lambda f: f.isin(intent.required)) if intent.required else F.array().cast("array<string>")
-        note = F.when(~F.col("is_good_enough") & (F.col("n_records") == 0) & (F.col("overall_score") < 0.1), F.array(F.lit("no records were found; look at the page's compact form"))).otherwise(F.array().cast("array<string>"))
-        done = reports.join(ready.select(F.col("page_id").alias("job_id"), F.col("page_id"), F.col("compact.page_type_hint").alias("page_type"), "mode", "template_id"), "job_id").join(share, "page_id", "left")
+        nothing = F.array().cast("array<string>")
+        note = F.when(~F.col("is_good_enough") & (F.col("n_records") == 0) & (F.col("overall_score") < 0.1), F.array(F.lit("no records were found; look at the page's compact form"))).otherwise(nothing)
+        note = F.concat(F.when(F.col("html_truncated"), F.array(F.lit("html_truncated"))).otherwise(nothing), F.coalesce("notes", nothing), note)
+        done = reports.join(ready.select(F.col("page_id").alias("job_id"), F.col("page_id"), F.col("compact.page_type_hint").alias("page_type"), "mode", "template_id", "html_truncated"), "job_id").join(share, "page_id", "left")
+        said = notes.groupBy("page_id").agg(F.array_distinct(F.flatten(F.collect_list("notes"))).alias("notes"))  # a few rows a page
+        done = done.join(said, "page_id", "left")
         diagnostics = F.struct(
             F.col("strategy").alias("strategy_used"), "page_type", "mode", F.col("n_records").alias("records_found"), F.col("overall_score").alias("quality_score"), F.coalesce("field_coverage", F.create_map().cast("map<string,double>")).alias("field_coverage"),
             lacking.alias("missing_required"), F.col("attempts").cast("int").alias("repair_attempts"), "template_used", F.when(F.col("template_used"), F.col("template_id")).alias("template_id"), note.alias("warnings"),

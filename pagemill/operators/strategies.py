@@ -12,7 +12,6 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagemill.functions.embedded import items_of
 from pagemill.functions import normalize as norm
@@ -22,6 +21,7 @@ from pagemill.plans.model import MOST_PATTERNS, MOST_RECORDS, FieldSelector, Int
 
 from . import css, dom
 from .dom import NAV
+from .patterns import first_match
 
 NO_RECORDS = "page_id long, row_idx int, record map<string,string>, hits array<string>, misses array<string>"
 Strategy = Callable[[DataFrame, Plan, Intent, int], DataFrame]
@@ -160,37 +160,6 @@ def articles(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataFra
     return _rows(pages.withColumn("row_idx", F.lit(0)), intent, values, most)
 
 
-#: Parts of patterns that the two regular expression languages read differently.
-_FOREIGN = ["(?P<", "(?(", "\\A", "\\Z", "(?<=", "(?<!", "(?R", "(?|"]
-
-
-@F.pandas_udf(T.StringType())
-def _python_match(texts: pd.Series, patterns: pd.Series) -> pd.Series:
-    import regex
-
-    def one(text: str | None, pattern: str) -> str | None:
-        try:
-            m = regex.search(pattern, text or "", flags=regex.IGNORECASE, timeout=0.05)
-        except (TimeoutError, regex.error):
-            return None
-        return m and (m.group(1) if m.re.groups else m.group(0))
-
-    return pd.Series([one(t, p) for t, p in zip(texts, patterns, strict=True)], dtype=object)
-
-
-def first_match(text: Column, pattern: str) -> Column:
-    """A pattern's first group, or its whole first match if it has none; case does not count. In the JVM unless the pattern needs Python's language."""
-    import re
-
-    if any(x in pattern for x in _FOREIGN):
-        return _python_match(text, F.lit(pattern))
-    try:
-        groups = re.compile(pattern).groups
-    except re.error:
-        return F.lit(None).cast("string")
-    return or_null(F.regexp_extract(text, f"(?iU){pattern}", 1 if groups else 0))
-
-
 @strategy("visible_text_regex")
 def text_patterns(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataFrame:
     """One record of what named patterns find in a page's visible text (a `text` column, if the pages have one)."""

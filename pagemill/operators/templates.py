@@ -65,6 +65,39 @@ def lifecycle(results: DataFrame, *, key: str = "template_id", order: tuple[str,
     return found.select(key, status.alias("status"), F.when(F.col("last.success"), length).otherwise(0).alias("successes"), F.when(F.col("last.success"), 0).otherwise(length).alias("failures"), F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
 
 
+def advanced(states: DataFrame, results: DataFrame, *, key: str = "template_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
+    """The states (key, status, successes, failures, score) after more results of their keys: what `advance` gives from result to result, in closed form.
+
+    The first run of equal results goes on from the state's own counts; everything else is as in `lifecycle`. Keys without results are left out.
+    """
+    rows = streaks(results, key=key, order=order).withColumn("at", F.struct(*order))
+    begun = rows.groupBy(key).agg(F.min_by("success", "at").alias("_first"), F.min(F.when(F.col("success"), F.col("at"))).alias("_won"), F.min(F.when(~F.col("success"), F.col("at"))).alias("_lost"))
+    begun = begun.join(states.select(key, *(F.col(c).alias(f"_{c}") for c in ("status", "successes", "failures", "score"))), key)
+    rows = rows.join(begun, key)
+    turn = F.when(F.col("_first"), F.col("_lost")).otherwise(F.col("_won"))  # the first result of the other kind
+    more = F.when(turn.isNull() | (F.col("at") < turn), F.when(F.col("_first"), F.col("_successes")).otherwise(F.col("_failures"))).otherwise(0)
+    rows = rows.withColumn("streak", F.col("streak") + more)
+    won, lost = F.col("success"), ~F.col("success")
+    when = lambda test: F.when(test, F.col("at"))
+    begin = ["_status", "_score"]
+    found = rows.groupBy(key, *begin).agg(
+        F.bool_or(lost & (F.col("streak") >= DROP_AFTER)).alias("dropped"), F.min(when(won & (F.col("streak") >= ACTIVE_AFTER) & (F.col("score") >= LEAST_SCORE))).alias("active"),
+        F.max(when(lost & (F.col("streak") >= REVIEW_AFTER))).alias("weak"), F.max(when(won & (F.col("streak") >= BACK_AFTER))).alias("well"),
+        F.max_by(F.struct("success", "streak"), "at").alias("last"), F.max_by("score", when(won)).alias("score"),
+    )
+    candidate = F.col("_status") == "candidate"
+    weak = F.when(~candidate | (F.col("weak") > F.col("active")), F.col("weak"))
+    status = (
+        F.when((F.col("_status") == "deprecated") | F.col("dropped"), "deprecated")
+        .when(candidate & F.col("active").isNull(), "candidate")
+        .when(weak.isNotNull() & (F.col("well").isNull() | (weak > F.col("well"))), "needs_review")
+        .when(F.col("well").isNull() & (F.col("_status") == "needs_review"), "needs_review")
+        .otherwise("active")
+    )
+    length = F.col("last.streak").cast("int")
+    return found.select(key, status.alias("status"), F.when(F.col("last.success"), length).otherwise(0).alias("successes"), F.when(F.col("last.success"), 0).otherwise(length).alias("failures"), F.coalesce("score", "_score").cast("double").alias("score"))
+
+
 def streaks(results: DataFrame, *, key: str = "template_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """Each result with the length of the run of equal results that it ends; a key with very many results is dealt over many tasks."""
     columns = results.columns

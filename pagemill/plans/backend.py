@@ -117,7 +117,13 @@ class ModelBackend:
 
 
 class RuleBackend:
-    """Plans by rules alone."""
+    """Plans by rules alone. Its plans are made in tasks (`in_tasks`); a subclass that may be called there as well says so itself."""
+
+    in_tasks = True
+
+    def __init_subclass__(cls, **options: Any) -> None:
+        super().__init_subclass__(**options)
+        cls.in_tasks = cls.__dict__.get("in_tasks", False)
 
     def intent(self, instruction: str) -> Intent:
         """Fields of a list ("title, price and rating of each product"); "each", "all" and plurals ask for many records. The first field is required."""

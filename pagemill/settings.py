@@ -21,7 +21,6 @@ class Settings:
     job_deadline_seconds: float = 60.0
     max_records: int = 1000
     max_html_bytes: int = 5 << 20
-    most_layouts: int = 200
     log_level: str = "INFO"
 
     @staticmethod
