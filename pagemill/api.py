@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.embedded import embedded
-from pagemill.functions.text import goal_signature, idempotency_key
+from pagemill.functions.text import built_once, goal_signature, idempotency_key
 from pagemill.functions.urls import normalize_url, url_pattern
 from pagemill.operators import jobs, merge, page, strategies, templates, validate
 from pagemill.operators.dom import parse_pages
@@ -30,6 +30,19 @@ _RECORDS = "page_id long, row_idx int, record map<string,string>"
 _DONE = "struct<strategy_used:string,page_type:string,mode:string,records_found:bigint,quality_score:double,field_coverage:map<string,double>,missing_required:array<string>,repair_attempts:int,template_used:boolean,template_id:string,warnings:array<string>>"
 
 
+@built_once
+def _request() -> tuple[Column, dict[str, Column], Column]:
+    """The columns of a request that its URL gives."""
+    url = F.col("_url")
+    first = {"canonical": F.coalesce(url["canonical"], F.col("url")), "domain": F.coalesce(url["domain"], F.lit("")), "invalid_url": url["error"].isNotNull()}
+    return normalize_url(F.col("url")), first, F.coalesce(url_pattern(F.col("canonical")), F.lit("/"))
+
+
+@built_once
+def _embedded() -> Column:
+    return embedded(F.col("html"))
+
+
 @dataclass
 class Result:
     """Of one extraction: records (page_id, row_idx, record), a report for each page, and how they came about.
@@ -122,17 +135,16 @@ class Engine:
         most = self.settings.max_html_bytes
         long = F.octet_length("html") > most
         html = F.when(long, F.make_valid_utf8(F.substring(F.col("html").cast("binary"), 1, most).cast("string"))).otherwise(F.col("html"))
-        rows = pages.withColumn("html_truncated", F.coalesce(long, F.lit(False))).withColumn("html", html).withColumns({"markup_length": F.length("html"), "embedded": embedded(F.col("html"))})
+        rows = pages.withColumn("html_truncated", F.coalesce(long, F.lit(False))).withColumn("html", html).withColumns({"markup_length": F.length("html"), "embedded": _embedded()})
         rows = page.analyze(parse_pages(rows))
         return rows.withColumn("containers", page.dom.first(F.col("compact.candidate_sections"))["count"].cast("int"))
 
     def requests(self, pages: DataFrame, instruction: str, intent: Intent) -> DataFrame:
         """`pages` with canonical, domain, pattern, idempotency_key and goal_signature; no_url where the URL is none."""
-        url = F.col("_url")
-        rows = pages.withColumn("_url", normalize_url(F.col("url")))
-        rows = rows.withColumns({"canonical": F.coalesce(url["canonical"], F.col("url")), "domain": F.coalesce(url["domain"], F.lit("")), "invalid_url": url["error"].isNotNull()}).drop("_url")
+        whole, parts, pattern = _request()
+        rows = pages.withColumn("_url", whole).withColumns(parts).drop("_url")
         signature = goal_signature(F.array(*(F.lit(f.name) for f in intent.fields)))
-        return rows.withColumns({"pattern": F.coalesce(url_pattern(F.col("canonical")), F.lit("/")), "idempotency_key": idempotency_key(F.col("url"), F.lit(instruction)), "goal_signature": signature})
+        return rows.withColumns({"pattern": pattern, "idempotency_key": idempotency_key(F.col("url"), F.lit(instruction)), "goal_signature": signature})
 
     def extract(self, pages: DataFrame, instruction: str | None = None, *, intent: Intent | None = None, plan: Plan | None = None, options: Options | None = None, semantic: bool | None = None, extractor: Callable[[str, Intent, int], list[dict]] | None = None) -> Result:
         """Records of pages (page_id, url, html).
@@ -147,7 +159,7 @@ class Engine:
             check_instruction(instruction or "")
             intent = self.backend.intent(instruction)
         asked = self.requests(pages, instruction or intent.entity, intent)
-        asked = asked.withColumn("cached_job_id", F.lit(None).cast("string")) if self.store is None else jobs.finished(asked, self.store.table("jobs"))
+        asked = asked.withColumn("cached_job_id", F.lit(None).cast("string")) if self.store is None else jobs.finished(asked, self.store.lookup("jobs", "idempotency_key", asked.select("idempotency_key")))
         asked = staged(asked)
         todo = asked.where("cached_job_id is null")
         ready = self._rendered(self.prepared(todo), todo, intent, options)
@@ -165,19 +177,20 @@ class Engine:
             self._advance(known, report)
             good = report.where("is_good_enough")
             done.append((found.join(good.select(F.col("job_id").alias("page_id")), "page_id", "left_semi"), good, notes))
-            cold = staged(ready.join(good.select(F.col("job_id").alias("page_id")), "page_id", "left_anti"))
-        if not done or cold.take(1):
+            cold = ready.join(good.select(F.col("job_id").alias("page_id")), "page_id", "left_anti")
+        if fresh := not done or bool(cold.take(1)):
+            cold = staged(cold) if done else cold
             shown = staged(sketches(cold))
             plans = shown.select(*LAYOUT, F.lit(plan.to_json()).alias("plan")) if plan is not None else planned(shown, self.backend, intent)
             found, report, notes = ran_and_repaired(cold, plans, shown, intent, self.backend, most)
             done.append((found, report.withColumn("template_used", F.lit(False)), notes))
         records, reports, notes = (functools.reduce(DataFrame.unionByName, parts) for parts in zip(*done, strict=True))
         reports = staged(reports) if len(done) > 1 else reports
-        if semantic is not False:
+        if semantic is not False and fresh:
             gate = F.lit(True) if semantic else F.lit(intent.expected == "object") | ~F.col("is_good_enough") | (F.col("attempts") > 0)
             records, reports = self._with_semantic(ready, records, reports, gate & ~F.col("template_used"), intent, most, extractor)
         warnings: list[str] = []
-        out = self._kept(asked, ready, records, reports, notes, instruction or intent.entity, intent, options, warnings)
+        out = self._kept(asked, ready, records, reports, notes, instruction or intent.entity, intent, options if fresh else replace(options, save_template=False), warnings)
         first = reports.orderBy("job_id").select("plan").first() if plan is None else None
         repairs = reports.agg(F.max("attempts")).first()[0] or 0
         used = Plan.from_json(first.plan) if first else plan
@@ -199,7 +212,7 @@ class Engine:
         return ready.join(found.select("page_id"), "page_id", "left_anti").unionByName(again)
 
     def _matched(self, ready: DataFrame) -> DataFrame:
-        known = self.store.table("templates")
+        known = self.store.lookup("templates", "domain", ready.select("domain"))
         found = templates.match_templates(ready.select(F.col("page_id").alias("job_id"), "domain", "goal_signature", "canonical"), known)
         found = found.where("template_id is not null").join(known.select(F.col("id").alias("template_id"), F.col("extraction_plan").alias("template_plan")), "template_id")
         return ready.join(found.select(F.col("job_id").alias("page_id"), "template_id", "template_plan"), "page_id", "left")
@@ -207,7 +220,7 @@ class Engine:
     def _advance(self, known: DataFrame, report: DataFrame) -> None:
         """Each page is one more result of its template, in order of page_id."""
         results = known.select(F.col("page_id").alias("job_id"), "template_id").join(report, "job_id").select("template_id", F.col("job_id").alias("ts"), F.col("is_good_enough").alias("success"), F.col("overall_score").alias("score"))
-        rows = self.store.table("templates").join(results.select(F.col("template_id").alias("id")).distinct(), "id", "left_semi")
+        rows = self.store.by_id("templates", results.select(F.col("template_id").alias("id")))
         states = rows.select(F.col("id").alias("template_id"), "status", F.col("consecutive_successes").alias("successes"), F.col("consecutive_failures").alias("failures"), F.col("success_score").alias("score"))
         new = templates.advanced(states, results, order=("ts",)).select(F.col("template_id").alias("id"), F.struct("status", "successes", "failures", "score").alias("_s"))
         now = F.current_timestamp().cast("timestamp_ntz")
@@ -284,7 +297,7 @@ class Engine:
         if not old.take(1):
             return records, fresh
         # Answered requests: what their latest result holds, without any work on the page.
-        before = jobs.with_results(self.store.table("jobs"), self.store.table("results")).select(F.col("id").alias("cached_job_id"), "status", "records", F.from_json("diagnostics", _DONE).alias("diagnostics"))
+        before = jobs.with_results(self.store.by_id("jobs", old.select(F.col("cached_job_id").alias("id"))), self.store.lookup("results", "job_id", old.select("cached_job_id"))).select(F.col("id").alias("cached_job_id"), "status", "records", F.from_json("diagnostics", _DONE).alias("diagnostics"))
         old = staged(old.join(before, "cached_job_id"))
         again = old.select("page_id", F.posexplode(F.from_json("records", "array<string>")).alias("row_idx", "r")).select("page_id", "row_idx", F.from_json("r", "map<string,string>").alias("record"))
         cached = old.select("page_id", F.col("cached_job_id").alias("job_id"), "url", F.lit(instruction).alias("instruction"), "status", F.lit("cached_idempotent_response").alias("message"), "diagnostics")
@@ -299,7 +312,7 @@ class Engine:
             F.when(F.col("x.strategy_used") == "semantic_extraction", F.lit(Plan("semantic_extraction").to_json())).otherwise(F.col("x.plan")).alias("extraction_plan"), F.col("x.quality_score").alias("success_score"), F.lit("candidate").alias("status"),
             F.lit(1).alias("consecutive_successes"), F.lit(0).alias("consecutive_failures"), now.alias("created_at"), now.alias("updated_at"), now.alias("last_used_at"),
         )
-        known = self.store.table("templates").where("status <> 'deprecated'").select("domain", "goal_signature", "url_pattern")
+        known = self.store.lookup("templates", "domain", rows.select("domain")).where("status <> 'deprecated'").select("domain", "goal_signature", "url_pattern")
         self.store.append("templates", staged(rows.join(known, ["domain", "goal_signature", "url_pattern"], "left_anti")))
 
     def follow(self, first: Result, link: str, fetch: Callable[[DataFrame], DataFrame], instruction: str | None = None, **options: object) -> Result:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: Fixed value: what looks like a price.
 PRICE = r"[$€£¥]\s?\d|\d+[.,]\d{2}"
 
@@ -21,6 +23,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def built_once(build: Callable[[], T]) -> Callable[[], T]:
+    """Columns that are the same whenever they are asked for, built once in a JVM: building is a call to it for each part of an expression."""
+    held: dict[int, T] = {}
+
+    def get() -> T:
+        from pyspark import SparkContext
+
+        key = id(SparkContext._gateway)
+        if key not in held:
+            held.clear()
+            held[key] = build()
+        return held[key]
+
+    return get
+
+
 def or_null(text: Column) -> Column:
     return let(text, lambda t: F.when(t != "", t))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import field_term, or_null
+from pagemill.functions.text import built_once, field_term, or_null
 from pagemill.functions.urls import join_url
 from pagemill.plans.model import MOST_PATTERNS, MOST_RECORDS, FieldSelector, Intent, Plan
 
@@ -233,16 +233,18 @@ def selected(pages: DataFrame, intent: Intent, most: int) -> DataFrame:
     return pages.select("page_id", "url", lean.alias("nodes"), "plan").mapInArrow(run, f"page_id {kind}, url string, raw array<array<{_RAW}>>, notes array<string>")
 
 
-def records_of(found: DataFrame, intent: Intent, most: int) -> DataFrame:
-    """Records of what `selected` found, normalised by type as the strategies' are."""
-    rows = found.select("page_id", "url", F.posexplode("raw").alias("row_idx", "fields"))
+@built_once
+def _values() -> Column:
+    """Of each field what its selector yields, else what its fallback does; links are made absolute."""
+    both = lambda f: F.array(F.struct(f["value"].alias("v"), f["link"].alias("l")), F.struct(f["fallback"].alias("v"), f["fallback_link"].alias("l")))
+    whole = lambda c: or_null(F.when(c["l"], join_url(F.col("url"), c["v"])).otherwise(c["v"]))
+    return F.transform("fields", lambda f: F.get(F.filter(F.transform(both(f), whole), lambda v: v.isNotNull()), F.lit(0)))
 
-    def value(i: int, kind: str) -> Column:
-        own = F.get("fields", F.lit(i))
-        one = lambda v, link: or_null(F.when(own[link], join_url(F.col("url"), own[v])).otherwise(own[v]))
-        return strategies._normal(F.coalesce(one("value", "link"), one("fallback", "fallback_link")), kind, F.col("url"))
 
-    return strategies._rows(rows, intent, {f.name: value(i, f.type) for i, f in enumerate(intent.fields)}, most)
+def records_of(found: DataFrame, intent: Intent, most: int) -> DataFrame:
+    """Records of what `selected` found, normalised by type as the strategies' are."""
+    rows = found.select("page_id", "url", F.posexplode("raw").alias("row_idx", "fields")).withColumn("values", _values())
+    return strategies._rows(rows, intent, {f.name: strategies._normal(F.get("values", F.lit(i)), f.type, F.col("url")) for i, f in enumerate(intent.fields)}, most)
 
 
 def strategies_in(pages: DataFrame) -> set[str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.functions.text import collapse, field_term
+from pagemill.functions.text import built_once, collapse, field_term
 from pagemill.functions.urls import join_url
 
 from . import dom
@@ -164,10 +164,10 @@ def classify(nodes: Column, embedded: Column, sections: Column, table_list: Colu
     )
 
 
-def analyze(pages: DataFrame) -> DataFrame:
-    """`pages` (nodes, embedded, url, markup_length) with compact: what a planner is shown of a page. All is within the row; nothing is shuffled."""
+@built_once
+def _analysis() -> tuple[dict[str, Column], Column]:
     nodes, base = F.col("nodes"), F.col("url")
-    out = pages.withColumns({"sections": F.coalesce(sections_of(nodes), F.array().cast(NO_SECTIONS)), "page_tables": tables(nodes), "visible_length": F.length(visible_text(nodes))})
+    parts = {"sections": F.coalesce(sections_of(nodes), F.array().cast(NO_SECTIONS)), "page_tables": tables(nodes), "visible_length": F.length(visible_text(nodes))}
     kind = classify(nodes, F.col("embedded"), F.col("sections"), F.col("page_tables"), F.col("visible_length"))
     ratio = F.col("visible_length") / F.greatest(F.col("markup_length"), F.lit(1))
     compact = F.struct(
@@ -175,7 +175,13 @@ def analyze(pages: DataFrame) -> DataFrame:
         F.col("visible_length").alias("visible_text_length"), ratio.alias("text_to_markup_ratio"), F.col("sections").alias("candidate_sections"),
         F.col("page_tables").alias("tables"), links(nodes, base).alias("links"), kind.alias("page_type_hint"),
     )
-    return out.withColumn("compact", compact).drop("sections", "page_tables", "visible_length")
+    return parts, compact
+
+
+def analyze(pages: DataFrame) -> DataFrame:
+    """`pages` (nodes, embedded, url, markup_length) with compact: what a planner is shown of a page. All is within the row; nothing is shuffled."""
+    parts, compact = _analysis()
+    return pages.withColumns(parts).withColumn("compact", compact).drop("sections", "page_tables", "visible_length")
 
 
 def facts(nodes: Column, base: Column, embedded: Column) -> Column:
