@@ -55,8 +55,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("role", F.lit(TARGET))
-    # a row of two numbers a label: broadcast while Spark finds them small enough, else merged
-    marked = documents.join(good, "doc_id", "left")
+    # merged, never broadcast: the labels grow with the corpus, and texts dealt by doc_id make chunks of even size at every size of the input
+    marked = documents.join(good.hint("merge"), "doc_id", "left")
     return difference_by_role(marked.withColumn("role", F.lit(SCORED + BACKGROUND) + F.coalesce("role", F.lit(0))))
 
 
