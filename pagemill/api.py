@@ -21,7 +21,7 @@ from pagemill.plans.backend import Backend, RuleBackend
 from pagemill.plans.model import Intent, Options, Plan, check_instruction
 from pagemill.plans.runner import LAYOUT, planned, present_in, ran_and_repaired, run_pass, sketches
 from pagemill.settings import Settings
-from pagemill.sources import artifacts, render
+from pagemill.sources import artifacts, fetching, render
 from pagemill.sources.export import flattened, response_json, write_csv, write_json
 from pagemill.sources.store import Store
 
@@ -197,6 +197,20 @@ class Engine:
         LOG.info("extraction: at most %d repairs", repairs)
         return Result(out[0], reports.drop("attempts", "strategy", "plan", "template_used"), intent, used, repairs, out[1], reports.select(F.col("job_id").alias("page_id"), "plan"), notes, warnings)
 
+    def extract_urls(self, urls: DataFrame, instruction: str | None = None, *, fetch: fetching.Fetch | None = None, resolve: Callable[[str], list[str]] = fetching.system_resolve, robots: Callable[[str], str | None] | None = None, clock: fetching.Clock | None = None, **options: object) -> Result:
+        """URL in, records out: the pages of `urls` (page_id, url) are fetched as the settings allow and extracted. Those that are not to be had are jobs that failed, with the reason as their message."""
+        pages = staged(fetching.fetch_pages(urls, self.settings, fetch=fetch, resolve=resolve, robots=robots, clock=clock))
+        result = self.extract(pages.where("error is null").select("page_id", "url", "html"), instruction, **options)
+        failed = pages.where("error is not null").join(urls.select("page_id", F.col("url").alias("asked")), "page_id")
+        by = {f.name: f.dataType for f in result.jobs.schema.fields}
+        said = {"page_id": F.col("page_id"), "job_id": F.substring(F.sha2(F.concat_ws("|", "asked", "page_id", F.current_timestamp()), 256), 1, 32), "url": F.col("asked"), "instruction": F.lit(instruction), "status": F.lit("failed"), "message": F.col("error")}
+        rows = failed.select(*(said.get(n, F.lit(None)).cast(t).alias(n) for n, t in by.items()))
+        if self.store is not None:
+            now = F.current_timestamp().cast("timestamp_ntz")
+            known = {"id": said["job_id"], "url": F.col("asked"), "instruction": F.lit(instruction), "idempotency_key": idempotency_key(F.col("asked"), F.lit(instruction or "")), "status": F.lit("failed"), "error_code": F.split("error", ":")[0], "error_message": F.col("error"), "created_at": now, "updated_at": now}
+            self.store.append("jobs", failed.select(*(known.get(n, F.lit(None)).cast(t).alias(n) for n, t in (c.split() for c in jobs.JOBS.split(", ")))))
+        return replace(result, jobs=result.jobs.unionByName(rows))
+
     # --- steps -----------------------------------------------------------------------------------------------------
 
     def _rendered(self, ready: DataFrame, todo: DataFrame, intent: Intent, options: Options) -> DataFrame:

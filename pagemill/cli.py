@@ -1,4 +1,4 @@
-"""python -m pagemill.cli extract PAGES INSTRUCTION [--store DIR] [--out DIR] [--format table|json|csv] | templates STORE [--status S] | migrate STORE | version"""
+"""python -m pagemill.cli extract PAGES|URL... INSTRUCTION [--store DIR] [--out DIR] [--format table|json|csv] | templates STORE [--status S] | migrate STORE | version"""
 
 from __future__ import annotations
 
@@ -7,12 +7,12 @@ import argparse
 VERSION = "0.1.0"
 
 
-def main(argv: list[str] | None = None) -> int:
-    """Exit code 0 if some page succeeded (extract), or if the command did."""
+def main(argv: list[str] | None = None, **own: object) -> int:
+    """`own` is for tests: what fetches (`fetch`, `resolve`, `robots`, `clock`). Exit code 0 if some page succeeded (extract), or if the command did."""
     parser = argparse.ArgumentParser(prog="pagemill")
     sub = parser.add_subparsers(dest="command", required=True)
     extract = sub.add_parser("extract", help="records of a Parquet table of pages (page_id, url, html)")
-    extract.add_argument("pages")
+    extract.add_argument("pages", help="the table, or URLs between commas, which are fetched")
     extract.add_argument("instruction")
     extract.add_argument("--store", help="folder of the job, result and template tables")
     extract.add_argument("--out")
@@ -42,7 +42,12 @@ def main(argv: list[str] | None = None) -> int:
         Engine(spark, store=Store(spark, args.store)).templates(args.status).select("id", "domain", "url_pattern", "strategy", "status", "success_score", "last_used_at").show(truncate=False)
         return 0
     with Engine(spark, store=Store(spark, args.store) if args.store else None) as engine:
-        result = engine.extract(spark.read.parquet(args.pages), args.instruction, options=Options(max_records=args.max_records, output_format="csv" if args.format == "csv" else "json"))
+        options = Options(max_records=args.max_records, output_format="csv" if args.format == "csv" else "json")
+        if args.pages.lower().startswith(("http://", "https://")):
+            urls = spark.createDataFrame(list(enumerate(args.pages.split(","))), "page_id long, url string")
+            result = engine.extract_urls(urls, args.instruction, options=options, **own)
+        else:
+            result = engine.extract(spark.read.parquet(args.pages), args.instruction, options=options)
     if args.out:
         (result.save_csv if args.format == "csv" else result.save_json)(args.out)
     elif args.format == "json":
