@@ -13,17 +13,56 @@ from . import segments
 ACTIVE_AFTER, BACK_AFTER, REVIEW_AFTER, DROP_AFTER, LEAST_SCORE = 3, 2, 2, 5, 0.80
 
 
+def _segments(path: Column) -> Column:
+    return F.split(path, "/")
+
+
+def _whole(segments: Column) -> Column:
+    return F.array_join(segments, "/")
+
+
+def shaped(templates: DataFrame) -> DataFrame:
+    """`templates` (url_pattern) by the literal segments of their pattern: head (those before the first wildcard, n_head of them), tail (after the last, n_tail) and
+    middle (the longest between wildcards, or null). A path that a pattern matches has all three, whatever its wildcards stand for."""
+    parts = _segments(F.col("url_pattern"))
+    rows = templates.withColumn("_p", parts).withColumn("_w", F.transform("_p", lambda s: s.rlike(r"[*?\[]")))
+    first, last = F.array_position("_w", True), F.array_position(F.reverse("_w"), True)  # from 1, and from the end; 0 for none
+    n = F.size("_p")
+    n_head = F.when(first == 0, n).otherwise(first - 1).cast("int")
+    n_tail = F.when(first == 0, 0).otherwise(last - 1).cast("int")
+    rows = rows.withColumns({"n_head": n_head, "n_tail": n_tail})
+    between = F.slice("_p", F.col("n_head") + 1, n - F.col("n_head") - F.col("n_tail"))
+    literal = F.filter(F.transform(between, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))), lambda x: ~x["s"].rlike(r"[*?\[]") & (x["s"] != ""))
+    rows = rows.withColumns({"head": _whole(F.slice("_p", F.lit(1), F.col("n_head"))), "tail": _whole(F.slice("_p", n - F.col("n_tail") + 1, F.col("n_tail"))), "middle": F.array_max(literal)["s"]})
+    return rows.drop("_p", "_w")
+
+
+def candidates(requests: DataFrame, templates: DataFrame) -> DataFrame:
+    """(job_id, path) of requests (job_id, domain, goal_signature, canonical) with the templates whose literal segments their path has; patterns are still to be tried.
+
+    A site has few shapes (how many segments a pattern begins and ends with, and whether it names one between). A request takes one key for each shape of its
+    site, or one for each of its segments where the shape has a middle, and meets only the templates of that key.
+    """
+    site = ["domain", "goal_signature"]
+    keyed = shaped(templates).withColumn("has_middle", F.col("middle").isNotNull()).withColumn("middle", F.coalesce("middle", F.lit("")))
+    shapes = keyed.select(*site, "n_head", "n_tail", "has_middle").distinct()
+    wanted = requests.select("job_id", *site, path_of(F.col("canonical")).alias("path")).withColumn("_s", _segments(F.col("path")))
+    n = F.size("_s")
+    rows = wanted.join(shapes, site).where(n >= F.col("n_head") + F.col("n_tail"))
+    rows = rows.withColumns({"head": _whole(F.slice("_s", F.lit(1), F.col("n_head"))), "tail": _whole(F.slice("_s", F.greatest(n - F.col("n_tail") + 1, F.lit(1)), F.col("n_tail")))})
+    rows = rows.withColumn("middle", F.explode(F.when(F.col("has_middle"), F.array_distinct("_s")).otherwise(F.array(F.lit("")))))
+    return rows.drop("_s").join(keyed, [*site, "n_head", "n_tail", "has_middle", "head", "tail", "middle"])
+
+
 def match_templates(requests: DataFrame, templates: DataFrame) -> DataFrame:
     """Every request (job_id, domain, goal_signature, canonical) with its best template's id, or null.
 
-    Equi-join on (domain, goal_signature); a template's URL pattern is a residual test. Best: active, then candidate, then
-    needs_review, then the higher success_score, then the smaller id. The choice is a pre-aggregated minimum, so a domain
-    with very many requests is split by Spark's skew join.
+    Patterns are tried on the `candidates` alone. Best: active, then candidate, then needs_review, then the higher success_score, then
+    the smaller id. The choice is a pre-aggregated minimum, so a domain with very many requests is split by Spark's skew join.
     """
     rank = F.array_position(F.array(*map(F.lit, ["active", "candidate", "needs_review"])), F.col("status"))
-    live = templates.where("status <> 'deprecated'").select("domain", "goal_signature", F.col("id").alias("template_id"), glob_regex(F.col("url_pattern")).alias("regex"), rank.alias("rank"), "success_score")
-    wanted = requests.select("job_id", "domain", "goal_signature", path_of(F.col("canonical")).alias("path"))
-    found = wanted.join(live, ["domain", "goal_signature"]).where("path rlike regex")
+    live = templates.where("status <> 'deprecated'").select("domain", "goal_signature", F.col("id").alias("template_id"), "url_pattern", glob_regex(F.col("url_pattern")).alias("regex"), rank.alias("rank"), "success_score")
+    found = candidates(requests, live).where("path rlike regex")
     best = found.groupBy("job_id").agg(F.min(F.struct("rank", (-F.col("success_score")).alias("score"), "template_id")).alias("x")).select("job_id", "x.template_id")
     return requests.join(best, "job_id", "left")
 
