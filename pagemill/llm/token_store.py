@@ -26,18 +26,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words whose ids a worker remembers; beyond it the memory starts afresh, results stay the same.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 300_000
 #: Words that the library encodes at a time; what it says of each is large.
-ASKED_WORDS = 4_096
+ASKED_WORDS = 16_384
 #: Rows of a file, about.
 FILE_ROWS = 100_000
 #: Bytes of text that are encoded together; bounds what a worker holds.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
 _SPACE = bytes.maketrans(b"\t\n\r", b"   ")
 _LOWER = bytes.maketrans(b"\t\n\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"   abcdefghijklmnopqrstuvwxyz")
 #: A word's end that is a piece of its own if a letter or digit stands before it.
 _TAIL = re.compile(rb"[!#$%&()*+,./:;?@\\^_`{|}~-]+$")
 
+_TAIL_BYTES = frozenset(rb"!#$%&()*+,./:;?@\^_`{|}~-")
+
 #: Runs that are one piece: letters of Latin-1 (without the three that are not letters of an alphabet), or ASCII punctuation but "'".
 _PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+|[!\"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~-]+")
 #: Byte-level BPE writes bytes as letters: printable ones of Latin-1 as themselves, the others as U+0100 and on, in order.
@@ -93,16 +95,23 @@ class Encoder:
         if len(memo) > MEMO_WORDS:
             memo.clear()
         memo[b""] = b""
-        new = {w for ws in words for w in ws if w not in memo}
-        parts = {w: pieces(w) for w in new}
-        asked = {x: x.decode("utf-8", "replace") for xs in parts.values() for x in xs if x not in memo}
-        plain = [x for x, t in asked.items() if _PLAIN.fullmatch(t)]
-        other = list(asked.keys() - set(plain))
-        for own, encode in ((plain, self.plain_ids), (other, self.ids)):
-            for a in range(0, len(own), ASKED_WORDS):
-                part = own[a : a + ASKED_WORDS]
-                memo.update(zip(part, encode([asked[x] for x in part]), strict=True))
-        memo.update({w: b"".join(map(memo.__getitem__, xs)) for w, xs in parts.items()})
+        plain: dict[bytes, str] = {}
+        other: dict[bytes, str] = {}
+        cut: dict[bytes, list[bytes]] = {}
+        for w in {w for ws in words for w in ws if w not in memo}:
+            own = [w]
+            if w[-1] in _TAIL_BYTES and len(xs := pieces(w)) > 1:
+                own = cut[w] = xs
+            for x in own:
+                if x not in memo:
+                    t = x.decode("utf-8", "replace")
+                    (plain if _PLAIN.fullmatch(t) else other)[x] = t
+        for asked, encode in ((plain, self.plain_ids), (other, self.ids)):
+            keys, texts_of = list(asked), list(asked.values())
+            for a in range(0, len(keys), ASKED_WORDS):
+                memo.update(zip(keys[a : a + ASKED_WORDS], encode(texts_of[a : a + ASKED_WORDS]), strict=True))
+        for w, (head, tail) in cut.items():
+            memo[w] = memo[head] + memo[tail]
         return [b"".join(map(memo.__getitem__, ws)) for ws in words]
 
 
