@@ -19,7 +19,7 @@ from pagemill.functions.text import field_term, key_variants, let, or_null
 from pagemill.functions.urls import join_url
 from pagemill.plans.model import MOST_PATTERNS, MOST_RECORDS, FieldSelector, Intent, Plan
 
-from . import css, dom
+from . import css, density, dom
 from .dom import NAV
 from .patterns import first_match
 
@@ -128,17 +128,19 @@ def table(pages: DataFrame, plan: Plan, intent: Intent, most: int) -> DataFrame:
 
 
 def article(nodes: Column) -> dict[str, Column]:
-    """title, author, date, description and text of an article: its heading, its metadata, and the paragraphs of <article> (else <main>, <body>) outside navigation and ads."""
+    """title, author, date, description and text of an article: its heading, its metadata or byline, and the paragraphs of <article> or <main> outside navigation and ads; where a page has neither, its densest text (`density.main_text`), else all its paragraphs."""
     name = lambda *keys: dom.attribute(dom.first(F.filter(nodes, lambda n: (n["tag"] == "meta") & F.coalesce(F.element_at(n["attrs"], F.lit("name")), F.element_at(n["attrs"], F.lit("property")), F.lit("")).isin(*keys))), "content")
     out = F.filter(nodes, lambda n: n["tag"].isin(*NAV) | F.array_contains(F.split(F.coalesce(F.element_at(n["attrs"], F.lit("class")), F.lit("")), r"\s+"), "ad"))
     within = lambda around, root: F.filter(dom.below(nodes, root), lambda n: (n["tag"] == "p") & ~F.exists(around, lambda o: dom.inside(n, o)))
     root = F.coalesce(*(dom.first(dom.with_tag(nodes, t)) for t in ("article", "main", "body")))
     kept = dom.let(root, lambda r: dom.let(out, lambda around: within(around, r)))
     text = F.array_join(F.filter(F.transform(kept, lambda n: dom.text_of(nodes, n)), lambda t: t != ""), "\n")
+    marked = F.exists(nodes, lambda n: n["tag"].isin("article", "main"))
+    text = F.when(marked, text).otherwise(F.coalesce(or_null(density.main_text(nodes)), text))
     when = F.coalesce(name("article:published_time", "date"), dom.attribute(dom.first(dom.with_tag(nodes, "time")), "datetime"))
     return {
         "title": F.coalesce(or_null(dom.text_of(nodes, dom.first(dom.with_tag(nodes, "h1")))), or_null(dom.text_of(nodes, dom.first(dom.with_tag(nodes, "title"))))),
-        "author": or_null(name("author", "article:author")),
+        "author": F.coalesce(or_null(name("author", "article:author")), or_null(density.byline(nodes))),
         "date": or_null(when),
         "description": or_null(name("description", "og:description")),
         "text": or_null(text),

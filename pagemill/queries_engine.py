@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill import api
 from pagemill.functions.embedded import embedded
-from pagemill.operators import dom, interpreter
+from pagemill.operators import dom, interpreter, strategies
 from pagemill.operators.staging import staged
 from pagemill.plans.model import FieldSelector, FieldSpec, Intent, Options, Plan
 from pagemill.queries import query, said, table
@@ -137,3 +137,26 @@ def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = fetching.fetch_pages(urls, Settings.of(rate_per_second=1e9, rate_burst=1000, job_deadline_seconds=1e6), fetch=fetch, resolve=resolve, robots=robots)
     return out.select("page_id", "error", "html")
+
+
+_LONG = "The account of {n} in the segment {s} was opened long ago and it has since then been kept in good order by its owner"
+
+
+@query("""
+    select c_custkey page_id, 'Customer ' || c_custkey title, 'Clerk ' || c_nationkey author, '2024-01-' || lpad(cast(c_custkey % 28 + 1 as varchar), 2, '0') date,
+           x || chr(10) || 'Short but within.' || chr(10) || x || ' (again)' || case when c_custkey % 2 = 0 then chr(10) || 'More' || chr(10) || x else '' end body
+    from (select *, 'The account of ' || c_name || ' in the segment ' || c_mktsegment || ' was opened long ago and it has since then been kept in good order by its owner' x from customer)""")
+def article_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles of pages that mark none: navigation, lists of links, comments and adverts around the text of each customer's page."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    head, tail = _LONG.split("{n}")
+    x = said(head, F.col("c_name"), tail.split("{s}")[0], F.col("c_mktsegment"), tail.split("{s}")[1])
+    links = "<ul>" + "".join(f'<li><a href="/{i}">Another page with a long title that says a lot about number {i} and more</a></li>' for i in range(5)) + "</ul>"
+    body = [
+        "<html><body><nav>", links, '</nav><div class="head"><h1>Customer ', k, '</h1><span class="byline">By Clerk ', F.col("c_nationkey"), '</span><time datetime="2024-01-', F.lpad((k % 28 + 1).cast("string"), 2, "0"), '">then</time></div>',
+        '<div class="post"><p>', x, "</p><p>Short but within.</p><p>", x, " (again)</p>", F.when(k % 2 == 0, said("<h2>More</h2><div>", x, "</div>")).otherwise(""), '<div class="ad-banner"><p>Buy now what everybody buys because it is so cheap today and only today</p></div></div>',
+        links, '<div id="comments"><p>', x, " said one</p><p>", x, " said two</p><p>", x, " said three</p><p>", x, " said four</p></div><p>Imprint</p></body></html>",
+    ]
+    pages = dom.parse_pages(c.select(k.alias("page_id"), F.lit("https://x.example.com/").alias("url"), said(*body).alias("html")))
+    own = strategies.article(F.col("nodes"))
+    return pages.select("page_id", own["title"].alias("title"), own["author"].alias("author"), own["date"].alias("date"), own["text"].alias("body"))

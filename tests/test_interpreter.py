@@ -174,3 +174,30 @@ def test_states_go_on_from_where_they_are(spark):
 def test_options_still_bound_records(spark):
     result = api.Engine(spark).extract(layouts(spark, 2, lambda i: cards(i + 1)), "Extract the title, price and url of all products", options=Options(max_records=2), semantic=False)
     assert result.records.count() == 4
+
+
+LONG = "one two three four five six seven eight nine ten eleven twelve thirteen"
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<div><p>{LONG}<p>short<p>{LONG} b</div>", f"{LONG}\nshort\n{LONG} b"),
+        (f"<div><p>short<p>{LONG}<p>end</div>", LONG),
+        (f"<ul><li><a href=x>{LONG}</a></ul><p>{LONG} and <a href=y>a link</a></p>", f"{LONG} and a link"),
+        (f"<div class='user-comments'><p>{LONG}<p>{LONG}</div><p>{LONG} text</p>", f"{LONG} text"),
+        (f"<h2>Head</h2><p>{LONG}</p><h3>Alone</h3>", f"Head\n{LONG}"),
+        (f"<p>{LONG} first</p><p>a<p>b<p>c<p>{LONG} second</p><p>{LONG} third</p>", f"{LONG} second\n{LONG} third"),
+        (f"<article><p>marked</article><p>{LONG}", "marked"),
+        ("<p>a few<p>words", "a few\nwords"),
+        ("", None),
+    ],
+)
+def test_articles_by_density(spark, html, want):
+    (row,) = parsed(spark, f"<body>{html}" if html else "").select(strategies.article(F.col("nodes"))["text"].alias("t")).collect()
+    assert row.t == want
+
+
+def test_bylines(spark):
+    rows = parsed(spark, "<a rel=author href=x>By Ann B</a>", "<p class='post byline'>by: C", "<p class=authority>x", "<meta name=author content=M><i class=author>N").select("page_id", strategies.article(F.col("nodes"))["author"].alias("a"))
+    assert {r.page_id: r.a for r in rows.collect()} == {0: "Ann B", 1: "C", 2: None, 3: "M"}
