@@ -12,7 +12,7 @@ from pagemill.functions import text as txt
 from pagemill.operators import jobs, merge, metrics, strategies, templates, validate
 from pagemill.operators.staging import staged
 from pagemill.plans.model import FieldSelector, FieldSpec, Intent, Options, Plan
-from pagemill.queries import part_pages, query, said, table
+from pagemill.queries import _DUCK_VISIBLE, _duck_text, part_pages, query, said, table
 from pagemill.sources import artifacts, export
 from pagemill.sources.store import Store
 
@@ -265,12 +265,15 @@ def stream_first_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(streaming.first_requests(e, "3650 days"), "append").select("user_id")
 
 
-@query("select page_id, cast(length(html) as int) markup_length from pages")
+@query(f"""
+    select page_id, cast(length(html) as int) markup_length, substr({_duck_text("regexp_extract(html, '<title>(.*?)</title>', 1)")}, 1, 300) title, cast(length({_DUCK_VISIBLE}) as int) visible_length,
+           case when length({_DUCK_VISIBLE}) > 3000 then 'article' else 'generic_content' end page_type
+    from pages""")
 def stream_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of a stream, parsed and analysed batch by batch."""
     path = _folder(spark, "analysed")
     streaming.analyzed_batches(_streamed(spark, sf_dir, "pages"), lambda df, _: df.select("page_id", "markup_length", "compact").write.mode("append").parquet(path), _folder(spark, "analysed-state")).awaitTermination()
-    return spark.read.parquet(path).where("compact.page_type_hint is not null").select("page_id", "markup_length")
+    return spark.read.parquet(path).select("page_id", "markup_length", "compact.title", F.col("compact.visible_text_length").alias("visible_length"), F.col("compact.page_type_hint").alias("page_type"))
 
 
 # --- Engine ----------------------------------------------------------------------------------------------------------------
