@@ -38,7 +38,8 @@ _LOWER = bytes.maketrans(b"\t\n\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"   abcdefghijklm
 #: A word's end that is a piece of its own if a letter or digit stands before it.
 _TAIL = re.compile(rb"[!#$%&()*+,./:;?@\\^_`{|}~-]+$")
 
-_TAIL_BYTES = frozenset(rb"!#$%&()*+,./:;?@\^_`{|}~-")
+_TAILS = rb"!#$%&()*+,./:;?@\^_`{|}~-"
+_TAIL_BYTES = frozenset(_TAILS)
 
 #: Runs that are one piece: letters of Latin-1 (without the three that are not letters of an alphabet), or ASCII punctuation but "'".
 _PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+|[!\"#$%&()*+,./:;<=>?@\[\\\]^_`{|}~-]+")
@@ -74,15 +75,22 @@ class Encoder:
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def letter_ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of ASCII letters, which the model has as themselves."""
+        out = self.cut_ids(b" ".join(words).lower().decode("ascii"), len(words))
+        return self.ids([w.decode("ascii") for w in words]) if out is None else out
+
     def plain_ids(self, words: list[str]) -> list[bytes]:
-        """The ids of words that match _PLAIN: lower-cased, their bytes as the model's letters, cut where a word's last id stands."""
-        if not words:
-            return []
-        text = codecs.charmap_decode(" ".join(words).lower().encode(), "strict", _LETTERS)[0]
+        """The ids of words that match _PLAIN: lower-cased, their bytes as the model's letters."""
+        out = self.cut_ids(codecs.charmap_decode(" ".join(words).lower().encode(), "strict", _LETTERS)[0], len(words))
+        return self.ids(words) if out is None else out
+
+    def cut_ids(self, text: str, n: int) -> list[bytes] | None:
+        """The ids of a text's n words, cut where a word's last id stands; None for a model whose words do not end as described."""
         ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
-        if len(cuts) != len(words) + 1:  # a model whose words do not end as described
-            return self.ids(words)
+        if len(cuts) != n + 1:
+            return None
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
@@ -95,21 +103,29 @@ class Encoder:
         if len(memo) > MEMO_WORDS:
             memo.clear()
         memo[b""] = b""
+        fresh = {w for ws in words for w in ws if w not in memo}
+        letters = {w for w in fresh if w.isalpha()}  # of ASCII: nothing else is to be asked of them
         plain: dict[bytes, str] = {}
         other: dict[bytes, str] = {}
         cut: dict[bytes, list[bytes]] = {}
-        for w in {w for ws in words for w in ws if w not in memo}:
+        for w in fresh - letters:
             own = [w]
-            if w[-1] in _TAIL_BYTES and len(xs := pieces(w)) > 1:
-                own = cut[w] = xs
+            if w[-1] in _TAIL_BYTES:
+                head = w.rstrip(_TAILS)
+                if len(xs := [head, w[len(head) :]] if head.isalpha() else pieces(w)) > 1:
+                    own = cut[w] = xs
             for x in own:
-                if x not in memo:
+                if x in memo:
+                    continue
+                if x.isalpha():
+                    letters.add(x)
+                else:
                     t = x.decode("utf-8", "replace")
                     (plain if _PLAIN.fullmatch(t) else other)[x] = t
-        for asked, encode in ((plain, self.plain_ids), (other, self.ids)):
-            keys, texts_of = list(asked), list(asked.values())
+        easy = list(letters)
+        for keys, asked, encode in ((easy, easy, self.letter_ids), (list(plain), list(plain.values()), self.plain_ids), (list(other), list(other.values()), self.ids)):
             for a in range(0, len(keys), ASKED_WORDS):
-                memo.update(zip(keys[a : a + ASKED_WORDS], encode(texts_of[a : a + ASKED_WORDS]), strict=True))
+                memo.update(zip(keys[a : a + ASKED_WORDS], encode(asked[a : a + ASKED_WORDS]), strict=True))
         for w, (head, tail) in cut.items():
             memo[w] = memo[head] + memo[tail]
         return [b"".join(map(memo.__getitem__, ws)) for ws in words]

@@ -6,14 +6,17 @@ import hashlib
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagemill.llm import centroid_clusters as cc
 from pagemill.llm.chat_format import PartVisitor, chat_digests, escaped, format_chats, parts_of, read_chats, turns_of, unescaped
 from pagemill.llm.prefix_trie import prefix_trie
-from pagemill.llm.queries import CONTROL_TEXT, QUERIES
+from pagemill.llm.queries import CONTROL_TEXT, QUERIES, tokenizer_file
+from pagemill.llm.warc import _merged, merged_index, read_warc, write_warc
 
 TURNS = "conv_id long, turn long, role string, text string"
 NASTY = ["", CONTROL_TEXT, "\\", "\\\\", "#", "### user: x", "</turn>", "</turn>\n### user: y</turn>\n", "<|", "<|image:0|>", "<\\|image:0|>", "a:b: c", "é\U0001f600é", "\r\n", "\0", "</tu", "rn>"]
@@ -225,3 +228,56 @@ def test_new_queries_against_plain_versions(spark, tmp_path):
     assert got("op12_prefix_trie") == plain_trie(rows)
     control = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
     assert [r[:5] for r in got("op13_chat_format")] == plain_digests(rows + control)
+
+
+# --- what the last round left open ---------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("end", ["", "\r", "\n", "\r\n", "\r\n\r\n", "\r\n\r", "\r\n\r\n\r\n"])
+def test_warc_archives_whose_last_page_ends_in_line_ends(spark, tmp_path, end):
+    rows = [(i, f"https://x.com/{i}", f"<p>{i}" + end) for i in range(5)] + [(5, "https://x.com/5", end)]
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    out = {r.page_id: (r.payload_bytes, r.payload_digest) for r in read_warc(spark, str(tmp_path / "w")).collect()}
+    assert out == {i: (len(h), sha(h)) for i, _, h in rows}
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_warc_order_with_white_space_around_urls(spark, tmp_path, partitions):
+    urls = ["https://b.com/x", "  https://a.com/x", "https://a.com/x\t", " \t https://c.com/x  ", "http://d.com", "https://a.com/\ny", "\thttps://b.com/x "]
+    rows = [(i, u, "x" * 200 + str(i)) for i, u in enumerate(urls * 4)]
+    write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), str(tmp_path / "w"))
+    index = merged_index(read_warc(spark, str(tmp_path / "w")), partitions=partitions).collect()
+    keys = [(r.url_key, r.captured, r.page_id) for r in index]
+    assert keys == sorted(keys) and len(keys) == len(rows) and all(r.url == r.url.strip() for r in index)
+
+
+def test_unsorted_runs_are_an_error():
+    kinds = {"run": pa.string(), "at": pa.int64(), "url_key": pa.string(), "captured": pa.string(), "page_id": pa.int64()}
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((["r", "r"], [0, 9], ["b", "a"], ["t", "t"], [1, 2]), kinds.values(), strict=True)], list(kinds))
+    with pytest.raises(ValueError, match="no sorted run"):
+        list(_merged(iter([batch])))
+
+
+def test_token_counts_query_against_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    texts = [None, "", "Plain words, here.", "É\u0301 tic-tac <|x|> 12,5", "same", "same", "long " * 3000]
+    spark.createDataFrame([(i if i != 4 else None, t, "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, n_tokens int").write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tokenizer.from_file(tokenizer_file())
+    n = Counter(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for x in texts)
+    out = {r.n_tokens: r.asDict() for r in QUERIES["op10_token_counts"](spark, str(tmp_path)).collect()}
+    assert {k: next(v[c] for c in v if c in ("n_docs", "documents", "n_documents")) for k, v in out.items()} == n
+
+
+def test_lm_ranges_follow_the_words(spark, monkeypatch):
+    """More and smaller ranges and chunks give the same scores."""
+    from pagemill.llm import lm_score
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choices("abcdefgh", k=rng.randint(0, 40)))) for i in range(60)] + [(None, "a b c"), (3, "h g f"), (99, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, chunk int")
+    target = docs.where("doc_id % 3 = 0")
+    score = lambda: sorted(map(tuple, lm_score.cross_entropy_difference(docs, target, docs, chunk_words=200).collect()), key=repr)
+    want = score()
+    monkeypatch.setattr(lm_score, "RANGE_WORDS", 5)
+    assert score() == want and len(want) == len(rows)
