@@ -12,6 +12,7 @@ Scale: one range shuffle of texts, then encoding within sorted partitions. Start
 from __future__ import annotations
 
 import codecs
+import itertools
 import json
 import os
 import re
@@ -103,8 +104,8 @@ class Encoder:
         if len(memo) > MEMO_WORDS:
             memo.clear()
         memo[b""] = b""
-        fresh = {w for ws in words for w in ws if w not in memo}
-        letters = {w for w in fresh if w.isalpha()}  # of ASCII: nothing else is to be asked of them
+        fresh = set(itertools.chain.from_iterable(words)).difference(memo)
+        letters = set(filter(bytes.isalpha, fresh))  # of ASCII: nothing else is to be asked of them
         plain: dict[bytes, str] = {}
         other: dict[bytes, str] = {}
         cut: dict[bytes, list[bytes]] = {}
