@@ -60,12 +60,13 @@ def metric_windows(events: DataFrame, window: str = "1 minute", delay: str = "5
     return events.withWatermark("at", delay).groupBy(F.window("at", window), "name").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def analyzed_batches(pages: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):  # noqa: ANN201
-    """Starts a query that parses and analyses each batch of a stream of pages (page_id, url, html) and hands it to a sink."""
+def analyzed(pages: DataFrame) -> DataFrame:
+    """Pages (page_id, url, html), parsed and analysed."""
     from pagemill.operators.page import analyze
 
-    def batch(df: DataFrame, number: int) -> None:
-        own = df.withColumns({"markup_length": F.length("html"), "embedded": embedded(F.col("html"))})
-        sink(analyze(parse_pages(own)), number)
+    return analyze(parse_pages(pages.withColumns({"markup_length": F.length("html"), "embedded": embedded(F.col("html"))})))
+
 
-    return pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def analyzed_batches(pages: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):  # noqa: ANN201
+    """Starts a query that parses and analyses each batch of a stream of pages (page_id, url, html) and hands it to a sink."""
+    return pages.writeStream.foreachBatch(lambda df, number: sink(analyzed(df), number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
