@@ -60,13 +60,13 @@ def metric_windows(events: DataFrame, window: str = "1 minute", delay: str = "5
     return events.withWatermark("at", delay).groupBy(F.window("at", window), "name").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def analyzed(pages: DataFrame) -> DataFrame:
-    """Pages (page_id, url, html), parsed and analysed."""
+def analyzed(pages: DataFrame, whole_references: bool = False) -> DataFrame:
+    """Pages (page_id, url, html), parsed (see `dom.parse`) and analysed."""
     from pagemill.operators.page import analyze
 
-    return analyze(parse_pages(pages.withColumns({"markup_length": F.length("html"), "embedded": embedded(F.col("html"))})))
+    return analyze(parse_pages(pages.withColumns({"markup_length": F.length("html"), "embedded": embedded(F.col("html"))}), whole_references=whole_references))
 
 
-def analyzed_batches(pages: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str):  # noqa: ANN201
+def analyzed_batches(pages: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, whole_references: bool = False):  # noqa: ANN201
     """Starts a query that parses and analyses each batch of a stream of pages (page_id, url, html) and hands it to a sink."""
-    return pages.writeStream.foreachBatch(lambda df, number: sink(analyzed(df), number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return pages.writeStream.foreachBatch(lambda df, number: sink(analyzed(df, whole_references), number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__
+from pagemill.operators import dom
 
 
 @pytest.mark.parametrize("files", [0, 1, 3])
@@ -21,3 +22,14 @@ def test_streams_read_tables_that_are_files(spark, tmp_path):
     spark.createDataFrame([(1, "https://x.example.com/1", "<title>One</title>")], "page_id long, url string, html string").coalesce(1).write.parquet(str(folder))
     next(folder.glob("part-*")).rename(tmp_path / "pages.parquet")
     assert [r.title for r in __spark_entry__.queries()["stream_pages"](spark, str(tmp_path)).collect()] == ["One"]
+
+
+def test_references_without_semicolon(spark, tmp_path):
+    html = "<html><head><title>A &amp;&lt; B &amp</title></head><body><script>a && b &amp c</script><h1>A &amp</h1><article><p>x &copy; &lt y &</p></article></body></html>"
+    of = lambda whole: [n[dom.AT_TEXT] for n in dom.parse(html, whole) if n[dom.AT_TEXT]]
+    assert of(False) == ["A &< B &", "a && b &amp c", "A &", "x © < y &"]
+    assert of(True) == ["A &< B &amp", "a && b &amp c", "A &amp", "x © &lt y &"]
+    spark.createDataFrame([(1, "https://x.example.com/1", html)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    run = lambda name: __spark_entry__.queries()[name](spark, str(tmp_path)).first()
+    assert run("page_title").title == "A &< B &amp" and run("page_headings").headings == run("page_article").title == "A &amp"
+    assert run("page_text_metrics").visible_length == run("stream_pages").visible_length == len("A &ampx © &lt y &")
