@@ -10,8 +10,8 @@ from pagemill.functions.embedded import embedded
 from pagemill.operators import dom, interpreter, strategies
 from pagemill.operators.staging import staged
 from pagemill.plans.model import FieldSelector, FieldSpec, Intent, Options, Plan
-from pagemill.queries import query, said, table
-from pagemill.queries_jobs import _drained, _folder, _stored
+from pagemill.queries import query, said, spread, table
+from pagemill.queries_jobs import WHOLE, _drained, _folder, _stored
 from pagemill.settings import Settings
 from pagemill.sources import fetching
 from pagemill.sources.store import Store
@@ -30,7 +30,7 @@ def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _brand().cast("string")
     card = said('<article class="c', b, '"><h2 class="title', b, '">', F.col("p_name"), '</h2><span class="price', b, '">$', F.col("p_retailprice").cast("decimal(12,2)"), '</span><a class="url', b, '" href="/part/', F.col("p_partkey"), '">more</a></article>')
     rows = table(spark, sf_dir, "part").groupBy(_brand().alias("b"), "p_size").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", card.alias("h")))), lambda x: x["h"]), "").alias("body"))
-    return rows.select((F.col("b") * 100 + F.col("p_size")).alias("page_id"), said("https://brand", F.col("b"), ".com/list/", F.col("p_size")).alias("url"), said('<html><body><div class="grid">', F.col("body"), "</div></body></html>").alias("html"))
+    return spread(rows.withColumn("page_id", F.col("b") * 100 + F.col("p_size")), "page_id").select((F.col("b") * 100 + F.col("p_size")).alias("page_id"), said("https://brand", F.col("b"), ".com/list/", F.col("p_size")).alias("url"), said('<html><body><div class="grid">', F.col("body"), "</div></body></html>").alias("html"))
 
 
 def _plan_of(b: str) -> Column:
@@ -44,7 +44,7 @@ def plans_as_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page brings its plan; one pass runs all of them."""
     intent = Intent((FieldSpec("title", "string", True), FieldSpec("price", "currency"), FieldSpec("url", "url")))
     pages = _layouts(spark, sf_dir).withColumn("b", F.floor(F.col("page_id") / 100)).withColumn("plan", _plan_of("b")).withColumn("embedded", embedded(F.col("html")))
-    records, _ = interpreter.run_plans(dom.parse_pages(pages), intent, 1000, {"repeated_dom_selector"})
+    records, _ = interpreter.run_plans(dom.parse_pages(pages), intent, present={"repeated_dom_selector"})
     return records.select("page_id", *(F.element_at("record", F.lit(n)).alias(n) for n in ("title", "price", "url")))
 
 
@@ -63,7 +63,7 @@ def engine_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
             b = next(c for c in classes if c.startswith("title"))[5:]
             return Plan("repeated_dom_selector", container=f"article.c{b}", fields=(FieldSelector("title", f".title{b}"), FieldSelector("price", f".price{b}"), FieldSelector("url", f"a.url{b}", "href")))
 
-    engine, options = api.Engine(spark, Known(), store=store), Options(max_records=1000)
+    engine, options = api.Engine(spark, Known(), store=store, settings=WHOLE), Options(max_records=None)
     cold = engine.extract(first, ASK, options=options, semantic=False)
     sites = first.select(F.floor(F.col("page_id") / 100).alias("b"))
     rest = pages.where("page_id % 100 <> 1").withColumn("b", F.floor(F.col("page_id") / 100)).join(sites, "b", "left_semi").drop("b")
@@ -157,6 +157,6 @@ def article_density(spark: SparkSession, sf_dir: str) -> DataFrame:
         '<div class="post"><p>', x, "</p><p>Short but within.</p><p>", x, " (again)</p>", F.when(k % 2 == 0, said("<h2>More</h2><div>", x, "</div>")).otherwise(""), '<div class="ad-banner"><p>Buy now what everybody buys because it is so cheap today and only today</p></div></div>',
         links, '<div id="comments"><p>', x, " said one</p><p>", x, " said two</p><p>", x, " said three</p><p>", x, " said four</p></div><p>Imprint</p></body></html>",
     ]
-    pages = dom.parse_pages(c.select(k.alias("page_id"), F.lit("https://x.example.com/").alias("url"), said(*body).alias("html")))
+    pages = dom.parse_pages(spread(c, "c_custkey").select(k.alias("page_id"), F.lit("https://x.example.com/").alias("url"), said(*body).alias("html")))
     own = strategies.article(F.col("nodes"))
     return pages.select("page_id", own["title"].alias("title"), own["author"].alias("author"), own["date"].alias("date"), own["text"].alias("body"))

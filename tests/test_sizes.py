@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from pagemill.operators import dom
+from pagemill import api
+from pagemill.operators import dom, interpreter, strategies
+from pagemill.plans.model import FieldSelector, FieldSpec, Intent, Options, Plan
+from pagemill.settings import Settings
 
 
 @pytest.mark.parametrize("files", [0, 1, 3])
@@ -33,3 +37,28 @@ def test_references_without_semicolon(spark, tmp_path):
     run = lambda name: __spark_entry__.queries()[name](spark, str(tmp_path)).first()
     assert run("page_title").title == "A &< B &amp" and run("page_headings").headings == run("page_article").title == "A &amp"
     assert run("page_text_metrics").visible_length == run("stream_pages").visible_length == len("A &ampx © &lt y &")
+
+
+def test_all_records_of_long_pages(spark):
+    html = "<div>" + "".join(f'<article class="c"><h2 class="title">Thing {i}</h2><a class="url" href="/p/{i}">more</a></article>' for i in range(1500)) + "</div>"
+    rows = "<table>" + "".join(f"<tr><td>{i}" for i in range(1500)) + "</table>"
+    intent = Intent((FieldSpec("title", "string", True),))
+    pages = dom.parse_pages(spark.createDataFrame([(1, "https://x.example.com/l/1", html)], "page_id long, url string, html string"))
+    plan = Plan("repeated_dom_selector", container="article.c", fields=(FieldSelector("title", "h2"),))
+    want = [(i, f"Thing {i}") for i in range(1500)]
+    of = lambda found: sorted((r.row_idx, r.record["title"]) for r in found.collect())
+    assert of(strategies.execute(pages, plan, intent)) == of(interpreter.run_plans(pages.withColumn("plan", F.lit(plan.to_json())), intent)[0]) == want
+    assert of(strategies.execute(pages, plan, intent, 700)) == of(interpreter.run_plans(pages.withColumn("plan", F.lit(plan.to_json())), intent, 700)[0]) == want[:700]
+    table = dom.parse_pages(spark.createDataFrame([(1, "https://x.example.com/l/1", "<table><tr><th>Title</th></tr>" + rows[7:])], "page_id long, url string, html string"))
+    assert strategies.execute(table, Plan("table_extraction"), intent).count() == 1500
+    engine = api.Engine(spark, settings=Settings.of(max_records=0, max_html_bytes=0))
+    out = engine.extract(spark.createDataFrame([(1, "https://x.example.com/l/1", html)], "page_id long, url string, html string"), options=Options(max_records=None), intent=intent, plan=plan, semantic=False)
+    assert of(out.records) == want
+
+
+def test_parts_of_pages_are_bounded():
+    sizes = [1, 0, 5, 9, 100, 2, 2] + [0] * 200
+    parts = list(dom.in_parts(sizes, 10))
+    assert [i for a, b in parts for i in range(a, b)] == list(range(len(sizes)))
+    assert all(b - a == 1 or (sum(sizes[a:b]) <= 10 and b - a <= dom.PART_ROWS) for a, b in parts)
+    assert not list(dom.in_parts([], 10))
