@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from pagemill import api
-from pagemill.operators import dom, interpreter, strategies
+from pagemill.operators import dom, interpreter, page, strategies
 from pagemill.plans.model import FieldSelector, FieldSpec, Intent, Options, Plan
 from pagemill.settings import Settings
 
@@ -62,3 +62,47 @@ def test_parts_of_pages_are_bounded():
     assert [i for a, b in parts for i in range(a, b)] == list(range(len(sizes)))
     assert all(b - a == 1 or (sum(sizes[a:b]) <= 10 and b - a <= dom.PART_ROWS) for a, b in parts)
     assert not list(dom.in_parts([], 10))
+
+
+PIECES = ["<p>", "</p>", "<dl>", "<dt>", "<dd>", "</dl>", "<table>", "<tr>", "<td>", "</table>", '<b class="label">', "</b>", "<i>", "</i>", '<td class="Key x">', "A", "b  c ", " ", "\x1c", "\u2003", "&amp;", "&#x1;", "&lt", "&", "x < y", "<", ">", "<br/>", "<script>", "</script>", "<title>", "<!-- x -->", "<?pi?>", '<a href="x>y">', "</A >", "<textarea>", "</", "<p"]
+
+
+def mixed_pages():
+    import random
+
+    dice = random.Random(3)
+    pages = ["".join(dice.choice(PIECES[:20] if k % 2 else PIECES) for _ in range(dice.randint(0, 12))) for k in range(600)]
+    pages += ["<dl>" + "".join(f"<dt>k{i}<dd>{i}" for i in range(n)) + '</dl><b class="label">L</b><i>1</i>' for n in (29, 30, 45)]
+    pages += ['<b class="label">' + "l" * n + "</b>" + "<i></i>" * m + f"<i>{'v' * 400}</i>" for n in (80, 81) for m in (4, 5)]
+    return pages * 2 + ["<table>" + "<tr><td>A<td>" + "x" * 9000, None, ""]
+
+
+def test_outlines_are_what_the_parse_gives():
+    for html in mixed_pages():
+        for whole in (False, True):
+            outline, texts = dom.outlined(html, whole)
+            nodes = [list(n) for n in outline.nodes]
+            for at, text in zip(outline.texts_at, texts, strict=True):
+                nodes[at][dom.AT_TEXT] = text
+            assert nodes == dom.parse(html, whole), html
+
+
+def test_tags_that_pages_share_are_parsed_once(monkeypatch):
+    calls, parse = [], dom.parse
+    monkeypatch.setattr(dom, "parse", lambda *a: calls.append(a) or parse(*a))
+    dom._outlines.clear()
+    for i in range(500):
+        dom.outlined(f"<dl><dt>Name<dd>{i}</dl>")
+    assert len(calls) == 1
+    for i in range(500):
+        dom.outlined(f'<dl><dt class="c{i}">Name<dd>{i}</dl>')
+    assert len(dom._outlines) <= dom.OUTLINES
+
+
+def test_pairs_of_the_parse_are_those_of_the_nodes(spark):
+    pages = spark.createDataFrame(list(enumerate(mixed_pages())), "page_id long, html string").repartition(4)
+    both = dom.parse_pages(pages, pairs="pairs").select("page_id", page.key_values(F.col("nodes")).alias("a"), page.pairs_said(F.col("pairs")).alias("b"))
+    rows = both.collect()
+    assert len(rows) == len(mixed_pages()) and [r.page_id for r in rows if r.a != r.b] == [] and sum(map(len, (r.a for r in rows))) > 100
+    alone = dom.parse_pages(pages, column=None, pairs="pairs")
+    assert alone.columns == ["page_id", "pairs"] and alone.count() == len(rows)
