@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from pagemill import api
 from pagemill.functions.embedded import embedded
 from pagemill.operators import dom, interpreter, strategies
-from pagemill.operators.staging import staged
+from pagemill.operators.staging import spread, staged
 from pagemill.plans.model import FieldSelector, FieldSpec, Intent, Options, Plan
-from pagemill.queries import query, said, spread, table
+from pagemill.queries import query, said, table
 from pagemill.queries_jobs import WHOLE, _drained, _folder, _stored
 from pagemill.settings import Settings
 from pagemill.sources import fetching

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from pagemill import api
 from pagemill.operators import dom, interpreter, page, strategies
 from pagemill.plans.model import FieldSelector, FieldSpec, Intent, Options, Plan
 from pagemill.settings import Settings
+from pagemill.sources.store import Store
 
 
 @pytest.mark.parametrize("files", [0, 1, 3])
@@ -106,3 +109,36 @@ def test_pairs_of_the_parse_are_those_of_the_nodes(spark):
     assert len(rows) == len(mixed_pages()) and [r.page_id for r in rows if r.a != r.b] == [] and sum(map(len, (r.a for r in rows))) > 100
     alone = dom.parse_pages(pages, column=None, pairs="pairs")
     assert alone.columns == ["page_id", "pairs"] and alone.count() == len(rows)
+
+
+def test_few_large_pages_are_dealt(spark):
+    html = "<div>" + '<article class="c"><h2>Thing</h2></article>' * 5 + "</div>"
+    rows = [(i, f"https://x.example.com/list/{i}", html) for i in range(24)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    tasks = [r["count"] for r in api.Engine(spark).prepared(pages).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 24 and len(tasks) >= 8 and max(tasks) <= 6
+
+
+def test_templates_serve_pages_that_are_parsed_once(spark, tmp_path, monkeypatch):
+    own, real = Store(spark, str(tmp_path / "store")), api.parse_pages
+    own.migrate()
+    marks = str(tmp_path / "parsed")
+
+    def counted(pages, *given):
+        def mark(batches):
+            for pdf in batches:
+                with open(marks, "a") as f:
+                    f.writelines(f"{i}\n" for i in pdf["page_id"])
+                yield pdf
+
+        return real(pages.mapInPandas(mark, pages.schema), *given)
+
+    monkeypatch.setattr(api, "parse_pages", counted)
+    html = "<div>" + "".join(f'<article class="c"><h2 class="title">Thing {i}</h2><span class="price">${i}.50</span></article>' for i in range(5)) + "</div>"
+    page_of = lambda i: (i, f"https://x.example.com/list/{i}", html)
+    engine, ask = api.Engine(spark, store=own), "Extract the title and price of all products"
+    for ids in (range(3), range(8)):
+        out = engine.extract(spark.createDataFrame([page_of(i) for i in ids], "page_id long, url string, html string"), ask, semantic=False)
+    assert sorted((r.page_id, r.message == "cached_idempotent_response") for r in out.jobs.collect()) == [(i, i < 3) for i in range(8)]
+    assert all(r.template_used for r in out.jobs.where("page_id >= 3").select("diagnostics.template_used").collect())
+    assert sorted(map(int, Path(marks).read_text().split())) == list(range(8))
