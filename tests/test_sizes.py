@@ -142,3 +142,17 @@ def test_templates_serve_pages_that_are_parsed_once(spark, tmp_path, monkeypatch
     assert sorted((r.page_id, r.message == "cached_idempotent_response") for r in out.jobs.collect()) == [(i, i < 3) for i in range(8)]
     assert all(r.template_used for r in out.jobs.where("page_id >= 3").select("diagnostics.template_used").collect())
     assert sorted(map(int, Path(marks).read_text().split())) == list(range(8))
+
+
+def test_node_tables_have_the_values_of_their_arrays():
+    pages = [dom.outlined(html) for html in mixed_pages()]
+    every = dom._lists(pages)
+    for nodes in (every, every.slice(7, 40), every.slice(3, 0), every.slice(len(every) - 1)):
+        table = interpreter.NodeTable(nodes)
+        listed = nodes.to_pylist()
+        rows = [n for page_nodes in listed for n in page_nodes]
+        assert [b - a for a, b in zip(table.offsets, table.offsets[1:], strict=False)] == [len(page_nodes) for page_nodes in listed]
+        assert table.tag == [n["tag"] for n in rows] and table.text == [n["text"] for n in rows]
+        assert table.attrs == [dict(n["attrs"] or {}) for n in rows]
+        assert table.numbers == {name: [n[name] for n in rows] for name in table.numbers}
+        assert all(type(v) is int for values in table.numbers.values() for v in values)
