@@ -156,3 +156,40 @@ def test_node_tables_have_the_values_of_their_arrays():
         assert table.attrs == [dict(n["attrs"] or {}) for n in rows]
         assert table.numbers == {name: [n[name] for n in rows] for name in table.numbers}
         assert all(type(v) is int for values in table.numbers.values() for v in values)
+
+
+def test_texts_are_a_page_s_own_where_tags_were_seen_before():
+    """Also where each page of a part has tags of its own, all of them kept from pages of earlier parts."""
+    dom._outlines.clear()
+    for part in ([("p", "a"), ("p", "b"), ("b", "c")], [("p", "d")], [("b", "e"), ("p", "f")], [("i", "g"), ("p", "h")]):
+        every = dom._lists([dom.outlined(f"<{tag}>{text}</{tag}>") for tag, text in part]).to_pylist()
+        assert [(nodes[0]["tag"], nodes[1]["text"]) for nodes in every] == part
+
+
+def test_lists_of_parts_are_what_the_parse_gives():
+    pages = mixed_pages()
+    names = dom.NODE.fieldNames()
+    for size in (1, 2, 3, 50):
+        dom._outlines.clear()
+        got = [nodes for a in range(0, len(pages), size) for nodes in dom._lists([dom.outlined(html) for html in pages[a : a + size]]).to_pylist()]
+        for html, nodes in zip(pages, got, strict=True):
+            want = [dict(zip(names, n, strict=True)) for n in dom.parse(html)]
+            assert [{**n, "attrs": dict(n["attrs"])} for n in nodes] == [{**n, "attrs": n["attrs"] or {}} for n in want], html
+
+
+def customers_later(spark, tmp_path, name, first, later):
+    """Rows by page_id of a query over customers of keys `later`, run after it ran over those of keys `first`, whose pages have the same tags."""
+    for keys, k in ((first, "first"), (later, "later")):
+        rows = [(i, f"Customer#{i:09}", i % 25, i / 4, "BUILDING") for i in keys]
+        spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string").write.parquet(str(tmp_path / k / "customer.parquet"))
+        out = __spark_entry__.queries()[name](spark, str(tmp_path / k)).collect()
+    assert len(out) == len(later)
+    return {r.page_id: r for r in out}
+
+
+def test_article_density_after_pages_of_the_same_tags(spark, tmp_path):
+    out = customers_later(spark, tmp_path, "article_density", range(600), range(2801, 2805))
+    for k, r in out.items():
+        said = f"The account of Customer#{k:09} in the segment BUILDING was opened long ago and it has since then been kept in good order by its owner"
+        body = [said, "Short but within.", f"{said} (again)", *(["More", said] if k % 2 == 0 else [])]
+        assert (r.title, r.author, r.date, r.body) == (f"Customer {k}", f"Clerk {k % 25}", f"2024-01-{k % 28 + 1:02}", "\n".join(body))
