@@ -193,3 +193,8 @@ def test_article_density_after_pages_of_the_same_tags(spark, tmp_path):
         said = f"The account of Customer#{k:09} in the segment BUILDING was opened long ago and it has since then been kept in good order by its owner"
         body = [said, "Short but within.", f"{said} (again)", *(["More", said] if k % 2 == 0 else [])]
         assert (r.title, r.author, r.date, r.body) == (f"Customer {k}", f"Clerk {k % 25}", f"2024-01-{k % 28 + 1:02}", "\n".join(body))
+
+
+def test_single_entity_after_pages_of_the_same_tags(spark, tmp_path):
+    out = customers_later(spark, tmp_path, "single_entity", range(40), [1000])
+    assert tuple(out[1000]) == (1000, "Customer#000001000", 250.0, "BUILDING")
