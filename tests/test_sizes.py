@@ -198,3 +198,8 @@ def test_article_density_after_pages_of_the_same_tags(spark, tmp_path):
 def test_single_entity_after_pages_of_the_same_tags(spark, tmp_path):
     out = customers_later(spark, tmp_path, "single_entity", range(40), [1000])
     assert tuple(out[1000]) == (1000, "Customer#000001000", 250.0, "BUILDING")
+
+
+def test_static_enough_after_pages_of_the_same_tags(spark, tmp_path):
+    out = customers_later(spark, tmp_path, "static_enough", range(0, 400, 8), [4])
+    assert tuple(out[4]) == (4, False, True)
