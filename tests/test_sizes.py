@@ -203,3 +203,68 @@ def test_single_entity_after_pages_of_the_same_tags(spark, tmp_path):
 def test_static_enough_after_pages_of_the_same_tags(spark, tmp_path):
     out = customers_later(spark, tmp_path, "static_enough", range(0, 400, 8), [4])
     assert tuple(out[4]) == (4, False, True)
+
+
+def long_pages():
+    import random
+
+    dice = random.Random(5)
+    card = lambda i: f'<article class="product-card c{i % 7}"><h2 class="title">Thing {i}</h2><span class="price">${i}.50</span><a class="link" href="/p/{i}">more</a></article>'
+    row = lambda i: f"<tr><td>{i}<td><b>n{i}</b><td class='k{i % 3}'>{'<table><tr><td>x</table>' if i % 9 == 4 else ''}"
+    yield "<title>T</title><meta name=description content=' d '><body><nav><ul>" + "<li><a href='/n'>n</a>" * 4 + "</ul></nav>" + "".join(map(card, range(60))) + "<h1>late</h1><h3> </h3><title>no</title>"
+    yield "<table class=data><thead><tr><th>A<th>B</thead>" + "".join(map(row, range(40))) + "</table>" + "<table><tr><td>1<td>2</table>" * 6
+    yield "<div>" + "".join(f"<section class='s'><ul><li>a{i}<li>b{i}<li>c{i}<li class='u{i}'>d</ul><p>t{i}</p><img src=x></section>" for i in range(30)) + "</div><a href='#x'>a</a><a href=' '>b</a><a href='JavaScript:1'>c</a>"
+    yield "no tags at all " * 3
+    yield "<h1> </h1>" * 40 + "".join(f"<h{i % 3 + 1} class='h'>\u2003{i}  x<i> y</i></h{i % 3 + 1}>" for i in range(120))
+    tags = ["div", "p", "ul", "li", "h2", "a href='/a b'", "a", "table", "tr", "td", "section class='card hot'", "span class='x'", "img", "title", "body", "nav", "script"]
+    for _ in range(120):
+        yield "".join(dice.choice([f"<{dice.choice(tags)}>"] * 4 + [f"</{dice.choice(tags).split()[0]}>"] * 2 + ["t  e ", "\u3000", "$5.00"]) for _ in range(dice.randint(50, 300)))
+        own = dice.choice(["<div class='b'><h2>q</h2><p>w</p></div>", "<li class=e><a href=/z>z</a><b>y</b>", "<tr><td>1<td><i>2</i>"])
+        yield "<body>" + "<section>" * dice.randint(0, 2) + own * dice.randint(11, 30) + "</section><div><h1>x</h1><p>y<p>z</div>" * dice.randint(0, 14)
+
+
+def test_analysis_of_the_nodes_that_long_pages_show(spark):
+    """What is shown of a long page gives what all of its nodes give, and all of them come back."""
+    from pyspark.sql import types as T
+
+    rows, schema = [], T.StructType([T.StructField("page_id", T.LongType()), T.StructField("nodes", dom.NODES), T.StructField("text_length", T.IntegerType())])
+    few = 0
+    for i, html in enumerate(long_pages()):
+        nodes, packed, length = (x.to_pylist()[0] if x.type != "binary" else x for x in dom._long_page(html, False))
+        whole = dom._lists([dom.outlined(html)])
+        assert dom.unpack(packed[0].as_buffer()).to_pylist() == whole.to_pylist()[0]
+        as_row = lambda ns: [tuple(dict(v) if k == "attrs" and v is not None else v for k, v in n.items()) for n in ns]
+        rows += [(2 * i, as_row(whole.to_pylist()[0]), None), (2 * i + 1, as_row(nodes), length)]
+        few += len(nodes) < len(whole.to_pylist()[0])
+    assert few > 40
+    empty = "struct<json_ld_types:array<string>,microdata_types:array<string>,payloads:array<struct<json:string>>>"
+    pages = spark.createDataFrame(rows, schema).withColumns({"url": F.lit("https://x.example.com/a/"), "markup_length": F.lit(10_000), "embedded": F.from_json(F.lit('{"json_ld_types":[],"microdata_types":[],"payloads":[]}'), empty)})
+    from pagemill.plans.runner import sketches
+
+    of = {r.domain: (r.sketch, r.classes) for r in sketches(page.analyze(pages).withColumns({"domain": F.col("page_id").cast("string"), "pattern": F.lit("")})).collect()}
+    assert len(of) == len(rows)
+    for i in range(0, len(rows), 2):
+        assert of[str(i)] == of[str(i + 1)], i
+
+
+def test_long_pages_whole_and_in_pieces(spark):
+    """Of a page above LONG_BYTES few nodes go through Spark, and all of its records come out, in order, whatever the strategy."""
+    card = lambda i: f'<article class="c"><h2 class="title">Thing {i}</h2><span class="price">${i}.50</span><a class="url" href="/p/{i}">more</a></article>'
+    pages = [(k, f"https://x.example.com/l/{k}", "<body><div>" + "".join(card(i) for i in range(n)) + "</div></body>") for k, n in ((1, 9000), (2, 40), (3, 10_001), (4, 0))]
+    assert [len(html) > dom.LONG_BYTES for _, _, html in pages] == [True, False, True, False]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    engine = api.Engine(spark, settings=Settings.of(max_records=0, max_html_bytes=0))
+    ready = engine.prepared(df)
+    shown = {r.page_id: (r.n, r.packed) for r in ready.select("page_id", F.size("nodes").alias("n"), F.col("packed").isNotNull().alias("packed")).collect()}
+    assert shown[1][0] == shown[3][0] < 300 and [shown[k][1] for k in (1, 2, 3, 4)] == [True, False, True, False]
+    assert {r.page_id: r.n for r in dom.whole_nodes(ready).select("page_id", F.size("nodes").alias("n")).collect()} == {k: len(dom.parse(html)) for k, _, html in pages}
+    out = engine.extract(df, "Extract the title, price and url of all products", options=Options(max_records=None), semantic=False)
+    got = sorted((r.page_id, r.row_idx, r.record["title"], r.record["price"], r.record["url"]) for r in out.records.where("page_id <> 4").collect())
+    assert got == [(k, i, f"Thing {i}", f"${i}.50", f"https://x.example.com/p/{i}") for k, n in ((1, 9000), (2, 40), (3, 10_001)) for i in range(n)]
+    names = [Plan("single_dom_selector", fields=(FieldSelector("title", "article:last-child h2"),)), Plan("visible_text_regex", patterns=(("title", "Thing [0-9]{3,}"),)), Plan("article_extraction")]
+    for plan in names:
+        rows = {}
+        for own in (ready, dom.parse_pages(df.withColumn("embedded", F.lit(None).cast("string")))):
+            records, notes = interpreter.run_plans(own.withColumn("plan", F.lit(plan.to_json())), Intent((FieldSpec("title"), FieldSpec("text")), expected="object"))
+            rows[len(rows)] = (sorted((r.page_id, r.row_idx, tuple(r.record.items())) for r in records.collect()), sorted((r.page_id, r.notes) for r in notes.collect()))
+        assert rows[0] == rows[1]
